@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_source_mix": mixing.op6_source_mix,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
     }
 
 
