@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, lang_id, mixing, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_source_mix": mixing.op6_source_mix,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_language_id": lang_id.op8_language_id,
+        "op10_token_files": token_files.op10_token_files,
     }
 
 
