@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lang_id, mixing, token_files
+from . import bpe, exact_dedup, lang_id, license_scan, mixing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_source_mix": mixing.op6_source_mix,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_language_id": lang_id.op8_language_id,
