@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lang_id, license_scan, mixing, token_files
+from . import bpe, exact_dedup, lang_id, license_scan, line_quality, mixing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_line_quality": line_quality.op3_line_quality,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_source_mix": mixing.op6_source_mix,
         "op7_byte_bpe": bpe.op7_byte_bpe,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_source_mix": mixing.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_line_quality": line_quality.ORACLE, "op6_source_mix": mixing.ORACLE}
