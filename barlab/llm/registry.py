@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lang_id, license_scan, line_quality, mixing, token_files
+from . import bpe, exact_dedup, html_extract, lang_id, license_scan, line_quality, mixing, token_files
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_source_mix": mixing.op6_source_mix,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_language_id": lang_id.op8_language_id,
+        "op9_html_main_text": html_extract.op9_html_main_text,
         "op10_token_files": token_files.op10_token_files,
     }
 
