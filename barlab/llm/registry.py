@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, lang_id, license_scan, line_quality, mixing, token_files
+from . import bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_quality, mixing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_jaccard_join": jaccard_join.op2_jaccard_join,
         "op3_line_quality": line_quality.op3_line_quality,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_source_mix": mixing.op6_source_mix,
