@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 
@@ -203,25 +204,28 @@ def train(docs: DataFrame) -> Model:
     return Model(gram_counts(labelled.select("doc_id", "lang", "text")).toArrow())
 
 
-def identified(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred and score of every row's whole text; ``und`` with score 0 where the text is null or has no
-    letter, or nothing could be learned. Equal texts get equal answers; ties go to the first language by code point.
-    Other columns are ignored."""
+def identified(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score of every row's whole text, and of its columns those in ``keep`` (all, if
+    None; columns of the new names are replaced). ``und`` with score 0 where the text is null or has no letter, or
+    nothing could be learned. Equal texts get equal answers; ties go to the first language by code point."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in docs.schema.fields if f.name in (docs.columns if keep is None else keep) and f.name not in ("lang_pred", "score")]
+    names = [f.name for f in kept]
+    schema = StructType([*kept, StructField("lang_pred", StringType(), False), StructField("score", DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                languages, scores = shared.value.predict(batch.column(1).to_pylist())
+                languages, scores = shared.value.predict(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
+                    [*(batch.column(n) for n in names), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
                 )
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = identified(docs, train(docs))
+    found = identified(docs, train(docs), keep=["doc_id"])
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_quality, mixing, token_files
+from . import bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_quality, mixing, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_jaccard_join": jaccard_join.op2_jaccard_join,
         "op3_line_quality": line_quality.op3_line_quality,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_source_mix": mixing.op6_source_mix,
         "op7_byte_bpe": bpe.op7_byte_bpe,
