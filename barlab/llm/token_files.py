@@ -11,7 +11,7 @@ block, doc_ids, counts (ids of each document), control and data.
 from __future__ import annotations
 
 import os
-import zlib
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +26,10 @@ from .common import shuffle_partitions, staged, table
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 1_000_000
 #: Words remembered by a Python worker; beyond this the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _STEP = 500
+#: Marks that end the piece of a letter before them.
+MARKS = b".,;:!?"
 
 #: For each control byte, the number of data bytes of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
@@ -58,55 +60,80 @@ def decode_stream(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether a character is a letter to its end after normalising and lower-casing."""
+    return c.isalpha() and unicodedata.normalize("NFC", c).lower().isalpha()
+
+
 class _Words(dict):
-    """Ids of white-space separated words, as little-endian 32-bit integers. White space separates pieces in the
-    tokenizer too, so a text's ids are those of its words in order."""
+    """Ids of white-space separated words, as little-endian integers of ``kind``. White space separates pieces in the
+    tokenizer too, so a text's ids are those of its words in order; it lower-cases, so A-Z may be lower-cased before.
+    After a letter its pieces end before a mark, so words are learned without the marks that follow them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def learn(self, words: list[bytes]) -> None:
+    def ids(self, words: list[bytes]) -> None:
+        for word, made in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            self[word] = np.array(made.ids, self.kind).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        for word, made in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self[word] = np.array(made.ids, "<u4").tobytes()
+        marked = {}
+        for word in words:
+            if word not in self:
+                core = word.rstrip(MARKS)
+                split = core and core != word and (core[-1:].isalpha() or core[-1] >= 0x80 and _stays_letter(core.decode()[-1]))
+                marked[word] = (core, word[len(core) :]) if split else (word, b"")
+        self.ids([w for w in {part for pair in marked.values() for part in pair} if w and w not in self])
+        for word, (core, marks) in marked.items():
+            if marks:
+                self[word] = self[core] + self[marks]
 
 
 @lru_cache(maxsize=1)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str, kind: str) -> _Words:
+    return _Words(path, kind)
+
+
+def id_kind(path: str, end_id: int) -> str:
+    """The narrowest numpy type of two or four bytes for the ids of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers in one binary), ``end_id`` after each document's."""
+def tokenized(docs: DataFrame, path: str, end_id: int, kind: str = "<u4", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids (little-endian integers of ``kind`` in one binary), ``end_id`` after each document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = _words(path), np.array([end_id], "<u4").tobytes()
+        known, end = _words(path, kind), np.array([end_id], kind).tobytes()
         for whole in batches:
             for start in range(0, whole.num_rows, _STEP):
                 batch = whole.slice(start, _STEP)
-                split = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-                known.learn([w for words in split for w in words])
+                raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+                split = [(t if b"<|" in t else t.lower()).split() for t in raw]  # added tokens keep their case
+                known.learn(set().union(*split))
                 ids = [b"".join(map(known.__getitem__, words)) + end for words in split]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
+def token_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
     """token and n over all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, _STEP):
-                seen = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(start, _STEP).to_pylist()), "<u4"))
+                seen = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(start, _STEP).to_pylist()), kind))
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[: len(seen)] += seen
@@ -123,8 +150,10 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, Dat
     Every distinct token has one row in the ranks, so the driver holds at most the vocabulary. Other columns are
     ignored. An empty table gives an empty file set."""
     spark = docs.sparkSession
-    tokens = staged(tokenized(docs, path, end_id), "ids")
-    ranks = staged(token_counts(tokens), "ranks")
+    kind = id_kind(path, end_id)
+    width = np.dtype(kind).itemsize
+    tokens = staged(tokenized(docs, path, end_id, kind), "ids")
+    ranks = staged(token_counts(tokens, kind), "ranks")
     rank_of = rank_table(ranks, inverse=True)
     shared = spark.sparkContext.broadcast(rank_of)
     sorted_ = tokens.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
@@ -136,21 +165,21 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, Dat
 
         def made() -> pa.RecordBatch:
             keys, ids = zip(*waiting)
-            control, data = encode_stream(shared.value[np.frombuffer(b"".join(ids), "<u4")])
+            control, data = encode_stream(shared.value[np.frombuffer(b"".join(ids), kind)])
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()),
                 "doc_ids": pa.array([list(keys)], pa.list_(pa.int64())),
-                "counts": pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())),
+                "counts": pa.array([[len(x) // width for x in ids]], pa.list_(pa.int64())),
                 "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary()),
             })
 
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if n and n + len(ids.as_py()) // 4 > BLOCK_IDS:
+                if n and n + len(ids.as_py()) // width > BLOCK_IDS:
                     yield made()
                     block, waiting, n = block + 1, [], 0
                 waiting.append((key, ids.as_py()))
-                n += len(waiting[-1][1]) // 4
+                n += len(waiting[-1][1]) // width
         if waiting:
             yield made()
 
