@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -29,9 +30,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table below the shared folder and read it back: lineage ends there, and every
     executor can read it after another one is lost."""
-    path = f"{checkpoint_root(df.sparkSession)}/barlab/{label}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{checkpoint_root(spark)}/barlab/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # Shuffle files go when the driver drops the plans that made them; nothing needs those any more.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,8 +30,8 @@ from .components import contracted
 WIDTH = 5
 #: Documents of a cell up to which all pairs are compared.
 LEAF = 8
-#: Times that a cell is divided before its pairs are compared anyway.
-DEPTH = 5
+#: Times that cells are divided before what is left in one is compared block by block; documents in one block.
+DEPTH, BLOCK = 2, 512
 #: Documents per owner of the anchor exchange, about.
 PER_OWNER = 40_000
 
@@ -72,28 +72,44 @@ class Shingler:
         return np.unique(mix(total))
 
 
+def class_top(level: int) -> int:
+    """Largest size in a class."""
+    return int(2 ** ((level + 1) / 2) + 1e-9) if level else 1
+
+
+def size_class(n: int) -> int:
+    level = max(0, int(2 * np.log2(n)) - 1)
+    while class_top(level) < n:
+        level += 1
+    while level and class_top(level - 1) >= n:
+        level -= 1
+    return level
+
+
 def anchors(shingles: np.ndarray) -> np.ndarray:
     """Hashes of parts of the set such that any set with similarity of at least 0.8 has one of them in common.
 
-    Sets of n and m shingles that similar differ in at most (n + m) // 9. Sizes fall into classes by powers of two,
-    and a set whose partners may be in the next class is cut up for that one as well. Of the parts that aren't empty,
-    in fixed order, one more than may differ suffice. A set with too few parts is cut up again with another salt."""
+    Sets of n and m shingles that similar differ in at most (n + m) // 9. Sizes fall into classes, each half an octave
+    wide, and a set whose partners may be in the next class is cut up for that one as well. Of the parts that aren't
+    empty, in one order for all, one more than may differ suffice; large parts come first, for they say most. A set
+    with too few parts is cut up again with another salt."""
     n, out = len(shingles), []
-    own = n.bit_length() - 1
+    own = size_class(n)
     for level in (own, own + 1):
-        top = (2 << level) - 1
-        if level > own and 5 * n // 4 <= (2 << own) - 1:
+        top = class_top(level)
+        if level > own and 5 * n // 4 <= class_top(own):
             break
         differ = (n + min(5 * n // 4, top)) // 9
-        parts = -(-3 * top // 10) + 4
+        parts = -(-27 * top // 100) + 3
         for salt in range(_SALTS):
             tag = _U((level * 131 + salt + 1) * int(_ODD[1]) % (1 << 64))
             part = (mix(shingles + tag) >> _U(33)) % _U(parts)
             order = np.argsort(part, kind="stable")
             part = part[order]
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(mix(shingles[order] ^ tag), starts)
-            out.append(mix(sums + part[starts] * _ODD[2] + tag)[: differ + 1])
+            sums = mix(np.add.reduceat(mix(shingles[order] ^ tag), starts) + part[starts] * _ODD[2] + tag)
+            held = np.diff(np.append(starts, n))
+            out.append(sums[np.lexsort((sums, -held))[: differ + 1]])
             if len(starts) > differ:
                 break
         else:
@@ -119,11 +135,11 @@ def _arrow(**columns) -> pa.RecordBatch:
 
 def _first_pass(bits: int, owners: int):
     """Rows of documents (their set's size and hash), then rows of anchor blocks, one for each owner; within a
-    partition equal sets send their anchors once."""
+    partition equal sets send their anchors once, under their smallest id."""
     span = -(-(1 << bits) // owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, keys, ids = Shingler(), set(), [], []
+        shingle, slot_of, keys, least = Shingler(), {}, [], []
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -133,14 +149,16 @@ def _first_pass(bits: int, owners: int):
                     digest = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
                     sizes.append(len(own))
                     hashes.append(digest)
-                    if digest and digest not in seen and key is not None:
-                        seen.add(digest)
-                        keys.append(anchors(own) >> _U(64 - bits))
-                        ids.append(np.full(len(keys[-1]), key, np.int64))
+                    if digest and key is not None:
+                        slot = slot_of.setdefault(digest, len(keys))
+                        if slot == len(keys):
+                            keys.append(anchors(own) >> _U(64 - bits))
+                            least.append(key)
+                        least[slot] = min(least[slot], key)
                 yield _arrow(doc_id=batch.column(0), n_shingles=sizes, set_hash=hashes)
         if not keys:
             return
-        key, id_ = np.concatenate(keys), np.concatenate(ids)
+        key, id_ = np.concatenate(keys), np.repeat(np.array(least, np.int64), [len(k) for k in keys])
         order = np.lexsort((id_, key))
         key, id_ = key[order], id_[order]
         distinct, counts = np.unique(key, return_counts=True)
@@ -178,28 +196,52 @@ def _shared_anchors(span: int):
     return run
 
 
+#: Buckets of a sketch.
+_BUCKETS = 256
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles, and how many fall into each bucket of their hash."""
     shingle = Shingler()
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
             batch = whole.slice(start, 500)
-            lists = [shingle(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            lists = [shingle(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["x", "shingles"])
+            sketches = [np.bincount((x >> _U(56)).astype(np.int64), minlength=_BUCKETS).astype("<u4").tobytes() for x in lists]
+            values = pa.array(np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], ["x", "sketch", "shingles"]
+            )
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What sketches tell of pairs: no more shingles are shared than the smaller counts of all buckets together, so
+    far (surely beyond twice the threshold) and open (possibly linked)."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2000):
+            batch = whole.slice(start, 2000)
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, _BUCKETS).astype(np.int64) for c in (2, 3))
+            most, both = np.minimum(a, b).sum(axis=1), (a + b).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(10 * most < 6 * (both - most)), pa.array(10 * most >= 8 * (both - most))], ["p", "x", "far", "open"]
+            )
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs``: p, x, distinct. Adds near (linked) and far (beyond twice the threshold), from exact set sizes."""
-    of = lambda name: sets.select(F.col("x").alias(name), F.col("shingles").alias(f"{name}_set"))
-    shared = F.size(F.array_intersect("p_set", "x_set"))
-    sized = pairs.join(of("x"), "x").join(of("p"), "p").select(
-        "p", "x", shared.alias("shared"), (F.size("p_set") + F.size("x_set") - shared).alias("whole")
+def _compared(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """``pairs``: p, x, distinct. Adds near (linked, exactly) and far (surely beyond twice the threshold). Pairs that
+    their sketches can't part are compared shingle by shingle."""
+    of = lambda name, column: sets.select(F.col("x").alias(name), F.col(column).alias(f"{name}_{column}"))
+    sketched = pairs.join(of("x", "sketch"), "x").join(of("p", "sketch"), "p").select("p", "x", "p_sketch", "x_sketch")
+    told = staged(sketched.mapInArrow(_bounded, "p bigint, x bigint, far boolean, open boolean"), f"{label}-told")
+    shared = F.size(F.array_intersect("p_shingles", "x_shingles"))
+    whole = told.where("open").select("p", "x").join(of("x", "shingles"), "x").join(of("p", "shingles"), "p").select(
+        "p", "x", shared.alias("shared"), (F.size("p_shingles") + F.size("x_shingles") - shared).alias("whole")
     )
-    return sized.select(
-        "p", "x", (100 * F.col("shared") >= 80 * F.col("whole")).alias("near"),
-        (10 * F.col("shared") < 6 * F.col("whole")).alias("far"),
+    exact = whole.select(
+        "p", "x", (100 * F.col("shared") >= 80 * F.col("whole")).alias("near"), (10 * F.col("shared") < 6 * F.col("whole")).alias("far"),
     )
+    return exact.unionByName(told.where("not open").select("p", "x", F.lit(False).alias("near"), "far"))
 
 
 def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -229,7 +271,7 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     degrees = cells.join(sizes, "cell").groupBy("x").agg(F.sum(F.col("n") - 1).alias("degree"))
     degrees = staged(degrees, "degrees")
     texts = rows.join(degrees.select(F.col("x").alias("doc_id")), "doc_id")
-    sets = staged(texts.mapInArrow(_sets, "x bigint, shingles array<bigint>"), "sets")
+    sets = staged(texts.mapInArrow(_sets, "x bigint, sketch binary, shingles array<bigint>"), "sets")
     roots = _connected(cells.join(degrees, "x").select("cell", "x", "degree"), sets)
     out = known.join(groups, "set_hash", "left")
     if roots is not None:
@@ -241,36 +283,86 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     )
 
 
+def _active(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of the cells that hold more than one component, with their root and the cell's size."""
+    rows = cells.withColumn("root", F.col("x")) if roots is None else (
+        cells.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    )
+    about = rows.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
+        (-F.max(F.struct("degree", (-F.col("x")).alias("minus")))["minus"]).alias("p"),
+    ).where("least < most").select("cell", "n", "p")
+    return rows.join(about, "cell")
+
+
+def _open_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one block pair: pairs of different components whose sketches allow a link."""
+    left, right = group[group["side"] != 1], group[group["side"] != 0]
+    a, b = (np.frombuffer(b"".join(x["sketch"]), "<u4").reshape(-1, _BUCKETS).astype(np.int32) for x in (left, right))
+    sizes, found = (a.sum(axis=1), b.sum(axis=1)), []
+    order = np.argsort(sizes[1], kind="stable")
+    b, size_b, right = b[order], sizes[1][order], right.iloc[order]
+    x_b, root_b = right["x"].to_numpy(), right["root"].to_numpy()
+    lo, hi = np.searchsorted(size_b, -(-4 * sizes[0] // 5)), np.searchsorted(size_b, 5 * sizes[0] // 4, side="right")
+    for own, x, root, size, i, j in zip(a, left["x"].to_numpy(), left["root"].to_numpy(), sizes[0], lo, hi):
+        most = np.minimum(own, b[i:j]).sum(axis=1)
+        near = (10 * most >= 8 * (size + size_b[i:j] - most)) & (root_b[i:j] != root) & (x_b[i:j] != x)
+        found += [(min(x, y), max(x, y)) for y in x_b[i:j][near]]
+    return pd.DataFrame(sorted(set(found)), columns=["p", "x"]).astype("int64")
+
+
+def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of undivided cells that their sketches can't part. Sizes must lie within 5:4 of each other, so a cell
+    falls into classes of that width, each against itself and the next; large classes are compared block by block,
+    and a document goes to as many block pairs as there are blocks."""
+    rows = active.join(sets.select("x", "sketch", F.size("shingles").alias("size")), "x").select(
+        "cell", "x", "root", "sketch", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")
+    )
+    placed = rows.withColumn("to", F.explode(F.array(F.struct(F.col("kind").alias("kind"), F.lit(0).alias("next")), F.struct((F.col("kind") - 1).alias("kind"), F.lit(1).alias("next")))))
+    placed = placed.select("cell", "x", "root", "sketch", "to.kind", "to.next")
+    # A class is worth comparing where it has a member of its own and two components.
+    counts = placed.groupBy("cell", "kind").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("next").alias("own")
+    ).where("a < b and own = 0").select("cell", "kind", "blocks")
+    blocked = placed.join(counts, ["cell", "kind"]).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    pair = lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))
+    spread = blocked.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    groups = spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root", "sketch").groupBy("cell", "kind", "i", "j")
+    return groups.applyInPandas(_open_pairs, "p bigint, x bigint").distinct()
+
+
 def _connected(cells: DataFrame, sets: DataFrame) -> DataFrame | None:
     """``cells``: cell, x, degree. Divides cells around pivots until every linked pair is compared or connected."""
     roots, links = None, None
-    for depth in range(DEPTH + 1):
-        active = cells.withColumn("root", F.col("x")) if roots is None else (
-            cells.join(roots, "x", "left").select("cell", "x", "degree", F.coalesce("root", "x").alias("root"))
-        )
-        about = active.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
-            F.max(F.struct("degree", (-F.col("x")).alias("minus"), "root")).alias("pivot"),
-        ).where("least < most")
-        about = about.select("cell", "n", (-F.col("pivot.minus")).alias("p"), F.col("pivot.root").alias("p_root"))
-        active = staged(active.join(about, "cell"), f"active{depth}")
+
+    def linked(compared: DataFrame, depth: int) -> None:
+        nonlocal roots, links
+        fresh = compared.where("near").select(F.col("p").alias("a"), F.col("x").alias("b"))
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            roots = contracted(links, f"roots{depth}")
+
+    for depth in range(DEPTH):
+        active = staged(_active(cells, roots), f"active{depth}")
         if active.isEmpty():
-            break
-        leaf = F.lit(depth == DEPTH) | (F.col("n") <= LEAF)
-        small, large = active.where(leaf), active.where(~leaf)
+            return roots
+        small, large = active.where(F.col("n") <= LEAF), active.where(F.col("n") > LEAF)
         a = small.select("cell", F.col("x").alias("p"), F.col("root").alias("a_root"))
         b = small.select("cell", "x", F.col("root").alias("b_root"))
         pairs = a.join(b, "cell").where("p < x and a_root != b_root").select("p", "x")
-        stars = large.where("x != p and root != p_root").select("p", "x")
-        compared = staged(_compared(pairs.unionByName(stars).distinct(), sets), f"compared{depth}")
-        fresh = compared.where("near").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        links = fresh if links is None else links.unionByName(fresh)
-        roots = contracted(links, f"roots{depth}")
-        # What shares the pivot's root without having been compared may be anywhere, so it goes to both sides.
-        told = large.where("x != p").join(compared, ["p", "x"], "left")
-        inner = told.where("far is null or not far").select(F.xxhash64("cell", F.lit(f"in{depth}")).alias("cell"), "x", "degree")
-        outer = told.where("near is null or not near").select(F.xxhash64("cell", F.lit(f"out{depth}")).alias("cell"), "x", "degree")
+        stars = large.where("x != p").select("p", "x", "degree").distinct()
+        compared = staged(_compared(pairs.unionByName(stars.select("p", "x")).distinct(), sets, f"compared{depth}"), f"compared{depth}")
+        linked(compared, depth)
+        # Cells of one pivot go on as one; the part in the name keeps what was divided apart.
+        told = stars.join(compared, ["p", "x"])
+        named = lambda side: F.xxhash64("p", F.lit(f"{side}{depth}")).alias("cell")
+        inner = told.where("not far").select(named("in"), "x", "degree")
+        outer = told.where("not near").select(named("out"), "x", "degree")
         cells = staged(inner.unionByName(outer), f"cells{depth}")
+    active = staged(_active(cells, roots), "active")
+    if not active.isEmpty():
+        open_ = staged(_remaining(active, sets), "open")
+        linked(staged(_compared(open_, sets, "last"), "compared"), DEPTH)
     return roots
 
 
