@@ -35,6 +35,10 @@ DEPTH, BLOCK = 2, 512
 #: Documents per owner of the anchor exchange, about.
 PER_OWNER = 40_000
 
+#: Documents with shared anchors up to which their ids are broadcast (8 bytes each) to pick their texts; beyond, both
+#: sides shuffle.
+BROADCAST_ROWS = 500_000
+
 _SALTS = 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 _U = np.uint64
@@ -217,22 +221,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What sketches tell of pairs: no more shingles are shared than the smaller counts of all buckets together, so
-    far (surely beyond twice the threshold) and open (possibly linked)."""
+    far (surely beyond twice the threshold) and open (possibly linked, and not yet connected)."""
     for whole in batches:
         for start in range(0, whole.num_rows, 2000):
             batch = whole.slice(start, 2000)
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, _BUCKETS).astype(np.int64) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, _BUCKETS).astype(np.int64) for c in (3, 4))
+            same = batch.column(2).to_numpy(zero_copy_only=False)
             most, both = np.minimum(a, b).sum(axis=1), (a + b).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(10 * most < 6 * (both - most)), pa.array(10 * most >= 8 * (both - most))], ["p", "x", "far", "open"]
+                [batch.column(0), batch.column(1), pa.array(10 * most < 6 * (both - most)), pa.array((10 * most >= 8 * (both - most)) & ~same)],
+                ["p", "x", "far", "open"],
             )
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """``pairs``: p, x, distinct. Adds near (linked, exactly) and far (surely beyond twice the threshold). Pairs that
-    their sketches can't part are compared shingle by shingle."""
+    """``pairs``: p, x, same (already connected), distinct. Adds near (linked, exactly; false where it needn't be known)
+    and far (surely beyond twice the threshold). Pairs that their sketches can't part are compared shingle by shingle,
+    but for those already connected."""
     of = lambda name, column: sets.select(F.col("x").alias(name), F.col(column).alias(f"{name}_{column}"))
-    sketched = pairs.join(of("x", "sketch"), "x").join(of("p", "sketch"), "p").select("p", "x", "p_sketch", "x_sketch")
+    sketched = pairs.join(of("x", "sketch"), "x").join(of("p", "sketch"), "p").select("p", "x", "same", "p_sketch", "x_sketch")
     told = staged(sketched.mapInArrow(_bounded, "p bigint, x bigint, far boolean, open boolean"), f"{label}-told")
     shared = F.size(F.array_intersect("p_shingles", "x_shingles"))
     whole = told.where("open").select("p", "x").join(of("x", "shingles"), "x").join(of("p", "shingles"), "p").select(
@@ -268,9 +275,12 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     )
     cells = staged(cells.join(groups.select(F.col("rep").alias("x")), "x", "left_semi").select("cell", "x"), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    degrees = cells.join(sizes, "cell").groupBy("x").agg(F.sum(F.col("n") - 1).alias("degree"))
-    degrees = staged(degrees, "degrees")
-    texts = rows.join(degrees.select(F.col("x").alias("doc_id")), "doc_id")
+    cells = staged(cells.join(sizes, "cell"), "shared-cells")
+    degrees = staged(cells.groupBy("x").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
+    wanted = degrees.select(F.col("x").alias("doc_id"))
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = rows.join(wanted, "doc_id")
     sets = staged(texts.mapInArrow(_sets, "x bigint, sketch binary, shingles array<bigint>"), "sets")
     roots = _connected(cells.join(degrees, "x").select("cell", "x", "degree"), sets)
     out = known.join(groups, "set_hash", "left")
@@ -290,8 +300,8 @@ def _active(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
     )
     about = rows.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
-        (-F.max(F.struct("degree", (-F.col("x")).alias("minus")))["minus"]).alias("p"),
-    ).where("least < most").select("cell", "n", "p")
+        F.max(F.struct("degree", (-F.col("x")).alias("minus"), "root")).alias("pivot"),
+    ).where("least < most").select("cell", "n", (-F.col("pivot.minus")).alias("p"), F.col("pivot.root").alias("p_root"))
     return rows.join(about, "cell")
 
 
@@ -328,7 +338,7 @@ def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
     pair = lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))
     spread = blocked.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
     groups = spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root", "sketch").groupBy("cell", "kind", "i", "j")
-    return groups.applyInPandas(_open_pairs, "p bigint, x bigint").distinct()
+    return groups.applyInPandas(_open_pairs, "p bigint, x bigint").distinct().withColumn("same", F.lit(False))
 
 
 def _connected(cells: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -349,9 +359,9 @@ def _connected(cells: DataFrame, sets: DataFrame) -> DataFrame | None:
         small, large = active.where(F.col("n") <= LEAF), active.where(F.col("n") > LEAF)
         a = small.select("cell", F.col("x").alias("p"), F.col("root").alias("a_root"))
         b = small.select("cell", "x", F.col("root").alias("b_root"))
-        pairs = a.join(b, "cell").where("p < x and a_root != b_root").select("p", "x")
-        stars = large.where("x != p").select("p", "x", "degree").distinct()
-        compared = staged(_compared(pairs.unionByName(stars.select("p", "x")).distinct(), sets, f"compared{depth}"), f"compared{depth}")
+        pairs = a.join(b, "cell").where("p < x and a_root != b_root").select("p", "x", F.lit(False).alias("same"))
+        stars = large.where("x != p").select("p", "x", "degree", (F.col("root") == F.col("p_root")).alias("same")).distinct()
+        compared = staged(_compared(pairs.unionByName(stars.select("p", "x", "same")).distinct(), sets, f"compared{depth}"), f"compared{depth}")
         linked(compared, depth)
         # Cells of one pivot go on as one; the part in the name keeps what was divided apart.
         told = stars.join(compared, ["p", "x"])
