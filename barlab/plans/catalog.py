@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import execution, performance, rolling, signals, splits, surge
+from ..operators import context, execution, inference, performance, rolling, signals, splits, surge
 from ..sources import trades as src
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
@@ -497,3 +497,75 @@ def o43(spark, sf):
 def o70(spark, sf):
     rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
     return rounded(splits.rates(rows.select(F.col("lang").alias("split"), F.col("quality").alias("label"), (F.col("n_chars") > 1500).alias("signal")), "split", "label", "signal"))
+
+
+# Context and inference
+
+
+@query("o51_daily_context", f"""WITH {_G} SELECT symbol, open_time::DATE::VARCHAR AS day, round(first(open ORDER BY open_time), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY open_time), 6) AS close,
+  round(sum(quote_volume), 4) AS quote_volume, count(*) AS bars, round((max(high) / min(low) - 1) * 100, 6) AS range_pct, last(close ORDER BY open_time) > first(open ORDER BY open_time) AS up FROM gr WHERE observed GROUP BY 1, 2""")
+def o51(spark, sf):
+    return rounded(context.daily_context(grid(spark, sf)).withColumn("quote_volume", F.round("quote_volume", 4)))
+
+
+@query("o55_reference_context", f"""WITH {_G}, ow AS (SELECT symbol, open_time, (close / lag(close, 4) OVER ({_BY}) - 1) * 100 AS own FROM gr), px AS (SELECT open_time, avg(own) AS proxy FROM ow WHERE symbol IN ('click', 'view') GROUP BY 1)
+  SELECT symbol, {_TS.format('open_time')} AS open_time, round(own, 6) AS own, round(proxy, 6) AS proxy, round(own - proxy, 6) AS excess FROM ow LEFT JOIN px USING (open_time)""")
+def o55(spark, sf):
+    return rounded(context.reference_context(grid(spark, sf), ["click", "view"], 4))
+
+
+@query("o56_volume_steps", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, round(sum(quote_volume) OVER a / 3 / nullif(sum(quote_volume) OVER b / 8, 0), 6) AS volume_step FROM gr
+  WINDOW a AS ({_BY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS ({_BY} ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING)""")
+def o56(spark, sf):
+    return rounded(context.volume_steps(grid(spark, sf), 3, 8).select("symbol", "open_time", "volume_step"))
+
+
+def _samples(spark, sf) -> DataFrame:
+    return first_surges(spark, sf).select(F.concat_ws("@", "symbol", "event_date").alias("sample_id"), "symbol", F.col("cross_time").alias("anchor"))
+
+
+_SA = _S + ", sa AS (SELECT symbol || '@' || event_date::VARCHAR AS sample_id, symbol, cross_time AS anchor FROM su)"
+
+
+@query("o78_snapshots", f"WITH {_SA} SELECT sample_id, symbol, {_TS.format('anchor')} AS anchor, o::INT AS offset, {_TS.format('anchor - o * INTERVAL 1 HOUR')} AS at FROM sa, unnest([0, 1, 2, 4, 8]) AS u(o)")
+def o78(spark, sf):
+    return rounded(context.snapshots(_samples(spark, sf), [0, 1, 2, 4, 8], "1 hour"))
+
+
+_RW = _SA + f""", gr AS {_G.split(", gr AS", 1)[1]}, rw AS (SELECT sample_id, sa.symbol, gr.open_time, (epoch(gr.open_time) - epoch(anchor))::BIGINT // 3600 AS relative_bar, close, observed, count(*) OVER (PARTITION BY sample_id) AS n
+  FROM sa JOIN gr ON gr.symbol = sa.symbol AND gr.open_time >= anchor - INTERVAL 24 HOUR AND gr.open_time < anchor QUALIFY n = 24)"""
+
+
+@query("o110_raw_windows", f"WITH {_RW} SELECT sample_id, symbol, {_TS.format('open_time')} AS open_time, relative_bar::INT AS relative_bar, round(close, 6) AS close, observed FROM rw")
+def o110(spark, sf):
+    return rounded(context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, 3600).select("sample_id", "symbol", "open_time", "relative_bar", "close", "observed"))
+
+
+@query("o111_shared_store", f"WITH {_RW} SELECT DISTINCT symbol, {_TS.format('open_time')} AS open_time, round(close, 6) AS close, observed FROM rw")
+def o111(spark, sf):
+    found = context.shared_store(context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, 3600))
+    return rounded(found.select("symbol", "open_time", "close", "observed"))
+
+
+@query("o41_o106_value_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def o41(spark, sf):
+    return context.value_counts(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderstatus", "o_orderpriority")
+
+
+@query("o72_permutation", """WITH s AS (SELECT doc_id // 4 AS g, quality, (n_chars > 1500)::INT AS signal, doc_id FROM labels JOIN documents USING (doc_id)),
+  gr AS (SELECT g, list(signal ORDER BY doc_id) AS signals, max(CASE WHEN quality = 1 THEN signal END) AS event, sum(signal) AS hits, count(*) AS size FROM s GROUP BY g HAVING count(*) FILTER (quality = 1) = 1 AND count(*) FILTER (quality = 0) >= 1),
+  it AS (SELECT i, sum(CASE WHEN i = 0 THEN event ELSE signals[1 + ('0x' || substr(md5('805601:' || i || ':' || g), 1, 8))::BIGINT % size] END) AS e, sum(hits) AS h, sum(size) AS n, count(*) AS k FROM gr, range(0, 201) AS r(i) GROUP BY i),
+  st AS (SELECT i, e / k::DOUBLE - (h - e) / (n - k)::DOUBLE AS d FROM it)
+  SELECT round(o.d, 6) AS observed, count(*) FILTER (st.d >= o.d - 1e-12) AS exceed, count(*) AS iterations, round((count(*) FILTER (st.d >= o.d - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value
+  FROM st, (SELECT d FROM st WHERE i = 0) o WHERE i > 0 GROUP BY o.d""")
+def o72(spark, sf):
+    rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("match_group"), F.col("quality").alias("label"), (F.col("n_chars") > 1500).cast("int").alias("signal"))
+    return rounded(inference.permutation_test(splits.valid_groups(rows, "match_group", "label"), 200, 805601))
+
+
+@query("o74_bootstrap", f"""WITH {_K}, sy AS (SELECT symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (ORDER BY symbol) - 1 AS at_, count(*) OVER () AS many FROM bk GROUP BY symbol),
+  dr AS (SELECT i, ('0x' || substr(md5('20260725:' || i || ':' || at_), 1, 8))::BIGINT % many AS at_ FROM sy, range(1, 201) AS r(i)), me AS (SELECT i, sum(total) / sum(n) AS m FROM dr JOIN sy USING (at_) GROUP BY i)
+  SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS iterations FROM me""")
+def o74(spark, sf):
+    return rounded(inference.cluster_bootstrap(_book(spark, sf), 200, 20260725))
