@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import context, execution, inference, performance, rolling, signals, splits, surge
+from ..operators import context, execution, inference, performance, rolling, samples, signals, splits, surge
 from ..sources import trades as src
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
@@ -569,3 +569,76 @@ def o72(spark, sf):
   SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS iterations FROM me""")
 def o74(spark, sf):
     return rounded(inference.cluster_bootstrap(_book(spark, sf), 200, 20260725))
+
+
+# Samples
+
+
+_DAYS = "SELECT d::DATE AS day, CASE WHEN d <= DATE '2024-01-18' THEN 'discovery' WHEN d <= DATE '2024-01-24' THEN 'validation' ELSE 'sealed' END AS split FROM unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS u(d)"
+
+
+def _days(spark) -> DataFrame:
+    days = spark.range(1).select(F.explode(F.expr("sequence(date '2024-01-01', date '2024-01-30')")).alias("day"))
+    return samples.calendar_splits(days, "2024-01-18", "2024-01-24")
+
+
+_CC = _S + f""", dy AS ({_DAYS}), ev AS (SELECT symbol || '@' || event_date::VARCHAR AS event_id, su.symbol, cross_time AS event_time, split FROM su JOIN dy ON dy.day = event_date),
+  ca AS (SELECT event_id, symbol, event_time, o::INT AS off_, day + (event_time - date_trunc('day', event_time)) + o * INTERVAL 1 MINUTE AS t, day FROM ev JOIN dy USING (split), unnest([0, -15, 15, -30, 30, -60, 60]) AS u(o)),
+  cc AS (SELECT event_id, symbol, t, off_ AS "offset", isodow(t) = isodow(event_time) AS same_weekday, abs(date_diff('day', event_time, t))::INT AS day_distance,
+    ((CASE WHEN off_ = 0 THEN 0 WHEN abs(off_) <= 15 THEN 1 WHEN abs(off_) <= 30 THEN 2 ELSE 3 END) * 2 + CASE WHEN isodow(t) = isodow(event_time) THEN 0 ELSE 1 END)::INT AS tier FROM ca WHERE t::DATE = day)"""
+
+
+def _clock_candidates(spark, sf) -> DataFrame:
+    days = _days(spark)
+    events = first_surges(spark, sf).join(days.withColumnRenamed("day", "event_date"), "event_date")
+    events = events.select(F.concat_ws("@", "symbol", "event_date").alias("event_id"), "symbol", F.col("cross_time").alias("event_time"), "split")
+    return samples.clock_candidates(events, days, [0, -15, 15, -30, 30, -60, 60])
+
+
+@query("o31_o32_o35_clock_candidates", f"WITH {_CC} SELECT event_id, symbol, {_TS.format('t')} AS \"at\", \"offset\", same_weekday, day_distance, tier FROM cc")
+def o32(spark, sf):
+    return rounded(_clock_candidates(spark, sf))
+
+
+@query("o36_best_controls", f"""WITH {_CC}, ti AS (SELECT *, sha256(event_id || '|' || epoch(t)::BIGINT) AS tie FROM cc), da AS (SELECT * FROM ti QUALIFY row_number() OVER (PARTITION BY event_id, t::DATE ORDER BY tier, day_distance, tie) = 1)
+  SELECT event_id, {_TS.format('t')} AS "at", tier, (row_number() OVER w)::INT AS control_rank FROM da WINDOW w AS (PARTITION BY event_id ORDER BY tier, day_distance, tie) QUALIFY row_number() OVER w <= 3""")
+def o36(spark, sf):
+    return rounded(samples.best_controls(_clock_candidates(spark, sf), 3).select("event_id", "at", "tier", "control_rank"))
+
+
+@query("o60_o67_o68_hypotheses", f"""WITH {_G}, r AS (SELECT symbol, open_time, (close / lag(close, 24) OVER ({_BY}) - 1) * 100 AS l, (close / lag(close, 4) OVER ({_BY}) - 1) * 100 AS s, quote_volume AS q FROM gr), e AS (SELECT *, ((1 + l / 100) / nullif(1 + s / 100, 0) - 1) * 100 AS o FROM r)
+  SELECT symbol, {_TS.format('open_time')} AS open_time, round(o, 6) AS older, CASE WHEN s IS NULL OR o IS NULL THEN 'unknown' WHEN s > 0 AND o < 0 THEN 'true' ELSE 'false' END AS h1, coalesce(s > 0, false)::INT + coalesce(o < 0, false)::INT + coalesce(l > 0, false)::INT >= 2 AND coalesce(q >= 5000, false) AS trigger FROM e""")
+def o60(spark, sf):
+    rows = rolling.window_aggregates(grid(spark, sf), [4, 24]).withColumn("older", samples.interval_return(F.col("return_24"), F.col("return_4")))
+    return rounded(rows.select(
+        "symbol", "open_time", "older", F.coalesce(samples.three_valued(F.col("return_4") > 0, F.col("older") < 0).cast("string"), F.lit("unknown")).alias("h1"),
+        samples.trigger([F.col("return_4") > 0, F.col("older") < 0, F.col("return_24") > 0], 2, F.col("quote_volume") >= 5000).alias("trigger"),
+    ))
+
+
+@query("o69_window_audit", f"""WITH {_G}, nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), sp AS (SELECT s.symbol, s.i AS start, e.i, e.observed, e.high / min(e.low) OVER (PARTITION BY s.symbol, s.i ORDER BY e.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rise
+    FROM nu s JOIN nu e ON s.symbol = e.symbol AND e.i BETWEEN s.i AND s.i + 7), au AS (SELECT symbol, start, max(rise) AS r, sum(observed::INT) / 8.0 AS c FROM sp GROUP BY 1, 2)
+  SELECT nu.symbol, {_TS.format('open_time')} AS open_time, round(r, 6) AS largest_rise, round(c, 6) AS coverage, coalesce(r >= 1.25 OR c < 0.99, false) AS contaminated FROM nu JOIN au ON au.symbol = nu.symbol AND au.start = nu.i""")
+def o69(spark, sf):
+    return rounded(samples.window_audit(grid(spark, sf), 8, 1.25))
+
+
+@query("o71_band_rates", f"""WITH {_S}, b AS (SELECT minutes_to_cross AS m, cross_high / baseline_low >= 1.6 AS hit FROM su)
+  SELECT CASE WHEN m BETWEEN 1 AND 180 THEN '001_180m' WHEN m BETWEEN 181 AND 360 THEN '181_360m' WHEN m BETWEEN 361 AND 420 THEN '361_420m' WHEN m BETWEEN 421 AND 480 THEN '421_480m' ELSE 'outside_8h' END AS band, count(*) AS events, round(avg(hit::INT), 6) AS rate FROM b GROUP BY 1""")
+def o71(spark, sf):
+    rows = first_surges(spark, sf).select(scalars.duration_band(F.col("minutes_to_cross")).alias("band"), (F.col("cross_high") / F.col("baseline_low") >= 1.6).alias("hit"))
+    return rounded(rows.groupBy("band").agg(F.count(F.lit(1)).alias("events"), F.avg(F.col("hit").cast("double")).alias("rate")))
+
+
+@query("o89_outcome_cutoff", f"WITH {_CA} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, activity FROM ca WHERE decision_time <= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR")
+def o89(spark, sf):
+    found = momentum_candidates(spark, sf).where(F.col("decision_time") <= F.expr(f"timestamp '{END}' - interval 72 hours"))
+    return found.select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
+
+
+@query("o62_o63_text_values", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unknown' END AS flag, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS finite FROM events""")
+def o62(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    word = F.element_at(F.array(F.lit(" Yes "), F.lit("F"), F.lit("maybe")), (F.col("event_id") % 3 + 1).cast("int"))
+    wild = F.when(F.col("event_id") % 5 == 0, F.element_at(F.array(F.lit(float("nan")), F.lit(float("inf"))), (F.col("event_id") % 2 + 1).cast("int"))).otherwise(F.col("value"))
+    return rounded(rows.select("event_id", F.coalesce(src.parse_flag(word).cast("string"), F.lit("unknown")).alias("flag"), scalars.finite_or_null(wild).alias("finite")))
