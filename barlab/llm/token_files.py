@@ -26,7 +26,9 @@ from .common import shuffle_partitions, staged, table
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 1_000_000
 #: Words remembered by a Python worker; beyond this the memory starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
+#: Blocks up to which their places are broadcast (24 bytes each); beyond, the blocks shuffle.
+BROADCAST_ROWS = 100_000
 _STEP = 500
 #: Marks that end the piece of a letter before them.
 MARKS = b".,;:!?"
@@ -224,6 +226,8 @@ def read_files(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", earlier(Window.orderBy("shard")).alias("before_shard"))
     starts = sizes.select("shard", "block", earlier(Window.partitionBy("shard").orderBy("block")).alias("before_block")).join(shards, "shard")
+    if blocks.select("shard").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     placed = blocks.join(starts, ["shard", "block"]).select(
         (F.col("before_shard") + F.col("before_block")).alias("before"), "doc_ids", "counts", "control", "data"
     )
