@@ -105,6 +105,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n <= 2:
         return np.arange(n)[::-1]
+    if s.max() < 1 << 15:
+        s = s.astype(np.int16)  # sorted by radix
     sizes = np.bincount(s)
     smaller = suffix_types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
