@@ -2,7 +2,8 @@
 
 Normalised lines are hashed, the distinct texts that hold a line are counted per source, lines above the source's
 limit are taken out, and a document with too little left is rejected. Copies of one text count once, so a copied page
-doesn't turn its own lines into boilerplate.
+doesn't turn its own lines into boilerplate. op3_line_limit holds lines to the absolute limit alone; op3_line_quality
+also asks for a part of the source's rows, as its SQL does.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, join_null_safe, staged, table, word_count
 
-#: A line is boilerplate in more than this many texts of a source, and more than this part of them.
+#: A line is boilerplate in more than this many texts of a source and, for op3_line_quality, more than this part of its rows.
 LIMIT_TEXTS, LIMIT_PART = 20, 0.2
 #: A document must keep this many words, and this part of its words.
 LEFT_WORDS, LEFT_PART = 10, 0.2
@@ -59,17 +60,18 @@ def text_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", part: float | None = LIMIT_PART) -> DataFrame:
     """Per row of ``docs``: doc_id, the base metrics, base_failed, n_removed_words and kept.
 
     A null text is empty, so it fails the base rules; a null source is a source of its own. Rows repeated with the same
-    source and text are answered alike. Other columns are ignored; an empty table gives no rows."""
+    source and text are answered alike. Other columns are ignored; an empty table gives no rows. Without ``part`` the
+    limit on a line doesn't grow with its source."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     lines = staged(text_lines(rows), "lines")
-    texts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    common = join_null_safe(lines.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n")), texts, ["host"]).where(
-        (F.col("n") > LIMIT_TEXTS) & (F.col("n") > LIMIT_PART * F.col("texts"))
-    )
+    common = lines.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT_TEXTS)
+    if part is not None:
+        texts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+        common = join_null_safe(common, texts, ["host"]).where(F.col("n") > part * F.col("texts"))
     removed = (
         join_null_safe(lines, common.select("host", "line_hash"), ["host", "line_hash"])
         .groupBy("host", "text_hash").agg(F.sum("words").alias("n_removed_words"))
@@ -87,6 +89,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op3_line_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), part=None)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -119,3 +125,6 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        AND n_words - n_removed_words >= 0.2 * n_words AS kept
 FROM m
 """
+
+#: The same without the limit that grows with the source.
+ORACLE_LIMIT = ORACLE.replace(" AND count(DISTINCT t) > 0.2 * h.texts", "")

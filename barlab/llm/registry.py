@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_jaccard_join": jaccard_join.op2_jaccard_join,
         "op3_line_quality": line_quality.op3_line_quality,
+        "op3_line_limit": line_quality.op3_line_limit,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_source_mix": mixing.op6_source_mix,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_line_quality": line_quality.ORACLE, "op6_source_mix": mixing.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_line_quality": line_quality.ORACLE, "op3_line_limit": line_quality.ORACLE_LIMIT, "op6_source_mix": mixing.ORACLE}

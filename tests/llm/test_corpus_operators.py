@@ -147,6 +147,20 @@ def test_line_quality_rejects_what_boilerplate_leaves(documents):
     assert line_quality.judged(documents([])).count() == 0
 
 
+def test_line_limit_does_not_grow_with_the_source(documents):
+    rng = random.Random(16)
+    footer = "Share this page with your friends and read all of the other news here today"
+    text = lambda: prose(rng, 40, [f"{a}{w}" for a in "abcdef" for w in WORDS])
+    rows = [(i, f"{text()}\n{footer}" if i < 40 else text(), "large") for i in range(400)]
+    rows += [(1000 + i, f"{text()}\n{footer}", "copies") for i in range(25)]
+    copy = f"{text()}\nonly this text has this line"
+    rows += [(2000 + i, copy, "copies") for i in range(200)] + [(3000, f"few words\n{footer}", "large")]
+    got = {r.doc_id: r for r in line_quality.judged(documents(rows), part=None).collect()}
+    assert all(got[i].n_removed_words == (15 if i < 40 else 0) and got[i].kept for i in range(400))
+    assert all(got[1000 + i].n_removed_words == 15 for i in range(25)) and all(got[2000 + i].n_removed_words == 0 for i in range(200))
+    assert not got[3000].base_failed and not got[3000].kept
+
+
 def test_license_automaton_against_search():
     rng, scan = random.Random(7), license_scan.Scanner()
     split = [license_scan.words_of(t) for _, t in license_scan.TEMPLATES]
