@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 
 
+#: So many iterations of a group are drawn in one row's turn.
+_BLOCK = 500
+
+
 def draw(n: Column, *names: Column | int) -> Column:
     """A number from 0 to n - 1."""
     name = F.md5(F.concat_ws(":", *(F.lit(x) if isinstance(x, int) else x.cast("string") for x in names)))
@@ -23,10 +27,17 @@ def permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFram
         F.transform(F.sort_array(F.collect_list(F.struct("id", "signal"))), lambda s: s["signal"]).alias("signals"),
         F.max(F.when(F.col("label") == 1, F.col("signal"))).alias("event"), F.sum("signal").alias("hits"), F.count(F.lit(1)).alias("size"),
     )
-    rows = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(iterations))))
-    chosen = F.when(F.col("i") == 0, F.col("event")).otherwise(F.get("signals", draw(F.col("size"), seed, F.col("i"), F.col("match_group")).cast("int")))
-    sums = rows.groupBy("i").agg(F.sum(chosen).alias("e"), F.sum("hits").alias("h"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("g"))
-    stats = sums.select("i", (ratio(F.col("e"), F.col("g")) - ratio(F.col("h") - F.col("e"), F.col("n") - F.col("g"))).alias("d"))
+    # Where all signals of a group are equal, every draw gives the same: only the other groups are drawn from.
+    mixed, same = (F.col("hits") > 0) & (F.col("hits") < F.col("size")), F.when((F.col("hits") > 0) & (F.col("hits") == F.col("size")), 1).otherwise(0)
+    totals = groups.agg(F.sum("event").alias("e0"), F.sum(same).alias("fixed"), F.sum("hits").alias("h"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("g")).where("g > 0")
+    blocks = groups.where(mixed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // _BLOCK))))
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("match_group"), F.lit(16))).repartition("block", "part")
+    rows = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * _BLOCK + 1, F.least((F.col("block") + 1) * _BLOCK, F.lit(iterations)))))
+    chosen = F.get("signals", draw(F.col("size"), seed, F.col("i"), F.col("match_group")).cast("int"))
+    sums = rows.groupBy("i").agg(F.sum(chosen).alias("drawn"))
+    every = samples.sparkSession.range(iterations + 1).select(F.col("id").cast("int").alias("i")).join(sums, "i", "left").crossJoin(F.broadcast(totals))
+    every = every.withColumn("e", F.when(F.col("i") == 0, F.col("e0")).otherwise(F.col("fixed") + F.coalesce("drawn", F.lit(0))))
+    stats = every.select("i", (ratio(F.col("e"), F.col("g")) - ratio(F.col("h") - F.col("e"), F.col("n") - F.col("g"))).alias("d"))
     observed = stats.where("i = 0").select(F.col("d").alias("observed"))
     return stats.where("i > 0").crossJoin(F.broadcast(observed)).groupBy("observed").agg(
         F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("exceed"), F.count(F.lit(1)).alias("iterations")

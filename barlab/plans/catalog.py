@@ -559,9 +559,22 @@ def o41(spark, sf):
   SELECT round(o.d, 6) AS observed, count(*) FILTER (st.d >= o.d - 1e-12) AS exceed, count(*) AS iterations, round((count(*) FILTER (st.d >= o.d - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value
   FROM st, (SELECT d FROM st WHERE i = 0) o WHERE i > 0 GROUP BY o.d""")
 def o72(spark, sf):
+    return _permuted(spark, sf, 200)
+
+
+#: The reference's iterations (app/confirmation.py:151, app/backtest.py:677).
+PERMUTATIONS, BOOTSTRAPS = 50_000, 10_000
+
+
+@query("o72_permutation_full", _SQL["o72_permutation"].replace("range(0, 201)", f"range(0, {PERMUTATIONS + 1})"))
+def o72_full(spark, sf):
+    return _permuted(spark, sf, PERMUTATIONS)
+
+
+def _permuted(spark, sf, iterations: int) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
     rows = rows.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("match_group"), F.col("quality").alias("label"), (F.col("n_chars") > 1500).cast("int").alias("signal"))
-    return rounded(inference.permutation_test(splits.valid_groups(rows, "match_group", "label"), 200, 805601))
+    return rounded(inference.permutation_test(splits.valid_groups(rows, "match_group", "label"), iterations, 805601))
 
 
 @query("o74_bootstrap", f"""WITH {_K}, sy AS (SELECT symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (ORDER BY symbol) - 1 AS at_, count(*) OVER () AS many FROM bk GROUP BY symbol),
@@ -571,6 +584,11 @@ def o74(spark, sf):
     return rounded(inference.cluster_bootstrap(_book(spark, sf), 200, 20260725))
 
 
+@query("o74_bootstrap_full", _SQL["o74_bootstrap"].replace("range(1, 201)", f"range(1, {BOOTSTRAPS + 1})").replace("FROM bk GROUP BY", "FROM bk WHERE status = 'completed' GROUP BY"))
+def o74_full(spark, sf):
+    return rounded(inference.cluster_bootstrap(_book(spark, sf).where("status = 'completed'"), BOOTSTRAPS, 20260725))
+
+
 # Samples
 
 

@@ -1,11 +1,14 @@
+import hashlib
 import uuid
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from barlab.functions import scalars
-from barlab.operators import execution, performance, rolling, signals, splits, surge
+from barlab.operators import execution, inference, performance, rolling, signals, splits, surge
+from barlab.plans import catalog
 from barlab.sources import trades as src
 
 T0 = datetime(2024, 1, 1)
@@ -84,6 +87,31 @@ def test_performance_without_losses_and_left_out_trades(spark):
     assert stats.profit_factor == float("inf") and stats.left_out == 1 and stats.longest_losing_run == 0 and stats.trades == 2
 
 
+def test_permutations_equal_brute_force(spark):
+    groups = {1: [1, 0, 0], 2: [0, 1], 3: [1, 1, 1], 4: [0, 0], 5: [0, 1, 1, 0]}  # the first of each is the event
+    rows = [(g * 10 + k, g, int(k == 0), s) for g, own in groups.items() for k, s in enumerate(own)]
+    frame = spark.createDataFrame(rows, "id long, match_group long, label int, signal int")
+    hits, n, k = sum(map(sum, groups.values())), sum(map(len, groups.values())), len(groups)
+    gap = lambda e: e / k - (hits - e) / (n - k)
+    drawn = lambda i, g, own: own[int(hashlib.md5(f"7:{i}:{g}".encode()).hexdigest()[:8], 16) % len(own)]
+    observed = gap(sum(own[0] for own in groups.values()))
+    exceed = sum(gap(sum(drawn(i, g, own) for g, own in groups.items())) >= observed - 1e-12 for i in range(1, 1202))
+    got = inference.permutation_test(frame, 1201, 7).first()
+    assert (got.observed, got.exceed, got.iterations) == (pytest.approx(observed), exceed, 1201) and got.p_value == (exceed + 1) / 1202
+    same = inference.permutation_test(frame.where("match_group in (3, 4)"), 20, 7).first()
+    assert (same.exceed, same.iterations) == (20, 20)
+    assert inference.permutation_test(frame.where("id < 0"), 20, 7).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_inference_runs_the_references_iterations_over_completed_trades(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalog.queries()["o72_permutation_full"](spark, sf).first().iterations == 50_000
+    got = catalog.queries()["o74_bootstrap_full"](spark, sf).first()
+    done = inference.cluster_bootstrap(catalog._book(spark, sf).where("status <> 'exit_not_filled'"), 10_000, 20260725).first()
+    assert got.iterations == 10_000 and got.low == pytest.approx(done.low, abs=1e-6)
+
+
 def test_split_keeps_a_date_for_each_part(spark):
     days = spark.createDataFrame([(T0.date() + timedelta(d),) for d in range(3) for _ in range(10 if d == 0 else 1)], ["event_date"])
     assert [r.split for r in splits.temporal_split(days).orderBy("event_date").collect()] == ["discovery", "validation", "sealed"]
