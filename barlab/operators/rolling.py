@@ -105,6 +105,20 @@ def same_clock_ratio(grid: DataFrame, value: Column, day: int, days: int = 7, le
     }).drop("x", "earlier")
 
 
+def whole_sum(name: str, w: int) -> Column:
+    """The sum over the last w bars where none of them is missing."""
+    return F.when(F.count(name).over(last(w)) == w, F.sum(name).over(last(w)))
+
+
+def whole_clock_ratio(grid: DataFrame, value: Column, day: int, days: int = 7) -> DataFrame:
+    """As same_clock_ratio, but zeros are values, so that only missing days aren't counted; a median of zero gives null."""
+    earlier = F.sort_array(F.array_compact(F.array(*(F.lag("x", day * d).over(by_time()) for d in range(1, days + 1)))))
+    n = F.size("earlier")
+    at = lambda k: F.get("earlier", k.cast("int"))
+    median = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+    return grid.withColumn("x", value).withColumn("earlier", earlier).withColumns({"clock_days": n, "clock_ratio": ratio(F.col("x"), median)}).drop("x", "earlier")
+
+
 def outcomes(grid: DataFrame, w: int) -> DataFrame:
     """Adds outcome_gain and outcome_drawdown in percent and outcome_coverage over the w bars after each: never
     inputs of a prediction."""

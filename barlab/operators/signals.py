@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import holds, pct_change, ratio
-from .rolling import by_time, last, same_clock_ratio
+from .rolling import by_time, drawdown_runup, last, same_clock_ratio, whole_clock_ratio, whole_sum
 
 
 def liquidity_gate(grid: DataFrame, w: int, median: float, quote: float, trades: int) -> DataFrame:
@@ -59,6 +59,32 @@ def late_momentum(grid: DataFrame, w: int, day: int, floors: dict[str, float]) -
     ).drop("quote_w")
 
 
+def armed_with_volume(grid: DataFrame, w: int, gain: float, volume_w: int, day: int, clock: float, refs: int, ttl: int) -> DataFrame:
+    """As armed_recently, and the quote volume over ``volume_w`` bars is ``clock`` times its median at the same time on
+    the days before, of which at least ``refs`` are known (app/entry_validation.py:230-242)."""
+    rows = whole_clock_ratio(grid, whole_sum("quote_volume", volume_w), day)
+    busy = holds((F.col("clock_ratio") >= clock) & (F.col("clock_days") >= refs))
+    rows = armed_recently(rows.withColumn("busy", busy), w, gain, ttl).withColumn("armed", F.col("armed") & F.col("busy"))
+    return rows.withColumn("armed_recent", holds(F.max("armed").over(by_time().rowsBetween(-ttl, -1)))).drop("busy")
+
+
+def late_momentum_whole(grid: DataFrame, w: int, day: int, floors: dict[str, float], refs: int, least: int) -> DataFrame:
+    """Adds components, how many of four hold: return, volume over the same clock time with ``refs`` days known,
+    position in the day's range, run-up; and late: at least ``least`` of them in an observed bar with volume
+    (app/backtest.py:394-432). A window with a gap is unknown; the day's may lack 10 of 1440 parts."""
+    f = last(day)
+    full = F.count("close").over(f) >= day * 1430 / 1440
+    low, high = F.when(full, F.min("low").over(f)), F.when(full, F.max("high").over(f))
+    rows = drawdown_runup(whole_clock_ratio(grid.withColumn("quote_w", whole_sum("quote_volume", w)), F.col("quote_w"), day), w)
+    parts = [
+        pct_change(F.lag("close", w).over(by_time()), F.col("close")) >= floors["gain"], (F.col("clock_ratio") >= floors["clock"]) & (F.col("clock_days") >= refs),
+        F.when(high > low, (F.col("close") - low) / (high - low)) >= floors["position"], F.when(F.count("close").over(last(w)) == w, F.col("runup")) >= floors["runup"],
+    ]
+    return rows.withColumn("components", sum((holds(p).cast("int") for p in parts), F.lit(0))).withColumn(
+        "late", holds((F.col("components") >= least) & F.col("observed") & (F.col("quote_w") >= floors["quote"]))
+    ).drop("quote_w", "drawdown", "runup")
+
+
 def rising_edge(state: Column) -> Column:
     """The state holds here and did not hold one bar earlier; the first bar has no earlier one, so may be an edge."""
     return state & ~F.lag(state, 1, False).over(by_time())

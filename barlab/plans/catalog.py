@@ -357,6 +357,18 @@ def o86(spark, sf):
     return rounded(rows.select("symbol", "open_time", "armed", "armed_recent", "edge"))
 
 
+_Q4LAGS = ", ".join(f"lag(q4, {24 * d}) OVER ({_BY})" for d in range(1, 8))
+_Q4 = f"CASE WHEN count(quote_volume) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN sum(quote_volume) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS q4"
+
+
+@query("o86_o87_armed_with_volume", f"""WITH {_G}, s AS (SELECT *, {_Q4}, sum(observed::INT) OVER w = 8 AND (close / min(low) OVER w - 1) * 100 >= 20.75 AS rise FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+  e AS (SELECT *, list_filter([{_Q4LAGS}], lambda x: x IS NOT NULL) AS e FROM s), a AS (SELECT symbol, open_time, coalesce(rise AND q4 / nullif(list_median(e), 0) >= 1.1 AND len(e) >= 5, false) AS armed FROM e)
+  SELECT symbol, {_TS.format('open_time')} AS open_time, armed, coalesce(bool_or(armed) OVER ({_BY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), false) AS armed_recent, armed AND NOT lag(armed, 1, false) OVER ({_BY}) AS edge FROM a""")
+def o86_volume(spark, sf):
+    rows = signals.armed_with_volume(grid(spark, sf), 8, 20.75, 4, 24, 1.1, 5, 48).withColumn("edge", signals.rising_edge(F.col("armed")))
+    return rounded(rows.select("symbol", "open_time", "armed", "armed_recent", "edge"))
+
+
 FLOORS = {"gain": 2.0, "clock": 1.3, "position": 0.6, "quote": 20000.0}
 _QLAGS = ", ".join(f"nullif(lag(q4, {24 * d}) OVER ({_BY}), 0)" for d in range(1, 8))
 _CA = _G + f""", s AS (SELECT *, lag(close, 4) OVER ({_BY}) AS c4, sum(quote_volume) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS q4,
@@ -367,8 +379,25 @@ _CA = _G + f""", s AS (SELECT *, lag(close, 4) OVER ({_BY}) AS c4, sum(quote_vol
   ca AS (SELECT symbol, open_time + INTERVAL 1 HOUR AS decision_time, components::INT AS components, round(quote_volume, 4) AS activity, symbol || '@' || epoch(open_time)::BIGINT AS order_id FROM (SELECT *, late AND NOT lag(late, 1, false) OVER ({_BY}) AS edge FROM la) WHERE edge)"""
 
 
+WHOLE_FLOORS = FLOORS | {"runup": 3.3}
+_CAW = _G + f""", s AS (SELECT *, row_number() OVER ({_BY}) AS i, lag(close, 4) OVER ({_BY}) AS c4, {_Q4}, CASE WHEN count(close) OVER d = 24 THEN min(low) OVER d END AS l, CASE WHEN count(close) OVER d = 24 THEN max(high) OVER d END AS h,
+    CASE WHEN count(close) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN greatest({", ".join(f"lag(close, {a}) OVER ({_BY}) / lag(close, {b}) OVER ({_BY})" for b in range(4) for a in range(b + 1))}) END AS up FROM gr WINDOW d AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+  e AS (SELECT *, list_filter([{_Q4LAGS}], lambda x: x IS NOT NULL) AS e FROM s),
+  c AS (SELECT *, coalesce((close / c4 - 1) * 100 >= 2, false)::INT + coalesce(q4 / nullif(list_median(e), 0) >= 1.3 AND len(e) >= 5, false)::INT + coalesce(CASE WHEN h > l THEN (close - l) / (h - l) END >= 0.6, false)::INT + coalesce((up - 1) * 100 >= 3.3, false)::INT AS components FROM e),
+  la AS (SELECT *, coalesce(components >= 3 AND observed AND q4 >= 20000, false) AS late FROM c),
+  ca AS (SELECT symbol, open_time + INTERVAL 1 HOUR AS decision_time, components::INT AS components, round(quote_volume, 4) AS activity, symbol || '@' || epoch(open_time)::BIGINT AS order_id FROM (SELECT *, late AND NOT lag(late, 1, false) OVER ({_BY}) AS edge FROM la) WHERE edge)"""
+
+
 def momentum_candidates(spark, sf):
-    rows = signals.late_momentum(grid(spark, sf), 4, 24, FLOORS)
+    return _as_orders(signals.late_momentum(grid(spark, sf), 4, 24, FLOORS))
+
+
+def whole_candidates(spark, sf):
+    """Three of all four components, five reference days for the volume's."""
+    return _as_orders(signals.late_momentum_whole(grid(spark, sf), 4, 24, WHOLE_FLOORS, 5, 3))
+
+
+def _as_orders(rows: DataFrame) -> DataFrame:
     found = signals.candidates(rows, "late", "1 hour", F.col("components"), F.round("quote_volume", 4))
     return found.withColumn("order_id", F.concat("symbol", F.lit("@"), F.unix_seconds(F.expr("decision_time - interval 1 hour").cast("timestamp")).cast("string")))
 
@@ -378,9 +407,14 @@ def o81(spark, sf):
     return momentum_candidates(spark, sf).select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
 
 
+@query("o81_o88_candidates_whole", f"WITH {_CAW} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, activity FROM ca")
+def o81_whole(spark, sf):
+    return whole_candidates(spark, sf).select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
+
+
 @query("o90_greedy_selection")
 def o90(spark, sf):
-    found = signals.select_greedily(momentum_candidates(spark, sf), 24 * 3600, 3)
+    found = signals.select_greedily(whole_candidates(spark, sf), 24 * 3600, 3)
     return rounded(found)
 
 
@@ -392,13 +426,22 @@ def o90(spark, sf):
   SELECT order_id, round(sum(least(a, rest) / price), 6) AS filled_base, round(sum(least(a, rest) / price * price), 4) AS filled_quote, round(sum(least(a, rest) / price * price) / sum(least(a, rest) / price), 6) AS vwap,
   {_TS.format('max(ts)')} AS fill_time, count(*) AS fill_count, sum(least(a, rest)) >= 20000.0 - 1e-8 AS complete FROM tp WHERE rest > 1e-12 GROUP BY order_id""")
 def o93(spark, sf):
-    orders = momentum_candidates(spark, sf).withColumn("until", F.expr("decision_time + interval 6 hours"))
+    return _filled(momentum_candidates(spark, sf), spark, sf)
+
+
+@query("o93_fills_whole", _SQL["o93_fills"].replace(_CA, _CAW))
+def o93_whole(spark, sf):
+    return _filled(whole_candidates(spark, sf), spark, sf)
+
+
+def _filled(found: DataFrame, spark, sf) -> DataFrame:
+    orders = found.withColumn("until", F.expr("decision_time + interval 6 hours"))
     found = execution.fills(orders, tape(spark, sf), True, "decision_time", "until", quote=20000.0)
     return rounded(found.withColumn("filled_quote", F.round("filled_quote", 4)))
 
 
 def _simulated(spark, sf):
-    return execution.simulated(momentum_candidates(spark, sf), tape(spark, sf), 20000.0, 6 * 3600, 48 * 3600, 12 * 3600, 0.15, 0.001)
+    return execution.simulated(whole_candidates(spark, sf), tape(spark, sf), 20000.0, 6 * 3600, 48 * 3600, 12 * 3600, 0.15, 0.001)
 
 
 @query("o95_o98_o99_simulation")
@@ -650,7 +693,16 @@ def o71(spark, sf):
 
 @query("o89_outcome_cutoff", f"WITH {_CA} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, activity FROM ca WHERE decision_time <= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR")
 def o89(spark, sf):
-    found = momentum_candidates(spark, sf).where(F.col("decision_time") <= F.expr(f"timestamp '{END}' - interval 72 hours"))
+    return _with_outcome(momentum_candidates(spark, sf))
+
+
+@query("o89_outcome_cutoff_whole", _SQL["o89_outcome_cutoff"].replace(_CA, _CAW))
+def o89_whole(spark, sf):
+    return _with_outcome(whole_candidates(spark, sf))
+
+
+def _with_outcome(found: DataFrame) -> DataFrame:
+    found = found.where(F.col("decision_time") <= F.expr(f"timestamp '{END}' - interval 72 hours"))
     return found.select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
 
 

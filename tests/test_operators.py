@@ -59,6 +59,21 @@ def test_features_do_not_look_ahead(spark):
     assert features(lows) == features(changed)
 
 
+def test_arming_and_momentum_need_volume_days_and_runup(spark):
+    def found(days, volume):
+        lows = [100.0] * (24 * days) + [100.0, 100.0, 100.0, 130.0]
+        bars = hours(spark, lows).withColumn("quote_volume", F.when(F.col("low") > 100, F.lit(volume)).otherwise(F.lit(100.0)))
+        end = (T0 + timedelta(hours=len(lows))).strftime("%Y-%m-%d %H:%M:%S")
+        grid = src.dense_grid(bars, "2024-01-01 00:00:00", end)
+        armed = signals.armed_with_volume(grid, 8, 20.75, 4, 24, 2.0, 5, 48).where("armed").count()
+        late = signals.late_momentum_whole(grid, 4, 24, {"gain": 500.0, "clock": 2.0, "position": 0.6, "quote": 1.0, "runup": 3.3}, 5, 3)
+        return armed, [(r.components, r.late) for r in late.where("low > 100").collect()]
+
+    assert found(6, 900.0) == (1, [(3, True)])  # volume, position and run-up; the return isn't reached
+    assert found(6, 100.0) == (0, [(2, False)])
+    assert found(4, 900.0) == (0, [(2, False)])  # four days to compare with are too few
+
+
 def test_fill_takes_part_of_the_last_trade(spark):
     trades = tape(spark, [(10, 100.0, 1.0, False), (20, 100.0, 9.0, True), (30, 200.0, 5.0, False)])
     orders = spark.createDataFrame([("o", "A", T0, T0 + timedelta(minutes=5))], ["order_id", "symbol", "a", "b"])
