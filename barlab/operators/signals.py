@@ -102,7 +102,8 @@ def select_greedily(found: DataFrame, cooldown_seconds: int, per_day: int) -> Da
     activity downwards, then symbol; a symbol rests after a selection, and a UTC day takes so many. Adds decision.
 
     The day's cap couples symbols and the rest couples days, so this is one ordered fold. Only its narrow rows go
-    through one task, streamed in order; state is one time a symbol."""
+    through one task, streamed in order, after a shuffle that leaves the stages before it their partitions; state is one
+    time a symbol."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rests: dict[str, pd.Timestamp] = {}
@@ -124,4 +125,4 @@ def select_greedily(found: DataFrame, cooldown_seconds: int, per_day: int) -> Da
 
     order = [F.col("decision_time"), F.desc("components"), F.desc("activity"), F.col("symbol")]
     rows = found.select("symbol", "decision_time", "components", "activity")
-    return rows.coalesce(1).sortWithinPartitions(*order).mapInPandas(fold, "symbol string, decision_time timestamp, components int, activity double, decision string")
+    return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(fold, "symbol string, decision_time timestamp, components int, activity double, decision string")

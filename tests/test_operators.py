@@ -94,6 +94,12 @@ def test_greedy_selection_rests_and_caps(spark):
     ]
 
 
+def test_greedy_selection_leaves_the_stages_before_it_their_partitions(spark):
+    rows = spark.range(0, 8, 1, 4).selectExpr("cast(id as string) as symbol", "timestamp_seconds(id) as decision_time", "1 as components", "1.0D as activity")
+    plan = signals.select_greedily(rows, 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" not in plan and "Exchange SinglePartition" in plan
+
+
 def test_performance_without_losses_and_left_out_trades(spark):
     rows = [("s", "A", T0, T0, 1.0, 1.0, "completed"), ("s", "A", T0 + timedelta(1), T0, 2.0, 2.0, "completed"), ("s", "B", T0, None, None, None, "exit_not_filled")]
     stats = performance.performance(
