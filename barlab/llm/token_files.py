@@ -14,24 +14,30 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_alphabet
 from .common import shuffle_partitions, staged, table
 
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 1_000_000
-#: Words remembered by a Python worker; beyond this the memory starts afresh.
-REMEMBERED = 2_000_000
+#: Bytes of words and ids remembered by a Python worker; beyond this the memory starts afresh. What an entry costs
+#: besides its bytes, about.
+REMEMBERED_BYTES, _OVERHEAD = 200 << 20, 190
 #: Blocks up to which their places are broadcast (24 bytes each); beyond, the blocks shuffle.
 BROADCAST_ROWS = 100_000
-_STEP = 500
+#: Documents decoded at once, and bytes of text encoded at once.
+_STEP, _STEP_BYTES = 500, 8 << 20
+_TOKENS = ["doc_id", "ids", "token", "n"]
 #: Marks that end the piece of a letter before them.
-MARKS = b".,;:!?"
+MARKS = ".,;:!?"
 
 #: For each control byte, the number of data bytes of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3) + 1
@@ -76,27 +82,61 @@ class _Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kind, self.tokenizer = kind, Tokenizer.from_file(path)
+        self.kind, self.tokenizer, self.held = kind, Tokenizer.from_file(path), 0
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def ids(self, words: list[bytes]) -> None:
-        for word, made in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            self[word] = np.array(made.ids, self.kind).tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        marked = {}
+        self.model = self.tokenizer.model
+        self.spell = str.maketrans({b: c for c, b in byte_alphabet().items()})
+        self[""] = b""
+
+    def model_ids(self, word: str) -> bytes:
+        """Ids of a word of Latin-1 letters. The tokenizer's steps before its model leave such a word one piece in
+        lower case, so the model is asked at once."""
+        spelled = word.lower()
+        if not spelled.isascii():
+            spelled = spelled.encode().decode("latin-1").translate(self.spell)
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as the library gives them."""
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(made), self.kind).tobytes()
+        ends = np.cumsum([0, *map(len, made)]) * np.dtype(self.kind).itemsize
+        return [flat[a:b] for a, b in pairwise(ends.tolist())]
+
+    def put(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.held += len(word) + len(ids) + _OVERHEAD
+
+    def learn(self, words: list[str]) -> None:
+        """Makes the ids of words that aren't known, each distinct word once."""
+        whole, marked = {}, []
         for word in words:
-            if word not in self:
-                core = word.rstrip(MARKS)
-                split = core and core != word and (core[-1:].isalpha() or core[-1] >= 0x80 and _stays_letter(core.decode()[-1]))
-                marked[word] = (core, word[len(core) :]) if split else (word, b"")
-        self.ids([w for w in {part for pair in marked.values() for part in pair} if w and w not in self])
-        for word, (core, marks) in marked.items():
-            if marks:
-                self[word] = self[core] + self[marks]
+            core = word.rstrip(MARKS)
+            if core and len(core) < len(word) and _stays_letter(core[-1]):
+                marks = word[len(core) :]
+                marked.append((word, core, marks))
+                for part in (core, marks):
+                    if part not in self:
+                        whole[part] = None
+            else:
+                whole[word] = None
+        others = []
+        for word in whole:
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                self.put(word, self.model_ids(word))
+            else:
+                others.append(word)
+        for word, ids in zip(others, self.ids(others)):
+            self.put(word, ids)
+        for word, core, marks in marked:
+            self.put(word, self[core] + self[marks])
+
+    def forget(self) -> None:
+        """Starts afresh beyond REMEMBERED_BYTES."""
+        if self.held > REMEMBERED_BYTES:
+            self.clear()
+            self[""], self.held = b"", 0
 
 
 @lru_cache(maxsize=1)
@@ -111,38 +151,79 @@ def id_kind(path: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, kind: str = "<u4", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian integers of ``kind`` in one binary), ``end_id`` after each document's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = _words(path, kind), np.array([end_id], kind).tobytes()
-        for whole in batches:
-            for start in range(0, whole.num_rows, _STEP):
-                batch = whole.slice(start, _STEP)
-                raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-                split = [(t if b"<|" in t else t.lower()).split() for t in raw]  # added tokens keep their case
-                known.learn(set().union(*split))
-                ids = [b"".join(map(known.__getitem__, words)) + end for words in split]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, ids binary")
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` at ``starts``, end to end."""
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+
+
+def _ids_of(texts: pa.Array, known: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts end to end, ``end_id`` after each text's, and the number of ids of each. Words are told
+    apart a batch at a time, so each distinct word is looked up once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = pc.dictionary_encode(lists.flatten())
+    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    known.forget()
+    known.learn([w for w in words if w not in known])
+    found = [known[w] for w in words]
+    width = np.dtype(known.kind).itemsize
+    sizes = np.array([*map(len, found), width], np.int64) // width
+    flat = np.frombuffer(b"".join(found) + np.array([end_id], known.kind).tobytes(), known.kind)
+    # The end of a text is one more word, the last in the table.
+    text_words = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    text_ends = np.cumsum(text_words)
+    index = np.insert(index.astype(np.int64), text_ends, len(words))
+    lengths = sizes[index]
+    counts = np.add.reduceat(lengths, text_ends - text_words + np.arange(len(texts))) if len(texts) else np.empty(0, np.int64)
+    return _gathered(flat, (np.cumsum(sizes) - sizes)[index], lengths), counts
+
+
+def _binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts) * ids.itemsize]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of one text column; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
-def token_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
-    """token and n over all ids."""
+def tokenized(docs: DataFrame, path: str, end_id: int, kind: str = "<u4", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ids (little-endian integers of ``kind`` in one binary), ``end_id`` after each document's; and, with
+    null ids, a row for each token of a task: token and n, how often the task met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, _STEP):
-                seen = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(start, _STEP).to_pylist()), kind))
+        known, total = _words(path, kind), np.zeros(1, np.int64)
+        for whole in batches:
+            for batch in byte_slices(whole, 1, _STEP_BYTES):
+                texts = pc.fill_null(batch.column(1), "")
+                ids, counts = _ids_of(texts, known, end_id)
+                odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+                if len(odd):  # strings of added tokens keep their case and may hold white space
+                    parts = np.split(ids, np.cumsum(counts)[:-1])
+                    for i, own in zip(odd, known.ids(texts.take(pa.array(odd)).to_pylist())):
+                        parts[i] = np.append(np.frombuffer(own, kind), np.array(end_id, kind))
+                        counts[i] = len(parts[i])
+                    ids = np.concatenate(parts)
+                seen = np.bincount(ids)
                 if len(seen) > len(total):
                     total = np.pad(total, (0, len(seen) - len(total)))
                 total[: len(seen)] += seen
+                none = pa.nulls(len(counts), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), _binaries(ids, counts), none, none], _TOKENS)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(used), pa.binary()), pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], _TOKENS)
 
-    return tokens.select("ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, ids binary, token bigint, n bigint")
 
 
 def write_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
@@ -154,8 +235,9 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     kind = id_kind(path, end_id)
     width = np.dtype(kind).itemsize
-    tokens = staged(tokenized(docs, path, end_id, kind), "ids")
-    ranks = staged(token_counts(tokens, kind), "ranks")
+    made = staged(tokenized(docs, path, end_id, kind), "ids")
+    tokens = made.where("ids is not null").select("doc_id", "ids")
+    ranks = staged(made.where("ids is null").groupBy("token").agg(F.sum("n").alias("n")), "ranks")
     rank_of = rank_table(ranks, inverse=True)
     shared = spark.sparkContext.broadcast(rank_of)
     sorted_ = tokens.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
