@@ -5,7 +5,11 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     # Shuffle files go when the driver drops the plans that made them; nothing needs those any more.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty staged tables that nothing is to read again: whatever was made of them must be staged itself."""
+    for one in tables:
+        one.sparkSession.createDataFrame([], one.schema).write.mode("overwrite").parquet(one.staged_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +75,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     on = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys]
     return left.join(right, on, how).drop(*(f"__{k}" for k in keys))
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of one text column; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pieces of ``flat`` end to end."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])] if len(ends) else flat[:0]

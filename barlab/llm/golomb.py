@@ -40,3 +40,7 @@ def decode(block: bytes) -> np.ndarray:
     for column in range(k):
         rest = (rest << np.uint64(1)) | bits[:, column]
     return np.cumsum((quotients.astype(np.uint64) << np.uint64(k)) | rest, dtype=np.uint64)
+
+
+def size_of(block: bytes) -> int:
+    return _HEAD.unpack_from(block)[0]

@@ -1,11 +1,13 @@
-"""Suffix arrays by induced sorting, vectorised bucket by bucket, and capped permuted common prefixes."""
+"""Suffix arrays by induced sorting, vectorised bucket by bucket, and permuted common prefixes."""
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 
-#: Alphabets above this are sorted by doubling ranks instead of scanning buckets.
-BUCKETS = 1024
+#: Names of a reduced string above this are written in two digits each.
+ONE_DIGIT = 512
 
 
 def suffix_types(s: np.ndarray) -> np.ndarray:
@@ -85,19 +87,16 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarra
     return out
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array by sorting pairs of ranks, twice as far each time."""
-    rank, n, reach = names.astype(np.int64), len(names), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-reach] = rank[reach:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
-        if new[order[-1]] == n - 1 or reach >= n:
-            return order
-        rank, reach = new, reach * 2
+def _ordered_names(names: np.ndarray, count: int) -> np.ndarray:
+    """Suffix order of a reduced string, by the same sorting. Many names are written in two digits, so that buckets
+    stay few; suffixes of names are then those at even places, and sort alike."""
+    if count <= ONE_DIGIT:
+        return suffix_array(names)
+    base = isqrt(count - 1) + 1
+    digits = np.zeros(2 * len(names) + 1, np.int64)
+    digits[:-1:2], digits[1::2] = names // base + 1, names % base + 1
+    order = suffix_array(digits)[1:]
+    return order[order % 2 == 0] // 2
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -126,10 +125,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     count = int(reduced.max()) + 1
     if count == len(lms):
         order = np.argsort(reduced)
-    elif count <= BUCKETS:
-        order = suffix_array(reduced)
     else:
-        order = _doubled(reduced)
+        order = _ordered_names(reduced, count)
     return induce(s, smaller, lms[order], sizes)
 
 
@@ -147,13 +144,20 @@ def _differ(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) ->
     return differ
 
 
-def repeats(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """``at``: places in suffix order whose ``width`` bytes lie in ``data`` (uint8). For each but the first, whether
-    it shares them with the place before it: the permuted common prefixes, capped at ``width``, of these places."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    words = np.ascontiguousarray(words).view("<u8").ravel()
-    same = np.ones(max(len(at) - 1, 0), bool)
-    for offset in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        same &= words[at[:-1] + offset] == words[at[1:] + offset]
-    return same
+def permuted_prefixes(data: np.ndarray, at: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """``at``: places of ``data`` (uint8) in suffix order; ``room``: bytes from each place of ``data`` to the end of its
+    piece. By place: the length of the prefix that a place of ``at`` shares with the one before it there, within both
+    pieces; 0 for the first and for places that ``at`` lacks."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)).view("<u8").ravel()
+    out = np.zeros(len(data), np.int32)
+    left, right = at[:-1], at[1:]
+    most = np.minimum(room[left], room[right])
+    open_, step = np.arange(len(right)), 0
+    while len(open_):
+        differ = words[left[open_] + step] ^ words[right[open_] + step]
+        lowest = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3)
+        out[right[open_]] = np.minimum(step + same, most[open_])
+        step += 8
+        open_ = open_[(same == 8) & (most[open_] > step)]
+    return out

@@ -1,41 +1,49 @@
 """Removal of long repeated byte strings by suffix arrays over content-defined shards.
 
-Every 50-byte string has an anchor, the 20-byte string of least hash inside it, so equal strings have equal anchors.
-Anchors go through a Golomb-coded exchange, and only text around those that several documents hold is looked at again:
-a run of strings with one anchor goes to the anchor's shard. A shard sorts the suffixes of its distinct runs by
-induced sorting and reads off the permuted common prefixes which strings are equal and the smallest document that has
-each. The bytes that each document loses are put together from its runs.
+Documents are packed into parcels. Every 50-byte string has an anchor, the 20-byte string of least hash inside it, so
+equal strings have equal anchors; successive strings with one anchor are a run. A parcel's anchors go through a
+Golomb-coded exchange, and only runs around anchors that several places hold are looked at again: each parcel sends
+each distinct run once, with the smallest document that has it, to the anchor's shard. A shard sorts the suffixes of
+its distinct runs by induced sorting and reads off the permuted common prefixes which strings are equal, and so the
+smallest document that has each. These answers go back to the parcels, where the bytes that each document loses are
+put together. Runs of an anchor that very many places hold are cut into their single strings, which go to shards by
+their own hash, so that no anchor's runs gather in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golomb
-from .common import shuffle_partitions, staged, table
-from .suffix_array import repeats, suffix_array
+from . import exchange
+from .common import byte_slices, discard, gathered, shuffle_partitions, staged, table
+from .suffix_array import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
-#: Runs in one shard, about; documents per owner of the exchange; bytes of text whose runs go into one parcel.
-SHARD_RUNS, PER_OWNER, PARCEL_BYTES = 60_000, 20_000, 16 << 20
+#: Distinct runs in one shard, about; documents per owner of the exchange; bytes of text in a parcel.
+SHARD_RUNS, PER_OWNER, PARCEL_BYTES = 40_000, 20_000, 8 << 20
+#: An anchor is named to its owner with its number of places where a parcel has so many, and is hot beyond so many in
+#: all; its runs are then cut into single strings.
+HEAVY_PLACES, HOT_PLACES = 32, 20_000
 
 _U = np.uint64
 _BASE = 0x27D4EB2F165667C5
+_CHUNK = 1 << 15
 #: Stands for a null id: after every other.
 _NO_ID = (1 << 63) - 1
 
 
-def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of at least WIDTH bytes: the first string of each run with one anchor, and the run's anchor."""
+def _least_hashes(data: np.ndarray) -> np.ndarray:
+    """The anchor of each WIDTH-byte string of ``data``."""
     power = lambda m: _U(pow(_BASE, m, 1 << 64))
     one = (data.astype(np.uint64) + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
     one ^= one >> _U(32)
@@ -51,232 +59,289 @@ def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while reach * 2 <= many:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
-    least = np.minimum(least[: len(h) - many + 1], least[many - reach : len(h) - reach + 1])
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return starts, least[starts]
+    return np.minimum(least[: len(h) - many + 1], least[many - reach : len(h) - reach + 1])
 
 
-def _send(bits: int, owners: int):
-    span = -(-(1 << bits) // owners)
+def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of ``sizes`` bytes, end to end in ``data``: each run's first string, its number of strings and its
+    anchor. Strings lie within one document."""
+    ends = np.cumsum(sizes)
+    edges = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edges, np.maximum(ends - sizes, ends - WIDTH + 1), 1)
+    np.subtract.at(edges, ends, 1)
+    whole = np.cumsum(edges[:-1], dtype=np.int8) == 0
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    last = len(data) - WIDTH + 1
+    for lo in range(0, last, _CHUNK):
+        hi = min(lo + _CHUNK, last)
+        least, inside = _least_hashes(data[lo : hi + WIDTH - 1]), whole[lo:hi]
+        cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]))
+        keep = inside[cut]
+        out.append((cut[keep] + lo, np.diff(np.append(cut, hi - lo))[keep], least[cut[keep]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys.append(np.unique(windows(np.frombuffer(text.encode(), np.uint8))[1] >> _U(64 - bits)))
-                ids.append(np.full(len(keys[-1]), doc, np.int64))
-        if not keys:
-            return
-        key, id_ = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((id_, key))
-        key, id_ = key[order], id_[order]
-        distinct, counts = np.unique(key, return_counts=True)
-        ends = np.cumsum(counts)
-        owner_of = (distinct // _U(span)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner_of, prepend=-1))
-        sender = TaskContext.get().partitionId()
-        for a, b in zip(cuts, [*cuts[1:], len(distinct)]):
-            owner, lo, hi = int(owner_of[a]), ends[a] - counts[a], ends[b - 1]
-            yield pa.RecordBatch.from_pydict({
-                "sender": pa.array([sender], pa.int32()), "owner": pa.array([owner], pa.int32()),
-                "block": pa.array([golomb.encode(distinct[a:b] - _U(owner * span), span)], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.int32)], pa.list_(pa.int32())),
-                "ids": pa.array([id_[lo:hi]], pa.list_(pa.int64())),
-            })
 
-    return run
+def _packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays, each after its length in bytes, compressed together."""
+    raw = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(3).compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
 
 
-def _answer(blocks: pd.DataFrame) -> pd.DataFrame:
-    lists = [golomb.decode(b) for b in blocks["block"]]
-    _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    again = np.split(counts[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
-    return pd.DataFrame({"sender": blocks["sender"], "owner": blocks["owner"], "bitmap": [np.packbits(x).tobytes() for x in again]})
+def _unpacked(packed: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    at, out = 8 * len(kinds), []
+    for kind, size in zip(kinds, np.frombuffer(raw, np.int64, len(kinds)).tolist()):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
 
 
-def _shared(span: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for owner, block, counts, ids, bitmap in zip(*(batch[c] for c in ("owner", "block", "counts", "ids", "bitmap"))):
-                counts = np.asarray(counts)
-                again = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(counts)).astype(bool) | (counts > 1)
-                many = np.repeat(again, counts)
-                yield pd.DataFrame({
-                    "doc": np.asarray(ids)[many], "anchor": np.repeat(golomb.decode(block).astype(np.int64) + owner * span, counts)[many],
-                })
+_SENT = "parcel bigint, texts binary, owner int, block binary, again binary, heavy array<int>, places array<int>"
+_SENT_TYPES = dict(
+    parcel=pa.int64(), texts=pa.binary(), owner=pa.int32(), block=pa.binary(), again=pa.binary(), heavy=pa.list_(pa.int32()), places=pa.list_(pa.int32())
+)
 
-    return run
 
+def _row(kinds: dict, **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(k)], t) for k, t in kinds.items()], names=list(kinds))
 
-def _parcels(bits: int, shards: int):
-    """Runs around shared anchors, parcelled by shard: documents' (doc, text_hash), then for each run the document,
-    its first byte and length, and the bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(3)
-        docs: list[tuple[int, int]] = []
-        parts: list[tuple[np.ndarray, ...]] = []
-        texts: list[bytes] = []
-        held = 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            anchor, own, first, size = (np.concatenate(x) for x in zip(*parts))
-            flat, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-            shard = (anchor % _U(shards)).astype(np.int64)
-            order = np.lexsort((first, own, shard))
-            shard, own, first, size = shard[order], own[order], first[order], size[order]
-            ends = np.cumsum(size)
-            gather = np.repeat(begin[own] + first - (ends - size), size) + np.arange(ends[-1])
-            bytes_ = flat[gather]
-            table_ = np.array(docs, np.int64)
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(shard)]):
-                used, index = np.unique(own[a:b], return_inverse=True)
-                head = np.array([len(used), b - a], np.int64)
-                body = [head, table_[used].ravel(), index.astype(np.int32), first[a:b].astype(np.int32), size[a:b].astype(np.int32), bytes_[ends[a] - size[a] : ends[b - 1]]]
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array([int(shard[a])], pa.int32()),
-                    "parcel": pa.array([packer.compress(b"".join(x.tobytes() for x in body))], pa.binary()),
-                })
+def _send(bits: int, span: int, parcel_bytes: int, heavy_places: int):
+    """Rows of parcels, and rows of their anchors' blocks, one for each owner."""
 
-        for batch in batches:
-            for doc, text_hash, text, anchors in zip(*(batch.column(i) for i in range(4))):
-                raw = text.as_py().encode()
-                starts, found = windows(np.frombuffer(raw, np.uint8))
-                found >>= _U(64 - bits)
-                ends = np.append(starts[1:], len(raw) - WIDTH + 1)
-                wanted = np.isin(found, anchors.values.to_numpy().astype(np.uint64))
-                if wanted.any():
-                    n = int(wanted.sum())
-                    parts.append((found[wanted], np.full(n, len(docs)), starts[wanted], (ends - starts)[wanted] + WIDTH - 1))
-                    docs.append((doc.as_py(), text_hash.as_py()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parcel = TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            sizes, data = np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)
+            yield _row(_SENT_TYPES, parcel=parcel, texts=_packed(np.array(ids, np.int64), sizes, data))
+            distinct, places = np.unique(runs(data, sizes)[2] >> _U(64 - bits), return_counts=True)
+            for owner, a, b in exchange.by_owner(distinct, span):
+                own = places[a:b]
+                heavy = np.flatnonzero(own >= heavy_places)
+                yield _row(
+                    _SENT_TYPES, parcel=parcel, owner=owner, block=exchange.coded(distinct[a:b], owner, span), again=exchange.bitmap(own > 1),
+                    heavy=heavy, places=own[heavy],
+                )
+
+        for whole in batches:
+            for batch in byte_slices(whole, 1, parcel_bytes):
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    raw = text.encode()
+                    if texts and held + len(raw) > parcel_bytes:
+                        yield from made()
+                        parcel, ids, texts, held = parcel + 1, [], [], 0
+                    ids.append(doc)
                     texts.append(raw)
                     held += len(raw)
-                if held >= PARCEL_BYTES:
-                    yield from packed()
-                    docs, parts, texts, held = [], [], [], 0
-        if parts:
-            yield from packed()
+        if texts:
+            yield from made()
 
     return run
 
 
-def _unpacked(parcel: bytes) -> tuple[np.ndarray, ...]:
-    raw = zstandard.ZstdDecompressor().decompress(parcel)
-    docs, runs = np.frombuffer(raw, np.int64, 2)
-    at = 16
-    out = []
-    for kind, n in ((np.int64, 2 * docs), (np.int32, runs), (np.int32, runs), (np.int32, runs)):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return out[0].reshape(-1, 2), *out[1:], raw[at:]
+def _answers(hot_places: int):
+    def answer(blocks: pd.DataFrame) -> pd.DataFrame:
+        """For each block of one owner, which of its anchors several places hold, and which of them are hot."""
+        weights = []
+        for block, again, heavy, places in zip(*(blocks[c] for c in ("block", "again", "heavy", "places"))):
+            own = 1.0 + exchange.flags(again, exchange.size_of(block))
+            own[np.asarray(heavy, np.int64)] = places
+            weights.append(own)
+        totals = exchange.sums_over_blocks(list(blocks["block"]), weights)
+        return pd.DataFrame({
+            "parcel": blocks["parcel"], "owner": blocks["owner"], "shared": [exchange.bitmap(t > 1) for t in totals],
+            "hot": [exchange.bitmap(t > hot_places) if (t > hot_places).any() else None for t in totals],
+            "n": [int((t > 1).sum()) for t in totals],
+        })
 
+    return answer
 
-def repeated_spans(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: doc, text_hash, first and past of the byte spans that smaller documents also hold."""
-    known: dict[bytes, int] = {}
-    owners, firsts, segments = [], [], []
-    for parcel in group["parcel"]:
-        docs, index, first, size, raw = _unpacked(parcel)
-        owners.append(docs[index])
-        firsts.append(first)
-        ends = np.cumsum(size, dtype=np.int64)
-        segments.append(np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - size).tolist(), ends.tolist())), np.int64, len(size)))
-    owner, first, segment = np.concatenate(owners), np.concatenate(firsts).astype(np.int64), np.concatenate(segments)
-    least = np.full(len(known), _NO_ID)
-    np.minimum.at(least, segment, owner[:, 0])
-    lengths = np.fromiter(map(len, known), np.int64, len(known))
+
+_RUNS = "parcel bigint, shard int, packed binary"
+_RUN_TYPES = dict(parcel=pa.int64(), shard=pa.int32(), packed=pa.binary())
+
+
+def _shared_runs(bits: int, span: int, shards: int):
+    """Per parcel: a row with its shared runs (first string, number of the distinct run), and for each shard a row with
+    the parcel's distinct runs (bytes, smallest document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parcel, texts, answers = (batch.column(c)[i].as_py() for c in range(3))
+                yield from of(parcel, texts, {a["owner"]: a for a in answers})
+
+    def of(parcel: int, texts: bytes, answers: dict) -> Iterator[pa.RecordBatch]:
+        ids, sizes, data = _unpacked(texts, np.int64, np.int64, np.uint8)
+        first, many, anchor = runs(data, sizes)
+        distinct, inverse = np.unique(anchor >> _U(64 - bits), return_inverse=True)
+        shared, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        for owner, a, b in exchange.by_owner(distinct, span):
+            shared[a:b] = exchange.flags(answers[owner]["shared"], b - a)
+            if answers[owner]["hot"] is not None:
+                hot[a:b] = exchange.flags(answers[owner]["hot"], b - a)
+        kept, cut = shared[inverse], hot[inverse]
+        shard = (anchor % _U(shards)).astype(np.int64)
+        whole = kept & ~cut
+        starts, counts, places = first[whole], many[whole], shard[whole]
+        raw = data.tobytes()
+        if (kept & cut).any():  # single strings, by their own hash
+            n = many[kept & cut]
+            single = np.repeat(first[kept & cut] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + WIDTH]) % shards for a in single.tolist()), np.int64, len(single))
+            starts, counts, places = np.append(starts, single), np.append(counts, np.ones(len(single), np.int64)), np.append(places, own)
+        if not len(starts):
+            return
+        known: dict[bytes, int] = {}
+        number = np.fromiter(
+            (known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), (starts + counts + WIDTH - 1).tolist())), np.int64, len(starts)
+        )
+        owner_id = ids[np.searchsorted(np.cumsum(sizes), starts, side="right")]
+        least = np.full(len(known), _NO_ID)
+        np.minimum.at(least, number, owner_id)
+        shard_of = np.empty(len(known), np.int64)
+        shard_of[number] = places
+        order = np.argsort(shard_of, kind="stable")
+        rank = np.empty(len(known), np.int32)
+        rank[order] = np.arange(len(known))
+        by_place = np.argsort(starts, kind="stable")
+        yield _row(_RUN_TYPES, parcel=parcel, shard=-1, packed=_packed(np.diff(starts[by_place], prepend=0).astype(np.int32), rank[number[by_place]]))
+        pieces = list(known)
+        lengths = np.array([*map(len, pieces)], np.int32)
+        ranked = shard_of[order]
+        cuts = np.flatnonzero(np.diff(ranked, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            own = order[a:b]
+            yield _row(_RUN_TYPES, parcel=parcel, shard=int(ranked[a]), packed=_packed(least[own], lengths[own], b"".join(pieces[k] for k in own.tolist())))
+
+    return run
+
+
+def smallest_holders(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pieces``: distinct byte strings of at least WIDTH bytes, each with its smallest document. For every
+    WIDTH-byte string of every piece, in order, the smallest document of any piece that has it; and the number of
+    strings of each piece."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.cumsum(lengths + 1) - lengths - 1
-    joined = b"\0".join(known) + b"\0"
-    data = np.frombuffer(joined, np.uint8)
+    data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     symbols = data.astype(np.int32) + 2
     symbols[begins + lengths] = 1
     order = suffix_array(np.append(symbols, 0))
-    # Strings that lie whole inside a segment, in suffix order.
     counts = lengths - WIDTH + 1
     tops = np.cumsum(counts)
     string_of = np.full(len(data) + 1, -1, np.int64)
-    places = np.repeat(begins - (tops - counts), counts) + np.arange(tops[-1])
-    string_of[places] = np.arange(tops[-1])
-    whole = order[string_of[order] >= 0]
-    new = np.concatenate([[True], ~repeats(data, whole, WIDTH)])
-    least_of = np.repeat(least, counts)[string_of[whole]]
+    string_of[np.repeat(begins - (tops - counts), counts) + np.arange(tops[-1])] = np.arange(tops[-1])
+    whole = order[string_of[order] >= 0]  # strings that lie whole inside a piece, in suffix order
+    room = np.repeat(begins + lengths, lengths + 1) - np.arange(len(data))
+    new = permuted_prefixes(data, whole, room)[whole] < WIDTH
+    new[0] = True
     heads = np.flatnonzero(new)
+    least_of = np.repeat(least, counts)[string_of[whole]]
     smallest = np.empty(tops[-1], np.int64)
     smallest[string_of[whole]] = np.repeat(np.minimum.reduceat(least_of, heads), np.diff(np.append(heads, len(whole))))
-    # Each run against its segment's strings.
-    n = counts[segment]
-    ends = np.cumsum(n)
-    at = np.repeat((tops - counts)[segment] - (ends - n), n) + np.arange(ends[-1])
-    gone = smallest[at] < np.repeat(owner[:, 0], n)
-    inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    begin = np.flatnonzero(gone & ((inside == 0) | ~np.concatenate([[False], gone[:-1]])))
-    last = np.flatnonzero(gone & ((inside == np.repeat(n, n) - 1) | ~np.concatenate([gone[1:], [False]])))
-    run = np.searchsorted(ends, begin, side="right")
-    return pd.DataFrame({
-        "doc": owner[run, 0], "text_hash": owner[run, 1],
-        "first": first[run] + inside[begin], "past": first[run] + inside[last] + WIDTH,
-    })
+    return smallest, counts
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc, text_hash, text, spans in zip(*(batch.column(i) for i in range(4))):
-            raw = text.as_py().encode()
-            edges = np.zeros(len(raw) + 1, np.int32)
-            pairs = spans.values
-            np.add.at(edges, pairs.field("first").to_numpy(), 1)
-            np.add.at(edges, pairs.field("past").to_numpy(), -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-            out.append((doc.as_py(), text_hash.as_py(), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-            ["doc", "text_hash", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one shard, per parcel and run in the order sent: stretches of strings with one smallest document (how many
+    stretches, where each ends, and that document)."""
+    known: dict[bytes, int] = {}
+    numbers, docs = [], []
+    for packed in group["packed"]:
+        least, lengths, raw = _unpacked(packed, np.int64, np.int32, np.uint8)
+        raw, ends = raw.tobytes(), np.cumsum(lengths, dtype=np.int64)
+        numbers.append(np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int64, len(ends)))
+        docs.append(least)
+    least = np.full(len(known), _NO_ID)
+    np.minimum.at(least, np.concatenate(numbers), np.concatenate(docs))
+    smallest, counts = smallest_holders(list(known), least)
+    tops = np.cumsum(counts)
+    heads = np.zeros(len(smallest), bool)
+    heads[1:] = smallest[1:] != smallest[:-1]
+    heads[tops - counts] = True
+    begin = np.flatnonzero(heads)
+    piece = np.searchsorted(tops, begin, side="right")
+    end, value = np.append(begin[1:], len(smallest)) - (tops - counts)[piece], smallest[begin]
+    many = np.bincount(piece, minlength=len(known))
+    at = np.cumsum(many) - many
+    out = []
+    for number in numbers:
+        n = many[number]
+        out.append(_packed(n.astype(np.int32), gathered(end, at[number], n).astype(np.int32), gathered(value, at[number], n)))
+    return pd.DataFrame({"parcel": group["parcel"], "shard": group["shard"], "verdict": out})
 
 
-def removed_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            texts, index, verdicts = (batch.column(c)[i].as_py() for c in range(3))
+            ids, sizes, data = _unpacked(texts, np.int64, np.int64, np.uint8)
+            ends = np.cumsum(sizes)
+            gone = np.zeros(len(data), bool)
+            if index is not None:
+                step, number = _unpacked(index, np.int32, np.int32)
+                first = np.cumsum(step, dtype=np.int64)
+                parts = [_unpacked(v["verdict"], np.int32, np.int32, np.int64) for v in sorted(verdicts, key=lambda v: v["shard"])]
+                many, end, least = (np.concatenate(x) for x in zip(*parts))
+                many = many.astype(np.int64)
+                at = np.cumsum(many) - many
+                begin = np.where(np.isin(np.arange(len(end)), at), 0, np.append(0, end[:-1]))
+                n = many[number]
+                doc = np.repeat(ids[np.searchsorted(ends, first, side="right")], n)
+                own = np.repeat(at[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                lost = least[own] < doc
+                base, own = np.repeat(first, n)[lost], own[lost]
+                edges = np.bincount(base + begin[own], minlength=len(data) + 1) - np.bincount(base + end[own] + WIDTH - 1, minlength=len(data) + 1)
+                gone = np.cumsum(edges[:-1]) > 0
+            heads = gone & ~np.concatenate([[False], gone[:-1]])
+            heads[(ends - sizes)[sizes > 0]] |= gone[(ends - sizes)[sizes > 0]]
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.append(0, ends)])
+            removed, spans = total(gone), total(heads)
+            kept = data[~gone]
+            offsets = np.append(0, np.cumsum(sizes - removed)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64(), mask=ids == _NO_ID), pa.array(sizes), pa.array(removed), pa.array(spans),
+                 pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+
+def removed_repeats(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", parcel_bytes: int = PARCEL_BYTES, heavy_places: int = HEAVY_PLACES, hot_places: int = HOT_PLACES,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, as one binary).
 
     A byte goes where a WIDTH-byte string over it also starts in a document of smaller id. Null and empty texts keep
-    nothing and lose nothing. A null id comes after every other. Rows repeated with one id never take from each other.
-    Other columns are ignored; an empty table gives no rows."""
+    nothing and lose nothing. A null id comes after every other (the id 2**63 - 1 is refused). Rows repeated with one
+    id never take from each other. Other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    info = staged(rows.select("doc", F.xxhash64("text").alias("text_hash"), F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
-    total = info.count()
-    owners, bits = max(shuffle_partitions(spark), -(-total // PER_OWNER)), min(60, total.bit_length() + 28)
-    span = -(-(1 << bits) // owners)
-    long_ = rows.where(F.octet_length("text") >= WIDTH)
-    sent = staged(long_.mapInArrow(_send(bits, owners), "sender int, owner int, block binary, counts array<int>, ids array<bigint>"), "anchors")
-    answers = sent.select("sender", "owner", "block").groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
-    shared = sent.join(answers, ["sender", "owner"]).select("owner", "block", "counts", "ids", "bitmap").mapInPandas(_shared(span), "doc bigint, anchor bigint")
-    # Of equal texts only the one of the smallest id is cut; the others go whole.
-    originals = info.where(F.col("n_bytes") >= WIDTH).groupBy("sha").agg(F.min(F.struct("doc", "text_hash")).alias("o")).select("sha", "o.doc", "o.text_hash")
-    suspects = staged(
-        shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors")).join(originals.select("doc", "text_hash"), "doc"), "suspects"
+    refused = F.raise_error(F.lit("the id 2**63 - 1 stands for null"))
+    doc = F.when(F.col(key) == _NO_ID, refused).otherwise(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)))
+    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    total = docs.select(key).count()
+    owners, bits = max(shuffle_partitions(spark), -(-total // PER_OWNER)), min(60, total.bit_length() + 18)
+    span = exchange.span_of(bits, owners)
+    sent = staged(rows.mapInArrow(_send(bits, span, parcel_bytes, heavy_places), _SENT), "parcels")
+    blocks = sent.where("owner is not null").select("parcel", "owner", "block", "again", "heavy", "places")
+    answers = staged(blocks.groupBy("owner").applyInPandas(_answers(hot_places), "parcel bigint, owner int, shared binary, hot binary, n bigint"), "answers")
+    shards = max(shuffle_partitions(spark), -(-(answers.agg(F.sum("n")).first()[0] or 0) // SHARD_RUNS))
+    parcels = sent.where("owner is null").select("parcel", "texts")
+    told = answers.groupBy("parcel").agg(F.collect_list(F.struct("owner", "shared", "hot")).alias("answers"))
+    found = staged(
+        parcels.join(told.hint("shuffle_hash"), "parcel").select("parcel", "texts", "answers").mapInArrow(_shared_runs(bits, span, shards), _RUNS), "runs"
     )
-    shards = max(shuffle_partitions(spark), -(-(suspects.agg(F.sum(F.size("anchors"))).first()[0] or 0) // SHARD_RUNS))
-    hashed = long_.withColumn("text_hash", F.xxhash64("text"))
-    parcels = hashed.join(suspects, ["doc", "text_hash"]).select("doc", "text_hash", "text", "anchors").mapInArrow(_parcels(bits, shards), "shard int, parcel binary")
-    spans = parcels.groupBy("shard").applyInPandas(repeated_spans, "doc bigint, text_hash bigint, first int, past int")
-    spans = staged(spans.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "past")).alias("spans")), "spans")
-    cut = hashed.join(spans, ["doc", "text_hash"]).select("doc", "text_hash", "text", "spans").mapInArrow(
-        _cut, "doc bigint, text_hash bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    ).drop("kept").dropDuplicates(["doc", "text_hash"])
-    whole = originals.select("sha", F.col("doc").alias("original"))
-    copy = F.col("original") < F.col("doc")
-    out = info.join(whole, "sha", "left").join(cut, ["doc", "text_hash"], "left")
-    return out.select(
-        F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+    discard(answers)
+    verdicts = found.where("shard >= 0").groupBy("shard").applyInPandas(_verdicts, "parcel bigint, shard int, verdict binary")
+    verdicts = staged(verdicts.groupBy("parcel").agg(F.collect_list(F.struct("shard", "verdict")).alias("verdicts")), "verdicts")
+    index = found.where("shard < 0").select("parcel", F.col("packed").alias("index")).join(verdicts, "parcel")
+    return parcels.join(index.hint("shuffle_hash"), "parcel", "left").select("texts", "index", "verdicts").mapInArrow(
+        _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_repeats(table(spark, sf_dir, "documents"))
+    return removed_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import shuffle_partitions, staged, table
+from .common import byte_slices, gathered, shuffle_partitions, staged, table
 
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 1_000_000
@@ -151,14 +151,6 @@ def id_kind(path: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The pieces of ``flat`` at ``starts``, end to end."""
-    ends = np.cumsum(lengths)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
-
-
 def _ids_of(texts: pa.Array, known: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some texts end to end, ``end_id`` after each text's, and the number of ids of each. Words are told
     apart a batch at a time, so each distinct word is looked up once."""
@@ -177,7 +169,7 @@ def _ids_of(texts: pa.Array, known: _Words, end_id: int) -> tuple[np.ndarray, np
     index = np.insert(index.astype(np.int64), text_ends, len(words))
     lengths = sizes[index]
     counts = np.add.reduceat(lengths, text_ends - text_words + np.arange(len(texts))) if len(texts) else np.empty(0, np.int64)
-    return _gathered(flat, (np.cumsum(sizes) - sizes)[index], lengths), counts
+    return gathered(flat, (np.cumsum(sizes) - sizes)[index], lengths), counts
 
 
 def _binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -185,17 +177,6 @@ def _binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
 
-def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of one text column; a longer text is a slice of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def tokenized(docs: DataFrame, path: str, end_id: int, kind: str = "<u4", key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (little-endian integers of ``kind`` in one binary), ``end_id`` after each document's; and, with
     null ids, a row for each token of a task: token and n, how often the task met it."""
