@@ -1,8 +1,9 @@
 """Exact deduplication by a Golomb-coded fingerprint exchange.
 
 Each input partition sends, to the owner of each fingerprint range, its distinct fingerprints as one sorted
-Golomb-coded block. Owners answer with one bit per fingerprint: seen elsewhere or not. Only suspect texts are then
-shuffled and compared byte by byte; other texts never leave the scan.
+Golomb-coded block. Owners answer with one bit per fingerprint: seen elsewhere (or twice in the partition) or not.
+Fingerprints with that bit are the suspects. A second scan tells suspect rows from the rest; only suspect texts are
+shuffled, each distinct one once a partition, and compared byte by byte. Other texts never leave the scan.
 """
 
 from __future__ import annotations
@@ -11,118 +12,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golomb
+from . import exchange
 from .common import ascii_lower, shuffle_partitions, staged, table
 
 #: Fingerprints per owner that one task decodes at once.
 PER_OWNER = 2_000_000
 #: Bits beyond log2(rows): about one text in 2**SPARE_BITS is shuffled without having a copy.
 SPARE_BITS = 12
+#: Suspect fingerprints up to which they are broadcast to the scan (8 bytes each); beyond, rows shuffle by fingerprint.
+BROADCAST_PRINTS = 2_000_000
+#: A text that this part of all rows hold is hot: at most 1 / HOT_PART of them are broadcast, so that their rows stay
+#: where they are.
+HOT_PART = 1e-4
 
-_SENT = "sender int, owner int, block binary, counts array<int>, ids array<bigint>, digests binary"
+_SENT_TYPES = dict(sender=pa.int32(), owner=pa.int32(), block=pa.binary(), twice=pa.binary())
 
 
-def _sender(bits: int, owners: int):
-    span = -(-(1 << bits) // owners)
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, digests = [], []
-        for batch in batches:
-            ids.append(batch["row_key"].to_numpy(np.int64))
-            digests.append(np.frombuffer(b"".join(batch["digest"]), np.uint8).reshape(-1, 32))
-        if not ids:
+def _sender(bits: int, span: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch.column(0).to_numpy() for batch in batches]
+        if not held:
             return
-        keys, prints = np.concatenate(ids), np.concatenate(digests)
-        short = np.ascontiguousarray(prints[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - bits)
-        order = np.argsort(short, kind="stable")
-        keys, prints, short = keys[order], prints[order], short[order]
-        distinct, counts = np.unique(short, return_counts=True)
-        ends = np.cumsum(counts)
-        owner_of = (distinct // np.uint64(span)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner_of, prepend=-1))
+        distinct, counts = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
         sender = TaskContext.get().partitionId()
-        for a, b in zip(cuts, [*cuts[1:], len(distinct)]):
-            owner = int(owner_of[a])
-            lo, hi = ends[a] - counts[a], ends[b - 1]
-            yield pd.DataFrame({
-                "sender": [sender], "owner": [owner],
-                "block": [golomb.encode(distinct[a:b] - np.uint64(owner * span), span)],
-                "counts": [counts[a:b].astype(np.int32)], "ids": [keys[lo:hi]], "digests": [prints[lo:hi].tobytes()],
-            })
+        for owner, a, b in exchange.by_owner(distinct, span):
+            row = (sender, owner, exchange.coded(distinct[a:b], owner, span), exchange.bitmap(counts[a:b] > 1))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SENT_TYPES.values())], names=list(_SENT_TYPES))
 
     return send
 
 
 def _answer(blocks: pd.DataFrame) -> pd.DataFrame:
-    """For each block of one owner, a bitmap of the fingerprints that another block also holds."""
-    lists = [golomb.decode(b) for b in blocks["block"]]
-    _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    again = np.split(counts[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
-    return pd.DataFrame({"sender": blocks["sender"], "owner": blocks["owner"], "bitmap": [np.packbits(x).tobytes() for x in again]})
+    """For each block of one owner, a bitmap of the fingerprints that another block, or this one twice, also holds."""
+    weights = [1.0 + exchange.flags(twice, exchange.size_of(block)) for block, twice in zip(blocks["block"], blocks["twice"])]
+    totals = exchange.sums_over_blocks(list(blocks["block"]), weights)
+    return pd.DataFrame({"sender": blocks["sender"], "owner": blocks["owner"], "again": [exchange.bitmap(t > 1) for t in totals]})
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for counts, ids, digests, bitmap in zip(batch["counts"], batch["ids"], batch["digests"], batch["bitmap"]):
-            seen = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(counts)).astype(bool) | (np.asarray(counts) > 1)
-            yield pd.DataFrame({
-                "row_key": np.asarray(ids), "digest": [digests[i : i + 32] for i in range(0, len(digests), 32)],
-                "suspect": np.repeat(seen, counts),
-            })
-
+def _suspects(span: int):
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for owner, block, again in zip(batch["owner"], batch["block"], batch["again"]):
+                prints = exchange.decoded(block, owner, span)
+                yield pd.DataFrame({"print": prints[exchange.flags(again, len(prints))].view(np.int64)})
 
-#: Stands for a null doc_id inside the exchange.
-_NULL_ID = -(1 << 63)
+    return expand
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", broadcast_prints: int = BROADCAST_PRINTS, hot_part: float = HOT_PART) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id is kept; a null id is below every other and comes back as null. Rows repeated with the same id and
-    text all count in group_size and share one verdict. Other columns are ignored. An empty table gives no rows.
-    """
+    text all count in group_size and share one verdict. Other columns are ignored. An empty table gives no rows."""
     spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("row_key"),
-        ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("norm"),
-    )
     total = docs.select(key).count()
     owners = max(shuffle_partitions(spark), -(-total // PER_OWNER))
     bits = min(60, max(16, total.bit_length() + SPARE_BITS, owners.bit_length() + 4))
-    hashed = rows.select("row_key", F.unhex(F.sha2("norm", 256)).alias("digest"))
-    sent = staged(hashed.mapInPandas(_sender(bits, owners), _SENT), "sent")
-    answers = (
-        sent.select("sender", "owner", "block").groupBy("owner")
-        .applyInPandas(_answer, "sender int, owner int, bitmap binary")
-    )
-    prints = staged(
-        sent.drop("block").join(answers, ["sender", "owner"])
-        .select("counts", "ids", "digests", "bitmap")
-        .mapInPandas(_expand, "row_key bigint, digest binary, suspect boolean"),
-        "prints",
-    )
-    suspects = prints.where("suspect").select("row_key", "digest")
-    texts = rows.join(suspects, "row_key").where(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
-    # Rows of one id and one text join with each other; they are counted from the fingerprints instead.
-    verified = texts.groupBy("digest", "norm").agg(F.max("row_key").alias("keep_key"))
-    groups = verified.groupBy("digest").agg(F.max("keep_key").alias("keep_key"), F.count(F.lit(1)).alias("texts")).join(
-        suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest"
-    ).select(
-        "digest", "n",
-        F.when(F.col("texts") == 1, F.col("keep_key")).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).alias("keep_key"),
+    span = exchange.span_of(bits, owners)
+    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(key).cast("long").alias("id"), norm.alias("norm")).withColumn("print", F.shiftrightunsigned(F.xxhash64("norm"), 64 - bits))
+    sent = staged(rows.select("print").mapInArrow(_sender(bits, span), "sender int, owner int, block binary, twice binary"), "sent")
+    answers = sent.groupBy("owner").applyInPandas(_answer, "sender int, owner int, again binary")
+    suspects = staged(
+        sent.select("sender", "owner", "block").join(answers, ["sender", "owner"]).select("owner", "block", "again")
+        .mapInPandas(_suspects(span), "print bigint").distinct(), "suspects"
     )
-    judged = suspects.join(groups, "digest").unionByName(
-        prints.where("not suspect").select("row_key", "digest", F.lit(1).cast("long").alias("n"), F.col("row_key").alias("keep_key"))
+    small = suspects.limit(broadcast_prints + 1).count() <= broadcast_prints
+    marked = suspects.select("print", F.lit(True).alias("suspect"))
+    digest = F.unhex(F.sha2("norm", 256)).alias("digest")
+    told = rows.join(F.broadcast(marked) if small else marked, "print", "left")
+    told = staged(told.select("id", digest, F.coalesce("suspect", F.lit(False)).alias("suspect"), F.when(F.col("suspect"), F.col("norm")).alias("norm")), "told")
+    found = told.where("suspect").select("id", "digest", "norm")
+    # Texts with their digest: one row a partition and distinct text is shuffled.
+    texts = found.groupBy("digest", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    one = F.when(F.count(F.lit(1)) == 1, F.max("keep_id")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")))
+    groups = staged(texts.groupBy("digest").agg(one.alias("keep_id"), F.sum("n").alias("n")), "groups")
+    # Rows of hot texts meet their group by broadcast; a join by digest would gather them in one task.
+    hot = groups.where(F.col("n") >= max(2.0, hot_part * total))
+    ids = told.where("suspect").select("id", "digest")
+    judged = (
+        ids.join(F.broadcast(hot), "digest")
+        .unionByName(ids.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups, "digest"))
+        .unionByName(told.where("not suspect").select("digest", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
     )
-    shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return judged.select(
-        shown("row_key").alias("doc_id"), shown("keep_key").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("row_key") == F.col("keep_key")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 

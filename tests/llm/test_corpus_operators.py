@@ -40,20 +40,22 @@ def test_golomb_round_trip():
         assert (golomb.decode(golomb.encode(values, 1 << 40)) == values).all()
 
 
-def test_exact_duplicates(documents):
-    rows = list(enumerate(corpus(random.Random(1)))) + [(None, "one two"), (7, "one two")]
+@pytest.mark.parametrize("setting", [{}, {"broadcast_prints": 0}, {"hot_part": 0.0}, {"hot_part": 1.0}])
+def test_exact_duplicates(documents, setting):
+    rows = list(enumerate(corpus(random.Random(1)))) + [(None, "one two"), (None, "none like it"), (7, "one two"), (-(1 << 63), "two three"), (None, "two three")]
+    rows += [(90, "z" * 100_000), (91, "Z" * 100_000)]
     groups = collections.defaultdict(list)
     lower = lambda t: (t or "").translate(str.maketrans(exact_dedup.ascii_lower.__globals__["UPPER"], exact_dedup.ascii_lower.__globals__["LOWER"]))
     for i, t in rows:
-        groups[lower(t)].append(-1 if i is None else i)
+        groups[lower(t)].append(i)
     want = collections.Counter()
     for i, t in rows:
         own = groups[lower(t)]
-        keep = max(own)
-        want[i, keep if keep >= 0 else None, len(own), (-1 if i is None else i) == keep, hashlib.sha256(lower(t).encode()).hexdigest()] += 1
-    got = collections.Counter(tuple(r) for r in exact_dedup.exact_duplicates(documents(rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+        keep = max((x for x in own if x is not None), default=None)
+        want[i, keep, len(own), i == keep, hashlib.sha256(lower(t).encode()).hexdigest()] += 1
+    got = collections.Counter(tuple(r) for r in exact_dedup.exact_duplicates(documents(rows), **setting).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
     assert got == want
-    assert exact_dedup.exact_duplicates(documents([])).count() == 0
+    assert exact_dedup.exact_duplicates(documents([]), **setting).count() == 0
 
 
 def shingle_sets(rows):
