@@ -1,9 +1,8 @@
 """Quality rules from line frequency across documents, all in native expressions.
 
-Normalised lines are hashed, the distinct texts that hold a line are counted per source, lines above the source's
-limit are taken out, and a document with too little left is rejected. Copies of one text count once, so a copied page
-doesn't turn its own lines into boilerplate. op3_line_limit holds lines to the absolute limit alone; op3_line_quality
-also asks for a part of the source's rows, as its SQL does.
+Normalised lines are hashed, the distinct documents that hold a line are counted per source, lines above the limit are
+taken out, and a document with too little left is rejected. The limit is a number of documents, whatever the size of
+the source. op3_line_limit counts distinct texts in place of documents, so that copies of one text count once.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, join_null_safe, staged, table, word_count
 
-#: A line is boilerplate in more than this many texts of a source and, for op3_line_quality, more than this part of its rows.
-LIMIT_TEXTS, LIMIT_PART = 20, 0.2
+#: A line is boilerplate in more than this many documents (texts, for op3_line_limit) of a source.
+LIMIT = 20
 #: A document must keep this many words, and this part of its words.
 LEFT_WORDS, LEFT_PART = 10, 0.2
 
@@ -48,36 +47,35 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("t", "w", "lines", "g", "s", "places")
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """``docs``: host, t. Per distinct text and line of a host: host, text_hash, line_hash, words (of all its
-    occurrences in the text)."""
-    lines = docs.select("host", F.xxhash64("t").alias("text_hash"), F.posexplode(F.split("t", "\n")).alias("place", "line"))
+def held_lines(docs: DataFrame) -> DataFrame:
+    """``docs``: host, holder, text_hash, t. Per source, holder, text and line: host, holder, text_hash, line_hash and
+    words (of all the line's places in the text)."""
+    lines = docs.select("host", "holder", "text_hash", F.posexplode(F.split("t", "\n")).alias("place", "line"))
     norm: Column = F.trim(F.regexp_replace(ascii_lower(F.col("line")), SPACES, " "))
     return (
-        lines.select("host", "text_hash", "place", F.xxhash64(norm).alias("line_hash"), word_count(F.col("line")).alias("words"))
+        lines.select("host", "holder", "text_hash", "place", F.xxhash64(norm).alias("line_hash"), word_count(F.col("line")).alias("words"))
         .where("words > 0")
-        .groupBy("host", "text_hash", "line_hash").agg((F.sum("words") / F.count("words") * F.count_distinct("place")).cast("long").alias("words"))
+        .groupBy("host", "holder", "text_hash", "line_hash").agg(F.max("words").alias("once"), F.count_distinct("place").alias("places"))
+        .select("host", "holder", "text_hash", "line_hash", (F.col("once") * F.col("places")).alias("words"))
     )
 
 
-def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", part: float | None = LIMIT_PART) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", by_text: bool = False, limit: int = LIMIT) -> DataFrame:
     """Per row of ``docs``: doc_id, the base metrics, base_failed, n_removed_words and kept.
 
-    A null text is empty, so it fails the base rules; a null source is a source of its own. Rows repeated with the same
-    source and text are answered alike. Other columns are ignored; an empty table gives no rows. Without ``part`` the
-    limit on a line doesn't grow with its source."""
+    A null text is empty, so it fails the base rules; a null source is a source of its own. Rows with one id are one
+    document; a row without an id is told from others by its text. Repeated rows are answered alike. With ``by_text``
+    distinct texts are counted in place of documents. Other columns are ignored; an empty table gives no rows."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    lines = staged(text_lines(rows), "lines")
-    common = lines.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT_TEXTS)
-    if part is not None:
-        texts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-        common = join_null_safe(common, texts, ["host"]).where(F.col("n") > part * F.col("texts"))
+    rows = rows.withColumn("text_hash", F.xxhash64("t"))
+    named = F.col("text_hash") if by_text else F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
+    lines = staged(held_lines(rows.withColumn("holder", named)), "lines")
+    common = lines.groupBy("host", "line_hash").agg(F.count_distinct("holder").alias("n")).where(F.col("n") > limit)
     removed = (
-        join_null_safe(lines, common.select("host", "line_hash"), ["host", "line_hash"])
+        join_null_safe(lines.drop("holder"), common.select("host", "line_hash"), ["host", "line_hash"]).distinct()
         .groupBy("host", "text_hash").agg(F.sum("words").alias("n_removed_words"))
     )
-    base = base_metrics(rows.withColumn("text_hash", F.xxhash64("t")))
-    out = join_null_safe(base, removed, ["host", "text_hash"], "left").withColumns({
+    out = join_null_safe(base_metrics(rows), removed, ["host", "text_hash"], "left").withColumns({
         "n_removed_words": F.coalesce("n_removed_words", F.lit(0).cast("long")),
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
     })
@@ -90,7 +88,7 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"), part=None)
+    return judged(table(spark, sf_dir, "documents"), by_text=True)
 
 
 ORACLE = r"""
@@ -107,8 +105,7 @@ WITH d AS (
          trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
   FROM d, unnest(string_split(t, chr(10))) AS u(line)
 ), common AS (
-  SELECT l.source, l.norm FROM lines l JOIN (SELECT source, count(*) AS texts FROM d GROUP BY source) h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE words > 0 GROUP BY l.source, l.norm, h.texts HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.2 * h.texts
+  SELECT source, norm FROM lines WHERE words > 0 GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20
 ), dup AS (
   SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines WHERE words > 0 GROUP BY doc_id
 ), removed AS (
@@ -126,5 +123,5 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM m
 """
 
-#: The same without the limit that grows with the source.
-ORACLE_LIMIT = ORACLE.replace(" AND count(DISTINCT t) > 0.2 * h.texts", "")
+#: The same by distinct texts.
+ORACLE_LIMIT = ORACLE.replace("count(DISTINCT doc_id) > 20", "count(DISTINCT t) > 20")

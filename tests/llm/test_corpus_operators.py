@@ -185,10 +185,22 @@ def test_line_limit_does_not_grow_with_the_source(documents):
     rows += [(1000 + i, f"{text()}\n{footer}", "copies") for i in range(25)]
     copy = f"{text()}\nonly this text has this line"
     rows += [(2000 + i, copy, "copies") for i in range(200)] + [(3000, f"few words\n{footer}", "large")]
-    got = {r.doc_id: r for r in line_quality.judged(documents(rows), part=None).collect()}
-    assert all(got[i].n_removed_words == (15 if i < 40 else 0) and got[i].kept for i in range(400))
-    assert all(got[1000 + i].n_removed_words == 15 for i in range(25)) and all(got[2000 + i].n_removed_words == 0 for i in range(200))
-    assert not got[3000].base_failed and not got[3000].kept
+    for by_text in (True, False):
+        got = {r.doc_id: r for r in line_quality.judged(documents(rows), by_text=by_text).collect()}
+        assert all(got[i].n_removed_words == (15 if i < 40 else 0) and got[i].kept for i in range(400))
+        assert all(got[1000 + i].n_removed_words == 15 for i in range(25))
+        assert all((got[2000 + i].n_removed_words == 0) == got[2000 + i].kept == by_text for i in range(200))
+        assert not got[3000].base_failed and not got[3000].kept
+
+
+def test_lines_count_distinct_documents(documents):
+    rng = random.Random(17)
+    text = lambda: prose(rng, 40, [f"{a}{w}" for a in "abcdef" for w in WORDS])
+    rows = [(i % 15, f"{text()}\nLine of\tfifteen  documents", None) for i in range(90)] + [(None, f"{text()}\nthe line of those without id", "n") for _ in range(21)]
+    rows += [(50, "same words again\n" * 30, "n")] * 30 + [(60, "y" * 50_000, "n")]
+    got = collections.Counter((r.doc_id, r.n_removed_words, r.kept) for r in line_quality.judged(documents(rows)).collect())
+    assert got[None, 6, True] == 21 and got[50, 0, False] == 30 and got[60, 0, False] == 1
+    assert all(n == 0 for i, n, _ in got if i is not None and i < 15)
 
 
 def test_license_automaton_against_search():
