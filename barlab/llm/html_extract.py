@@ -1,205 +1,308 @@
 """Main text of HTML pages, with site templates removed.
 
-A page is read into blocks of text under nested containers. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments go by element, role, class or id. Every container left is hashed with all
-it holds; Spark counts, for each host, the distinct pages that hold a container, and those on many pages of their
-host are taken out of all of them. Paragraphs are never compared, so what articles quote stays.
+A page is read once, from left to right, into blocks of text under nested containers. Every container's subtree is
+hashed with all it holds, menus and footers too; Spark counts, for each host, the distinct main texts whose pages hold
+a subtree, and subtrees on many of them are taken out of all pages of the host. Copies of an article count once, so
+they don't make it a template. Single paragraphs, headings and list items are never compared alone, so what several
+articles quote stays. What elements, roles and names say (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) goes on a host's first page already; names inside an article count only as whole
+words of a container that leave no doubt.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: A container is template on at least this many distinct pages of its host, and this part of them.
-TEMPLATE_PAGES, TEMPLATE_PART = 10, 0.3
-#: Pages with templates inside up to which their list is broadcast (at most 100 bytes each); beyond, both sides shuffle.
+#: A subtree is template on more than this many distinct main texts of its host, however large the host.
+TEMPLATE_PAGES = 10
+#: Templates up to which they are broadcast (a host and 8 bytes each); beyond, both sides shuffle.
 BROADCAST_ROWS = 50_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
+    "h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("aside details div dl figure main menu ol section table ul".split())
-DROPPED = frozenset("nav footer aside form button select option iframe svg dialog menu head object canvas audio video".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Elements whose subtrees are compared across pages.
+CONTAINERS = frozenset("aside details dialog div dl figure footer form header menu nav ol section table ul".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+DROPPED = frozenset("nav footer aside form button select option iframe svg dialog menu head object canvas audio video template".split()) | RAW
+DROPPED_ROLES = frozenset("navigation contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Class words and ids that mark what isn't text anywhere, and those that do so outside articles only.
 DROPPED_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
-    "notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments replies "
-    "reply respond discussion disqus social share sharing related recommended newsletter subscribe subscription signup login search "
-    "pagination pager toolbar".split()
+    "ad ads adbox ad-box ad-slot ad-container ad-banner advert adverts advertisement advertising sponsored cookie-notice "
+    "cookie-banner cookie-consent cookie-bar consent-banner gdpr popup modal overlay newsletter newsletter-signup subscribe-form sidebar "
+    "side-bar nav navbar navigation breadcrumb breadcrumbs pagination pager site-header site-footer comment comments comment-list commentlist "
+    "comments-area comments-section comment-section reader-comments user-comments disqus disqus_thread respond share-buttons share-bar "
+    "social-share social-links related-posts related-articles related-links".split()
 )
+OUTER_NAMES = frozenset(
+    "menu notice notices banner cookie cookies consent header footer masthead page-header page-footer promo promotion sponsor social share "
+    "sharing related recommended search login signup toolbar subscribe subscription discussion replies alert".split()
+)
+#: Elements of prose: names on them tell nothing.
+PROSE = frozenset("a abbr b blockquote body cite code em h1 h2 h3 h4 h5 h6 html i main mark p pre q s small strong sub sup td th tr u".split())
 #: An opening tag of these ends an open element of the same group first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_WALLS = frozenset("article body div html main ol section table td th ul".split())
+_WALLS = frozenset("article body div html main ol section table td th ul dl".split())
+_WALLS_OF = {tag: tuple(sorted(_WALLS.difference(CLOSES.get(tag, ())))) for tag in BLOCKS}
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^\"'>]*")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|$)", re.I) for name in RAW}
 
 
-def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside_article:
+def _dropped(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element isn't text; ``inside``: within an article or the main part."""
+    if tag in DROPPED or tag == "header" and not inside:
         return True
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        words = set(re.split(r"[\s_-]+", "".join(values).lower()))
-        if words & (DROPPED_ROLES if name.lower() == "role" else DROPPED_NAMES):
-            return tag not in ("html", "body", "article") or "comment" in words or "comments" in words
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        words = "".join(values).lower().split()
+        if name.lower() == "role":
+            if not DROPPED_ROLES.isdisjoint(words) or "banner" in words and not inside:
+                return True
+        elif tag == "article":
+            if "comment" in words:
+                return True
+        elif tag not in PROSE and (not DROPPED_NAMES.isdisjoint(words) or not inside and not OUTER_NAMES.isdisjoint(words)):
+            return True
     return False
 
 
 class Page:
-    """blocks: (text, container, in article, in main) in page order; containers: (parent, digest), 0 is the page."""
+    """texts: the blocks in page order, with what holds them: 0 dropped, 1 the page, 2 the main part, 3 an article.
+    containers: digest, first block and block past the last of each container with text. Work is linear in the page."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, bool, bool]] = []
-        self.containers: list[list] = [[0, 0]]
-        # tag, starts a dropped part, container, what the digest covers, in article, in main
-        self.stack: list[tuple[str, bool, int, list, bool, bool]] = [("", False, 0, [], False, False)]
-        self.text: list[str] = []
-        self.gone = 0
-        for m in _TOKEN.finditer(source):
-            if m[5] is not None:
-                if not self.gone:
-                    self.text.append(m[5])
-            elif m[3] is not None:
-                tag = m[3].lower()
-                if m[2]:
-                    self.end(tag)
-                else:
-                    self.start(tag, m[4])
+        self.texts: list[str] = []
+        self.holders: list[int] = []
+        self.containers: list[tuple[int, int, int]] = []
+        # tag, holder, first block, parts of the innermost container
+        self.stack: list[tuple[str, int, int, list]] = [("", 1, 0, [])]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+        self.blocks: list[int] = []
+        self.words: list[str] = []
+        self.scan(source)
         while len(self.stack) > 1:
             self.pop()
         self.flush()
 
+    def scan(self, s: str) -> None:
+        at, n, quotes, text = 0, len(s), True, 0
+        # ``text``: where the text node being read begins.
+        while at < n:
+            lt = s.find("<", at)
+            if lt < 0:
+                break
+            after = s[lt + 1 : lt + 2]
+            closing = after == "/"
+            name = _NAME.match(s, lt + 1 + closing)
+            if not name and after not in ("!", "?") and not (closing and s[lt + 2 : lt + 3] == ">"):
+                at = lt + 1  # a sign of text
+                continue
+            self.said(s, text, lt)
+            if not name:
+                end = s.find("-->", lt + 4) + 2 if s.startswith("<!--", lt) else s.find(">", lt)
+                if end < 2:
+                    return
+                at = text = end + 1
+                continue
+            end = self.tag_end(s, name.end(), n) if quotes else s.find(">", name.end())
+            if end < 0 and quotes:  # a quote that never ends: from here on the first ">" ends a tag
+                quotes = False
+                end = s.find(">", name.end())
+            if end < 0:
+                return
+            tag = name[0].lower()
+            at = text = end + 1
+            if closing:
+                self.end(tag)
+                continue
+            attributes = s[name.end() : end]
+            self.start(tag, attributes)
+            if tag in RAW and not attributes.endswith("/"):
+                close = _RAW_END[tag].search(s, at)
+                if not close:
+                    return
+                at = text = close.start()
+        self.said(s, text, n)
+
+    @staticmethod
+    def tag_end(s: str, i: int, n: int) -> int:
+        """The ">" that ends a tag, quoted values left out; -1 without one."""
+        while True:
+            i = _PLAIN.match(s, i).end()
+            if i >= n:
+                return -1
+            if s[i] == ">":
+                return i
+            if s[i - 1] == "=" or s[i - 1].isspace() and s[max(0, i - 40) : i].rstrip().endswith("="):
+                i = s.find(s[i], i + 1)
+                if i < 0:
+                    return -1
+            i += 1
+
+    def said(self, s: str, begin: int, end: int) -> None:
+        """A text node; its character references are its own."""
+        if end > begin:
+            self.words.append(entities.unescape(s[begin:end]))
+
     def flush(self) -> None:
-        words = entities.unescape("".join(self.text)).split()
-        self.text.clear()
-        if words and not self.gone:
-            _, _, container, parts, article, main = self.stack[-1]
-            line = " ".join(words)
-            self.blocks.append((line, container, article, main))
+        line = " ".join("".join(self.words).split())
+        self.words.clear()
+        if line:
+            _, holder, _, parts = self.stack[-1]
+            self.texts.append(line)
+            self.holders.append(holder)
             parts.append(line)
 
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The innermost open element of these."""
+        return max([places[-1] for places in map(self.open.get, tags) if places], default=0)
+
     def start(self, tag: str, attributes: str) -> None:
-        if tag == "br" or tag in VOID - {"hr"}:
-            self.text.append(" ")
-            return
         if tag in BLOCKS:
             self.flush()
-            for at in range(len(self.stack) - 1, 0, -1):  # a new block ends an open paragraph
-                if self.stack[at][0] == "p" or self.stack[at][0] in CLOSES.get(tag, ()):
-                    while len(self.stack) > at:
-                        self.pop()
-                    if tag not in CLOSES:
-                        break
-                elif self.stack[at][0] in _WALLS:
-                    break
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+            group = CLOSES.get(tag, ())
+            wall = self.last(_WALLS_OF[tag])
+            if group:
+                places = [p[bisect_right(p, wall)] for p in (self.open[t] for t in (*group, "p")) if p and p[-1] > wall]
+                self.pop_to(min(places, default=len(self.stack)))
+            elif self.open["p"] and self.open["p"][-1] > wall:
+                self.pop_to(self.open["p"][-1])
+        elif tag in VOID:
+            self.words.append(" ")
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             return
-        _, _, container, parts, article, main = self.stack[-1]
-        drop = _dropped(tag, attributes, article)
-        if not drop and not self.gone:
-            article = article or tag == "article"
-            main = main or tag == "main" or bool(re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I))
-            if tag in CONTAINERS:
-                self.containers.append([container, 0])
-                container, parts = len(self.containers) - 1, []
-        self.gone += drop
-        self.stack.append((tag, drop, container, parts, article, main))
+        _, holder, _, parts = self.stack[-1]
+        if _dropped(tag, attributes, holder > 1):
+            if tag not in BLOCKS:
+                self.flush()
+            holder = 0
+        elif holder and (tag == "article" or holder == 3):
+            holder = 3
+        elif holder and (tag == "main" or re.search(r"(?<![\w-])role\s*=\s*[\"']?main\b", attributes, re.I)):
+            holder = 2
+        self.open[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, holder, len(self.texts), [] if tag in CONTAINERS else parts))
 
     def pop(self) -> None:
-        tag, drop, container, parts, _, _ = self.stack[-1]
-        if tag in BLOCKS or drop:
+        tag, holder, first, parts = self.stack[-1]
+        if tag in BLOCKS or holder == 0 != self.stack[-2][1]:
             self.flush()
         self.stack.pop()
-        self.gone -= drop
-        if container != self.stack[-1][2]:
+        self.open[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        if tag in CONTAINERS and len(self.texts) > first:
             digest = xxhash.xxh64_intdigest("\n".join([tag, *parts])) - (1 << 63)
-            self.containers[container][1] = digest
+            self.containers.append((digest, first, len(self.texts)))
             self.stack[-1][3].append(f"\t{digest}")
 
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.pop()
+
     def end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at][0] == tag:
-                while len(self.stack) > at:
-                    self.pop()
-                return
-            if tag not in BLOCKS and self.stack[at][0] in BLOCKS:
-                return
-
-    def main_blocks(self) -> list[tuple[str, int]]:
-        """The blocks of the articles, else of the main part, else of the page."""
-        for part in (2, 3):
-            if any(b[part] for b in self.blocks):
-                return [b[:2] for b in self.blocks if b[part]]
-        return [b[:2] for b in self.blocks]
-
-    def chain(self, container: int) -> Iterator[int]:
-        while container:
-            container, digest = self.containers[container]
-            yield digest
-
-    def digests(self) -> set[int]:
-        """Digests of the containers with text in the main part."""
-        return {d for _, c in self.main_blocks() for d in self.chain(c)}
+        places = self.open[tag]
+        if places and (tag in BLOCKS or not self.blocks or places[-1] > self.blocks[-1]):
+            self.pop_to(places[-1])
 
-    def main_text(self, templates: set[int] = frozenset()) -> str:
-        return "\n\n".join(text for text, c in self.main_blocks() if not (templates and templates.intersection(self.chain(c))))
+    def main(self) -> np.ndarray:
+        """The numbers of the blocks of the articles, else of the main part, else of the page."""
+        holders = np.array(self.holders, np.int64)
+        most = holders.max(initial=0)
+        return np.flatnonzero(holders == most) if most else np.empty(0, np.int64)
 
 
 def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
 
 
-def _containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(h, k, d) for h, k, t in zip(batch["host"], batch["page_hash"], batch["html"]) for d in Page(t).digests()]
-        yield pd.DataFrame(rows, columns=["host", "page_hash", "digest"])
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PARSED = "page_id bigint, url string, host string, main_hash bigint, blocks array<string>, containers array<struct<digest:bigint,first:int,past:int>>"
+_CONTAINER = pa.list_(pa.struct([("digest", pa.int64()), ("first", pa.int32()), ("past", pa.int32())]))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page its main blocks, and its containers by their stretch of main blocks (empty, where they hold none)."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            hashes, blocks, containers = [], [], []
+            for source in batch.column(3).to_pylist():
+                page = Page(source)
+                main = page.main()
+                own = [page.texts[i] for i in main]
+                spans = [(d, *np.searchsorted(main, (a, b)).tolist()) for d, a, b in page.containers]
+                hashes.append(xxhash.xxh64_intdigest("\n".join(own)) - (1 << 63))
+                blocks.append(own)
+                containers.append([dict(zip(("digest", "first", "past"), x)) for x in spans])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), pa.array(hashes, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(containers, _CONTAINER)],
+                ["page_id", "url", "host", "main_hash", "blocks", "containers"],
+            )
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the blocks of template containers."""
     for batch in batches:
-        found = [Page(t).main_text(frozenset(d) if d is not None else frozenset()) for t, d in zip(batch["html"], batch["templates"])]
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": found})
-
-
-def template_digests(rows: DataFrame) -> DataFrame:
-    """``rows``: host, page_hash, html. Per distinct page with template containers: host, page_hash, templates."""
-    held = staged(rows.mapInPandas(_containers, "host string, page_hash bigint, digest bigint").distinct(), "containers")
-    pages = rows.groupBy("host").agg(F.count_distinct("page_hash").alias("pages"))
-    many = (
-        held.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-        .join(pages, "host").where(F.col("n") >= TEMPLATE_PART * F.col("pages")).select("host", "digest")
-    )
-    return held.join(many, ["host", "digest"]).groupBy("host", "page_hash").agg(F.collect_list("digest").alias("templates"))
-
-
-def extracted(pages: DataFrame, page_html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
+        out = []
+        for blocks, containers, templates in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            edges, gone = np.zeros(len(blocks) + 1, np.int64), frozenset(templates or ())
+            for c in containers if gone else ():
+                if c["digest"] in gone:
+                    edges[c["first"]] += 1
+                    edges[c["past"]] -= 1
+            out.append("\n\n".join(b for b, inside in zip(blocks, np.cumsum(edges).tolist()) if not inside))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def site_templates(parsed: DataFrame, limit: int = TEMPLATE_PAGES) -> DataFrame:
+    """``parsed``: host, main_hash, containers. The subtrees (host, digest) on more than ``limit`` distinct main texts of
+    a host, with their number as ``pages``."""
+    held = parsed.select("host", "main_hash", F.explode(F.array_distinct("containers.digest")).alias("digest")).distinct()
+    return held.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > limit)
+
+
+def extracted(
+    pages: DataFrame, page_html: str = "html", key: str = "page_id", url: str = "url", limit: int = TEMPLATE_PAGES, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (blocks joined by two line feeds).
 
-    A null or empty page has the empty text. Pages without a host in their url share one. Copies of a page count
-    once towards its host. Repeated rows are answered alike; other columns are ignored."""
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page_html), F.lit("")).alias("html"))
-    rows = rows.withColumns({"host": _host(F.col("url")), "page_hash": F.xxhash64("html")})
-    templates = staged(template_digests(rows.select("host", "page_hash", "html")), "templates")
-    if templates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        templates = F.broadcast(templates)
-    joined = rows.join(templates, ["host", "page_hash"], "left").select("page_id", "url", "html", "templates")
-    return joined.mapInPandas(_texts, "page_id bigint, url string, text string")
+    A null or empty page has the empty text. A null id or url comes back as null; pages without a host in their url
+    share one. Copies of a main text count once towards their host. Repeated rows are answered alike, and other
+    columns are ignored; an empty table gives no rows."""
+    rows = pages.select(
+        F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), _host(F.col(url)).alias("host"), F.coalesce(F.col(page_html), F.lit("")).alias("html")
+    )
+    parsed = staged(rows.mapInArrow(_parsed, _PARSED), "pages")
+    templates = staged(site_templates(parsed, limit), "templates")
+    if templates.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        of_host = templates.groupBy("host").agg(F.collect_list("digest").alias("known"))
+        joined = parsed.join(F.broadcast(of_host), "host", "left").withColumn("templates", F.array_intersect("containers.digest", "known"))
+    else:
+        digests = parsed.select("host", "main_hash", F.explode(F.array_distinct("containers.digest")).alias("digest")).distinct()
+        of_page = digests.join(templates, ["host", "digest"]).groupBy("host", "main_hash").agg(F.collect_set("digest").alias("templates"))
+        joined = parsed.join(of_page, ["host", "main_hash"], "left")
+    return joined.select("page_id", "url", "blocks", "containers", "templates").mapInArrow(_assembled, "page_id bigint, url string, text string")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -326,11 +327,61 @@ def test_language_models_against_a_context_tree(spark, documents):
     assert lang_id.identified(documents([(1, "a")]), lang_id.train(documents([]))).first().lang_pred == "und"
 
 
-def test_html_main_text(spark):
-    body = "<nav><a href=x>Menu</a></nav><div class='cookie-notice'>Ok</div>{}<aside>side</aside><form>f</form><div id=comments><p>hi</div><footer>f</footer>"
-    box = "<div><p>Follow us on all the channels</p></div>"
-    rows = [(i, "https://H.example/1", "<html><head><title>t</title></head><body>" + body.format(f"<div class=main><p>Text {i} &amp; <b>mo</b>re<br>x<p>Second{box}</div>")) for i in range(12)]
-    rows += [(50, "https://h.example/2", "<article><h1>A</h1><p>b\n c</p></article><p>out</p>"), (51, None, None), (52, "x", "<p>cut &am"), (53, "y", "")]
-    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert all(got[i] == f"Text {i} & more x\n\nSecond" for i in range(12))
-    assert (got[50], got[51], got[52], got[53]) == ("A\n\nb c", "", "cut &am", "")
+def main_of(source):
+    page = html_extract.Page(source)
+    return [page.texts[i] for i in page.main()]
+
+
+def test_html_blocks():
+    article = '<article><section id="search-algorithms"><p>A</section><p class="social history">B</p><div class="share-price">C</div><noscript>D </noscript>&am<b>p;</b></article>'
+    assert main_of(article) == ["A", "B", "C", "D &amp;"]
+    assert main_of("<ul class=menu><li>x</ul><div class=text><p>a<p>b<br>c<table><tr><td>1<td>2<tr><td>3</table></div><p don't>q</p> 1 < 2 &lt; 3 <!-- c --> z") == [
+        "a", "b c", "1", "2", "3", "q", "1 < 2 < 3 z"
+    ]
+    assert main_of("<article><h1>T</h1><p><b>x.<br><p>y</article><div class=comments><article class=comment>no</article></div>") == ["T", "x.", "y"]
+    assert main_of('<p title="unclosed>one</p><p>two</p>') == ["one", "two"]
+    assert main_of("<header>h</header><main><header><h1>Title</h1></header>a<aside>b</aside><form>c<input></form></main>d<footer>e</footer>") == ["Title", "a"]
+    assert main_of("<script>if (a < b) '</p>'</script>x<style>y</style><textarea><p>z</textarea><svg><text>t</text></svg>") == ["x"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<div>a", "<i>", "<i><p>x</p>", "<li>x", '<a href="x>', "<!-- ", "</", "&"])
+def test_html_is_read_in_linear_time(piece):
+    took = []
+    for size in (125_000, 500_000):
+        began = time.process_time()
+        html_extract.Page("<i>" * 20_000 + piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("setting", [{"limit": 3}, {"limit": 3, "broadcast_rows": 0}])
+def test_html_templates_against_a_count(spark, setting):
+    rng = random.Random(13)
+    boxes = [f"<div><p>Box {b} of the site</p><ul><li>one<li>two {b % 2}</ul></div>" for b in range(6)]
+    quote, rows, parts = "<p>What several of them quote</p>", [], []
+    for i in range(40):
+        host, own = f"h{i % 2}.example", [rng.choice(boxes) for _ in range(rng.randrange(3))]
+        body = [f"<p>Text {i // 2 * 2} </p>", *own, quote]  # two hosts with the same articles; every other page twice
+        rows.append((i, f"https://{host}/{i}", "<nav><ul><li>m</ul></nav><article>" + "".join(body) + "</article>", 1, "clash"))
+        parts.append((host, f"Text {i // 2 * 2}", own))
+    rows += [(*rows[0][:2], rows[0][2] + "<div class=ad>other</div>", 2, "copy"), (90, None, None, 0, None), (91, "y", "", 0, None), (None, "z", "<p>n</p>" + "w " * 100_000, 0, None)]
+    texts = lambda box: [f"Box {boxes.index(box)} of the site", "one", f"two {boxes.index(box) % 2}"]
+    subtrees = lambda box: [("div", *texts(box)), ("ul", *texts(box)[1:])]
+    held = collections.defaultdict(set)
+    for host, text, own in parts:
+        for box in own:
+            for s in subtrees(box):
+                held[host, s].add((text, *own))
+    want = {}
+    for (i, *_), (host, text, own) in zip(rows, parts):
+        out = [text]
+        for box in own:
+            whole, inner = (len(held[host, s]) > 3 for s in subtrees(box))
+            out += [] if whole else texts(box)[:1] if inner else texts(box)
+        want[i] = "\n\n".join([*out, "What several of them quote"])
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, blocks int, host string").repartition(3)
+    got = html_extract.extracted(frame, **setting).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == want[r.page_id] for r in got if r.page_id is not None and r.page_id < 40)
+    assert {(r.page_id, r.url, r.text[:3]) for r in got if r.page_id is None or r.page_id >= 40} == {(90, None, ""), (91, "y", ""), (None, "z", "n\n\n")}
+    assert html_extract.extracted(frame.limit(0), **setting).count() == 0
