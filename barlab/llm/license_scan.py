@@ -2,7 +2,8 @@
 
 The automaton holds every run of words of every template. A file streams through it word by word, which gives at each
 place the longest run that ends there and occurs in a template; maximal runs are chained, template by template, into
-covered spans. A template counts as present when enough of it is covered.
+covered spans, each run after the open chain with which it covers most. A template counts as present when enough of it
+is covered.
 """
 
 from __future__ import annotations
@@ -16,30 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-
-#: Phrases of the base labels.
-PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-#: Public license notices, each with the label it gives.
-TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("mit", "Released under the MIT License."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-)
+from .license_texts import PHRASES, TEMPLATES
 
 #: Shortest run of words that may join a chain, words that a chain may skip, and the part of a template to be covered.
-SHORTEST, SKIP, COVERED = 3, 4, 0.75
+SHORTEST, SKIP, COVERED = 3, 8, 0.75
 #: So many covered words are enough in a long template.
 ENOUGH = 40
 
@@ -132,24 +113,45 @@ class Scanner:
         return out
 
     def spans(self, words: list[bytes]) -> list[tuple[str, int, int, int, int]]:
-        """(label, first word, last word, words covered, words of the template) of each template that is present,
-        once for each chain that covers enough of it."""
-        chains: dict[int, list[list[int]]] = {}
+        """(label, first word, last word, words covered, words of the template) of each template that is present, once
+        for each stretch of the file that covers enough of it; stretches of one template don't overlap."""
+        places: dict[int, list[tuple[int, int, int]]] = {}
         for last, size, state in self.maximal_runs(words):
             for t, end in self.automaton.ends[state]:
-                first, begin = last - size + 1, end - size + 1
-                own = chains.setdefault(t, [])
-                chain = own[-1] if own else None
-                if chain and first <= chain[1] + 1 + SKIP and last > chain[1] and end > chain[2] and begin <= chain[2] + 1 + SKIP:
-                    chain[3] += min(size, last - chain[1], end - chain[2])
-                    chain[1], chain[2] = last, end
-                else:
-                    own.append([first, last, end, size])
-        return sorted(
-            (self.labels[t], first, last, covered, self.sizes[t])
-            for t, own in chains.items() for first, last, _, covered in own
-            if covered >= COVERED * self.sizes[t] or covered >= ENOUGH
-        )
+                places.setdefault(t, []).append((last, size, end))
+        out = []
+        for t, own in places.items():
+            need = min(COVERED * self.sizes[t], ENOUGH)
+            if sum(size for _, size, _ in own) >= need:
+                out += [(self.labels[t], *stretch, self.sizes[t]) for stretch in best_chains(own, need)]
+        return sorted(out)
+
+
+def best_chains(places: list[tuple[int, int, int]], need: float) -> list[tuple[int, int, int]]:
+    """``places``: (last word, words, end in the template) of one template's runs, by last word. Two runs follow each
+    other where both file and template go on, over gaps of at most SKIP words; words of an overlap count once. Returns
+    (first word, last word, words covered) of the chains that cover at least ``need``, the best first, those that overlap
+    a better one left out."""
+    covered, firsts, low = [], [], 0
+    for i, (last, size, end) in enumerate(places):
+        first, begin = last - size + 1, end - size + 1
+        while low < i and places[low][0] + 1 + SKIP < first:  # first words never fall, so these are closed for good
+            low += 1
+        best, start = size, first
+        for j in range(low, i):
+            before, _, stop = places[j]
+            if before < last and stop < end and begin <= stop + 1 + SKIP:
+                total = covered[j] + min(size, last - before, end - stop)
+                if total > best:
+                    best, start = total, firsts[j]
+        covered.append(best)
+        firsts.append(start)
+    out: list[tuple[int, int, int]] = []
+    for i in sorted((i for i, n in enumerate(covered) if n >= need), key=lambda i: (-covered[i], firsts[i], places[i][0])):
+        first, last = firsts[i], places[i][0]
+        if all(last < a or first > b for a, b, _ in out):
+            out.append((first, last, covered[i]))
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -208,7 +210,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     covered = F.array_max(F.transform("spans", lambda s: F.least(F.lit(1.0), s["covered"] / s["size"])))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
-        F.array_min("places.first").alias("first_word"), F.array_max("places.last").alias("last_word"),
+        F.array_min("places.first").alias("first_word"), F.array_max("places.first").alias("last_word"),
         labels("places.label").alias("base_labels"), labels("places.label", "spans.label").alias("labels"),
         F.coalesce(covered, F.when(F.size("places") > 0, 0.5), F.lit(0.0)).alias("score"),
     )

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -221,12 +222,63 @@ def test_license_automaton_against_search():
         assert all(scan.automaton.ends[s] == sorted(places(words[i - n + 1 : i + 1])) for i, n, s in runs)
 
 
-def test_license_scan(documents):
-    notice = license_scan.TEMPLATES[3][1]
-    got = {r.doc_id: r for r in license_scan.scanned(documents([(1, f"x {notice} y"), (2, "the mit License. General PUBLIC license"), (3, None)])).collect()}
-    assert [(s.label, s.first) for s in got[1].spans] == [("bsd", 1)]
-    assert [(p.first, p.last, p.label) for p in got[2].places] == [(1, 2, "mit"), (3, 5, "gpl")]
-    assert got[3].n_words == 0 and got[3].spans == []
+def test_license_chains_against_every_chain():
+    rng = random.Random(18)
+    for _ in range(300):
+        places, first = [], 0
+        for _ in range(rng.randint(1, 9)):
+            first += rng.randrange(4)
+            last, size = first + rng.randint(2, 6), 0
+            if places and last <= places[-1][0]:
+                last = places[-1][0] + (rng.random() < 0.7)
+            size = last - first + 1
+            places += [(last, size, size - 1 + rng.randrange(12)) for _ in range(rng.randint(1, 2))]
+        most = 0
+
+        def follow(i, total):
+            nonlocal most
+            most = max(most, total)
+            last, _, end = places[i]
+            for k in range(i + 1, len(places)):
+                to, size, stop = places[k]
+                if last < to and end < stop and to - size <= last + license_scan.SKIP and stop - size <= end + license_scan.SKIP:
+                    follow(k, total + min(size, to - last, stop - end))
+
+        for i, (_, size, _) in enumerate(places):
+            follow(i, size)
+        got = license_scan.best_chains(places, 1)
+        assert got[0][2] == most and all(a[1] < b[0] or a[0] > b[1] for n, a in enumerate(got) for b in got[n + 1 :])
+
+
+def test_edited_licenses_are_found():
+    rng, scan = random.Random(19), license_scan.scanner()
+    for t, (label, text) in enumerate(license_scan.TEMPLATES):
+        own = license_scan.words_of(text)
+        for _ in range(12):
+            words, at, k = list(own), rng.randrange(len(own)), rng.randrange(len(own))
+            if len(own) > 30:  # four of its own words, and a word changed
+                words[at:at] = own[k : k + 4]
+                words[rng.randrange(len(words))] = b"qqq"
+            lead = [b"x"] * rng.randrange(5)
+            assert label in {s[0] for s in scan.spans(lead + words)}, (t, label)
+    assert scan.spans([b"the", b"software", b"is", b"fine"] * 5000) == []
+
+
+def test_license_query_columns(spark, tmp_path):
+    notice = license_scan.TEMPLATES[4][1]
+    phrase = "the Mit-License. General PUBLIC license mit license2"
+    rows = [(1, f"x {notice} y"), (2, phrase), (3, None), (4, ""), (2, phrase), (None, "apache license"), (5, "wörter " * 60_000 + "Released under the MIT License.")]
+    spark.createDataFrame([(i, t, 9, "l") for i, t in rows], "doc_id bigint, text string, n_words int, labels string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter(tuple(r) for r in license_scan.op5_license_scan(spark, str(tmp_path)).collect())
+    want = collections.Counter()
+    for i, t in rows:
+        words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+        found = [(k, k + len(p.split()) - 1, label) for p, label in license_scan.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        base = {x[2] for x in found}
+        extra, score = {1: ({"bsd"}, 1.0), 5: ({"mit"}, 1.0)}.get(i, (set(), 0.5 if found else 0.0))
+        want[i, len(words), len(found), min((x[0] for x in found), default=None), max((x[0] for x in found), default=None), ",".join(sorted(base)), ",".join(sorted(base | extra)), score] += 1
+    assert got == want
+    assert license_scan.scanned(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
 def test_mix_comes_near_its_targets(documents):
