@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -25,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import byte_slices, discard, gathered, shuffle_partitions, staged, table
+from .common import byte_slices, gathered, shuffle_partitions, staged, table
 from .suffix_array import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
 #: Distinct runs in one shard, about; documents per owner of the exchange; bytes of text in a parcel.
-SHARD_RUNS, PER_OWNER, PARCEL_BYTES = 40_000, 20_000, 8 << 20
+SHARD_RUNS, PER_OWNER, PARCEL_BYTES = 40_000, 20_000, 4 << 20
+#: Strings in a run; longer ones (of one repeated byte, say) are cut.
+LONGEST_RUN = 64
 #: An anchor is named to its owner with its number of places where a parcel has so many, and is hot beyond so many in
 #: all; its runs are then cut into single strings.
 HEAVY_PLACES, HOT_PLACES = 32, 20_000
@@ -63,8 +64,8 @@ def _least_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents of ``sizes`` bytes, end to end in ``data``: each run's first string, its number of strings and its
-    anchor. Strings lie within one document."""
+    """Of documents of ``sizes`` bytes, end to end in ``data``: each run's first string, its number of strings (at most
+    LONGEST_RUN) and its anchor. Strings lie within one document."""
     ends = np.cumsum(sizes)
     edges = np.zeros(len(data) + 1, np.int8)
     np.add.at(edges, np.maximum(ends - sizes, ends - WIDTH + 1), 1)
@@ -78,7 +79,12 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])]))
         keep = inside[cut]
         out.append((cut[keep] + lo, np.diff(np.append(cut, hi - lo))[keep], least[cut[keep]]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    first, many, anchor = (np.concatenate(x) for x in zip(*out))
+    if many.max(initial=0) > LONGEST_RUN:
+        cuts = -(-many // LONGEST_RUN)
+        step = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * LONGEST_RUN
+        first, many, anchor = np.repeat(first, cuts) + step, np.minimum(np.repeat(many, cuts) - step, LONGEST_RUN), np.repeat(anchor, cuts)
+    return first, many, anchor
 
 
 def _packed(*arrays: np.ndarray | bytes) -> bytes:
@@ -159,70 +165,67 @@ def _answers(hot_places: int):
     return answer
 
 
-_RUNS = "parcel bigint, shard int, packed binary"
-_RUN_TYPES = dict(parcel=pa.int64(), shard=pa.int32(), packed=pa.binary())
-
-
-def _shared_runs(bits: int, span: int, shards: int):
-    """Per parcel: a row with its shared runs (first string, number of the distinct run), and for each shard a row with
-    the parcel's distinct runs (bytes, smallest document)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                parcel, texts, answers = (batch.column(c)[i].as_py() for c in range(3))
-                yield from of(parcel, texts, {a["owner"]: a for a in answers})
+class _Parcel:
+    """A parcel's documents and its shared runs: ``starts`` (first strings), ``number`` (of the distinct run, in the order
+    of shards), and per distinct run its ``pieces`` (bytes), ``least`` (smallest document) and ``shard``."""
 
-    def of(parcel: int, texts: bytes, answers: dict) -> Iterator[pa.RecordBatch]:
-        ids, sizes, data = _unpacked(texts, np.int64, np.int64, np.uint8)
-        first, many, anchor = runs(data, sizes)
+    def __init__(self, texts: bytes, answers: list, bits: int, span: int, shards: int):
+        self.ids, self.sizes, self.data = _unpacked(texts, np.int64, np.int64, np.uint8)
+        first, many, anchor = runs(self.data, self.sizes)
         distinct, inverse = np.unique(anchor >> _U(64 - bits), return_inverse=True)
         shared, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+        told = {a["owner"]: a for a in answers or ()}
         for owner, a, b in exchange.by_owner(distinct, span):
-            shared[a:b] = exchange.flags(answers[owner]["shared"], b - a)
-            if answers[owner]["hot"] is not None:
-                hot[a:b] = exchange.flags(answers[owner]["hot"], b - a)
-        kept, cut = shared[inverse], hot[inverse]
-        shard = (anchor % _U(shards)).astype(np.int64)
-        whole = kept & ~cut
-        starts, counts, places = first[whole], many[whole], shard[whole]
-        raw = data.tobytes()
-        if (kept & cut).any():  # single strings, by their own hash
-            n = many[kept & cut]
-            single = np.repeat(first[kept & cut] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared[a:b] = exchange.flags(told[owner]["shared"], b - a)
+            if told[owner]["hot"] is not None:
+                hot[a:b] = exchange.flags(told[owner]["hot"], b - a)
+        whole, cut = (shared & ~hot)[inverse], (shared & hot)[inverse]
+        starts, counts, shard = first[whole], many[whole], (anchor[whole] % _U(shards)).astype(np.int64)
+        raw = self.data.tobytes()
+        if cut.any():  # single strings, by their own hash
+            n = many[cut]
+            single = np.repeat(first[cut] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             own = np.fromiter((xxhash.xxh3_64_intdigest(raw[a : a + WIDTH]) % shards for a in single.tolist()), np.int64, len(single))
-            starts, counts, places = np.append(starts, single), np.append(counts, np.ones(len(single), np.int64)), np.append(places, own)
-        if not len(starts):
-            return
+            starts, counts, shard = np.append(starts, single), np.append(counts, np.ones(len(single), np.int64)), np.append(shard, own)
         known: dict[bytes, int] = {}
-        number = np.fromiter(
-            (known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), (starts + counts + WIDTH - 1).tolist())), np.int64, len(starts)
-        )
-        owner_id = ids[np.searchsorted(np.cumsum(sizes), starts, side="right")]
-        least = np.full(len(known), _NO_ID)
-        np.minimum.at(least, number, owner_id)
-        shard_of = np.empty(len(known), np.int64)
-        shard_of[number] = places
+        ends = starts + counts + WIDTH - 1
+        number = np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+        shard_of = np.zeros(len(known), np.int64)
+        shard_of[number] = shard
         order = np.argsort(shard_of, kind="stable")
-        rank = np.empty(len(known), np.int32)
+        rank = np.empty(len(known), np.int64)
         rank[order] = np.arange(len(known))
-        by_place = np.argsort(starts, kind="stable")
-        yield _row(_RUN_TYPES, parcel=parcel, shard=-1, packed=_packed(np.diff(starts[by_place], prepend=0).astype(np.int32), rank[number[by_place]]))
-        pieces = list(known)
-        lengths = np.array([*map(len, pieces)], np.int32)
-        ranked = shard_of[order]
-        cuts = np.flatnonzero(np.diff(ranked, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-            own = order[a:b]
-            yield _row(_RUN_TYPES, parcel=parcel, shard=int(ranked[a]), packed=_packed(least[own], lengths[own], b"".join(pieces[k] for k in own.tolist())))
+        self.starts, self.number, self.shard = starts, rank[number], shard_of[order]
+        self.owner = self.ids[np.searchsorted(np.cumsum(self.sizes), starts, side="right")]
+        self.least = np.full(len(known), _NO_ID)
+        np.minimum.at(self.least, self.number, self.owner)
+        names = list(known)
+        self.pieces = [names[k] for k in order.tolist()]
+
+
+_RUNS = "parcel bigint, shard int, packed binary"
+_RUN_TYPES = dict(parcel=pa.int64(), shard=pa.int32(), packed=pa.binary())
+
+
+def _distinct_runs(bits: int, span: int, shards: int):
+    """Per parcel and shard a row with the parcel's distinct shared runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = _Parcel(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), bits, span, shards)
+                cuts = np.flatnonzero(np.diff(own.shard, prepend=-1)).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(own.shard)]):
+                    lengths = np.array([*map(len, own.pieces[a:b])], np.int32)
+                    packed = _packed(own.least[a:b], lengths, b"".join(own.pieces[a:b]))
+                    yield _row(_RUN_TYPES, parcel=batch.column(0)[i].as_py(), shard=int(own.shard[a]), packed=packed)
 
     return run
 
 
-def smallest_holders(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smallest_holders(pieces: list[bytes], least: np.ndarray) -> np.ndarray:
     """``pieces``: distinct byte strings of at least WIDTH bytes, each with its smallest document. For every
-    WIDTH-byte string of every piece, in order, the smallest document of any piece that has it; and the number of
-    strings of each piece."""
+    WIDTH-byte string of every piece, in order, the smallest document of any piece that has it."""
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begins = np.cumsum(lengths + 1) - lengths - 1
     data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
@@ -241,7 +244,7 @@ def smallest_holders(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray
     least_of = np.repeat(least, counts)[string_of[whole]]
     smallest = np.empty(tops[-1], np.int64)
     smallest[string_of[whole]] = np.repeat(np.minimum.reduceat(least_of, heads), np.diff(np.append(heads, len(whole))))
-    return smallest, counts
+    return smallest
 
 
 def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
@@ -256,8 +259,16 @@ def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
         docs.append(least)
     least = np.full(len(known), _NO_ID)
     np.minimum.at(least, np.concatenate(numbers), np.concatenate(docs))
-    smallest, counts = smallest_holders(list(known), least)
+    pieces = list(known)
+    counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - WIDTH + 1
     tops = np.cumsum(counts)
+    smallest = np.repeat(least, counts)
+    # A run that is alone at its anchor has no string in common with another.
+    anchor = _least_hashes(np.frombuffer(b"".join(p[:WIDTH] for p in pieces), np.uint8))[::WIDTH]
+    _, inverse, together = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(together[inverse] > 1)
+    if len(several):
+        smallest[np.repeat(together[inverse] > 1, counts)] = smallest_holders([pieces[k] for k in several.tolist()], least[several])
     heads = np.zeros(len(smallest), bool)
     heads[1:] = smallest[1:] != smallest[:-1]
     heads[tops - counts] = True
@@ -273,39 +284,43 @@ def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"parcel": group["parcel"], "shard": group["shard"], "verdict": out})
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            texts, index, verdicts = (batch.column(c)[i].as_py() for c in range(3))
-            ids, sizes, data = _unpacked(texts, np.int64, np.int64, np.uint8)
-            ends = np.cumsum(sizes)
-            gone = np.zeros(len(data), bool)
-            if index is not None:
-                step, number = _unpacked(index, np.int32, np.int32)
-                first = np.cumsum(step, dtype=np.int64)
-                parts = [_unpacked(v["verdict"], np.int32, np.int32, np.int64) for v in sorted(verdicts, key=lambda v: v["shard"])]
-                many, end, least = (np.concatenate(x) for x in zip(*parts))
-                many = many.astype(np.int64)
-                at = np.cumsum(many) - many
-                begin = np.where(np.isin(np.arange(len(end)), at), 0, np.append(0, end[:-1]))
-                n = many[number]
-                doc = np.repeat(ids[np.searchsorted(ends, first, side="right")], n)
-                own = np.repeat(at[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                lost = least[own] < doc
-                base, own = np.repeat(first, n)[lost], own[lost]
-                edges = np.bincount(base + begin[own], minlength=len(data) + 1) - np.bincount(base + end[own] + WIDTH - 1, minlength=len(data) + 1)
-                gone = np.cumsum(edges[:-1]) > 0
-            heads = gone & ~np.concatenate([[False], gone[:-1]])
-            heads[(ends - sizes)[sizes > 0]] |= gone[(ends - sizes)[sizes > 0]]
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.append(0, ends)])
-            removed, spans = total(gone), total(heads)
-            kept = data[~gone]
-            offsets = np.append(0, np.cumsum(sizes - removed)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64(), mask=ids == _NO_ID), pa.array(sizes), pa.array(removed), pa.array(spans),
-                 pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+def _cut(bits: int, span: int, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts, answers, verdicts = (batch.column(c)[i].as_py() for c in range(3))
+                yield _left(_Parcel(texts, answers, bits, span, shards), verdicts)
+
+    return run
+
+
+def _left(own: _Parcel, verdicts: list | None) -> pa.RecordBatch:
+    """A parcel's documents without the strings that smaller documents have."""
+    ids, sizes, data, ends = own.ids, own.sizes, own.data, np.cumsum(own.sizes)
+    gone = np.zeros(len(data), bool)
+    if verdicts:
+        parts = [_unpacked(v["verdict"], np.int32, np.int32, np.int64) for v in sorted(verdicts, key=lambda v: v["shard"])]
+        many, end, least = (np.concatenate(x) for x in zip(*parts))
+        many = many.astype(np.int64)
+        at = np.cumsum(many) - many
+        begin = np.append(0, end[:-1])
+        begin[at] = 0
+        n = many[own.number]
+        stretch = np.repeat(at[own.number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        lost = least[stretch] < np.repeat(own.owner, n)
+        base, stretch = np.repeat(own.starts, n)[lost], stretch[lost]
+        edges = np.bincount(base + begin[stretch], minlength=len(data) + 1) - np.bincount(base + end[stretch] + WIDTH - 1, minlength=len(data) + 1)
+        gone = np.cumsum(edges[:-1]) > 0
+    heads = gone & ~np.concatenate([[False], gone[:-1]])
+    heads[(ends - sizes)[sizes > 0]] |= gone[(ends - sizes)[sizes > 0]]
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.append(0, ends)])
+    removed, spans = total(gone), total(heads)
+    offsets = np.append(0, np.cumsum(sizes - removed)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64(), mask=ids == _NO_ID), pa.array(sizes), pa.array(removed), pa.array(spans),
+         pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~gone]))])],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+    )
 
 
 def removed_repeats(
@@ -327,17 +342,13 @@ def removed_repeats(
     blocks = sent.where("owner is not null").select("parcel", "owner", "block", "again", "heavy", "places")
     answers = staged(blocks.groupBy("owner").applyInPandas(_answers(hot_places), "parcel bigint, owner int, shared binary, hot binary, n bigint"), "answers")
     shards = max(shuffle_partitions(spark), -(-(answers.agg(F.sum("n")).first()[0] or 0) // SHARD_RUNS))
-    parcels = sent.where("owner is null").select("parcel", "texts")
     told = answers.groupBy("parcel").agg(F.collect_list(F.struct("owner", "shared", "hot")).alias("answers"))
-    found = staged(
-        parcels.join(told.hint("shuffle_hash"), "parcel").select("parcel", "texts", "answers").mapInArrow(_shared_runs(bits, span, shards), _RUNS), "runs"
-    )
-    discard(answers)
-    verdicts = found.where("shard >= 0").groupBy("shard").applyInPandas(_verdicts, "parcel bigint, shard int, verdict binary")
+    parcels = sent.where("owner is null").select("parcel", "texts").join(told.hint("shuffle_hash"), "parcel", "left")
+    found = parcels.select("parcel", "texts", "answers").mapInArrow(_distinct_runs(bits, span, shards), _RUNS)
+    verdicts = found.groupBy("shard").applyInPandas(_verdicts, "parcel bigint, shard int, verdict binary")
     verdicts = staged(verdicts.groupBy("parcel").agg(F.collect_list(F.struct("shard", "verdict")).alias("verdicts")), "verdicts")
-    index = found.where("shard < 0").select("parcel", F.col("packed").alias("index")).join(verdicts, "parcel")
-    return parcels.join(index.hint("shuffle_hash"), "parcel", "left").select("texts", "index", "verdicts").mapInArrow(
-        _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    return parcels.join(verdicts.hint("shuffle_hash"), "parcel", "left").select("texts", "answers", "verdicts").mapInArrow(
+        _cut(bits, span, shards), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
 
