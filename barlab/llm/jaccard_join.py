@@ -3,12 +3,13 @@
 Jaccard distance is a metric, so with the distances of documents to a pivot the triangle inequality tells which pairs
 can't be close. Unrelated shingle sets all lie at distance 1 from each other, where no pivot tells anything, so the
 space is first cut by anchors: each set's shingles are dealt into parts by hash, and two sets that are close enough
-agree in whole parts (there are more parts than differing shingles). Each anchor shared by two sets is a cell, and
-its best connected document is its pivot. Inside a cell the distance to the pivot, computed exactly, makes the Voronoi
-region around it (up to twice the threshold) and the rest, with the documents between one and two thresholds in both;
-so any two linked documents stay together. Cells divide again around new pivots until they are small, and then all
-their pairs are compared. Cells whose documents are already connected go at once, so a group of copies costs one
-comparison a document.
+agree in whole parts (there are more parts than differing shingles). Each anchor shared by two sets is a cell. A few
+anchors of each set come first: there every document meets the cell's pivot alone, which connects most copies for one
+comparison each. Of all anchors only cells that hold several components remain, and their best connected document is
+their pivot. Inside a cell the distance to the pivot, computed exactly, makes the Voronoi region around it (up to twice
+the threshold) and the rest, with the documents between one and two thresholds in both; so any two linked documents
+stay together. Regions divide again around new pivots as long as that parts them; small ones are compared pair by pair,
+and ones whose documents all lie at the same distance from everything, which no pivot can part, block by block.
 """
 
 from __future__ import annotations
@@ -23,22 +24,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golomb
-from .common import shuffle_partitions, staged, table
+from . import exchange
+from .common import byte_slices, shuffle_partitions, staged, table
 from .components import contracted
 
 WIDTH = 5
 #: Documents of a cell up to which all pairs are compared.
 LEAF = 8
-#: Times that cells are divided before what is left in one is compared block by block; documents in one block.
-DEPTH, BLOCK = 2, 512
+#: Regions are divided while that takes away this part of their rows or more; documents in one block of what is left.
+PROGRESS, BLOCK = 0.2, 512
+#: Anchors of a set that are looked at first.
+HEADS = 4
 #: Documents per owner of the anchor exchange, about.
 PER_OWNER = 40_000
 
-#: Documents with shared anchors up to which their ids are broadcast (8 bytes each) to pick their texts; beyond, both
-#: sides shuffle.
+#: Documents up to which their ids are broadcast (8 bytes each) to pick their texts or sets; beyond, both sides shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Words whose hashes a task remembers.
+REMEMBERED = 250_000
+
+#: Buckets of a sketch; bytes of text whose shingles are made at once.
+_BUCKETS, _STEP_BYTES = 256, 4 << 20
+
 _SALTS = 3
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 _U = np.uint64
@@ -66,7 +74,7 @@ class Shingler:
         words = (text or "").encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - WIDTH + 1)
@@ -122,14 +130,14 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
 
 
 _FIRST = (
-    "doc_id bigint, n_shingles bigint, set_hash binary, sender int, owner int, block binary, counts array<int>, ids array<bigint>"
+    "doc_id bigint, n_shingles bigint, set_hash binary, heads array<bigint>, sender int, owner int, block binary, counts array<int>, ids array<bigint>"
 )
 
 
 def _arrow(**columns) -> pa.RecordBatch:
     rows = len(next(iter(columns.values())))
     kinds = dict(
-        doc_id=pa.int64(), n_shingles=pa.int64(), set_hash=pa.binary(), sender=pa.int32(), owner=pa.int32(), block=pa.binary(),
+        doc_id=pa.int64(), n_shingles=pa.int64(), set_hash=pa.binary(), heads=pa.list_(pa.int64()), sender=pa.int32(), owner=pa.int32(), block=pa.binary(),
         counts=pa.list_(pa.int32()), ids=pa.list_(pa.int64()),
     )
     return pa.RecordBatch.from_arrays(
@@ -137,17 +145,15 @@ def _arrow(**columns) -> pa.RecordBatch:
     )
 
 
-def _first_pass(bits: int, owners: int):
-    """Rows of documents (their set's size and hash), then rows of anchor blocks, one for each owner; within a
-    partition equal sets send their anchors once, under their smallest id."""
-    span = -(-(1 << bits) // owners)
+def _first_pass(bits: int, span: int):
+    """Rows of documents (their set's size, hash and first anchors), then rows of anchor blocks, one for each owner;
+    within a partition equal sets send their anchors once, under their smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, slot_of, keys, least = Shingler(), {}, [], []
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                sizes, hashes = [], []
+            for batch in byte_slices(whole, 1, _STEP_BYTES):
+                sizes, hashes, heads = [], [], []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     own = shingle(text)
                     digest = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
@@ -159,7 +165,10 @@ def _first_pass(bits: int, owners: int):
                             keys.append(anchors(own) >> _U(64 - bits))
                             least.append(key)
                         least[slot] = min(least[slot], key)
-                yield _arrow(doc_id=batch.column(0), n_shingles=sizes, set_hash=hashes)
+                        heads.append(keys[slot][:HEADS].astype(np.int64))
+                    else:
+                        heads.append(None)
+                yield _arrow(doc_id=batch.column(0), n_shingles=sizes, set_hash=hashes, heads=heads)
         if not keys:
             return
         key, id_ = np.concatenate(keys), np.repeat(np.array(least, np.int64), [len(k) for k in keys])
@@ -167,24 +176,20 @@ def _first_pass(bits: int, owners: int):
         key, id_ = key[order], id_[order]
         distinct, counts = np.unique(key, return_counts=True)
         ends = np.cumsum(counts)
-        owner_of = (distinct // _U(span)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner_of, prepend=-1))
         sender = TaskContext.get().partitionId()
-        for a, b in zip(cuts, [*cuts[1:], len(distinct)]):
-            owner, lo, hi = int(owner_of[a]), ends[a] - counts[a], ends[b - 1]
+        for owner, a, b in exchange.by_owner(distinct, span):
             yield _arrow(
-                sender=[sender], owner=[owner], block=[golomb.encode(distinct[a:b] - _U(owner * span), span)],
-                counts=[counts[a:b].astype(np.int32)], ids=[id_[lo:hi]],
+                sender=[sender], owner=[owner], block=[exchange.coded(distinct[a:b], owner, span)],
+                counts=[counts[a:b].astype(np.int32)], ids=[id_[ends[a] - counts[a] : ends[b - 1]]],
             )
 
     return run
 
 
 def _answer(blocks: pd.DataFrame) -> pd.DataFrame:
-    lists = [golomb.decode(b) for b in blocks["block"]]
-    _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    again = np.split(counts[inverse] > 1, np.cumsum([len(x) for x in lists])[:-1])
-    return pd.DataFrame({"sender": blocks["sender"], "owner": blocks["owner"], "bitmap": [np.packbits(x).tobytes() for x in again]})
+    """For each block of one owner, a bitmap of the anchors that several documents hold."""
+    totals = exchange.sums_over_blocks(list(blocks["block"]), [np.asarray(c, np.float64) for c in blocks["counts"]])
+    return pd.DataFrame({"sender": blocks["sender"], "owner": blocks["owner"], "bitmap": [exchange.bitmap(t > 1) for t in totals]})
 
 
 def _shared_anchors(span: int):
@@ -192,24 +197,20 @@ def _shared_anchors(span: int):
         for batch in batches:
             for owner, block, counts, ids, bitmap in zip(*(batch[c] for c in ("owner", "block", "counts", "ids", "bitmap"))):
                 counts = np.asarray(counts)
-                again = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(counts)).astype(bool) | (counts > 1)
-                cells = golomb.decode(block).astype(np.int64) + owner * span
-                many = np.repeat(again, counts)
+                many = np.repeat(exchange.flags(bitmap, len(counts)), counts)
+                cells = exchange.decoded(block, owner, span).view(np.int64)
                 yield pd.DataFrame({"cell": np.repeat(cells, counts)[many], "x": np.asarray(ids)[many]})
 
     return run
 
 
-#: Buckets of a sketch.
-_BUCKETS = 256
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles, and how many fall into each bucket of their hash."""
     shingle = Shingler()
     for whole in batches:
-        for start in range(0, whole.num_rows, 500):
-            batch = whole.slice(start, 500)
+        for batch in byte_slices(whole, 1, _STEP_BYTES):
             lists = [shingle(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             sketches = [np.bincount((x >> _U(56)).astype(np.int64), minlength=_BUCKETS).astype("<u4").tobytes() for x in lists]
@@ -234,15 +235,29 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _picked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is among the distinct ``ids`` (x)."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = ids.select(F.col("x").alias(key))
+    return rows.join(F.broadcast(named) if few else named, key, "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """``pairs``: p, x, same (already connected), distinct. Adds near (linked, exactly; false where it needn't be known)
     and far (surely beyond twice the threshold). Pairs that their sketches can't part are compared shingle by shingle,
     but for those already connected."""
-    of = lambda name, column: sets.select(F.col("x").alias(name), F.col(column).alias(f"{name}_{column}"))
-    sketched = pairs.join(of("x", "sketch"), "x").join(of("p", "sketch"), "p").select("p", "x", "same", "p_sketch", "x_sketch")
+    of = lambda name, column, rows: rows.select(F.col("x").alias(name), F.col(column).alias(f"{name}_{column}"))
+    sketched = pairs.join(of("x", "sketch", sets), "x").join(of("p", "sketch", sets), "p").select("p", "x", "same", "p_sketch", "x_sketch")
     told = staged(sketched.mapInArrow(_bounded, "p bigint, x bigint, far boolean, open boolean"), f"{label}-told")
+    open_ = told.where("open").select("p", "x")
+    wanted = staged(_ends(open_), f"{label}-ends")
+    left, right = _picked(sets, "x", wanted), _picked(sets, "x", wanted)
     shared = F.size(F.array_intersect("p_shingles", "x_shingles"))
-    whole = told.where("open").select("p", "x").join(of("x", "shingles"), "x").join(of("p", "shingles"), "p").select(
+    whole = open_.join(of("x", "shingles", left), "x").join(of("p", "shingles", right), "p").select(
         "p", "x", shared.alias("shared"), (F.size("p_shingles") + F.size("x_shingles") - shared).alias("whole")
     )
     exact = whole.select(
@@ -251,41 +266,40 @@ def _compared(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return exact.unionByName(told.where("not open").select("p", "x", F.lit(False).alias("near"), "far"))
 
 
-def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", heads: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links of at least
     0.8 similarity, its own included).
 
     Null and empty texts have no shingles and are linked with nothing. Equal sets are linked. A null id can't be
-    reached: such rows are components of their own with a null id. Rows repeated with one id are one document if
-    their texts agree. Other columns are ignored. An empty table gives no rows."""
+    reached: such rows are components of their own with a null id. Rows repeated with one id are one document; if their
+    texts differ, each text's links are the document's. Other columns are ignored. An empty table gives no rows. Without
+    ``heads`` all anchors are looked at at once."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.select("doc_id").count()
     owners = max(shuffle_partitions(spark), -(-total // PER_OWNER))
-    bits = min(60, total.bit_length() + 26)
-    first = staged(rows.mapInArrow(_first_pass(bits, owners), _FIRST), "anchors")
+    bits = min(60, total.bit_length() + 18)
+    span = exchange.span_of(bits, owners)
+    first = staged(rows.mapInArrow(_first_pass(bits, span), _FIRST), "anchors")
     sent = first.where("owner is not null").select("sender", "owner", "block", "counts", "ids")
-    known = first.where("owner is null").select("doc_id", "n_shingles", "set_hash")
-    groups = staged(
-        known.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "groups"
-    )
-    answers = sent.select("sender", "owner", "block").groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
+    known = first.where("owner is null").select("doc_id", "n_shingles", "set_hash", "heads")
+    groups = known.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "heads")).alias("r"))
+    groups = staged(groups.select("set_hash", F.col("r.doc_id").alias("rep"), "r.heads"), "groups")
+    join = _Join(lambda ids: staged(_picked(rows, "doc_id", ids).mapInArrow(_sets, "x bigint, sketch binary, shingles array<bigint>"), "sets"))
+    # A document of several texts holds them together from the start.
+    named = known.where("doc_id is not null").join(groups.select("set_hash", "rep"), "set_hash").select("doc_id", "rep")
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
+    join.link(staged(named.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")), "own-links"), "own")
+    if heads:
+        join.meet_pivots(groups.select(F.explode("heads").alias("cell"), F.col("rep").alias("x")))
+    answers = sent.select("sender", "owner", "block", "counts").groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
     cells = sent.join(answers, ["sender", "owner"]).select("owner", "block", "counts", "ids", "bitmap").mapInPandas(
-        _shared_anchors(-(-(1 << bits) // owners)), "cell bigint, x bigint"
+        _shared_anchors(span), "cell bigint, x bigint"
     )
-    cells = staged(cells.join(groups.select(F.col("rep").alias("x")), "x", "left_semi").select("cell", "x"), "cells")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = staged(cells.join(sizes, "cell"), "shared-cells")
-    degrees = staged(cells.groupBy("x").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
-    wanted = degrees.select(F.col("x").alias("doc_id"))
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, "doc_id")
-    sets = staged(texts.mapInArrow(_sets, "x bigint, sketch binary, shingles array<bigint>"), "sets")
-    roots = _connected(cells.join(degrees, "x").select("cell", "x", "degree"), sets)
-    out = known.join(groups, "set_hash", "left")
-    if roots is not None:
-        out = out.join(roots.withColumnRenamed("x", "rep"), "rep", "left")
+    join.divide(cells, groups.select(F.col("rep").alias("x")).distinct())
+    out = known.join(groups.select("set_hash", "rep"), "set_hash", "left")
+    if join.roots is not None:
+        out = out.join(join.roots.withColumnRenamed("x", "rep"), "rep", "left")
     else:
         out = out.withColumn("root", F.lit(None).cast("long"))
     return out.select(
@@ -293,18 +307,6 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     )
 
 
-def _active(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of the cells that hold more than one component, with their root and the cell's size."""
-    rows = cells.withColumn("root", F.col("x")) if roots is None else (
-        cells.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
-    )
-    about = rows.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"),
-        F.max(F.struct("degree", (-F.col("x")).alias("minus"), "root")).alias("pivot"),
-    ).where("least < most").select("cell", "n", (-F.col("pivot.minus")).alias("p"), F.col("pivot.root").alias("p_root"))
-    return rows.join(about, "cell")
-
-
 def _open_pairs(group: pd.DataFrame) -> pd.DataFrame:
     """Of one block pair: pairs of different components whose sketches allow a link."""
     left, right = group[group["side"] != 1], group[group["side"] != 0]
@@ -341,39 +343,74 @@ def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
     return groups.applyInPandas(_open_pairs, "p bigint, x bigint").distinct().withColumn("same", F.lit(False))
 
 
-def _connected(cells: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """``cells``: cell, x, degree. Divides cells around pivots until every linked pair is compared or connected."""
-    roots, links = None, None
-
-    def linked(compared: DataFrame, depth: int) -> None:
-        nonlocal roots, links
-        fresh = compared.where("near").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            roots = contracted(links, f"roots{depth}")
-
-    for depth in range(DEPTH):
-        active = staged(_active(cells, roots), f"active{depth}")
-        if active.isEmpty():
-            return roots
-        small, large = active.where(F.col("n") <= LEAF), active.where(F.col("n") > LEAF)
-        a = small.select("cell", F.col("x").alias("p"), F.col("root").alias("a_root"))
-        b = small.select("cell", "x", F.col("root").alias("b_root"))
-        pairs = a.join(b, "cell").where("p < x and a_root != b_root").select("p", "x", F.lit(False).alias("same"))
-        stars = large.where("x != p").select("p", "x", "degree", (F.col("root") == F.col("p_root")).alias("same")).distinct()
-        compared = staged(_compared(pairs.unionByName(stars.select("p", "x", "same")).distinct(), sets, f"compared{depth}"), f"compared{depth}")
-        linked(compared, depth)
-        # Cells of one pivot go on as one; the part in the name keeps what was divided apart.
-        told = stars.join(compared, ["p", "x"])
-        named = lambda side: F.xxhash64("p", F.lit(f"{side}{depth}")).alias("cell")
-        inner = told.where("not far").select(named("in"), "x", "degree")
-        outer = told.where("not near").select(named("out"), "x", "degree")
-        cells = staged(inner.unionByName(outer), f"cells{depth}")
-    active = staged(_active(cells, roots), "active")
-    if not active.isEmpty():
-        open_ = staged(_remaining(active, sets), "open")
-        linked(staged(_compared(open_, sets, "last"), "compared"), DEPTH)
-    return roots
+class _Join:
+    """Links found so far and the components they make: ``roots`` (x, root) of the documents with links."""
+
+    def __init__(self, sets_of):
+        self.sets_of, self.links, self.roots = sets_of, None, None
+
+    def link(self, found: DataFrame, label: str) -> None:
+        """``found``: a, b."""
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.roots = contracted(self.links, f"roots-{label}")
+
+    def compare(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+        compared = staged(_compared(pairs, sets, label), f"compared-{label}")
+        self.link(compared.where("near").select(F.col("p").alias("a"), F.col("x").alias("b")), label)
+        return compared
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """Adds the root of x."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("x"))
+        return rows.join(self.roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+
+    def meet_pivots(self, cells: DataFrame) -> None:
+        """``cells``: cell, x. Compares every document with the smallest one of each of its cells."""
+        pivots = cells.groupBy("cell").agg(F.min("x").alias("p"), F.max("x").alias("most")).where("p < most").select("cell", "p")
+        pairs = staged(cells.join(pivots, "cell").where("x != p").select("p", "x", F.lit(False).alias("same")).distinct(), "head-pairs")
+        if not pairs.isEmpty():
+            self.compare(pairs, self.sets_of(staged(_ends(pairs), "head-ends")), "heads")
+
+    def several(self, cells: DataFrame, label: str) -> DataFrame:
+        """Rows of the cells that hold more than one component: cell, x, root, n, p (the pivot), p_root. The pivot is the
+        document in most cells."""
+        rows = staged(self.rooted(cells.select("cell", "x")), f"{label}-rooted")
+        mixed = rows.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+        rows = staged(rows.join(mixed.select("cell", "n"), "cell"), f"{label}-mixed")
+        degrees = rows.groupBy("x").agg(F.count(F.lit(1)).alias("degree"))
+        best = rows.join(degrees, "x").groupBy("cell").agg(F.max(F.struct("degree", (-F.col("x")).alias("minus"), "root")).alias("b"))
+        return rows.join(best.select("cell", (-F.col("b.minus")).alias("p"), F.col("b.root").alias("p_root")), "cell")
+
+    def divide(self, cells: DataFrame, reps: DataFrame) -> None:
+        """``cells``: cell, x; ``reps``: the documents that stand for their sets. Divides cells around pivots until every
+        linked pair is compared or connected."""
+        active = staged(self.several(cells.join(reps, "x", "left_semi"), "all"), "active")
+        depth, sets, before = 0, None, None
+        while not active.isEmpty():
+            sets = self.sets_of(staged(active.select("x").distinct(), "active-ids")) if sets is None else sets
+            small, large = active.where(F.col("n") <= LEAF), active.where(F.col("n") > LEAF)
+            n = large.count()
+            if before is not None and n > (1 - PROGRESS) * before:
+                open_ = staged(_remaining(active, sets), "open")
+                self.compare(open_, sets, "last")
+                return
+            before = n
+            a = small.select("cell", F.col("x").alias("p"), F.col("root").alias("a_root"))
+            b = small.select("cell", "x", F.col("root").alias("b_root"))
+            pairs = a.join(b, "cell").where("p < x and a_root != b_root").select("p", "x", F.lit(False).alias("same"))
+            stars = large.where("x != p").select("p", "x", (F.col("root") == F.col("p_root")).alias("same")).distinct()
+            compared = self.compare(pairs.unionByName(stars.select("p", "x", "same")).groupBy("p", "x").agg(F.max("same").alias("same")), sets, f"{depth}")
+            if not n:
+                return
+            # Cells of one pivot go on as one; the part in the name keeps what was divided apart.
+            told = stars.select("p", "x").join(compared, ["p", "x"])
+            named = lambda side: F.xxhash64("p", F.lit(f"{side}{depth}")).alias("cell")
+            inner = told.where("not far").select(named("in"), "x")
+            outer = told.where("not near").select(named("out"), "x")
+            active = staged(self.several(inner.unionByName(outer), f"{depth}"), f"active{depth}")
+            depth += 1
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

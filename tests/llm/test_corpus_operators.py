@@ -86,7 +86,15 @@ def components(sets):
     return {i: find(i) for i in ids}
 
 
-def test_jaccard_components(documents, monkeypatch):
+@pytest.mark.parametrize("heads, leaf, progress, shuffled", [(True, 8, 0.2, False), (False, 1, 1.1, True), (False, 2, 0.05, False)])
+def test_jaccard_components(documents, monkeypatch, heads, leaf, progress, shuffled):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "PROGRESS", progress)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    if shuffled:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    compared, whole = [], jaccard_join._remaining
+    monkeypatch.setattr(jaccard_join, "_remaining", lambda *a: compared.append(1) or whole(*a))
     rng = random.Random(2)
     rows = list(enumerate(corpus(rng)))
     chain = prose(rng, 150, [f"c{w}{v}" for w in WORDS for v in "xyz"]).split()
@@ -96,10 +104,17 @@ def test_jaccard_components(documents, monkeypatch):
         rows.append((200 + i, " ".join(chain)))
     sets = shingle_sets(rows)
     want = {i: (len(sets[i]), c) for i, c in components(sets).items()}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_documents(documents(rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_documents(documents(rows), heads=heads).collect()}
     assert got == want
+    assert progress < 1 or compared
+
+
+def test_jaccard_odd_rows(documents):
     assert jaccard_join.linked_documents(documents([])).count() == 0
     assert [tuple(r) for r in jaccard_join.linked_documents(documents([(None, "a b"), (3, "a b")])).orderBy("doc_id").collect()] == [(None, 1, None), (3, 1, 3)]
+    rows = [(5, "a b c"), (5, "d e f"), (2, "A b c"), (3, "d e F"), (3, "d e F"), (7, "g " * 100_000), (8, "g " * 90_000), (9, None)]
+    got = sorted(tuple(r) for r in jaccard_join.linked_documents(documents(rows)).collect())
+    assert got == [(2, 1, 2), (3, 1, 2), (3, 1, 2), (5, 1, 2), (5, 1, 2), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
 
 
 def test_anchors_meet_for_every_similar_pair():
