@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import byte_slices, table
 
 #: How text splits into pieces before the merges (fixed: the published pattern of this vocabulary).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pieces remembered by a Python worker; beyond this the memory starts afresh.
-REMEMBERED = 400_000
+#: Bytes of pieces and ids that a task remembers; beyond this its memory starts afresh. What an entry costs besides
+#: its bytes, about; a longer piece than so many characters isn't remembered. Pairs of tokens remembered.
+REMEMBERED_BYTES, _OVERHEAD, LONGEST_PIECE, PAIRS = 64 << 20, 190, 256, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,15 +39,23 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Ids of the pieces met so far."""
+    """Ids (as little-endian 32-bit integers) of the pieces met so far."""
 
     def __init__(self, bpe: Encoder):
-        self.bpe = bpe
+        self.bpe, self.held = bpe, 0
 
-    def __missing__(self, piece: str) -> list[int]:
-        self[piece] = found = self.bpe.encode_piece(piece)
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array(self.bpe.encode_piece(piece), "<i4").tobytes()
+        if len(piece) <= LONGEST_PIECE:
+            self[piece] = found
+            self.held += len(piece) + len(found) + _OVERHEAD
         return found
 
+    def forget(self) -> None:
+        if self.held > REMEMBERED_BYTES:
+            self.clear()
+            self.held = 0
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -107,7 +115,7 @@ class Encoder:
                 before, a = self.rank[a], self.parts[a][1]
             else:  # of equal merges the left one comes first
                 before, b = self.rank[b] + 1, self.parts[b][0]
-        if len(self.together) > REMEMBERED:
+        if len(self.together) > PAIRS:
             self.together.clear()
         self.together[left, right] = answer
         return answer
@@ -138,19 +146,17 @@ class Encoder:
                 at -= len(token_bytes[last])
                 token = self.next_shorter(last)
 
-    def encode(self, text: str) -> list[list[int]]:
-        """Lists of ids, one for each piece."""
+    def encode(self, text: str) -> np.ndarray:
         if self.special and self.split_special.search(text):
-            out: list[list[int]] = []
-            for part in self.split_special.split(text):
-                out += [[self.special[part]]] if part in self.special else self.encode_plain(part)
-            return out
-        return self.encode_plain(text)
+            parts = self.split_special.split(text)
+            packed = b"".join(np.array([self.special[p]], "<i4").tobytes() if p in self.special else self.encode_plain(p) for p in parts)
+        else:
+            packed = self.encode_plain(text)
+        return np.frombuffer(packed, "<i4")
 
-    def encode_plain(self, text: str) -> list[list[int]]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        return list(map(self.memory.__getitem__, PIECES.findall(text)))
+    def encode_plain(self, text: str) -> bytes:
+        self.memory.forget()
+        return b"".join(map(self.memory.__getitem__, PIECES.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -177,69 +183,79 @@ def decode_ids(ids: np.ndarray, path: str) -> tuple[bytes, np.ndarray]:
     return flat[gather].tobytes(), ends
 
 
-#: Texts encoded before their ids are handed on, and about as many ids decoded at once.
-_STEP, _IDS = 200, 500_000
+#: Bytes of text encoded before their ids are handed on, and about as many ids decoded at once.
+_STEP_BYTES, _IDS = 2 << 20, 500_000
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ``bpe_ids`` (array<int>) in place of the text column. Null and empty texts give no ids. Strings of the
-    vocabulary's added tokens stand for those tokens. Other columns pass through; one named bpe_ids is replaced."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, "bpe_ids")]
-    schema = StructType([*kept, StructField("bpe_ids", ArrayType(IntegerType(), False), False)])
+def _ids(texts: pa.Array, path: str) -> pa.ListArray:
+    bpe = encoder(path)
+    lists = [bpe.encode(t or "") for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32), pa.int32()))
+
+
+def _texts(column: pa.ListArray, path: str) -> pa.Array:
+    """Tokens' bytes as UTF-8, with U+FFFD for what isn't valid."""
+    lengths = [0 if x is None else x for x in column.value_lengths().to_pylist()]
+    values, at, i, out = column.flatten().to_numpy().astype(np.int64), 0, 0, []
+    while i < len(lengths):
+        j, n = i, 0
+        while j < len(lengths) and (j == i or n + lengths[j] <= _IDS):
+            n += lengths[j]
+            j += 1
+        spelled, ends = decode_ids(values[at : at + n], path)
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *lengths[i:j]])]
+        out += [spelled[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        i, at = j, at + n
+    return pa.array(out, pa.string())
+
+
+_NEW = {"bpe_ids": StructField("bpe_ids", ArrayType(IntegerType(), False), False), "decoded": StructField("decoded", StringType(), False)}
+
+
+def _mapped(df: DataFrame, text: str, made: dict) -> DataFrame:
+    """``df`` with new columns in place of ``text``, the first made of it and each other of the one before."""
+    kept = [f for f in df.schema.fields if f.name != text and f.name not in made]
+    names = [*(f.name for f in kept), *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, _STEP):
-                batch = whole.slice(start, _STEP)
-                lists = [sum_lists(bpe.encode(t or "")) for t in batch.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(f.name) for f in kept), pa.ListArray.from_arrays(pa.array(ends), values)],
-                    [*(f.name for f in kept), "bpe_ids"],
-                )
+            at = whole.schema.get_field_index(text)
+            for batch in byte_slices(whole, at, _STEP_BYTES):
+                columns = [batch.column(at)]
+                for make in made.values():
+                    columns.append(make(columns[-1]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns[1:]], names)
 
-    def sum_lists(lists: list[list[int]]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(lists), np.int32)
+    return df.select(*(f.name for f in kept), text).mapInArrow(run, StructType([*kept, *(_NEW[n] for n in made)]))
 
-    return docs.select(*(f.name for f in kept), text).mapInArrow(run, schema)
+
+def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Adds ``bpe_ids`` (array<int>) in place of the text column. Null and empty texts give no ids. Strings of the
+    vocabulary's added tokens stand for those tokens. Other columns pass through; one named bpe_ids is replaced."""
+    return _mapped(docs, text, {"bpe_ids": lambda c: _ids(c, path)})
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "bpe_ids") -> DataFrame:
     """Adds ``decoded`` (string): the tokens' bytes as UTF-8, with U+FFFD for what isn't valid. Null ids give an
     empty text. Other columns pass through; one named decoded is replaced."""
     kept = [f for f in encoded.schema.fields if f.name != "decoded"]
-    schema = StructType([*kept, StructField("decoded", StringType(), False)])
-
-    def texts(column: pa.ListArray) -> Iterator[str]:
-        lengths = [0 if x is None else x for x in column.value_lengths().to_pylist()]
-        values, at = column.flatten().to_numpy().astype(np.int64), 0
-        i = 0
-        while i < len(lengths):
-            j, n = i, 0
-            while j < len(lengths) and (j == i or n + lengths[j] <= _IDS):
-                n += lengths[j]
-                j += 1
-            spelled, ends = decode_ids(values[at : at + n], path)
-            cuts = np.concatenate([[0], ends])[np.cumsum([0, *lengths[i:j]])]
-            for a, b in zip(cuts, cuts[1:]):
-                yield spelled[a:b].decode("utf-8", "replace")
-            i, at = j, at + n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in kept), pa.array(list(texts(batch.column(ids))), pa.string())],
-                [*(f.name for f in kept), "decoded"],
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), _texts(batch.column(ids), path)], [*(f.name for f in kept), "decoded"])
+
+    return encoded.mapInArrow(run, StructType([*kept, _NEW["decoded"]]))
+
 
-    return encoded.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """As encode_documents and then decode_documents, in one pass through Python."""
+    return _mapped(docs, text, {"bpe_ids": lambda c: _ids(c, path), "decoded": lambda c: _texts(c, path)})
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row's text."""
-    both = decode_documents(encode_documents(docs.select("doc_id", "text"), path), path)
+    both = round_trip(docs.select("doc_id", "text"), path)
     return both.select(
         "doc_id", F.size("bpe_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("bpe_ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import byte_slices, table
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -29,7 +30,8 @@ SAMPLE_BYTES = 600_000
 SCORE_BYTES = 50
 
 LETTER = regex.compile(r"\p{L}")
-_CHUNK = 1 << 20
+#: Bytes of text scored at once.
+_CHUNK = 1 << 18
 
 
 def grams(data: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +217,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in byte_slices(whole, whole.schema.get_field_index(text), 4 * _CHUNK):
                 languages, scores = shared.value.predict(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(n) for n in names), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
@@ -225,6 +226,19 @@ def identified(docs: DataFrame, model: Model, text: str = "text", keep: list[str
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
 
+def language(model: Model, spark: SparkSession, text: Column) -> Column:
+    """The predicted language of a text, for use in a filter: the text alone goes to Python, and nothing else comes back."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = [shared.value.predict(texts.iloc[i : i + 200].tolist())[0] for i in range(0, len(texts), 200)]
+            yield pd.Series([x for part in out for x in part], dtype=object)
+
+    return predict(text)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identified(docs, train(docs), keep=["doc_id"])
