@@ -13,8 +13,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose language can't be told: a null text, or one without a letter."""
-    found = lang_id.identified(docs, lang_id.train(docs))
-    return found.where("lang_pred != 'und'").select(*docs.columns)
+    return docs.where(lang_id.language(lang_id.train(docs), spark, F.col("text")) != "und")
 
 
 def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
