@@ -17,9 +17,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def joined(*values: Column) -> Column:
+    """The values as text, joined by a bar; a null is the word None."""
+    return F.concat_ws("|", *(F.coalesce(v.cast("string"), F.lit("None")) for v in values))
+
+
 def tie_break(*values: Column) -> Column:
-    """SHA-256 of the values joined by a bar: an order that doesn't depend on the data's."""
-    return F.sha2(F.concat_ws("|", *(v.cast("string") for v in values)), 256)
+    """SHA-256 of the joined values: an order that doesn't depend on the data's."""
+    return F.sha2(joined(*values), 256)
 
 
 def stable_integer(*values: Column) -> Column:
@@ -33,27 +38,43 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 def uuid5(*values: Column) -> Column:
     """Name-based UUID, version 5, of the values joined by a bar, in the URL namespace."""
-    name = F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.concat_ws("|", *(v.cast("string") for v in values)).cast("binary"))
+    name = F.concat(F.unhex(F.lit(URL_NAMESPACE)), joined(*values).cast("binary"))
     h = F.sha1(name)
     part = lambda at, n: F.substring(h, at, n)
     variant = F.lower(F.conv(((F.conv(part(17, 1), 16, 10).cast("int") % 4) + 8).cast("string"), 10, 16))
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
+#: Bands of a duration by its whole minutes, rounded up, and their last minute.
+DURATION_BANDS = (("le_3h", 180), ("gt_3h_to_6h", 360), ("gt_6h_to_7h", 420), ("gt_7h_to_8h", 480))
+
+
 def duration_band(minutes: Column) -> Column:
-    """Band of a duration in minutes, rounded up."""
-    m = F.ceil(minutes)
-    return (
-        F.when(m.isNull(), "unknown").when(m.between(1, 180), "001_180m").when(m.between(181, 360), "181_360m")
-        .when(m.between(361, 420), "361_420m").when(m.between(421, 480), "421_480m").otherwise("outside_8h")
-    )
+    """Band of a duration in minutes; what is missing or not finite is unknown."""
+    m = F.ceil(finite_or_null(minutes.cast("double")))
+    band = F.when(m.isNull(), "unknown").when(m < 0, "outside_8h")
+    for name, last in DURATION_BANDS:
+        band = band.when(m <= last, name)
+    return band.otherwise("outside_8h")
 
 
 def safe_filename(name: Column) -> Column:
-    """ASCII letters, digits, dots, dashes and underscores; a name that changes or is long ends in a piece of its hash."""
-    clean = F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
-    short = F.concat(F.substring(clean, 1, 60), F.lit("_"), F.substring(F.sha2(name, 256), 1, 12))
-    return F.when((clean == name) & (F.length(name) <= 80), name).otherwise(short)
+    """ASCII letters and digits, runs of others as one underscore; a name that changes ends in a piece of its hash."""
+    clean = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9]+", "_"), "^_|_$", "")
+    prefix = F.when(clean == "", "symbol").otherwise(F.substring(clean, 1, 60))
+    changed = F.concat(prefix, F.lit("_"), F.substring(F.sha2(name, 256), 1, 12))
+    return F.when((clean == name) & (clean != ""), F.substring(clean, 1, 80)).otherwise(changed)
+
+
+def minute_of(at: Column) -> Column:
+    """The whole minute."""
+    return F.date_trunc("minute", at)
+
+
+def iso_time(text: Column) -> Column:
+    """A timestamp from ISO text; without a zone it is UTC, and what isn't one is null."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
 
 
 def finite_or_null(value: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pct_change, ratio
-from .rolling import by_time
+from ..functions.scalars import holds, pct_change, ratio
+from .rolling import by_time, last, realized_volatility, whole_sum
+from .samples import continuation_trigger, daily_rate_ratio, hypotheses, interval_return
 
 
 def daily_context(grid: DataFrame) -> DataFrame:
@@ -18,12 +19,170 @@ def daily_context(grid: DataFrame) -> DataFrame:
     return days.withColumns({"range_pct": pct_change(F.col("low"), F.col("high")), "up": F.col("close") > F.col("open")})
 
 
-def reference_context(grid: DataFrame, references: list[str], w: int) -> DataFrame:
-    """Each symbol's return over w bars, the equal-weight mean of the references' at the same time (those there are),
-    and the difference. The references' rows are one for each time, joined on it."""
-    own = grid.withColumn("own", pct_change(F.lag("close", w).over(by_time()), F.col("close"))).select("symbol", "open_time", "own")
-    proxy = own.where(F.col("symbol").isin(references)).groupBy("open_time").agg(F.avg("own").alias("proxy"))
-    return own.join(proxy, "open_time", "left").withColumn("excess", F.col("own") - F.col("proxy"))
+def sample_windows(samples: DataFrame, grid: DataFrame, bars: int, step_seconds: int) -> DataFrame:
+    """``samples``: sample_id, symbol, at. The observed bars among the ``bars`` grid rows that end at ``at``."""
+    times = F.sequence(F.unix_seconds("at") - (bars - 1) * step_seconds, F.unix_seconds("at"), F.lit(step_seconds).cast("long"))
+    wanted = samples.select("sample_id", "symbol", F.timestamp_seconds(F.explode(times)).alias("open_time"))
+    return wanted.join(grid.where("observed"), ["symbol", "open_time"])
+
+
+def daily_trends(windows: DataFrame, complete: int, most: int = 11) -> DataFrame:
+    """``windows``: observed bars of samples. Per sample over the last ``most`` UTC days with a bar: days, complete days
+    (of at least so many bars), and, from 3 days up, the part that closed up, the median taker ratio, and the trends of
+    volume, close and range in percent a day with their R2 (from 6 days up, all values positive)."""
+    days = windows.groupBy("sample_id", F.to_date("open_time").alias("day")).agg(
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"),
+        F.coalesce(F.sum("quote_volume"), F.lit(0.0)).alias("quote"), F.coalesce(F.sum("taker_buy_quote"), F.lit(0.0)).alias("taker"), F.count(F.lit(1)).alias("bars"),
+    )
+    late = Window.partitionBy("sample_id").orderBy(F.desc("day"))
+    days = days.withColumn("back", F.row_number().over(late)).where(F.col("back") <= most).withColumn("x", -F.col("back").cast("double"))
+    values = {"volume": F.col("quote"), "close": F.col("close"), "range": F.greatest((F.col("high") / F.col("low") - 1) * 100, F.lit(1e-9)) + 1}
+    days = days.withColumns({f"ln_{k}": F.when(v > 0, F.ln(v)) for k, v in values.items()})
+    n = F.count(F.lit(1))
+
+    def trend(k: str) -> list[Column]:
+        whole = (n >= 6) & (F.count(f"ln_{k}") == n)
+        slope = F.when(whole, F.expm1(F.regr_slope(f"ln_{k}", "x")) * 100)
+        return [slope.alias(f"{k}_trend"), F.when(whole & (F.var_pop(f"ln_{k}") > 0), F.regr_r2(f"ln_{k}", "x")).alias(f"{k}_r2")]
+
+    few = lambda c: F.when(n >= 3, c)
+    return days.groupBy("sample_id").agg(
+        n.alias("days"), F.count_if(F.col("bars") >= complete).alias("complete_days"), few(F.avg((F.col("close") > F.col("open")).cast("double"))).alias("up_part"),
+        few(F.percentile(F.try_divide("taker", F.nullif("quote", F.lit(0.0))), F.lit(0.5))).alias("taker_median"), *(c for k in values for c in trend(k)),
+    )
+
+
+def episodes(windows: DataFrame, unit: str = "hour", prior: int = 24, least_prior: int = 18, follow_seconds: int = 6 * 3600) -> DataFrame:
+    """``windows``: observed bars of samples. Per sample: moves between neighbouring bars of at least 2 and 5 percent up
+    and 2 down; units (hours) with a volume of at least three medians, and the largest volume to the median; breakouts
+    (the high begins to reach 1.005 times the best of the ``prior`` units before, of which ``least_prior`` must exist) and
+    failed ones (a close within ``follow_seconds`` falls to 0.98 of the breakout's high)."""
+    order = Window.partitionBy("sample_id").orderBy("open_time")
+    moved = (F.col("close") / F.lag("close").over(order) - 1) * 100
+    moves = windows.withColumn("moved", moved).groupBy("sample_id").agg(
+        F.count_if(F.col("moved") >= 2).alias("up_2"), F.count_if(F.col("moved") >= 5).alias("up_5"), F.count_if(F.col("moved") <= -2).alias("down_2")
+    )
+    hours = windows.groupBy("sample_id", F.date_trunc(unit, "open_time").alias("hour")).agg(
+        F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"), F.coalesce(F.sum("quote_volume"), F.lit(0.0)).alias("quote"),
+    ).withColumn("second", F.unix_seconds("hour"))
+    by_hour = Window.partitionBy("sample_id").orderBy("second")
+    before = by_hour.rowsBetween(-prior, -1)
+    best = F.when(F.count("high").over(before) >= least_prior, F.max("high").over(before))
+    hours = hours.withColumn("broke", holds(F.col("high") >= best * 1.005))
+    hours = hours.withColumns({"edge": F.col("broke") & ~F.lag("broke", 1, False).over(by_hour), "lowest": F.min("close").over(by_hour.rangeBetween(0, follow_seconds))})
+    middle = hours.groupBy("sample_id").agg(F.percentile("quote", F.lit(0.5)).alias("median"))
+    found = hours.join(middle, "sample_id").groupBy("sample_id").agg(
+        F.when(F.max("median") > 0, F.count_if(F.col("quote") >= 3 * F.col("median"))).alias("volume_spikes"),
+        F.try_divide(F.max("quote"), F.nullif(F.max("median"), F.lit(0.0))).alias("largest_volume"),
+        F.count_if("edge").alias("breakouts"), F.count_if(F.col("edge") & (F.col("lowest") <= F.col("high") * 0.98)).alias("failed_breakouts"),
+    )
+    return moves.join(found, "sample_id")
+
+
+def reference_context(grid: DataFrame, references: list[str], windows: list[int], volatility: int | None = None) -> DataFrame:
+    """Per bar and window w: own_w, each reference's return at the same time (NAME_w), the equal-weight mean of those there
+    are (proxy_w) and the differences of own from both; and each reference's volatility over ``volatility`` bars. A
+    reference without a close at the bar has none of them."""
+    returns = {w: pct_change(F.lag("close", w).over(by_time()), F.col("close")) for w in windows}
+    own = grid.select("symbol", "open_time", *(r.alias(f"own_{w}") for w, r in returns.items()))
+    of = lambda r, c: F.max(F.when(F.col("symbol") == r, F.col(c)))
+    known = own.where(F.col("symbol").isin(references)).groupBy("open_time").agg(
+        *(of(r, f"own_{w}").alias(f"{r}_{w}") for r in references for w in windows), *(F.avg(f"own_{w}").alias(f"proxy_{w}") for w in windows),
+    )
+    out = own.join(known, "open_time", "left")
+    if volatility:
+        rv = realized_volatility(grid.where(F.col("symbol").isin(references)), volatility).where("close is not null")
+        rv = rv.groupBy("open_time").agg(*(of(r, "volatility").alias(f"{r}_rv") for r in references))
+        out = out.join(rv, "open_time", "left")
+    return out.withColumns({f"own_minus_{r}_{w}": F.col(f"own_{w}") - F.col(f"{r}_{w}") for r in (*references, "proxy") for w in windows})
+
+
+def offset_ratios(grid: DataFrame, short: int, before_short: int, long: int, before_long: int) -> DataFrame:
+    """Adds, for the last ``short`` bars and the ``before_short`` before them, and for the last ``long`` and the
+    ``before_long`` before them, by bar: volume_step and trade_step (short), long_volume_step, return_step (the short
+    return less the rate of the bars before it), taker_step (the taker ratio less the one before)."""
+    now = lambda n: by_time().rowsBetween(1 - n, 0)
+    then = lambda n, m: by_time().rowsBetween(1 - n - m, -n)
+    rate = lambda c, n, m: ratio(F.sum(c).over(now(n)) / n, F.sum(c).over(then(n, m)) / m)
+    taker = lambda f: ratio(F.sum("taker_buy_quote").over(f), F.sum("quote_volume").over(f))
+    lagged = lambda k: F.lag("close", k).over(by_time())
+    return grid.withColumns({
+        "volume_step": rate("quote_volume", short, before_short), "trade_step": rate("trade_count", short, before_short),
+        "long_volume_step": rate("quote_volume", long, before_long),
+        "return_step": pct_change(lagged(short), F.col("close")) - pct_change(lagged(short + before_short), lagged(short)) * short / before_short,
+        "taker_step": taker(now(short)) - taker(then(short, before_short)),
+    })
+
+
+def window_ratios(rows: DataFrame, day: int) -> DataFrame:
+    """Adds seven shares and ratios of windows of 1, 3, 7 and 10 days (quote_w, volatility_w, range_w, trades_w) and three
+    forms of a return's acceleration in points a day."""
+    d1, d3, d7, d10 = (n * day for n in (1, 3, 7, 10))
+    c = lambda name, w: F.col(f"{name}_{w}")
+    safe = lambda a, b: ratio(a, F.nullif(b, F.lit(0.0)))
+    size = lambda w: F.when(c("trades", w) > 0, c("quote", w) / c("trades", w))
+    return rows.withColumns({
+        "volume_share_1_of_3": safe(c("quote", d1), c("quote", d3)), "volume_share_1_of_7": safe(c("quote", d1), c("quote", d7)),
+        "volume_share_3_of_10": safe(c("quote", d3), c("quote", d10)), "volatility_ratio": safe(c("volatility", d1), c("volatility", d7)),
+        "volatility_3_to_10": safe(c("volatility", d3), c("volatility", d10)), "range_1_to_7": safe(c("range", d1), c("range", d7)),
+        "trade_size_1_to_7": safe(size(d1), size(d7)),
+        "acceleration": c("return", d1) - (c("return", d3) - c("return", d1)) / 2,
+        "acceleration_3_of_10": c("return", d3) / 3 - (c("return", d10) - c("return", d3)) / 7,
+        "strength_3_of_10": c("return", d3) / 3 - c("return", d10) / 10,
+    })
+
+
+def quality_status(has_bar: Column, observed: Column, liquid: Column) -> Column:
+    """missing_decision_bar, pass (0.995 observed, and liquid), warning (0.98 observed) or insufficient_history."""
+    return (
+        F.when(~holds(has_bar), "missing_decision_bar").when((observed >= 0.995) & holds(liquid), "pass").when(observed >= 0.98, "warning")
+        .otherwise("insufficient_history")
+    )
+
+
+def context_features(grid: DataFrame, day: int, history: int, volume_bars: int, volume: float, references: list[str]) -> DataFrame:
+    """The features of every bar that the hypotheses and statuses need: windows of 1, 3, 7 and 10 days, their ratios, the
+    return relative to the references (none, if the list is empty), liquidity and the observed part of the history."""
+    rows = grid
+    for w in (day, 3 * day, 7 * day, 10 * day):
+        f = last(w)
+        rows = realized_volatility(rows, w).withColumnRenamed("volatility", f"volatility_{w}").drop("up_part", "log_return").withColumns({
+            f"return_{w}": pct_change(F.lag("close", w).over(by_time()), F.col("close")), f"range_{w}": pct_change(F.min("low").over(f), F.max("high").over(f)),
+            f"quote_{w}": F.sum("quote_volume").over(f), f"trades_{w}": F.sum("trade_count").over(f),
+        })
+    rows = window_ratios(rows, day).withColumns({
+        "volume_now": whole_sum("quote_volume", volume_bars), "observed_part": F.sum(F.col("observed").cast("int")).over(last(history)) / F.lit(float(history)),
+        "prior_week": interval_return(F.col(f"return_{7 * day}"), F.col(f"return_{day}")), "return_day": F.col(f"return_{day}"),
+        "volume_rate": daily_rate_ratio(F.col(f"quote_{day}"), F.col(f"quote_{3 * day}"), 2),
+        "trade_rate": daily_rate_ratio(F.col(f"trades_{day}").cast("double"), F.col(f"trades_{3 * day}").cast("double"), 2),
+    }).withColumn("liquid", holds(F.col("volume_now") >= volume))
+    if references:
+        relative = reference_context(grid, references, [day]).select("symbol", "open_time", F.col(f"own_minus_proxy_{day}").alias("relative_day"))
+        rows = rows.join(relative, ["symbol", "open_time"], "left")
+    else:
+        rows = rows.withColumn("relative_day", F.lit(None).cast("double"))
+    return rows.withColumn("quality", quality_status(F.col("close").isNotNull(), F.col("observed_part"), F.col("liquid")))
+
+
+def baseline_rows(samples: DataFrame, features: DataFrame, audit: DataFrame, offsets: list[int], unit_seconds: int) -> DataFrame:
+    """``samples``: sample_id, symbol, baseline_anchor and more. One row for each sample and offset (in bars before the
+    baseline), with the features of the last whole bar before it, the hypotheses and the sample's audit, which overrides
+    the quality of a contaminated control. A bar that isn't in ``features`` is a missing decision bar."""
+    rows = samples.withColumn("offset", F.explode(F.array(*map(F.lit, offsets))))
+    rows = rows.withColumn("open_time", F.timestamp_seconds(F.unix_seconds("baseline_anchor") - (F.col("offset") + 1) * unit_seconds))
+    rows = rows.join(features, ["symbol", "open_time"], "left").join(audit.select("sample_id", "part", "crossed", "largest_gain", "contaminated"), "sample_id", "left")
+    stage = F.when(F.col("offset") == 0, "baseline_start").otherwise("pre_baseline")
+    quality = F.when(holds(F.col("contaminated")), "contaminated_control").otherwise(F.coalesce("quality", F.lit("missing_decision_bar")))
+    return hypotheses(rows).withColumns({"stage": stage, "quality": quality})
+
+
+def continuation_rows(samples: DataFrame, features: DataFrame, audit: DataFrame, horizon: int, unit_seconds: int) -> DataFrame:
+    """As baseline_rows, once for each sample ``horizon`` bars before its crossing, with the continuation trigger in place
+    of the hypotheses. ``features`` needs return_short, clock_ratio, position and runup as well."""
+    rows = samples.withColumn("open_time", F.timestamp_seconds(F.unix_seconds("cross_anchor") - (horizon + 1) * unit_seconds))
+    rows = rows.join(features, ["symbol", "open_time"], "left").join(audit.select("sample_id", "contaminated"), "sample_id", "left")
+    quality = F.when(holds(F.col("contaminated")), "contaminated_control").otherwise(F.coalesce("quality", F.lit("missing_decision_bar")))
+    return continuation_trigger(rows).withColumn("quality", quality)
 
 
 def snapshots(samples: DataFrame, offsets: list[int], step: str) -> DataFrame:
@@ -49,12 +208,6 @@ def shared_store(windows: DataFrame) -> DataFrame:
     return windows.drop("sample_id", "anchor", "relative_bar").dropDuplicates(["symbol", "open_time"])
 
 
-def volume_steps(grid: DataFrame, short: int, long: int) -> DataFrame:
-    """Adds volume_step: quote volume of the last ``short`` bars over that of the ``long`` bars before them, by bar."""
-    recent, before = by_time().rowsBetween(1 - short, 0), by_time().rowsBetween(1 - short - long, -short)
-    return grid.withColumn("volume_step", ratio(F.sum("quote_volume").over(recent) / short, F.sum("quote_volume").over(before) / long))
-
-
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """How often each combination occurs, nulls included."""
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@ run on any task and repeat after a retry."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -44,14 +44,38 @@ def permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFram
     ).withColumn("p_value", (F.col("exceed") + 1) / (F.col("iterations") + 1))
 
 
-def cluster_bootstrap(trades: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """``trades``: symbol, net_pnl. Resamples symbols; 2.5, 50 and 97.5 % quantiles of the pooled mean."""
-    from pyspark.sql import Window
-
-    sums = trades.groupBy("symbol").agg(F.sum("net_pnl").alias("total"), F.count("net_pnl").alias("n"))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = sums.withColumns({"at": F.row_number().over(Window.orderBy("symbol")) - 1, "many": F.count(F.lit(1)).over(every)})
-    draws = placed.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).select("i", draw(F.col("many"), seed, F.col("i"), F.col("at")).alias("at"))
-    means = draws.join(placed, "at").groupBy("i").agg(ratio(F.sum("total"), F.sum("n").cast("double")).alias("m"))
+def cluster_bootstrap(trades: DataFrame, iterations: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``trades``: symbol, net_pnl and the columns of ``by``. Resamples symbols; 2.5, 50 and 97.5 % quantiles of the pooled
+    mean (for each group of ``by``; with fewer than two symbols it has none)."""
+    sums = trades.groupBy(*by, "symbol").agg(F.sum("net_pnl").alias("total"), F.count("net_pnl").alias("n"))
+    placed, draws = _resampled(sums, iterations, seed, by)
+    means = draws.join(placed, [*by, "at"]).where("many > 1").groupBy(*by, "i").agg(ratio(F.sum("total"), F.sum("n").cast("double")).alias("m"))
     quantile = lambda q: F.percentile("m", F.lit(q))
-    return means.agg(quantile(0.025).alias("low"), quantile(0.5).alias("middle"), quantile(0.975).alias("high"), F.count("m").alias("iterations"))
+    return means.groupBy(*by).agg(quantile(0.025).alias("low"), quantile(0.5).alias("middle"), quantile(0.975).alias("high"), F.count("m").alias("iterations"))
+
+
+def _resampled(clusters: DataFrame, iterations: int, seed: int, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """One row a symbol with its place, and the places drawn in each iteration, as many as there are symbols."""
+    own = Window.partitionBy(*by)
+    placed = clusters.withColumns({"at": F.row_number().over(own.orderBy("symbol")) - 1, "many": F.count(F.lit(1)).over(own)})
+    draws = placed.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).select(*by, "i", draw(F.col("many"), seed, F.col("i"), F.col("at")).alias("at"))
+    return placed, draws
+
+
+def cluster_ratio_interval(samples: DataFrame, iterations: int, seed: int, least: int = 100) -> DataFrame:
+    """``samples``: symbol, label, signal (0 or 1). Resamples symbols; 2.5 and 97.5 % quantiles of the pooled ratio of
+    event and control rates. Draws without events or controls are skipped, and so are infinite ratios, which pulls both
+    bounds down; their number stands beside. Null below two symbols or ``least`` finite ratios."""
+    of = lambda label, value: F.sum(F.when(F.col("label") == label, value).otherwise(0))
+    clusters = samples.where("symbol is not null").groupBy("symbol").agg(
+        of(1, F.col("signal")).alias("eh"), of(1, F.lit(1)).alias("e"), of(0, F.col("signal")).alias("ch"), of(0, F.lit(1)).alias("c")
+    )
+    placed, draws = _resampled(clusters, iterations, seed)
+    pooled = draws.join(placed, "at").where("many > 1").groupBy("i").agg(*(F.sum(c).alias(c) for c in ("eh", "e", "ch", "c"))).where("e > 0 and c > 0")
+    value = F.when(F.col("ch") > 0, (F.col("eh") / F.col("e")) / (F.col("ch") / F.col("c")))
+    found = pooled.select(value.alias("r"), ((F.col("ch") == 0) & (F.col("eh") > 0)).alias("infinite"))
+    enough = F.count("r") >= least
+    return found.agg(
+        F.when(enough, F.percentile("r", F.lit(0.025))).alias("low"), F.when(enough, F.percentile("r", F.lit(0.975))).alias("high"),
+        F.count("r").alias("finite"), F.count_if("infinite").alias("infinite"),
+    )

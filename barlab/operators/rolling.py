@@ -81,16 +81,50 @@ def drawdown_runup(grid: DataFrame, w: int) -> DataFrame:
     }).drop("closes", "fold")
 
 
-def log_trend(grid: DataFrame, w: int, bars_per_day: int) -> DataFrame:
-    """Adds trend (daily percent from the least-squares slope of the log close) and trend_r2, from 6 bars up."""
-    f = last(w)
-    log, i = F.ln("close"), F.when(F.col("observed"), F.row_number().over(by_time()).cast("double"))
-    rows = grid.withColumns({"log_close": log, "place": i})
-    enough = F.count("log_close").over(f) >= 6
+def path_extremes(grid: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
+    """Adds to ``wanted`` (symbol, open_time) runup and drawdown in percent over the last w bars, null where one of them
+    has no positive close. Only the wanted bars meet their windows: bars carry a number, windows reach over two blocks
+    of w numbers, and an equi-join on symbol and block brings them together."""
+    bars = grid.select("symbol", "open_time", "close", F.row_number().over(by_time()).alias("i"))
+    block = lambda c: F.floor(c / w)
+    ends = wanted.select("symbol", "open_time").join(bars.select("symbol", "open_time", F.col("i").alias("end")), ["symbol", "open_time"])
+    spread = ends.withColumn("block", F.explode(F.array(block(F.col("end")), block(F.col("end")) - 1)))
+    path = spread.join(bars.select("symbol", "i", "close", block(F.col("i")).alias("block")), ["symbol", "block"]).where("i > end - %d and i <= end" % w)
+    start = F.struct(F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("down"), F.lit(0.0).alias("up"))
+
+    def step(a: Column, x: Column) -> Column:
+        high, low = F.greatest(a["high"], x["close"]), F.least(a["low"], x["close"])
+        return F.struct(
+            high.alias("high"), low.alias("low"), F.least(a["down"], x["close"] / high - 1).alias("down"), F.greatest(a["up"], x["close"] / low - 1).alias("up")
+        )
+
+    groups = path.groupBy("symbol", "open_time").agg(
+        F.sort_array(F.collect_list(F.struct("i", "close"))).alias("path"), F.count(F.when(F.col("close") > 0, 1)).alias("n")
+    ).where(F.col("n") == w).withColumn("fold", F.aggregate("path", start, step))
+    found = groups.select("symbol", "open_time", (F.col("fold.up") * 100).alias("runup"), (F.col("fold.down") * 100).alias("drawdown"))
+    return wanted.join(found, ["symbol", "open_time"], "left")
+
+
+def log_trend(grid: DataFrame, w: int, bars_per_day: int, most: int = 600) -> DataFrame:
+    """Adds trend (daily percent from the least-squares slope of the log close) and trend_r2 over the observed closes of
+    the last w bars, from 6 up. Gaps are left out, so that closes are one apart; of n > ``most`` closes every
+    ceil(n / most)-th counts, the first one on. Null where the fit isn't defined. The frame is at most w values a row."""
+    closes = F.collect_list("close").over(last(w))
+    rows = grid.withColumn("closes", closes).withColumn("n", F.size("closes"))
+    stride = F.greatest(F.lit(1), F.ceil(F.col("n") / most).cast("int"))
+    rows = rows.withColumn("stride", stride).withColumn("y", F.transform(F.filter("closes", lambda x, i: i % F.col("stride") == 0), lambda x: F.ln(x)))
+    m = F.size("y").cast("double")
+    total = lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumns({"m": m, "mean_y": ratio(total("y"), m), "mean_x": (m - 1) / 2})
+    xy = total(F.transform("y", lambda v, i: (i - F.col("mean_x")) * (v - F.col("mean_y"))))
+    yy = total(F.transform("y", lambda v: (v - F.col("mean_y")) * (v - F.col("mean_y"))))
+    xx = m * (m * m - 1) / 12
+    ok = (F.col("n") >= 6) & (F.array_min("closes") > 0) & (F.col("m") > 1)
+    rows = rows.withColumns({"xy": F.when(ok, xy), "yy": F.when(ok, yy), "xx": F.when(ok, xx)})
     return rows.withColumns({
-        "trend": F.when(enough, F.expm1(F.regr_slope("log_close", "place").over(f) * bars_per_day) * 100),
-        "trend_r2": F.when(enough, F.regr_r2("log_close", "place").over(f)),
-    }).drop("log_close", "place")
+        "trend": F.expm1(F.col("xy") / F.col("xx") / F.col("stride") * bars_per_day) * 100,
+        "trend_r2": F.when(F.col("yy") > 0, F.col("xy") * F.col("xy") / (F.col("xx") * F.nullif("yy", F.lit(0.0)))),
+    }).drop("closes", "n", "stride", "y", "m", "mean_y", "mean_x", "xy", "yy", "xx")
 
 
 def same_clock_ratio(grid: DataFrame, value: Column, day: int, days: int = 7, least: int = 1) -> DataFrame:

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import holds, pct_change, ratio
-from .rolling import by_time, drawdown_runup, last, same_clock_ratio, whole_clock_ratio, whole_sum
+from ..functions.scalars import finite_or_null, holds, pct_change, ratio
+from .rolling import by_time, drawdown_runup, last, path_extremes, same_clock_ratio, whole_clock_ratio, whole_sum
 
 
 def liquidity_gate(grid: DataFrame, w: int, median: float, quote: float, trades: int) -> DataFrame:
@@ -35,54 +35,74 @@ def acceleration(grid: DataFrame, w: int, day: int, gain: float, step_up: float,
     )).drop("trades_w")
 
 
-def armed_recently(grid: DataFrame, w: int, gain: float, ttl: int) -> DataFrame:
-    """Adds armed (the close is ``gain`` percent above the least low of the last w bars, all observed) and
-    armed_recent: armed in one of the ``ttl`` bars before this one."""
+def armed_recently(grid: DataFrame, w: int, gain: float, volume_w: int, day: int, clock: float, refs: int, ttl: int) -> DataFrame:
+    """Adds rise_from_low, long_ratio (quote volume over ``volume_w`` bars to its median at the same time on the days
+    before), armed (the rise from the least low of the last w bars, all observed, reaches ``gain`` percent, and the
+    ratio ``clock`` with at least ``refs`` days known) and armed_recent: armed in one of the ``ttl`` bars before."""
     f = last(w)
-    armed = holds((F.sum(F.col("observed").cast("int")).over(f) == w) & (pct_change(F.min("low").over(f), F.col("close")) >= gain))
-    rows = grid.withColumn("armed", armed)
-    return rows.withColumn("armed_recent", holds(F.max("armed").over(by_time().rowsBetween(-ttl, -1))))
+    rows = whole_clock_ratio(grid, whole_sum("quote_volume", volume_w), day).withColumnsRenamed({"clock_ratio": "long_ratio", "clock_days": "long_days"})
+    rows = rows.withColumn("rise_from_low", F.when(F.count("low").over(f) == w, pct_change(F.min("low").over(f), F.col("close"))))
+    rows = rows.withColumn("armed", holds(
+        (F.sum(F.col("observed").cast("int")).over(f) == w) & (F.col("rise_from_low") >= gain) & (F.col("long_ratio") >= clock) & (F.col("long_days") >= refs)
+    ))
+    return rows.withColumn("armed_recent", holds(F.max("armed").over(by_time().rowsBetween(-ttl, -1)))).drop("long_days")
 
 
-def late_momentum(grid: DataFrame, w: int, day: int, floors: dict[str, float]) -> DataFrame:
-    """Adds components, how many of three hold: return, volume over the same clock time, position in the day's range;
-    and late: at least two of them in a bar with volume."""
-    f = last(day)
-    low, high = F.min("low").over(f), F.max("high").over(f)
-    rows = same_clock_ratio(grid.withColumn("quote_w", F.sum("quote_volume").over(last(w))), F.col("quote_w"), day)
-    parts = [
-        pct_change(F.lag("close", w).over(by_time()), F.col("close")) >= floors["gain"], F.col("clock_ratio") >= floors["clock"],
-        F.when(high > low, (F.col("close") - low) / (high - low)) >= floors["position"],
-    ]
-    return rows.withColumn("components", sum((holds(p).cast("int") for p in parts), F.lit(0))).withColumn(
-        "late", holds((F.col("components") >= 2) & F.col("observed") & (F.col("quote_w") >= floors["quote"]))
-    ).drop("quote_w")
-
-
-def armed_with_volume(grid: DataFrame, w: int, gain: float, volume_w: int, day: int, clock: float, refs: int, ttl: int) -> DataFrame:
-    """As armed_recently, and the quote volume over ``volume_w`` bars is ``clock`` times its median at the same time on
-    the days before, of which at least ``refs`` are known (app/entry_validation.py:230-242)."""
-    rows = whole_clock_ratio(grid, whole_sum("quote_volume", volume_w), day)
-    busy = holds((F.col("clock_ratio") >= clock) & (F.col("clock_days") >= refs))
-    rows = armed_recently(rows.withColumn("busy", busy), w, gain, ttl).withColumn("armed", F.col("armed") & F.col("busy"))
-    return rows.withColumn("armed_recent", holds(F.max("armed").over(by_time().rowsBetween(-ttl, -1)))).drop("busy")
-
-
-def late_momentum_whole(grid: DataFrame, w: int, day: int, floors: dict[str, float], refs: int, least: int) -> DataFrame:
-    """Adds components, how many of four hold: return, volume over the same clock time with ``refs`` days known,
-    position in the day's range, run-up; and late: at least ``least`` of them in an observed bar with volume
-    (app/backtest.py:394-432). A window with a gap is unknown; the day's may lack 10 of 1440 parts."""
+def late_momentum(grid: DataFrame, w: int, day: int, floors: dict[str, float], refs: int, least: int, short: int) -> DataFrame:
+    """Adds components, how many of four hold (return, volume over the same clock time with ``refs`` days known, position
+    in the day's range, run-up), each by itself, and late: at least ``least`` of them in an observed bar whose last
+    ``short`` bars have volume. A window with a gap is unknown; the day's may lack 10 of 1440 parts."""
     f = last(day)
-    full = F.count("close").over(f) >= day * 1430 / 1440
+    full = F.count("high").over(f) >= day * 1430 / 1440
     low, high = F.when(full, F.min("low").over(f)), F.when(full, F.max("high").over(f))
-    rows = drawdown_runup(whole_clock_ratio(grid.withColumn("quote_w", whole_sum("quote_volume", w)), F.col("quote_w"), day), w)
-    parts = [
-        pct_change(F.lag("close", w).over(by_time()), F.col("close")) >= floors["gain"], (F.col("clock_ratio") >= floors["clock"]) & (F.col("clock_days") >= refs),
-        F.when(high > low, (F.col("close") - low) / (high - low)) >= floors["position"], F.when(F.count("close").over(last(w)) == w, F.col("runup")) >= floors["runup"],
-    ]
-    return rows.withColumn("components", sum((holds(p).cast("int") for p in parts), F.lit(0))).withColumn(
-        "late", holds((F.col("components") >= least) & F.col("observed") & (F.col("quote_w") >= floors["quote"]))
-    ).drop("quote_w", "drawdown", "runup")
+    rows = whole_clock_ratio(grid.withColumns({"quote_w": whole_sum("quote_volume", w), "quote_short": whole_sum("quote_volume", short)}), F.col("quote_w"), day)
+    rows = drawdown_runup(rows, w).withColumns({
+        "return_w": pct_change(F.lag("close", w).over(by_time()), F.col("close")), "position": F.when(high > low, (F.col("close") - low) / (high - low)),
+        "runup": F.when(F.count("close").over(last(w)) == w, F.col("runup")),
+    })
+    rows = rows.withColumns({
+        "return_pass": holds(F.col("return_w") >= floors["gain"]), "volume_pass": holds((F.col("clock_ratio") >= floors["clock"]) & (F.col("clock_days") >= refs)),
+        "range_pass": holds(F.col("position") >= floors["position"]), "runup_pass": holds(F.col("runup") >= floors["runup"]),
+    })
+    count = sum((F.col(c).cast("int") for c in ("return_pass", "volume_pass", "range_pass", "runup_pass")), F.lit(0))
+    return rows.withColumn("components", count).withColumn(
+        "late", holds((F.col("components") >= least) & F.col("observed") & (F.col("quote_short") >= floors["quote"]))
+    ).drop("quote_w", "drawdown")
+
+
+def entry_signals(grid: DataFrame, rule: dict[str, float]) -> DataFrame:
+    """The two entry signals at every bar, from bars up to it alone. ``rule`` has windows in bars (w, long, deep, day,
+    ttl), floors and ``refs``, the days that a same-clock ratio needs. Adds liquid, three confirmations t3 (trades
+    accelerate), t4 (volume accelerates) and t5 (a run-up and a fall on the way, asked only where the price is high in
+    its range), components, e1_edge (liquid and one of them begins to hold), armed, armed_recent, e2_edge (that in an
+    armed time) and the measures behind them."""
+    w, half, day, refs = rule["w"], rule["w"] // 2, rule["day"], rule["refs"]
+    rows = liquidity_gate(grid, w, rule["median"], rule["quote"], rule["trades"])
+    rows = rows.withColumn("trade_count", F.col("trade_count").cast("double")).withColumns({
+        "q": whole_sum("quote_volume", w), "q_late": whole_sum("quote_volume", half), "t": whole_sum("trade_count", w), "t_late": whole_sum("trade_count", half),
+        "return_w": pct_change(F.lag("close", w).over(by_time()), F.col("close")),
+        "low_w": F.when(F.count("low").over(last(w)) == w, F.min("low").over(last(w))), "high_w": F.when(F.count("high").over(last(w)) == w, F.max("high").over(last(w))),
+        "whole_long": holds(F.sum(F.col("observed").cast("int")).over(last(rule["long"])) == rule["long"]),
+    })
+    rows = whole_clock_ratio(rows, F.col("q"), day).withColumnsRenamed({"clock_ratio": "q_ratio", "clock_days": "q_days"})
+    rows = whole_clock_ratio(rows, F.col("t"), day).withColumnsRenamed({"clock_ratio": "t_ratio", "clock_days": "t_days"})
+    step = lambda c: ratio(F.col(f"{c}_late"), F.nullif(F.col(c) - F.col(f"{c}_late"), F.lit(0.0)))
+    rows = rows.withColumns({"q_step": step("q"), "t_step": step("t"), "position": ratio(F.col("close") - F.col("low_w"), F.nullif(F.col("high_w") - F.col("low_w"), F.lit(0.0)))})
+    rows = armed_recently(rows, rule["deep"], rule["rise"], rule["long"], day, rule["long_clock"], refs, rule["ttl"])
+    early = F.col("q") - F.col("q_late"), F.col("t") - F.col("t_late")
+    rows = rows.withColumns({
+        "t3": holds((F.col("return_w") >= rule["t3_gain"]) & (F.col("t_late") >= rule["step"] * F.nullif(early[1], F.lit(0.0))) & (F.col("t_ratio") >= rule["t3_clock"]) & (F.col("t_days") >= refs)),
+        "t4": holds((F.col("return_w") >= rule["t4_gain"]) & (F.col("q_ratio") >= rule["t4_clock"]) & (F.col("q_late") >= rule["step"] * F.nullif(early[0], F.lit(0.0))) & (F.col("q_days") >= refs)),
+        "asked": holds((F.col("return_w") >= rule["t5_gain"]) & (F.col("position") >= rule["t5_position"]) & F.col("whole_long")),
+    })
+    extremes = path_extremes(grid, rows.where("asked").select("symbol", "open_time"), rule["long"])
+    rows = rows.join(extremes, ["symbol", "open_time"], "left")
+    rows = rows.withColumn("t5", holds((F.col("runup") >= rule["t5_runup"]) & (F.col("drawdown") <= rule["t5_drawdown"])))
+    rows = rows.withColumn("components", sum((F.col(c).cast("int") for c in ("t3", "t4", "t5")), F.lit(0)))
+    rows = rows.withColumn("e1", F.col("liquid") & (F.col("components") > 0)).withColumn("e2", F.col("e1") & F.col("armed_recent"))
+    return rows.withColumns({
+        "e1_edge": rising_edge(F.col("e1")), "e2_edge": rising_edge(F.col("e2")), "activity": F.coalesce(F.greatest("q_ratio", "t_ratio"), F.lit(0.0)),
+    }).drop("low_w", "high_w", "whole_long", "q_late", "t_late", "q_days", "t_days", "e1", "e2", "asked")
 
 
 def rising_edge(state: Column) -> Column:
@@ -90,11 +110,16 @@ def rising_edge(state: Column) -> Column:
     return state & ~F.lag(state, 1, False).over(by_time())
 
 
-def candidates(grid: DataFrame, state: str, step: str, components: Column, activity: Column) -> DataFrame:
-    """Rows where the state rises; the decision falls at the bar's end."""
-    return grid.withColumn("edge", rising_edge(F.col(state))).where("edge").select(
-        "symbol", F.expr(f"open_time + interval {step}").alias("decision_time"), components.alias("components"), activity.alias("activity")
-    )
+def candidates(rows: DataFrame, trigger: Column, step: str, *columns: str) -> DataFrame:
+    """Rows where the trigger holds; the decision falls at the bar's end. Not-a-numbers become null."""
+    clean = [finite_or_null(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.select(*columns).dtypes]
+    at = F.expr(f"open_time + interval {step}").alias("decision_time")
+    return rows.where(trigger).select("symbol", F.col("open_time").alias("signal_bar"), at, F.col("close").alias("signal_close"), *clean)
+
+
+def before_outcome_cutoff(found: DataFrame, end: Column, seconds: int) -> DataFrame:
+    """Candidates early enough for their outcome to lie before ``end``."""
+    return found.where(F.unix_micros("decision_time") <= F.unix_micros(end) - seconds * 1_000_000)
 
 
 def select_greedily(found: DataFrame, cooldown_seconds: int, per_day: int) -> DataFrame:
@@ -114,15 +139,63 @@ def select_greedily(found: DataFrame, cooldown_seconds: int, per_day: int) -> Da
                 if at.date() != day:
                     day, taken = at.date(), 0
                 if symbol in rests and at < rests[symbol]:
-                    said.append("cooldown")
+                    said.append("suppressed_symbol_cooldown")
                 elif taken >= per_day:
-                    said.append("day_full")
+                    said.append("suppressed_daily_cap")
                 else:
                     said.append("selected")
                     rests[symbol] = at + pd.Timedelta(seconds=cooldown_seconds)
                     taken += 1
             yield batch.assign(decision=said)
 
-    order = [F.col("decision_time"), F.desc("components"), F.desc("activity"), F.col("symbol")]
     rows = found.select("symbol", "decision_time", "components", "activity")
-    return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(fold, "symbol string, decision_time timestamp, components int, activity double, decision string")
+    return _in_order(rows).mapInPandas(fold, "symbol string, decision_time timestamp, components int, activity double, decision string")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    order = [F.col("decision_time"), F.desc("components"), F.desc("activity"), F.col("symbol")]
+    return rows.repartition(1).sortWithinPartitions(*order)
+
+
+def select_with_feedback(executed: DataFrame, rest_seconds: int, per_day: int) -> DataFrame:
+    """``executed``: symbol, decision_time, components, activity, status, exit_time: every candidate with what it would
+    have come to. Takes them in the order of select_greedily; a UTC day takes so many that complete, by the day of the
+    decision, and a symbol rests after its exit, or after the decision where it failed. Adds decision: the status of
+    those taken, else what suppressed them. Executions don't depend on the selection, so only this fold is ordered."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rests: dict[str, pd.Timestamp] = {}
+        day, filled = None, 0
+        for batch in batches:
+            said = []
+            for symbol, at, status, exit_ in zip(batch["symbol"], batch["decision_time"], batch["status"], batch["exit_time"]):
+                if at.date() != day:
+                    day, filled = at.date(), 0
+                if symbol in rests and at < rests[symbol]:
+                    said.append("suppressed_symbol_cooldown")
+                elif filled >= per_day:
+                    said.append("suppressed_daily_trade_cap")
+                else:
+                    said.append(status)
+                    filled += status == "completed"
+                    rests[symbol] = (exit_ if status == "completed" else at) + pd.Timedelta(seconds=rest_seconds)
+            yield batch.assign(decision=said)
+
+    rows = executed.select("symbol", "decision_time", "components", "activity", "status", "exit_time")
+    schema = "symbol string, decision_time timestamp, components int, activity double, status string, exit_time timestamp, decision string"
+    return _in_order(rows).mapInPandas(fold, schema)
+
+
+def executed_once(selections: DataFrame) -> DataFrame:
+    """``selections``: strategy, symbol, decision_time and what an execution needs. One row for each symbol and time that
+    any strategy selected (of the first strategy by name)."""
+    rest = [c for c in selections.columns if c not in ("symbol", "decision_time")]
+    first = F.min_by(F.struct(*rest), "strategy").alias("r")
+    return selections.groupBy("symbol", "decision_time").agg(first).select("symbol", "decision_time", *(F.col(f"r.{c}") for c in rest if c != "strategy"))
+
+
+def executions_by_strategy(selections: DataFrame, executions: DataFrame) -> DataFrame:
+    """Each strategy's selections with their execution; one that has none is execution_missing."""
+    keys = ["symbol", "decision_time"]
+    out = selections.select("strategy", *keys).join(executions, keys, "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("execution_missing")))

@@ -9,28 +9,57 @@ from ..functions.scalars import ratio
 
 
 def canonical_universe(pairs: DataFrame, quotes: list[str]) -> DataFrame:
-    """``pairs``: symbol, base, quote. One pair for each base: the earliest quote of the list, then the symbol."""
+    """``pairs``: symbol, base, quote, status, spot, trading, limit. Of the pairs that trade spot and take limit orders
+    one for each base: the earliest quote of the list, then the symbol. Other columns stay, stable and leveraged bases
+    too."""
     rank = F.array_position(F.array(*map(F.lit, quotes)), F.col("quote"))
+    open_ = pairs.where((F.col("status") == "TRADING") & F.col("spot") & F.col("trading") & F.col("limit"))
     best = Window.partitionBy("base").orderBy("quote_rank", "symbol")
-    return pairs.withColumn("quote_rank", rank).where("quote_rank > 0").withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    return open_.withColumn("quote_rank", rank).where("quote_rank > 0").withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
 
 
-def temporal_split(events: DataFrame, parts: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
-    """``events``: event_date. Whole dates go to discovery, validation or sealed by the number of events before the
-    day against the targets, and each split keeps a date while three remain. Returns event_date, events, split."""
+def temporal_split(events: DataFrame, discovery: float = 70, validation: float = 15) -> DataFrame:
+    """``events``: event_date. Whole dates go to discovery, validation or sealed_test by the number of events before the
+    day against percents of all, the last two dates being kept for the later splits. With one or two dates these are
+    discovery and validation. Where a day with very many events leaves no validation date, the last but one becomes it.
+    Returns event_date, events, split."""
+    if discovery <= 0 or validation <= 0 or discovery + validation >= 100:
+        raise ValueError("percents must be positive and leave room for sealed_test")
     days = events.groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
-    order = Window.orderBy("event_date")
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order, every = Window.orderBy("event_date"), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = days.withColumns({
         "before": F.coalesce(F.sum("events").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "total": F.sum("events").over(every), "i": F.row_number().over(order), "n": F.count(F.lit(1)).over(every),
+        "total": F.sum("events").over(every), "left": F.count(F.lit(1)).over(order.rowsBetween(0, Window.unboundedFollowing)),
+        "n": F.count(F.lit(1)).over(every),
     })
-    split = (
-        F.when((F.col("i") == 1) | (F.col("before") < F.col("total") * parts[0]) & (F.col("i") <= F.col("n") - 2), "discovery")
-        .when((F.col("before") < F.col("total") * (parts[0] + parts[1])) & (F.col("i") <= F.col("n") - 1) | (F.col("i") == F.col("n") - 1) & (F.col("n") >= 3), "validation")
-        .otherwise("sealed")
+    few = F.when(F.col("left") == F.col("n"), "discovery").otherwise("validation")
+    many = (
+        F.when((F.col("before") < F.col("total") * discovery / 100.0) & (F.col("left") > 2), "discovery")
+        .when((F.col("before") < F.col("total") * (discovery + validation) / 100.0) & (F.col("left") > 1), "validation").otherwise("sealed_test")
+    )
+    rows = rows.withColumn("split", F.when(F.col("n") < 3, few).otherwise(many))
+    none = F.max((F.col("split") == "validation").cast("int")).over(every) == 0
+    repaired = F.when((F.col("n") >= 3) & none & (F.col("left") == 2), "validation").otherwise(F.col("split"))
+    return rows.select("event_date", "events", repaired.alias("split"))
+
+
+def split_summary(assigned: DataFrame) -> DataFrame:
+    """Per split its first and last date, dates and events."""
+    return assigned.groupBy("split").agg(
+        F.min("event_date").alias("start_date"), F.max("event_date").alias("end_date"), F.count(F.lit(1)).alias("event_dates"), F.sum("events").alias("events"),
+    )
+
+
+def calendar_splits(days: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Every day with its split: up to the last date of discovery (the first day, without one), up to that of validation
+    (as discovery's, without one), the rest. ``assigned``: event_date, split; one row of bounds meets the days."""
+    last = lambda split: F.max(F.when(F.col("split") == split, F.col("event_date")))
+    bounds = assigned.agg(last("discovery").alias("d"), last("validation").alias("v"))
+    first = days.agg(F.min("day").alias("first"))
+    ends = F.broadcast(bounds.join(F.broadcast(first)).select(F.coalesce("d", "first").alias("d"), F.coalesce("v", "d", "first").alias("v")))
+    return days.join(ends).select(
+        "day", F.when(F.col("day") <= F.col("d"), "discovery").when(F.col("day") <= F.col("v"), "validation").otherwise("sealed_test").alias("split")
     )
-    return rows.select("event_date", "events", split.alias("split"))
 
 
 def valid_groups(samples: DataFrame, group: str, label: str) -> DataFrame:

@@ -103,23 +103,32 @@ def event_records(surges: DataFrame, bars: DataFrame) -> DataFrame:
     return surges.join(totals, ["symbol", "event_date"], "left")
 
 
-def decision_observations(bars: DataFrame, dates: DataFrame, hours: tuple[int, ...] = (14, 17, 19), zone: str = "Europe/London") -> DataFrame:
-    """``dates``: symbol, event_date. At each local hour: the first bar of the day at or after it, its close, and the
-    best later high of the day in percent of it."""
+def decision_observations(
+    bars: DataFrame, dates: DataFrame, step: str, hours: tuple[int, ...] = (14, 17, 19), zone: str = "Europe/London",
+) -> DataFrame:
+    """``dates``: symbol, event_date. At each local hour: the first bar of the day at or after it, entered at its close,
+    and the best high (the first of equal ones) of the day's bars from then on, in percent. Decisions without a later bar
+    are left out. Local hours follow the zone's summer time."""
     local = F.to_timestamp(F.concat_ws(" ", F.col("event_date").cast("string"), F.format_string("%02d:00:00", "hour")))
     targets = dates.withColumn("hour", F.explode(F.array(*map(F.lit, hours)))).withColumn("target", F.to_utc_timestamp(local, zone))
     day = bars.where("close is not null").withColumn("event_date", F.to_date("open_time"))
     after = targets.join(day, ["symbol", "event_date"]).where("open_time >= target")
     first = Window.partitionBy("symbol", "event_date", "hour").orderBy("open_time")
-    rows = after.withColumns({"n": F.row_number().over(first), "entry": F.first("close").over(first)})
-    return rows.groupBy("symbol", "event_date", "hour").agg(
-        F.min("open_time").alias("entry_time"), F.min("entry").alias("entry_price"), F.max(F.when(F.col("n") > 1, F.col("high"))).alias("peak"),
-    ).withColumn("max_gain", pct_change(F.col("entry_price"), F.col("peak")))
+    rows = after.withColumns({"entry_time": F.expr(f"min(open_time) OVER (PARTITION BY symbol, event_date, hour) + interval {step}"), "entry": F.first("close").over(first)})
+    later = rows.where("open_time >= entry_time").groupBy("symbol", "event_date", "hour").agg(
+        F.min("target").alias("decision_time"), F.min("entry_time").alias("entry_time"), F.min("entry").alias("entry_price"),
+        F.min(F.struct((-F.col("high")).alias("minus"), "open_time")).alias("peak"),
+    )
+    return later.select(
+        "symbol", "event_date", "hour", "decision_time", "entry_time", "entry_price", (-F.col("peak.minus")).alias("peak"),
+        F.col("peak.open_time").alias("peak_time"), pct_change(F.col("entry_price"), -F.col("peak.minus")).alias("max_gain"),
+    )
 
 
 def algorithmic_baseline(grid: DataFrame, w: int, factor: float) -> DataFrame:
-    """For every bar taken as a crossing: the latest bar of the least low among the w-1 before it (all observed), the
-    bars between, the best gain of the w-1 bars after the baseline (all observed), and whether that reaches the factor."""
+    """For every bar taken as a crossing: the latest bar of the least low among the w-1 before it (all observed), the bars
+    between, the best gain of the w-1 bars after the baseline (all observed), and whether that reaches
+    the factor. Baselines without a whole window after them are left out."""
     by_time = Window.partitionBy("symbol").orderBy("open_time")
     back, ahead = by_time.rowsBetween(1 - w, -1), by_time.rowsBetween(1, w - 1)
     whole = lambda f: F.sum(F.col("observed").cast("int")).over(f) == w - 1
@@ -127,10 +136,18 @@ def algorithmic_baseline(grid: DataFrame, w: int, factor: float) -> DataFrame:
         "base": F.when(whole(back), F.min(F.when(F.col("observed"), F.struct("low", (-F.col("i")).alias("minus")))).over(back)),
         "future_high": F.when(whole(ahead), F.max("high").over(ahead)),
     })
-    future = rows.select("symbol", F.col("i").alias("base_i"), F.col("future_high").alias("high_after"), F.col("open_time").alias("baseline_time"))
+    future = rows.select("symbol", F.col("i").alias("base_i"), F.col("future_high").alias("high_after"), F.col("open_time").alias("baseline_time"), F.col("low").alias("base_low"))
     chosen = rows.where("base is not null").withColumn("base_i", -F.col("base.minus"))
-    return chosen.join(future, ["symbol", "base_i"]).select(
-        "symbol", "open_time", "baseline_time", F.col("base.low").alias("baseline_low"), (F.col("i") - F.col("base_i")).alias("duration"),
-        pct_change(F.col("base.low"), F.col("high_after")).alias("future_gain"),
-        holds(pct_change(F.col("base.low"), F.col("high_after")) + 1e-12 >= (factor - 1) * 100).alias("contaminated"),
-    )
+    gain = pct_change(F.col("baseline_low"), F.col("high_after"))
+    return chosen.join(future, ["symbol", "base_i"]).where("high_after is not null").select(
+        "symbol", "open_time", "baseline_time", F.col("base.low").alias("baseline_low"), (F.col("i") - F.col("base_i")).alias("duration"), "high_after",
+    ).withColumns({"future_gain": gain, "contaminated": holds(gain + 1e-12 >= (factor - 1) * 100)}).drop("high_after")
+
+
+def first_future_cross(baselines: DataFrame, grid: DataFrame, w: int, factor: float, step_seconds: int) -> DataFrame:
+    """Adds to contaminated baselines first_future_cross, the first bar within w-1 of them at the factor."""
+    near = baselines.where("contaminated").select("symbol", "open_time", "baseline_time", "baseline_low")
+    bars = grid.select("symbol", F.col("open_time").alias("at"), "high")
+    spread = near.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(w - 1)), lambda k: F.timestamp_seconds(F.unix_seconds("baseline_time") + k * step_seconds))))
+    hit = spread.join(bars, ["symbol", "at"]).where(F.col("high") >= F.col("baseline_low") * factor)
+    return baselines.join(hit.groupBy("symbol", "open_time").agg(F.min("at").alias("first_future_cross")), ["symbol", "open_time"], "left")

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import context, execution, inference, performance, rolling, samples, signals, splits, surge
+from ..operators import rolling, splits, surge
 from ..sources import trades as src
 
-START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 WINDOW, FACTOR = 8, 1.25
+#: 2024-01-15, in milliseconds.
+CUTOFF_MS = 1_705_276_800_000
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -58,7 +59,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return src.dense_grid(bars(spark, sf), START, END)
+    return src.dense_grid(bars(spark, sf))
 
 
 def first_surges(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +79,8 @@ _B = _T + """, ba AS (
 _G = _B + """, gr AS (
   SELECT s.symbol, t.open_time, ba.* EXCLUDE (symbol, open_time), ba.close IS NOT NULL AS observed
   FROM (SELECT DISTINCT symbol FROM ba) s
-  CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS open_time) t
+  CROSS JOIN (SELECT unnest(generate_series(a, b + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS open_time
+    FROM (SELECT date_trunc('day', min(open_time)) AS a, date_trunc('day', max(open_time)) AS b FROM ba)) t
   LEFT JOIN ba ON ba.symbol = s.symbol AND ba.open_time = t.open_time
 )"""
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -113,17 +115,66 @@ def o08(spark, sf):
 
 @query("o05_cutoff", "SELECT event_id, epoch_us(ts) // 1000 AS timestamp_ms_normalized FROM events WHERE ts < TIMESTAMP '2024-01-15'")
 def o05(spark, sf):
-    raw = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("time"))
-    cutoff = F.unix_millis(F.lit("2024-01-15").cast("timestamp"))
-    return src.before_cutoff(raw, 1 << 60).where(F.col("timestamp_ms_normalized") < cutoff).select("event_id", "timestamp_ms_normalized")
+    time = F.when(F.col("event_id") % 2 == 0, F.unix_micros(F.col("ts").cast("timestamp"))).otherwise(F.unix_millis(F.col("ts").cast("timestamp")))
+    raw = spark.read.parquet(f"{sf}/events.parquet").select("event_id", time.cast("string").alias("time"))
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("time").alias("time"))
+    return src.before_cutoff(raw.unionByName(header), CUTOFF_MS).select("event_id", "timestamp_ms_normalized")
+
+
+@query("o08_kline_reader", f"""WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low,
+  round(close, 6) AS close, round(volume, 6) AS volume, {_TS.format("open_time + INTERVAL 59 MINUTE")} AS close_time, CASE WHEN hour(open_time) = 5 THEN NULL ELSE round(quote_volume, 4) END AS quote_volume,
+  CASE WHEN hour(open_time) = 3 THEN 0 ELSE trade_count END AS trade_count, NULL::DOUBLE AS taker_buy_base, round(taker_buy_quote, 4) AS taker_buy_quote FROM ba""")
+def o08_klines(spark, sf):
+    text = lambda c, name: F.col(c).cast("string").alias(name)
+    hour = F.hour("open_time")
+    raw = bars(spark, sf).select(
+        "symbol", F.when(hour % 2 == 0, F.unix_micros("open_time")).otherwise(F.unix_millis("open_time")).cast("string").alias("open_time"),
+        *(text(c, c) for c in ("open", "high", "low", "close", "volume")), F.unix_millis(F.expr("open_time + interval 59 minutes")).cast("string").alias("close_time"),
+        F.when(hour == 5, "n/a").otherwise(F.col("quote_volume").cast("string")).alias("quote_volume"), F.when(hour != 3, F.col("trade_count")).cast("string").alias("trade_count"),
+        F.lit(None).cast("string").alias("taker_buy_base"), text("taker_buy_quote", "taker_buy_quote"),
+    )
+    header = spark.range(1).select(F.lit("head").alias("symbol"), *(F.lit(c).alias(c) for c in src.BAR_COLUMNS))
+    found = src.normalised_bars(raw.unionByName(header))
+    return rounded(found.withColumns({c: F.round(c, 4) for c in ("quote_volume", "taker_buy_quote")}))
+
+
+_PAIRS = """pa AS (SELECT p_partkey AS symbol, p_brand AS base, split_part(p_type, ' ', 1) AS quote, CASE WHEN p_size > 5 THEN 'TRADING' ELSE 'BREAK' END AS status,
+  p_partkey % 3 <> 0 OR p_partkey % 5 = 0 AS spot, CASE WHEN p_partkey % 7 = 0 THEN false WHEN p_partkey % 2 = 0 THEN true ELSE p_partkey % 3 <> 0 OR p_partkey % 5 = 0 END AS trading,
+  p_partkey % 11 <> 0 AS limit_, p_brand LIKE '%2' AS marked FROM part)"""
+
+
+def _exchange(spark, sf) -> DataFrame:
+    """The part table as an exchange lists its pairs: rows with an array of nested pairs."""
+    key = F.col("p_partkey")
+    pair = F.struct(
+        key.cast("string").alias("symbol"), F.col("p_brand").alias("baseAsset"), F.split("p_type", " ")[0].alias("quoteAsset"),
+        F.when(F.col("p_size") > 5, "TRADING").otherwise("BREAK").alias("status"), F.when(key % 3 != 0, F.array(F.lit("SPOT"))).alias("permissions"),
+        F.when(key % 5 == 0, F.array(F.array(F.lit("OTHER")), F.array(F.lit("SPOT")))).alias("permissionSets"),
+        F.when(key % 7 == 0, False).when(key % 2 == 0, True).alias("isSpotTradingAllowed"),
+        F.when(key % 11 == 0, F.array(F.lit("MARKET"))).otherwise(F.array(F.lit("MARKET"), F.lit("LIMIT"))).alias("orderTypes"),
+    )
+    return spark.read.parquet(f"{sf}/part.parquet").groupBy((key % 20).alias("page")).agg(F.collect_list(pair).alias("symbols"))
+
+
+@query("o03_exchange_symbols", f"WITH {_PAIRS} SELECT symbol::VARCHAR AS symbol, base, quote, status, spot, trading, limit_ AS \"limit\" FROM pa")
+def o03(spark, sf):
+    return src.exchange_symbols(_exchange(spark, sf)).drop("stable", "leveraged")
 
 
-@query("o10_universe", """SELECT p_brand AS base, p_partkey AS symbol, p_type AS quote, CAST(rank AS BIGINT) AS quote_rank FROM (
-  SELECT *, list_position(['PROMO', 'ECONOMY', 'STANDARD'], split_part(p_type, ' ', 1)) AS rank FROM part)
-  WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY rank, p_partkey) = 1""")
+@query("o10_universe", f"""WITH {_PAIRS} SELECT base, symbol::VARCHAR AS symbol, quote, CAST(rank AS BIGINT) AS quote_rank FROM (SELECT *, list_position(['PROMO', 'ECONOMY', 'STANDARD'], quote) AS rank FROM pa)
+  WHERE rank > 0 AND status = 'TRADING' AND spot AND trading AND limit_ QUALIFY row_number() OVER (PARTITION BY base ORDER BY rank, symbol::VARCHAR) = 1""")
 def o10(spark, sf):
-    pairs = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("symbol"), F.col("p_brand").alias("base"), F.split("p_type", " ")[0].alias("quote"), "p_type")
-    return splits.canonical_universe(pairs, ["PROMO", "ECONOMY", "STANDARD"]).select("base", "symbol", F.col("p_type").alias("quote"), "quote_rank")
+    found = splits.canonical_universe(src.exchange_symbols(_exchange(spark, sf)), ["PROMO", "ECONOMY", "STANDARD"])
+    return found.select("base", "symbol", "quote", "quote_rank")
+
+
+@query("o06_archive_paths", """SELECT DISTINCT event_type AS symbol, ts::DATE::VARCHAR AS day, 'store/daily/klines/' || event_type || '/1m/' || event_type || '-1m-' || strftime(ts, '%Y-%m-%d') || '.zip' AS path,
+  'store/monthly/klines/' || event_type || '/1m/' || event_type || '-1m-' || strftime(ts, '%Y-%m') || '.zip' AS month_path, 'store/daily/aggTrades/' || event_type || '/' || event_type || '-aggTrades-' || strftime(ts, '%Y-%m-%d') || '.zip' AS trades_path FROM events""")
+def o06(spark, sf):
+    days = tape(spark, sf).select("symbol", F.to_date("ts").alias("day")).distinct()
+    paths = src.archive_paths(days, "store", "aggTrades").withColumnRenamed("path", "trades_path")
+    paths = src.archive_paths(paths, "store", "klines", "1m", monthly=True).withColumnRenamed("path", "month_path")
+    return rounded(src.archive_paths(paths, "store", "klines", "1m"))
 
 
 @query("o13_trade_range", f"WITH {_T} SELECT symbol, trade_id, {_TS.format('ts')} AS ts, round(price, 6) AS price, round(qty, 6) AS qty, is_buyer_maker FROM tr WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
@@ -134,7 +185,8 @@ def o13(spark, sf):
 
 @query("o14_dense_grid", f"WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, observed, round(close, 6) AS close, trade_count FROM gr")
 def o14(spark, sf):
-    return rounded(grid(spark, sf).select("symbol", "open_time", "observed", "close", "trade_count"))
+    own = bars(spark, sf)
+    return rounded(src.dense_grid(own.unionByName(own)).select("symbol", "open_time", "observed", "close", "trade_count"))
 
 
 # Scalars
@@ -161,20 +213,46 @@ def o27(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", scalars.uuid5(F.col("o_orderkey"), F.col("o_orderpriority")).alias("id"))
 
 
-@query("o29_duration_band", """SELECT event_id, CASE WHEN m BETWEEN 1 AND 180 THEN '001_180m' WHEN m BETWEEN 181 AND 360 THEN '181_360m' WHEN m BETWEEN 361 AND 420 THEN '361_420m'
-  WHEN m BETWEEN 421 AND 480 THEN '421_480m' ELSE 'outside_8h' END AS band FROM (SELECT event_id, ceil(value) AS m FROM events)""")
+_BAND = """CASE WHEN {0} IS NULL THEN 'unknown' WHEN ceil({0}) < 0 THEN 'outside_8h' WHEN ceil({0}) <= 180 THEN 'le_3h' WHEN ceil({0}) <= 360 THEN 'gt_3h_to_6h'
+  WHEN ceil({0}) <= 420 THEN 'gt_6h_to_7h' WHEN ceil({0}) <= 480 THEN 'gt_7h_to_8h' ELSE 'outside_8h' END"""
+
+
+@query("o29_duration_band", f"SELECT event_id, {_BAND.format('m')} AS band FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN 0 ELSE value END AS m FROM events)")
 def o29(spark, sf):
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", scalars.duration_band(F.col("value")).alias("band"))
+    key = F.col("event_id") % 7
+    minutes = F.when(key == 0, F.when(F.col("event_id") % 2 == 0, float("nan"))).when(key == 1, 0.0).otherwise(F.col("value"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", scalars.duration_band(minutes).alias("band"))
 
 
-@query("o61_safe_filename", """SELECT c_custkey, CASE WHEN clean = n AND length(n) <= 80 THEN n ELSE substr(clean, 1, 60) || '_' || substr(sha256(n), 1, 12) END AS file
-  FROM (SELECT c_custkey, n, regexp_replace(n, '[^A-Za-z0-9._-]+', '_', 'g') AS clean FROM (SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN ' / ' || c_mktsegment ELSE '' END AS n FROM customer))""")
+@query("o61_safe_filename", """SELECT c_custkey, CASE WHEN clean = n AND clean <> '' THEN substr(clean, 1, 80) ELSE (CASE WHEN clean = '' THEN 'symbol' ELSE substr(clean, 1, 60) END) || '_' || substr(sha256(n), 1, 12) END AS file
+  FROM (SELECT c_custkey, n, regexp_replace(regexp_replace(n, '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS clean
+    FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ' / ' || c_mktsegment WHEN 1 THEN replace(c_name, '#', '') WHEN 2 THEN '--' ELSE '__' || c_name || repeat('x', 90) END AS n FROM customer))""")
 def o61(spark, sf):
-    rows = spark.read.parquet(f"{sf}/customer.parquet")
-    name = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" / "), "c_mktsegment")).otherwise(F.col("c_name"))
+    rows, key = spark.read.parquet(f"{sf}/customer.parquet"), F.col("c_custkey") % 4
+    name = (
+        F.when(key == 0, F.concat("c_name", F.lit(" / "), "c_mktsegment")).when(key == 1, F.replace("c_name", F.lit("#"), F.lit("")))
+        .when(key == 2, "--").otherwise(F.concat(F.lit("__"), "c_name", F.lit("x" * 90)))
+    )
     return rows.select("c_custkey", scalars.safe_filename(name).alias("file"))
 
 
+@query("o62_o63_text_values", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unknown' END AS flag, event_id % 4 IN (0, 2) AS maker,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS finite FROM events""")
+def o62(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    word = F.element_at(F.array(F.lit(" True "), F.lit("0"), F.lit("yes"), F.lit("f")), (F.col("event_id") % 4 + 1).cast("int"))
+    wild = F.when(F.col("event_id") % 5 == 0, F.element_at(F.array(F.lit(float("nan")), F.lit(float("inf"))), (F.col("event_id") % 2 + 1).cast("int"))).otherwise(F.col("value"))
+    flag = F.coalesce(src.parse_boolean(word).cast("string"), F.lit("unknown"))
+    return rounded(rows.select("event_id", flag.alias("flag"), src.parse_flag(word).alias("maker"), scalars.finite_or_null(wild).alias("finite")))
+
+
+@query("o19_times", f"""SELECT event_id, {_TS.format("date_trunc('minute', ts)")} AS minute, ts::DATE::VARCHAR AS day, {_TS.format('ts')} AS parsed, epoch_us(ts) // 1000 AS millis FROM events""")
+def o19(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    text = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("+00:00")), (F.col("event_id") % 3 + 1).cast("int")))
+    return rounded(spark.read.parquet(f"{sf}/events.parquet").select("event_id", scalars.minute_of(ts).alias("minute"), F.to_date(ts).alias("day"), scalars.iso_time(text).alias("parsed"), F.unix_millis(ts).alias("millis")))
+
+
 # Surges
 
 
@@ -237,16 +315,19 @@ def o64(spark, sf):
     return rounded(found.select("symbol", "event_date", "day_open", "day_high", "day_close", "peak_time", "volume_before", "bars"))
 
 
-@query("o65_decisions", f"""WITH {_B}, da AS (SELECT DISTINCT symbol, CAST(open_time AS DATE) AS event_date FROM ba),
-  tg AS (SELECT *, event_date + h * INTERVAL 1 HOUR AS target FROM da, unnest([14, 17, 19]) AS u(h)),
-  af AS (SELECT tg.*, open_time, close, high, row_number() OVER w AS n, first(close) OVER w AS entry FROM tg JOIN ba ON ba.symbol = tg.symbol AND CAST(open_time AS DATE) = event_date AND open_time >= target
+@query("o65_decisions", f"""WITH {_B}, mo AS (SELECT * REPLACE (open_time + INTERVAL 150 DAY AS open_time) FROM ba), al AS (SELECT * FROM ba UNION ALL SELECT * FROM mo),
+  da AS (SELECT DISTINCT symbol, CAST(open_time AS DATE) AS event_date FROM al),
+  tg AS (SELECT *, event_date + h * INTERVAL 1 HOUR - CASE WHEN month(event_date) BETWEEN 5 AND 7 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS target FROM da, unnest([14, 17, 19]) AS u(h)),
+  af AS (SELECT tg.*, open_time, close, high, min(open_time) OVER w + INTERVAL 1 HOUR AS entry_time, first(close) OVER w AS entry FROM tg JOIN al ON al.symbol = tg.symbol AND CAST(open_time AS DATE) = event_date AND open_time >= target
          WINDOW w AS (PARTITION BY tg.symbol, event_date, h ORDER BY open_time))
-  SELECT symbol, event_date::VARCHAR AS event_date, h::INT AS hour, {_TS.format('min(open_time)')} AS entry_time, round(min(entry), 6) AS entry_price, round(max(CASE WHEN n > 1 THEN high END), 6) AS peak,
-         round((max(CASE WHEN n > 1 THEN high END) / min(entry) - 1) * 100, 6) AS max_gain FROM af GROUP BY 1, 2, 3""")
-def o65(spark, sf):  # in January, London keeps UTC
-    all_ = bars(spark, sf)
+  SELECT symbol, event_date::VARCHAR AS event_date, h::INT AS hour, {_TS.format('min(target)')} AS decision_time, {_TS.format('min(entry_time)')} AS entry_time, round(min(entry), 6) AS entry_price, round(max(high), 6) AS peak,
+         {_TS.format('first(open_time ORDER BY high DESC, open_time)')} AS peak_time, round((max(high) / min(entry) - 1) * 100, 6) AS max_gain FROM af WHERE open_time >= entry_time GROUP BY 1, 2, 3""")
+def o65(spark, sf):
+    """January keeps UTC in London; the same bars 150 days later fall into its summer time."""
+    own = bars(spark, sf)
+    all_ = own.unionByName(own.withColumn("open_time", F.expr("open_time + interval 150 days")))
     dates = all_.select("symbol", F.to_date("open_time").alias("event_date")).distinct()
-    return rounded(surge.decision_observations(all_, dates))
+    return rounded(surge.decision_observations(all_, dates, "1 hour"))
 
 
 @query("o38_algorithmic_baseline", f"""WITH {_G}, nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), wi AS (
@@ -255,7 +336,7 @@ def o65(spark, sf):  # in January, London keeps UTC
   WINDOW b AS ({_BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), a AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
   SELECT w.symbol, {_TS.format('w.open_time')} AS open_time, {_TS.format('f.open_time')} AS baseline_time, round(w.base.l, 6) AS baseline_low, CAST(w.i + w.base.m AS BIGINT) AS duration,
          round((f.high_after / w.base.l - 1) * 100, 6) AS future_gain, coalesce((f.high_after / w.base.l - 1) * 100 + 1e-12 >= 25, false) AS contaminated
-  FROM wi w JOIN wi f ON f.symbol = w.symbol AND f.i = -w.base.m WHERE w.whole""")
+  FROM wi w JOIN wi f ON f.symbol = w.symbol AND f.i = -w.base.m WHERE w.whole AND f.high_after IS NOT NULL""")
 def o38(spark, sf):
     found = surge.algorithmic_baseline(grid(spark, sf), WINDOW, FACTOR)
     return rounded(found.withColumn("duration", F.col("duration").cast("long")))
@@ -303,11 +384,13 @@ def o46(spark, sf):
     return rounded(rolling.drawdown_runup(grid(spark, sf), 8).select("symbol", "open_time", "drawdown", "runup"))
 
 
-@query("o50_log_trend", f"""WITH {_G}, pl AS (SELECT symbol, open_time, ln(close) AS y, CASE WHEN observed THEN (row_number() OVER ({_BY}))::DOUBLE END AS x FROM gr)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN count(y) OVER w >= 6 THEN round((exp(regr_slope(y, x) OVER w * 24) - 1) * 100, 4) END AS trend,
-  CASE WHEN count(y) OVER w >= 6 THEN round(regr_r2(y, x) OVER w, 4) END AS trend_r2 FROM pl WINDOW w AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
+@query("o50_log_trend", f"""WITH {_G}, nu AS (SELECT symbol, open_time, close, row_number() OVER ({_BY}) AS i FROM gr),
+  pt AS (SELECT a.symbol, a.open_time, ln(b.close) AS y, row_number() OVER (PARTITION BY a.symbol, a.open_time ORDER BY b.i) - 1 AS k, count(*) OVER (PARTITION BY a.symbol, a.open_time) AS n
+    FROM nu a JOIN nu b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 23 AND a.i AND b.close IS NOT NULL),
+  st AS (SELECT symbol, open_time, regr_slope(y, k::DOUBLE) AS s, CASE WHEN var_pop(y) > 0 THEN regr_r2(y, k::DOUBLE) END AS r FROM pt WHERE n >= 6 AND k % greatest(1, ceil(n / 10.0)::INT) = 0 GROUP BY 1, 2)
+  SELECT nu.symbol, {_TS.format('nu.open_time')} AS open_time, round((exp(s * 24) - 1) * 100, 4) AS trend, round(r, 4) AS trend_r2 FROM nu LEFT JOIN st USING (symbol, open_time)""")
 def o50(spark, sf):
-    return rounded(rolling.log_trend(grid(spark, sf), 24, 24).select("symbol", "open_time", "trend", "trend_r2"), 4)
+    return rounded(rolling.log_trend(grid(spark, sf), 24, 24, most=10).select("symbol", "open_time", "trend", "trend_r2"), 4)
 
 
 _LAGS = ", ".join(f"nullif(lag(v, {24 * d}) OVER ({_BY}), 0)" for d in range(1, 8))
@@ -329,386 +412,3 @@ def o57(spark, sf):
   round(sum(observed::INT) OVER w / 8.0, 6) AS outcome_coverage FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)""")
 def o58(spark, sf):
     return rounded(rolling.outcomes(grid(spark, sf), 8).select("symbol", "open_time", "outcome_gain", "outcome_drawdown", "outcome_coverage"))
-
-
-# Signals and selection
-
-
-@query("o82_liquidity", f"""WITH {_G}, me AS (SELECT *, sum(observed::INT) OVER w AS o, quantile_cont(quote_volume, 0.5) OVER w AS m, sum(quote_volume) OVER w AS q, sum(trade_count) OVER w AS n FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
-  SELECT symbol, {_TS.format('open_time')} AS open_time, coalesce(o = 8 AND m >= 5000 AND q >= 60000 AND n >= 20, false) AS liquid FROM me""")
-def o82(spark, sf):
-    return rounded(signals.liquidity_gate(grid(spark, sf), 8, 5000, 60000, 20).select("symbol", "open_time", "liquid"))
-
-
-_TLAGS = ", ".join(f"nullif(lag(t8, {24 * d}) OVER ({_BY}), 0)" for d in range(1, 8))
-
-
-@query("o83_acceleration", f"""WITH {_G}, s AS (SELECT symbol, open_time, close, lag(close, 8) OVER ({_BY}) AS c8, sum(trade_count) OVER ({_BY} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)::DOUBLE AS t8, sum(trade_count) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)::DOUBLE AS t4 FROM gr),
-  e AS (SELECT *, list_filter([{_TLAGS}], lambda x: x IS NOT NULL) AS e FROM s)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, coalesce((close / c8 - 1) * 100 >= 1 AND t4 / nullif(t8 - t4, 0) >= 1.05 AND t8 / list_median(e) >= 1.1 AND len(e) >= 5, false) AS accelerating FROM e""")
-def o83(spark, sf):
-    return rounded(signals.acceleration(grid(spark, sf), 8, 24, 1.0, 1.05, 1.1, 5).select("symbol", "open_time", "accelerating"))
-
-
-@query("o86_o87_armed_edges", f"""WITH {_G}, a AS (SELECT symbol, open_time, coalesce(sum(observed::INT) OVER w = 8 AND (close / min(low) OVER w - 1) * 100 >= 20.75, false) AS armed FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
-  SELECT symbol, {_TS.format('open_time')} AS open_time, armed, coalesce(bool_or(armed) OVER ({_BY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), false) AS armed_recent, armed AND NOT lag(armed, 1, false) OVER ({_BY}) AS edge FROM a""")
-def o86(spark, sf):
-    rows = signals.armed_recently(grid(spark, sf), 8, 20.75, 48).withColumn("edge", signals.rising_edge(F.col("armed")))
-    return rounded(rows.select("symbol", "open_time", "armed", "armed_recent", "edge"))
-
-
-_Q4LAGS = ", ".join(f"lag(q4, {24 * d}) OVER ({_BY})" for d in range(1, 8))
-_Q4 = f"CASE WHEN count(quote_volume) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN sum(quote_volume) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS q4"
-
-
-@query("o86_o87_armed_with_volume", f"""WITH {_G}, s AS (SELECT *, {_Q4}, sum(observed::INT) OVER w = 8 AND (close / min(low) OVER w - 1) * 100 >= 20.75 AS rise FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
-  e AS (SELECT *, list_filter([{_Q4LAGS}], lambda x: x IS NOT NULL) AS e FROM s), a AS (SELECT symbol, open_time, coalesce(rise AND q4 / nullif(list_median(e), 0) >= 1.1 AND len(e) >= 5, false) AS armed FROM e)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, armed, coalesce(bool_or(armed) OVER ({_BY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), false) AS armed_recent, armed AND NOT lag(armed, 1, false) OVER ({_BY}) AS edge FROM a""")
-def o86_volume(spark, sf):
-    rows = signals.armed_with_volume(grid(spark, sf), 8, 20.75, 4, 24, 1.1, 5, 48).withColumn("edge", signals.rising_edge(F.col("armed")))
-    return rounded(rows.select("symbol", "open_time", "armed", "armed_recent", "edge"))
-
-
-FLOORS = {"gain": 2.0, "clock": 1.3, "position": 0.6, "quote": 20000.0}
-_QLAGS = ", ".join(f"nullif(lag(q4, {24 * d}) OVER ({_BY}), 0)" for d in range(1, 8))
-_CA = _G + f""", s AS (SELECT *, lag(close, 4) OVER ({_BY}) AS c4, sum(quote_volume) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS q4,
-    min(low) OVER ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l, max(high) OVER ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS h FROM gr),
-  e AS (SELECT *, list_median(list_filter([{_QLAGS}], lambda x: x IS NOT NULL)) AS m FROM s),
-  c AS (SELECT *, coalesce((close / c4 - 1) * 100 >= 2, false)::INT + coalesce(q4 / m >= 1.3, false)::INT + coalesce(CASE WHEN h > l THEN (close - l) / (h - l) END >= 0.6, false)::INT AS components FROM e),
-  la AS (SELECT *, coalesce(components >= 2 AND observed AND q4 >= 20000, false) AS late FROM c),
-  ca AS (SELECT symbol, open_time + INTERVAL 1 HOUR AS decision_time, components::INT AS components, round(quote_volume, 4) AS activity, symbol || '@' || epoch(open_time)::BIGINT AS order_id FROM (SELECT *, late AND NOT lag(late, 1, false) OVER ({_BY}) AS edge FROM la) WHERE edge)"""
-
-
-WHOLE_FLOORS = FLOORS | {"runup": 3.3}
-_CAW = _G + f""", s AS (SELECT *, row_number() OVER ({_BY}) AS i, lag(close, 4) OVER ({_BY}) AS c4, {_Q4}, CASE WHEN count(close) OVER d = 24 THEN min(low) OVER d END AS l, CASE WHEN count(close) OVER d = 24 THEN max(high) OVER d END AS h,
-    CASE WHEN count(close) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN greatest({", ".join(f"lag(close, {a}) OVER ({_BY}) / lag(close, {b}) OVER ({_BY})" for b in range(4) for a in range(b + 1))}) END AS up FROM gr WINDOW d AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
-  e AS (SELECT *, list_filter([{_Q4LAGS}], lambda x: x IS NOT NULL) AS e FROM s),
-  c AS (SELECT *, coalesce((close / c4 - 1) * 100 >= 2, false)::INT + coalesce(q4 / nullif(list_median(e), 0) >= 1.3 AND len(e) >= 5, false)::INT + coalesce(CASE WHEN h > l THEN (close - l) / (h - l) END >= 0.6, false)::INT + coalesce((up - 1) * 100 >= 3.3, false)::INT AS components FROM e),
-  la AS (SELECT *, coalesce(components >= 3 AND observed AND q4 >= 20000, false) AS late FROM c),
-  ca AS (SELECT symbol, open_time + INTERVAL 1 HOUR AS decision_time, components::INT AS components, round(quote_volume, 4) AS activity, symbol || '@' || epoch(open_time)::BIGINT AS order_id FROM (SELECT *, late AND NOT lag(late, 1, false) OVER ({_BY}) AS edge FROM la) WHERE edge)"""
-
-
-def momentum_candidates(spark, sf):
-    return _as_orders(signals.late_momentum(grid(spark, sf), 4, 24, FLOORS))
-
-
-def whole_candidates(spark, sf):
-    """Three of all four components, five reference days for the volume's."""
-    return _as_orders(signals.late_momentum_whole(grid(spark, sf), 4, 24, WHOLE_FLOORS, 5, 3))
-
-
-def _as_orders(rows: DataFrame) -> DataFrame:
-    found = signals.candidates(rows, "late", "1 hour", F.col("components"), F.round("quote_volume", 4))
-    return found.withColumn("order_id", F.concat("symbol", F.lit("@"), F.unix_seconds(F.expr("decision_time - interval 1 hour").cast("timestamp")).cast("string")))
-
-
-@query("o81_o88_candidates", f"WITH {_CA} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, activity FROM ca")
-def o81(spark, sf):
-    return momentum_candidates(spark, sf).select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
-
-
-@query("o81_o88_candidates_whole", f"WITH {_CAW} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, activity FROM ca")
-def o81_whole(spark, sf):
-    return whole_candidates(spark, sf).select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
-
-
-@query("o90_greedy_selection")
-def o90(spark, sf):
-    found = signals.select_greedily(whole_candidates(spark, sf), 24 * 3600, 3)
-    return rounded(found)
-
-
-# Execution and performance
-
-
-@query("o93_fills", f"""WITH {_CA}, tp AS (SELECT order_id, ts, price, price * qty AS a, 20000.0 - coalesce(sum(price * qty) OVER (PARTITION BY order_id ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
-  FROM ca JOIN tr ON tr.symbol = ca.symbol AND NOT is_buyer_maker AND ts BETWEEN decision_time AND decision_time + INTERVAL 6 HOUR)
-  SELECT order_id, round(sum(least(a, rest) / price), 6) AS filled_base, round(sum(least(a, rest) / price * price), 4) AS filled_quote, round(sum(least(a, rest) / price * price) / sum(least(a, rest) / price), 6) AS vwap,
-  {_TS.format('max(ts)')} AS fill_time, count(*) AS fill_count, sum(least(a, rest)) >= 20000.0 - 1e-8 AS complete FROM tp WHERE rest > 1e-12 GROUP BY order_id""")
-def o93(spark, sf):
-    return _filled(momentum_candidates(spark, sf), spark, sf)
-
-
-@query("o93_fills_whole", _SQL["o93_fills"].replace(_CA, _CAW))
-def o93_whole(spark, sf):
-    return _filled(whole_candidates(spark, sf), spark, sf)
-
-
-def _filled(found: DataFrame, spark, sf) -> DataFrame:
-    orders = found.withColumn("until", F.expr("decision_time + interval 6 hours"))
-    found = execution.fills(orders, tape(spark, sf), True, "decision_time", "until", quote=20000.0)
-    return rounded(found.withColumn("filled_quote", F.round("filled_quote", 4)))
-
-
-def _simulated(spark, sf):
-    return execution.simulated(whole_candidates(spark, sf), tape(spark, sf), 20000.0, 6 * 3600, 48 * 3600, 12 * 3600, 0.15, 0.001)
-
-
-@query("o95_o98_o99_simulation")
-def o95(spark, sf):
-    return rounded(_simulated(spark, sf), 4)
-
-
-@query("o94_o97_touches")
-def o94(spark, sf):
-    entries = _simulated(spark, sf).where("entry_time is not null").select("order_id", "symbol", F.col("entry_time").alias("fill_time"), F.col("entry_vwap").alias("vwap"))
-    return rounded(execution.target_touches(entries, tape(spark, sf), 48 * 3600, (5, 10, 25)), 4)
-
-
-def _book(spark, sf) -> DataFrame:
-    """Orders as trades with a result, for the performance operators."""
-    rows = spark.read.parquet(f"{sf}/orders.parquet")
-    return rows.select(
-        F.col("o_orderpriority").alias("strategy"), (F.col("o_custkey") % 50).cast("string").alias("symbol"), F.expr("cast(o_orderdate as timestamp) + make_dt_interval(0, 0, 0, o_orderkey % 86400)").alias("entry_time"),
-        F.expr("cast(o_orderdate as timestamp) + make_dt_interval(3, 0, 0, o_orderkey % 86400)").alias("exit_time"),
-        (F.floor(F.col("o_totalprice")) % 1000 - 480).cast("double").alias("net_pnl"), ((F.floor(F.col("o_totalprice")) % 1000 - 480) / 10.0).cast("double").alias("net_return"),
-        F.when(F.col("o_orderkey") % 10 == 0, "exit_not_filled").otherwise("completed").alias("status"), "o_orderkey",
-    )
-
-
-_K = """bk AS (SELECT o_orderpriority AS strategy, (o_custkey % 50)::VARCHAR AS symbol, o_orderdate + to_seconds(o_orderkey % 86400) AS entry_time, o_orderdate + INTERVAL 3 DAY + to_seconds(o_orderkey % 86400) AS exit_time,
-  (floor(o_totalprice)::BIGINT % 1000 - 480)::DOUBLE AS net_pnl, (floor(o_totalprice)::BIGINT % 1000 - 480) / 10.0::DOUBLE AS net_return, CASE WHEN o_orderkey % 10 = 0 THEN 'exit_not_filled' ELSE 'completed' END AS status, o_orderkey FROM orders)"""
-_P = _K + """, do_ AS (SELECT *, net_pnl <= 0 AS loss, sum(net_pnl) OVER w AS equity FROM bk WHERE status = 'completed' WINDOW w AS (PARTITION BY strategy ORDER BY entry_time, symbol ROWS UNBOUNDED PRECEDING)),
-  fa AS (SELECT *, max(equity) OVER w - equity AS fall, count(CASE WHEN NOT loss THEN 1 END) OVER w AS streak FROM do_ WINDOW w AS (PARTITION BY strategy ORDER BY entry_time, symbol ROWS UNBOUNDED PRECEDING)),
-  ru AS (SELECT strategy, max(n) AS longest_losing_run FROM (SELECT strategy, streak, count(CASE WHEN loss THEN 1 END) AS n FROM fa GROUP BY 1, 2) GROUP BY 1),
-  sh AS (SELECT strategy, max(n) / sum(n)::DOUBLE AS share FROM (SELECT strategy, symbol, count(*) AS n FROM fa GROUP BY 1, 2) GROUP BY 1),
-  st AS (SELECT strategy, count(*) AS trades, count(CASE WHEN NOT loss THEN 1 END) AS wins, avg(net_pnl) AS expectancy, avg(net_return) AS mean_return, quantile_cont(net_return, 0.5) AS median_return,
-    sum(CASE WHEN NOT loss THEN net_pnl ELSE 0 END) / -sum(CASE WHEN loss THEN net_pnl ELSE 0 END) AS profit_factor, max(fall) AS max_drawdown, count(DISTINCT symbol) AS symbols FROM fa GROUP BY 1),
-  pe AS (SELECT st.*, longest_losing_run, share AS largest_symbol_share, (SELECT count(*) FROM bk WHERE bk.strategy = st.strategy AND status <> 'completed') AS left_out FROM st JOIN ru USING (strategy) JOIN sh USING (strategy))"""
-_PC = "strategy, left_out, trades, wins, round(expectancy, 6) AS expectancy, round(mean_return, 6) AS mean_return, round(median_return, 6) AS median_return, round(profit_factor, 6) AS profit_factor, round(max_drawdown, 6) AS max_drawdown, symbols, longest_losing_run, round(largest_symbol_share, 6) AS largest_symbol_share"
-
-
-@query("o100_o101_performance", f"WITH {_P} SELECT {_PC} FROM pe")
-def o100(spark, sf):
-    return rounded(performance.performance(_book(spark, sf), ["strategy"]))
-
-
-@query("o104_graduation", f"""WITH {_P}, ch AS (SELECT *, trades >= 100 AS enough_trades, expectancy > 0 AS positive_expectancy, profit_factor >= 1.1 AS profit_factor_ok, max_drawdown <= 20000 AS drawdown, symbols >= 20 AS symbols_ok, largest_symbol_share <= 0.1 AS symbol_share FROM pe)
-  SELECT strategy, enough_trades, positive_expectancy, drawdown, symbol_share, enough_trades AND positive_expectancy AND profit_factor_ok AND drawdown AND symbols_ok AND symbol_share AS passed, 5 AS strategies_tried FROM ch""")
-def o104(spark, sf):
-    floors = {"trades": 100, "profit_factor": 1.1, "drawdown": 20000, "symbols": 20, "share": 0.1}
-    stats = performance.performance(_book(spark, sf), ["strategy"])
-    return performance.graduation(stats, floors, 5).select("strategy", "enough_trades", "positive_expectancy", "drawdown", "symbol_share", "passed", "strategies_tried")
-
-
-@query("o102_max_concurrency", f"""WITH {_K}, mo AS (SELECT strategy, entry_time AS t, 1 AS d FROM bk WHERE status = 'completed' UNION ALL SELECT strategy, exit_time, -1 FROM bk WHERE status = 'completed')
-  SELECT strategy, CAST(max(h) AS BIGINT) AS max_concurrency FROM (SELECT strategy, sum(d) OVER (PARTITION BY strategy ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS h FROM mo) GROUP BY 1""")
-def o102(spark, sf):
-    return performance.max_concurrency(_book(spark, sf), ["strategy"])
-
-
-@query("o103_path_diagnostics", """SELECT l_returnflag AS strategy, round(quantile_cont(l_quantity, 0.5), 6) AS median_mfe, round(quantile_cont(-l_extendedprice / 1000, 0.5), 6) AS median_mae,
-  round(quantile_cont(-l_extendedprice / 1000, 0.1), 6) AS mae_p10, round(min(-l_extendedprice / 1000), 6) AS worst_mae FROM lineitem GROUP BY 1""")
-def o103(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_returnflag").alias("strategy"), F.col("l_quantity").alias("mfe"), (-F.col("l_extendedprice") / 1000).alias("mae"))
-    return rounded(performance.path_diagnostics(rows, ["strategy"]))
-
-
-@query("o105_coverage", f"""WITH {_G}, sp AS (SELECT symbol, min(CASE WHEN observed THEN open_time END) AS a, max(CASE WHEN observed THEN open_time END) AS b FROM gr GROUP BY 1)
-  SELECT symbol, round(avg(CASE WHEN open_time BETWEEN a AND b THEN observed::INT END), 6) AS span_coverage, round(avg(observed::INT), 6) AS grid_coverage FROM gr JOIN sp USING (symbol) GROUP BY 1""")
-def o105(spark, sf):
-    return rounded(performance.coverage(grid(spark, sf)))
-
-
-# Splits, groups and rates
-
-
-@query("o30_temporal_split", f"""WITH {_S}, da AS (SELECT event_date, count(*) AS events FROM su GROUP BY 1),
-  cu AS (SELECT *, coalesce(sum(events) OVER (ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(events) OVER () AS t, row_number() OVER (ORDER BY event_date) AS i, count(*) OVER () AS n FROM da)
-  SELECT event_date::VARCHAR AS event_date, events, CASE WHEN i = 1 OR b < t * 0.6::DOUBLE AND i <= n - 2 THEN 'discovery' WHEN b < t * 0.8::DOUBLE AND i <= n - 1 OR i = n - 1 AND n >= 3 THEN 'validation' ELSE 'sealed' END AS split FROM cu""")
-def o30(spark, sf):
-    return rounded(splits.temporal_split(first_surges(spark, sf)))
-
-
-@query("o33_known_event_exclusion", f"""WITH {_S} SELECT symbol, {_TS.format('open_time')} AS at FROM ba WHERE NOT EXISTS (SELECT 1 FROM su WHERE su.symbol = ba.symbol AND abs(epoch_us(ba.open_time) - epoch_us(cross_time)) < 6 * 3600 * 1000000::BIGINT)""")
-def o33(spark, sf):
-    at = bars(spark, sf).select("symbol", F.col("open_time").alias("at"))
-    return rounded(splits.away_from_events(at, first_surges(spark, sf).withColumnRenamed("cross_time", "event_time"), 6 * 3600))
-
-
-@query("o43_valid_groups", """WITH s AS (SELECT l.doc_id, l.doc_id // 4 AS g, l.quality FROM labels l) SELECT doc_id, g::BIGINT AS match_group, quality::BIGINT AS label FROM s
-  WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) FILTER (quality = 1) = 1 AND count(*) FILTER (quality = 0) >= 1)""")
-def o43(spark, sf):
-    rows = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.floor(F.col("doc_id") / 4).alias("match_group"), F.col("quality").cast("long").alias("label"))
-    return splits.valid_groups(rows, "match_group", "label")
-
-
-@query("o70_rates", """WITH s AS (SELECT lang AS split, quality AS label, n_chars > 1500 AS signal FROM labels JOIN documents USING (doc_id)),
-  r AS (SELECT CASE WHEN grouping(split) = 1 THEN 'overall' ELSE split END AS split, count(*) FILTER (label = 1) AS events, count(*) FILTER (label = 0) AS controls, count(*) FILTER (label = 1 AND signal) AS event_hits, count(*) FILTER (label = 0 AND signal) AS control_hits FROM s GROUP BY GROUPING SETS ((split), ()))
-  SELECT *, round(event_hits / nullif(events, 0)::DOUBLE, 6) AS event_rate, round(control_hits / nullif(controls, 0)::DOUBLE, 6) AS control_rate,
-  CASE WHEN control_hits = 0 AND controls > 0 AND event_hits > 0 THEN 'inf'::DOUBLE ELSE round(event_hits / nullif(events, 0)::DOUBLE / nullif(control_hits / nullif(controls, 0)::DOUBLE, 0), 6) END AS rate_ratio FROM r""")
-def o70(spark, sf):
-    rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
-    return rounded(splits.rates(rows.select(F.col("lang").alias("split"), F.col("quality").alias("label"), (F.col("n_chars") > 1500).alias("signal")), "split", "label", "signal"))
-
-
-# Context and inference
-
-
-@query("o51_daily_context", f"""WITH {_G} SELECT symbol, open_time::DATE::VARCHAR AS day, round(first(open ORDER BY open_time), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY open_time), 6) AS close,
-  round(sum(quote_volume), 4) AS quote_volume, count(*) AS bars, round((max(high) / min(low) - 1) * 100, 6) AS range_pct, last(close ORDER BY open_time) > first(open ORDER BY open_time) AS up FROM gr WHERE observed GROUP BY 1, 2""")
-def o51(spark, sf):
-    return rounded(context.daily_context(grid(spark, sf)).withColumn("quote_volume", F.round("quote_volume", 4)))
-
-
-@query("o55_reference_context", f"""WITH {_G}, ow AS (SELECT symbol, open_time, (close / lag(close, 4) OVER ({_BY}) - 1) * 100 AS own FROM gr), px AS (SELECT open_time, avg(own) AS proxy FROM ow WHERE symbol IN ('click', 'view') GROUP BY 1)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, round(own, 6) AS own, round(proxy, 6) AS proxy, round(own - proxy, 6) AS excess FROM ow LEFT JOIN px USING (open_time)""")
-def o55(spark, sf):
-    return rounded(context.reference_context(grid(spark, sf), ["click", "view"], 4))
-
-
-@query("o56_volume_steps", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, round(sum(quote_volume) OVER a / 3 / nullif(sum(quote_volume) OVER b / 8, 0), 6) AS volume_step FROM gr
-  WINDOW a AS ({_BY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), b AS ({_BY} ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING)""")
-def o56(spark, sf):
-    return rounded(context.volume_steps(grid(spark, sf), 3, 8).select("symbol", "open_time", "volume_step"))
-
-
-def _samples(spark, sf) -> DataFrame:
-    return first_surges(spark, sf).select(F.concat_ws("@", "symbol", "event_date").alias("sample_id"), "symbol", F.col("cross_time").alias("anchor"))
-
-
-_SA = _S + ", sa AS (SELECT symbol || '@' || event_date::VARCHAR AS sample_id, symbol, cross_time AS anchor FROM su)"
-
-
-@query("o78_snapshots", f"WITH {_SA} SELECT sample_id, symbol, {_TS.format('anchor')} AS anchor, o::INT AS offset, {_TS.format('anchor - o * INTERVAL 1 HOUR')} AS at FROM sa, unnest([0, 1, 2, 4, 8]) AS u(o)")
-def o78(spark, sf):
-    return rounded(context.snapshots(_samples(spark, sf), [0, 1, 2, 4, 8], "1 hour"))
-
-
-_RW = _SA + f""", gr AS {_G.split(", gr AS", 1)[1]}, rw AS (SELECT sample_id, sa.symbol, gr.open_time, (epoch(gr.open_time) - epoch(anchor))::BIGINT // 3600 AS relative_bar, close, observed, count(*) OVER (PARTITION BY sample_id) AS n
-  FROM sa JOIN gr ON gr.symbol = sa.symbol AND gr.open_time >= anchor - INTERVAL 24 HOUR AND gr.open_time < anchor QUALIFY n = 24)"""
-
-
-@query("o110_raw_windows", f"WITH {_RW} SELECT sample_id, symbol, {_TS.format('open_time')} AS open_time, relative_bar::INT AS relative_bar, round(close, 6) AS close, observed FROM rw")
-def o110(spark, sf):
-    return rounded(context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, 3600).select("sample_id", "symbol", "open_time", "relative_bar", "close", "observed"))
-
-
-@query("o111_shared_store", f"WITH {_RW} SELECT DISTINCT symbol, {_TS.format('open_time')} AS open_time, round(close, 6) AS close, observed FROM rw")
-def o111(spark, sf):
-    found = context.shared_store(context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, 3600))
-    return rounded(found.select("symbol", "open_time", "close", "observed"))
-
-
-@query("o41_o106_value_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
-def o41(spark, sf):
-    return context.value_counts(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderstatus", "o_orderpriority")
-
-
-@query("o72_permutation", """WITH s AS (SELECT doc_id // 4 AS g, quality, (n_chars > 1500)::INT AS signal, doc_id FROM labels JOIN documents USING (doc_id)),
-  gr AS (SELECT g, list(signal ORDER BY doc_id) AS signals, max(CASE WHEN quality = 1 THEN signal END) AS event, sum(signal) AS hits, count(*) AS size FROM s GROUP BY g HAVING count(*) FILTER (quality = 1) = 1 AND count(*) FILTER (quality = 0) >= 1),
-  it AS (SELECT i, sum(CASE WHEN i = 0 THEN event ELSE signals[1 + ('0x' || substr(md5('805601:' || i || ':' || g), 1, 8))::BIGINT % size] END) AS e, sum(hits) AS h, sum(size) AS n, count(*) AS k FROM gr, range(0, 201) AS r(i) GROUP BY i),
-  st AS (SELECT i, e / k::DOUBLE - (h - e) / (n - k)::DOUBLE AS d FROM it)
-  SELECT round(o.d, 6) AS observed, count(*) FILTER (st.d >= o.d - 1e-12) AS exceed, count(*) AS iterations, round((count(*) FILTER (st.d >= o.d - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value
-  FROM st, (SELECT d FROM st WHERE i = 0) o WHERE i > 0 GROUP BY o.d""")
-def o72(spark, sf):
-    return _permuted(spark, sf, 200)
-
-
-#: The reference's iterations (app/confirmation.py:151, app/backtest.py:677).
-PERMUTATIONS, BOOTSTRAPS = 50_000, 10_000
-
-
-@query("o72_permutation_full", _SQL["o72_permutation"].replace("range(0, 201)", f"range(0, {PERMUTATIONS + 1})"))
-def o72_full(spark, sf):
-    return _permuted(spark, sf, PERMUTATIONS)
-
-
-def _permuted(spark, sf, iterations: int) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
-    rows = rows.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 4).alias("match_group"), F.col("quality").alias("label"), (F.col("n_chars") > 1500).cast("int").alias("signal"))
-    return rounded(inference.permutation_test(splits.valid_groups(rows, "match_group", "label"), iterations, 805601))
-
-
-@query("o74_bootstrap", f"""WITH {_K}, sy AS (SELECT symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (ORDER BY symbol) - 1 AS at_, count(*) OVER () AS many FROM bk GROUP BY symbol),
-  dr AS (SELECT i, ('0x' || substr(md5('20260725:' || i || ':' || at_), 1, 8))::BIGINT % many AS at_ FROM sy, range(1, 201) AS r(i)), me AS (SELECT i, sum(total) / sum(n) AS m FROM dr JOIN sy USING (at_) GROUP BY i)
-  SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS iterations FROM me""")
-def o74(spark, sf):
-    return rounded(inference.cluster_bootstrap(_book(spark, sf), 200, 20260725))
-
-
-@query("o74_bootstrap_full", _SQL["o74_bootstrap"].replace("range(1, 201)", f"range(1, {BOOTSTRAPS + 1})").replace("FROM bk GROUP BY", "FROM bk WHERE status = 'completed' GROUP BY"))
-def o74_full(spark, sf):
-    return rounded(inference.cluster_bootstrap(_book(spark, sf).where("status = 'completed'"), BOOTSTRAPS, 20260725))
-
-
-# Samples
-
-
-_DAYS = "SELECT d::DATE AS day, CASE WHEN d <= DATE '2024-01-18' THEN 'discovery' WHEN d <= DATE '2024-01-24' THEN 'validation' ELSE 'sealed' END AS split FROM unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS u(d)"
-
-
-def _days(spark) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.expr("sequence(date '2024-01-01', date '2024-01-30')")).alias("day"))
-    return samples.calendar_splits(days, "2024-01-18", "2024-01-24")
-
-
-_CC = _S + f""", dy AS ({_DAYS}), ev AS (SELECT symbol || '@' || event_date::VARCHAR AS event_id, su.symbol, cross_time AS event_time, split FROM su JOIN dy ON dy.day = event_date),
-  ca AS (SELECT event_id, symbol, event_time, o::INT AS off_, day + (event_time - date_trunc('day', event_time)) + o * INTERVAL 1 MINUTE AS t, day FROM ev JOIN dy USING (split), unnest([0, -15, 15, -30, 30, -60, 60]) AS u(o)),
-  cc AS (SELECT event_id, symbol, t, off_ AS "offset", isodow(t) = isodow(event_time) AS same_weekday, abs(date_diff('day', event_time, t))::INT AS day_distance,
-    ((CASE WHEN off_ = 0 THEN 0 WHEN abs(off_) <= 15 THEN 1 WHEN abs(off_) <= 30 THEN 2 ELSE 3 END) * 2 + CASE WHEN isodow(t) = isodow(event_time) THEN 0 ELSE 1 END)::INT AS tier FROM ca WHERE t::DATE = day)"""
-
-
-def _clock_candidates(spark, sf) -> DataFrame:
-    days = _days(spark)
-    events = first_surges(spark, sf).join(days.withColumnRenamed("day", "event_date"), "event_date")
-    events = events.select(F.concat_ws("@", "symbol", "event_date").alias("event_id"), "symbol", F.col("cross_time").alias("event_time"), "split")
-    return samples.clock_candidates(events, days, [0, -15, 15, -30, 30, -60, 60])
-
-
-@query("o31_o32_o35_clock_candidates", f"WITH {_CC} SELECT event_id, symbol, {_TS.format('t')} AS \"at\", \"offset\", same_weekday, day_distance, tier FROM cc")
-def o32(spark, sf):
-    return rounded(_clock_candidates(spark, sf))
-
-
-@query("o36_best_controls", f"""WITH {_CC}, ti AS (SELECT *, sha256(event_id || '|' || epoch(t)::BIGINT) AS tie FROM cc), da AS (SELECT * FROM ti QUALIFY row_number() OVER (PARTITION BY event_id, t::DATE ORDER BY tier, day_distance, tie) = 1)
-  SELECT event_id, {_TS.format('t')} AS "at", tier, (row_number() OVER w)::INT AS control_rank FROM da WINDOW w AS (PARTITION BY event_id ORDER BY tier, day_distance, tie) QUALIFY row_number() OVER w <= 3""")
-def o36(spark, sf):
-    return rounded(samples.best_controls(_clock_candidates(spark, sf), 3).select("event_id", "at", "tier", "control_rank"))
-
-
-@query("o60_o67_o68_hypotheses", f"""WITH {_G}, r AS (SELECT symbol, open_time, (close / lag(close, 24) OVER ({_BY}) - 1) * 100 AS l, (close / lag(close, 4) OVER ({_BY}) - 1) * 100 AS s, quote_volume AS q FROM gr), e AS (SELECT *, ((1 + l / 100) / nullif(1 + s / 100, 0) - 1) * 100 AS o FROM r)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, round(o, 6) AS older, CASE WHEN s IS NULL OR o IS NULL THEN 'unknown' WHEN s > 0 AND o < 0 THEN 'true' ELSE 'false' END AS h1, coalesce(s > 0, false)::INT + coalesce(o < 0, false)::INT + coalesce(l > 0, false)::INT >= 2 AND coalesce(q >= 5000, false) AS trigger FROM e""")
-def o60(spark, sf):
-    rows = rolling.window_aggregates(grid(spark, sf), [4, 24]).withColumn("older", samples.interval_return(F.col("return_24"), F.col("return_4")))
-    return rounded(rows.select(
-        "symbol", "open_time", "older", F.coalesce(samples.three_valued(F.col("return_4") > 0, F.col("older") < 0).cast("string"), F.lit("unknown")).alias("h1"),
-        samples.trigger([F.col("return_4") > 0, F.col("older") < 0, F.col("return_24") > 0], 2, F.col("quote_volume") >= 5000).alias("trigger"),
-    ))
-
-
-@query("o69_window_audit", f"""WITH {_G}, nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), sp AS (SELECT s.symbol, s.i AS start, e.i, e.observed, e.high / min(e.low) OVER (PARTITION BY s.symbol, s.i ORDER BY e.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rise
-    FROM nu s JOIN nu e ON s.symbol = e.symbol AND e.i BETWEEN s.i AND s.i + 7), au AS (SELECT symbol, start, max(rise) AS r, sum(observed::INT) / 8.0 AS c FROM sp GROUP BY 1, 2)
-  SELECT nu.symbol, {_TS.format('open_time')} AS open_time, round(r, 6) AS largest_rise, round(c, 6) AS coverage, coalesce(r >= 1.25 OR c < 0.99, false) AS contaminated FROM nu JOIN au ON au.symbol = nu.symbol AND au.start = nu.i""")
-def o69(spark, sf):
-    return rounded(samples.window_audit(grid(spark, sf), 8, 1.25))
-
-
-@query("o71_band_rates", f"""WITH {_S}, b AS (SELECT minutes_to_cross AS m, cross_high / baseline_low >= 1.6 AS hit FROM su)
-  SELECT CASE WHEN m BETWEEN 1 AND 180 THEN '001_180m' WHEN m BETWEEN 181 AND 360 THEN '181_360m' WHEN m BETWEEN 361 AND 420 THEN '361_420m' WHEN m BETWEEN 421 AND 480 THEN '421_480m' ELSE 'outside_8h' END AS band, count(*) AS events, round(avg(hit::INT), 6) AS rate FROM b GROUP BY 1""")
-def o71(spark, sf):
-    rows = first_surges(spark, sf).select(scalars.duration_band(F.col("minutes_to_cross")).alias("band"), (F.col("cross_high") / F.col("baseline_low") >= 1.6).alias("hit"))
-    return rounded(rows.groupBy("band").agg(F.count(F.lit(1)).alias("events"), F.avg(F.col("hit").cast("double")).alias("rate")))
-
-
-@query("o89_outcome_cutoff", f"WITH {_CA} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, activity FROM ca WHERE decision_time <= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR")
-def o89(spark, sf):
-    return _with_outcome(momentum_candidates(spark, sf))
-
-
-@query("o89_outcome_cutoff_whole", _SQL["o89_outcome_cutoff"].replace(_CA, _CAW))
-def o89_whole(spark, sf):
-    return _with_outcome(whole_candidates(spark, sf))
-
-
-def _with_outcome(found: DataFrame) -> DataFrame:
-    found = found.where(F.col("decision_time") <= F.expr(f"timestamp '{END}' - interval 72 hours"))
-    return found.select("symbol", stamp("decision_time").alias("decision_time"), "components", "activity")
-
-
-@query("o62_o63_text_values", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'unknown' END AS flag, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS finite FROM events""")
-def o62(spark, sf):
-    rows = spark.read.parquet(f"{sf}/events.parquet")
-    word = F.element_at(F.array(F.lit(" Yes "), F.lit("F"), F.lit("maybe")), (F.col("event_id") % 3 + 1).cast("int"))
-    wild = F.when(F.col("event_id") % 5 == 0, F.element_at(F.array(F.lit(float("nan")), F.lit(float("inf"))), (F.col("event_id") % 2 + 1).cast("int"))).otherwise(F.col("value"))
-    return rounded(rows.select("event_id", F.coalesce(src.parse_flag(word).cast("string"), F.lit("unknown")).alias("flag"), scalars.finite_or_null(wild).alias("finite")))

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from barlab.plans import catalog
+from barlab.plans import registry as catalog
 
 duckdb = pytest.importorskip("duckdb")
 SF = Path("/root/testdata/sf0.001")
