@@ -11,24 +11,23 @@ from .common import staged
 def contracted(edges: DataFrame, label: str = "roots") -> DataFrame | None:
     """``edges``: a, b. One row per vertex: x, root (the smallest vertex it is connected with); None without edges.
 
-    At least half of the vertices with edges go in each round, so the rounds are logarithmic."""
-    roots = None
+    At least half of the vertices with edges go in each round, so the rounds are logarithmic. Vertices of a round are
+    roots of the one before, so the rounds' answers are put together at the end."""
+    rounds = []
     edges = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = staged(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("p")), f"{label}-hooks")
-        for _ in range(2):
-            up = hooks.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            hooks = hooks.join(up, "p").select("x", F.col("q").alias("p"))
-        hooks = staged(hooks, f"{label}-jumped")
-        if roots is None:
-            roots = hooks.select("x", F.col("p").alias("root"))
-        else:
-            moved = hooks.select(F.col("x").alias("root"), "p")
-            fresh = hooks.join(roots.select("x"), "x", "left_anti").select("x", F.col("p").alias("root"))
-            roots = roots.join(moved, "root", "left").select("x", F.coalesce("p", "root").alias("root")).unionByName(fresh)
-            roots = staged(roots, label)
+        up = hooks.select(F.col("x").alias("p"), F.col("p").alias("q"))
+        hooks = staged(hooks.join(up, "p").select("x", F.col("q").alias("p")), f"{label}-jumped")
+        rounds.append(hooks)
         to = lambda c: hooks.select(F.col("x").alias(c), F.col("p").alias(f"{c}2"))
         moved_edges = edges.join(to("a"), "a").join(to("b"), "b").where("a2 != b2")
         edges = staged(moved_edges.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{label}-edges")
-    return roots
+    if not rounds:
+        return None
+    roots = rounds[0].select("x", F.col("p").alias("root"))
+    for later in rounds[1:]:
+        moved = later.select(F.col("x").alias("root"), "p")
+        roots = roots.join(moved, "root", "left").select("x", F.coalesce("p", "root").alias("root"))
+    return staged(roots, label) if len(rounds) > 1 else roots

@@ -5,8 +5,8 @@ can't be close. Unrelated shingle sets all lie at distance 1 from each other, wh
 space is first cut by anchors: each set's shingles are dealt into parts by hash, and two sets that are close enough
 agree in whole parts (there are more parts than differing shingles). Each anchor shared by two sets is a cell. A few
 anchors of each set come first: there every document meets the cell's pivot alone, which connects most copies for one
-comparison each. Of all anchors only cells that hold several components remain, and their best connected document is
-their pivot. Inside a cell the distance to the pivot, computed exactly, makes the Voronoi region around it (up to twice
+comparison each. Of all anchors only cells that hold several components remain, and their smallest document is their
+pivot. Inside a cell the distance to the pivot, computed exactly, makes the Voronoi region around it (up to twice
 the threshold) and the rest, with the documents between one and two thresholds in both; so any two linked documents
 stay together. Regions divide again around new pivots as long as that parts them; small ones are compared pair by pair,
 and ones whose documents all lie at the same distance from everything, which no pivot can part, block by block.
@@ -32,7 +32,7 @@ WIDTH = 5
 #: Documents of a cell up to which all pairs are compared.
 LEAF = 8
 #: Regions are divided while that takes away this part of their rows or more; documents in one block of what is left.
-PROGRESS, BLOCK = 0.2, 512
+PROGRESS, BLOCK = 0.5, 512
 #: Anchors of a set that are looked at first.
 HEADS = 4
 #: Documents per owner of the anchor exchange, about.
@@ -255,9 +255,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     told = staged(sketched.mapInArrow(_bounded, "p bigint, x bigint, far boolean, open boolean"), f"{label}-told")
     open_ = told.where("open").select("p", "x")
     wanted = staged(_ends(open_), f"{label}-ends")
-    left, right = _picked(sets, "x", wanted), _picked(sets, "x", wanted)
+    wanted_sets = _picked(sets, "x", wanted)
     shared = F.size(F.array_intersect("p_shingles", "x_shingles"))
-    whole = open_.join(of("x", "shingles", left), "x").join(of("p", "shingles", right), "p").select(
+    whole = open_.join(of("x", "shingles", wanted_sets), "x").join(of("p", "shingles", wanted_sets), "p").select(
         "p", "x", shared.alias("shared"), (F.size("p_shingles") + F.size("x_shingles") - shared).alias("whole")
     )
     exact = whole.select(
@@ -287,9 +287,12 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", h
     groups = staged(groups.select("set_hash", F.col("r.doc_id").alias("rep"), "r.heads"), "groups")
     join = _Join(lambda ids: staged(_picked(rows, "doc_id", ids).mapInArrow(_sets, "x bigint, sketch binary, shingles array<bigint>"), "sets"))
     # A document of several texts holds them together from the start.
-    named = known.where("doc_id is not null").join(groups.select("set_hash", "rep"), "set_hash").select("doc_id", "rep")
-    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
-    join.link(staged(named.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")), "own-links"), "own")
+    told = known.where("set_hash is not null and doc_id is not null")
+    several = told.groupBy("doc_id").agg(F.min("set_hash").alias("one"), F.max("set_hash").alias("other")).where("one < other").select("doc_id")
+    if not several.isEmpty():
+        named = told.join(several, "doc_id", "left_semi").join(groups.select("set_hash", "rep"), "set_hash")
+        least = named.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        join.link(staged(named.join(least, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")), "own-links"), "own")
     if heads:
         join.meet_pivots(groups.select(F.explode("heads").alias("cell"), F.col("rep").alias("x")))
     answers = sent.select("sender", "owner", "block", "counts").groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
@@ -374,14 +377,12 @@ class _Join:
             self.compare(pairs, self.sets_of(staged(_ends(pairs), "head-ends")), "heads")
 
     def several(self, cells: DataFrame, label: str) -> DataFrame:
-        """Rows of the cells that hold more than one component: cell, x, root, n, p (the pivot), p_root. The pivot is the
-        document in most cells."""
+        """Rows of the cells that hold more than one component: cell, x, root, n, p (the pivot, their smallest document),
+        p_root."""
         rows = staged(self.rooted(cells.select("cell", "x")), f"{label}-rooted")
-        mixed = rows.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-        rows = staged(rows.join(mixed.select("cell", "n"), "cell"), f"{label}-mixed")
-        degrees = rows.groupBy("x").agg(F.count(F.lit(1)).alias("degree"))
-        best = rows.join(degrees, "x").groupBy("cell").agg(F.max(F.struct("degree", (-F.col("x")).alias("minus"), "root")).alias("b"))
-        return rows.join(best.select("cell", (-F.col("b.minus")).alias("p"), F.col("b.root").alias("p_root")), "cell")
+        first = F.min(F.struct("x", "root")).alias("first")
+        mixed = rows.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"), first).where("least < most")
+        return rows.join(mixed.select("cell", "n", F.col("first.x").alias("p"), F.col("first.root").alias("p_root")), "cell")
 
     def divide(self, cells: DataFrame, reps: DataFrame) -> None:
         """``cells``: cell, x; ``reps``: the documents that stand for their sets. Divides cells around pivots until every
