@@ -22,7 +22,7 @@ def daily_context(grid: DataFrame) -> DataFrame:
 def sample_windows(samples: DataFrame, grid: DataFrame, bars: int, step_seconds: int) -> DataFrame:
     """``samples``: sample_id, symbol, at. The observed bars among the ``bars`` grid rows that end at ``at``."""
     times = F.sequence(F.unix_seconds("at") - (bars - 1) * step_seconds, F.unix_seconds("at"), F.lit(step_seconds).cast("long"))
-    wanted = samples.select("sample_id", "symbol", F.timestamp_seconds(F.explode(times)).alias("open_time"))
+    wanted = samples.select("sample_id", "symbol", F.explode(F.transform(times, F.timestamp_seconds)).alias("open_time"))
     return wanted.join(grid.where("observed"), ["symbol", "open_time"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .surge import near_trades
 
 
@@ -74,14 +75,17 @@ def simulated(
     """``candidates``: order_id, symbol, decision_time, signal_close. Buys ``quote`` units, sells them at the target, the
     stop (where one is given) or the end of the holding time. Columns are null from the step that failed on; status names
     it: entry_not_filled, exit_not_filled, execution_error (a candidate without a symbol or a time), completed.
-    Candidates don't depend on each other, so each step is one join over all of them."""
+    Candidates don't depend on each other, so each step is one join over all of them; what steps share (the candidates,
+    their entries, the triggers) is written once, for it is narrow and the tape is not."""
+    candidates = staged(candidates, "orders")
     usable = candidates.where("symbol is not null and decision_time is not null")
     orders = usable.select("order_id", "symbol", "decision_time").withColumn("entry_end", F.expr(f"decision_time + interval {entry_seconds} seconds"))
     entry = fills(orders, trades, True, "decision_time", "entry_end", quote=quote).where("complete")
     held = orders.select("order_id", "symbol").join(entry, "order_id").select(
         "order_id", "symbol", "fill_time", "vwap", F.col("filled_base").alias("base_qty"), F.col("fill_count").alias("entry_trades")
     )
-    trigger = first_exit(held.select("order_id", "symbol", "fill_time", "vwap"), trades, hold_seconds, take, stop)
+    held = staged(held, "entries")
+    trigger = staged(first_exit(held.select("order_id", "symbol", "fill_time", "vwap"), trades, hold_seconds, take, stop), "triggers")
     selling = held.select("order_id", "symbol", "base_qty").join(trigger, "order_id").withColumn("exit_end", F.expr(f"exit_trigger + interval {exit_seconds} seconds"))
     exit_ = fills(selling.select("order_id", "symbol", "base_qty", "exit_trigger", "exit_end"), trades, False, "exit_trigger", "exit_end", base="base_qty").where("complete")
     out = (

@@ -42,14 +42,23 @@ def log_returns(grid: DataFrame) -> DataFrame:
 
 
 def realized_volatility(grid: DataFrame, w: int) -> DataFrame:
-    """Adds volatility (sample deviation of log returns, scaled to the window, in percent) and up_part (part of
-    returns above zero) over the last w bars; both need max(5, 0.8 w) returns."""
+    """Adds volatility (sample deviation of the log returns between neighbouring closes of the last w bars, scaled to the
+    window, in percent; from max(5, 0.8 w) closes up) and up_part (part of those returns above zero; from two closes up).
+    The first close of a window has no return in it, so its own is taken off the window's sums."""
     f, least = last(w), max(5, int(0.8 * w))
-    enough = F.count("log_return").over(f) >= least
-    return log_returns(grid).withColumns({
-        "volatility": F.when(enough, F.stddev_samp("log_return").over(f) * F.sqrt(F.lit(float(w))) * 100),
-        "up_part": F.when(enough, F.avg((F.col("log_return") > 0).cast("double")).over(f)),
-    })
+    rows = log_returns(grid)
+    edge = F.first(F.when(F.col("close").isNotNull(), F.struct(F.coalesce("log_return", F.lit(0.0)).alias("r"), F.col("log_return").isNotNull().cast("int").alias("n"))), ignorenulls=True).over(f)
+    rows = rows.withColumns({"edge": edge, "closes": F.count("close").over(f)})
+    n = F.count("log_return").over(f) - F.col("edge.n")
+    total = F.sum("log_return").over(f) - F.col("edge.r")
+    square = F.sum(F.col("log_return") * F.col("log_return")).over(f) - F.col("edge.r") * F.col("edge.r")
+    up = F.count_if(F.col("log_return") > 0).over(f) - (F.col("edge.r") > 0).cast("int")
+    rows = rows.withColumns({"n": n, "total": total, "square": square, "up": up})
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - ratio(F.col("total") * F.col("total"), F.col("n"))) / F.nullif(F.col("n") - 1, F.lit(0)))
+    return rows.withColumns({
+        "volatility": F.when((F.col("closes") >= least) & (F.col("n") >= 2), spread * F.sqrt(F.lit(float(w))) * 100),
+        "up_part": F.when(F.col("closes") > 1, ratio(F.col("up").cast("double"), F.col("n"))),
+    }).drop("edge", "closes", "n", "total", "square", "up")
 
 
 def range_position(grid: DataFrame, w: int) -> DataFrame:

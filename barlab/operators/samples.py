@@ -32,7 +32,7 @@ def clock_candidates(events: DataFrame, days: DataFrame, offsets: tuple[int, ...
     split, day, at, offset, same_weekday, day_distance (of the moved time), base_distance (of the day), tier."""
     clock = F.unix_micros("event_time") % 86_400_000_000
     spread = events.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).join(days, "split")
-    rows = spread.withColumn("at", F.timestamp_micros(F.unix_micros(F.col("day").cast("timestamp")) + clock + F.col("offset") * 60_000_000))
+    rows = spread.withColumn("at", F.timestamp_micros(F.unix_micros(F.col("day").cast("timestamp")) + clock + F.col("offset").cast("long") * 60_000_000))
     there = days.select(F.col("day").alias("at_day"), F.col("split").alias("at_split"))
     rows = rows.withColumn("at_day", F.to_date("at")).join(there, "at_day").where("at_split = split")
     same = F.weekday("at") == F.weekday("event_time")
@@ -53,7 +53,7 @@ def quality_gate(
     missing_entry_liquidity and below_entry_liquidity_floor (volume of the bars up to each decision); with least_volume
     and observed_fraction. Counts come from running totals, so wide windows cost what narrow ones do."""
     far, back = max(horizons), max(*horizons, before)
-    so_far = by_time().rowsBetween(-(1 << 62), 0)
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
     rows = grid.withColumns({
         "seen": F.sum(F.col("observed").cast("int")).over(so_far), "crossed": F.sum(F.col(crossing).cast("int")).over(so_far),
         "volume_now": whole_sum("quote_volume", volume_bars), "i": F.row_number().over(by_time()),
@@ -306,7 +306,7 @@ def window_audit(samples: DataFrame, grid: DataFrame, step_seconds: int, percent
     and contaminated: a control whose window crossed or is observed below 0.99, or has no bar. Only sampled windows meet
     their bars, by an equi-join on the times in them."""
     times = F.sequence(F.unix_seconds("baseline_anchor"), F.unix_seconds("cross_anchor"), F.lit(step_seconds).cast("long"))
-    spread = samples.where("baseline_anchor <= cross_anchor").select("sample_id", "symbol", F.timestamp_seconds(F.explode(times)).alias("open_time"))
+    spread = samples.where("baseline_anchor <= cross_anchor").select("sample_id", "symbol", F.explode(F.transform(times, F.timestamp_seconds)).alias("open_time"))
     bars = spread.join(grid.select("symbol", "open_time", "low", "high", "observed"), ["symbol", "open_time"])
     before = Window.partitionBy("sample_id").orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)
     # A gap's own least low is unknown, so the bar after it has nothing to be compared with.

@@ -151,3 +151,12 @@ def first_future_cross(baselines: DataFrame, grid: DataFrame, w: int, factor: fl
     spread = near.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(w - 1)), lambda k: F.timestamp_seconds(F.unix_seconds("baseline_time") + k * step_seconds))))
     hit = spread.join(bars, ["symbol", "at"]).where(F.col("high") >= F.col("baseline_low") * factor)
     return baselines.join(hit.groupBy("symbol", "open_time").agg(F.min("at").alias("first_future_cross")), ["symbol", "open_time"], "left")
+
+
+def scan_issues(resolved: DataFrame) -> DataFrame:
+    """Per symbol its events and how many of them have no trade at the baseline or at the crossing: a scan keeps such rows
+    and reports them."""
+    return resolved.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("baseline_trade_time").isNull()).alias("baseline_unresolved"),
+        F.count_if(F.col("cross_trade_time").isNull()).alias("cross_unresolved"),
+    )

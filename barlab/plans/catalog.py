@@ -359,9 +359,10 @@ def o44(spark, sf):
     return rounded(out.select("symbol", "open_time", *(f"{m}_{w}" for w in (4, 24) for m in ("return", "observed", "range", "quote", "trades", "taker"))))
 
 
-@query("o47_o48_volatility", f"""WITH {_G}, lr AS (SELECT *, ln(close) - ln(last_value(close IGNORE NULLS) OVER ({_BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS r FROM gr)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN count(r) OVER w >= 19 THEN round(stddev_samp(r) OVER w * sqrt(24.0) * 100, 6) END AS volatility,
-  CASE WHEN count(r) OVER w >= 19 THEN round(avg((r > 0)::INT) OVER w, 6) END AS up_part FROM lr WINDOW w AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
+@query("o47_o48_volatility", f"""WITH {_G}, cl AS (SELECT symbol, open_time, list(close) FILTER (close IS NOT NULL) OVER ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c FROM gr),
+  lr AS (SELECT symbol, open_time, len(c) AS n, list_transform(range(2, len(c) + 1), lambda k: ln(c[k]) - ln(c[k - 1])) AS r FROM cl)
+  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN n >= 19 THEN round(list_aggregate(r, 'stddev_samp') * sqrt(24.0) * 100, 6) END AS volatility,
+  CASE WHEN n > 1 THEN round(len(list_filter(r, lambda x: x > 0)) / len(r)::DOUBLE, 6) END AS up_part FROM lr""")
 def o47(spark, sf):
     return rounded(rolling.realized_volatility(grid(spark, sf), 24).select("symbol", "open_time", "volatility", "up_part"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import execution, inference, performance, signals
+from ..sources.staging import staged
 from .catalog import _BY, _G, _TS, grid, query, rounded, tape
 
 #: The rule of the entry signals, in hourly bars.
@@ -113,8 +114,9 @@ _CANDIDATE = (
 
 
 def entry_candidates(spark, sf) -> DataFrame:
+    """The candidates of both signals, written once, for later steps ask for them several times."""
     rows = signals.candidates(_entry_signals(spark, sf), F.col("e1_edge") | F.col("e2_edge"), "1 hour", *_CANDIDATE)
-    return rows.withColumn("order_id", F.concat("symbol", F.lit("@"), F.unix_seconds("signal_bar").cast("string")))
+    return staged(rows.withColumn("order_id", F.concat("symbol", F.lit("@"), F.unix_seconds("signal_bar").cast("string"))), "candidates")
 
 
 _EC = _ES + f""", ca AS (
@@ -154,7 +156,7 @@ def late_candidates(spark, sf) -> DataFrame:
     rows = signals.late_momentum(grid(spark, sf), 4, 24, FLOORS, LATE_REFS, LATE_LEAST, LATE_SHORT)
     columns = ("components", "return_w", "clock_ratio", "clock_days", "position", "runup", "quote_short", "return_pass", "volume_pass", "range_pass", "runup_pass")
     found = signals.candidates(rows, F.col("late"), "1 hour", *columns).withColumn("activity", F.coalesce(F.round("clock_ratio", 6), F.lit(0.0)))
-    return found.withColumn("order_id", F.concat("symbol", F.lit("@"), F.unix_seconds("signal_bar").cast("string")))
+    return staged(found.withColumn("order_id", F.concat("symbol", F.lit("@"), F.unix_seconds("signal_bar").cast("string"))), "candidates")
 
 
 _LATE_ROUND = ("signal_close", "return_w", "clock_ratio", "position", "runup", "quote_short", "activity")
@@ -198,19 +200,14 @@ _SELECTIONS = f"""{_EC}, {_greedy_sql('e1s', 'ca', 'e1_edge', 'INTERVAL 24 HOUR'
   se AS (SELECT 'e1' AS strategy, symbol, decision_time, components, activity, decision FROM e1s WHERE n > 0 UNION ALL SELECT 'e2', symbol, decision_time, components, activity, decision FROM e2s WHERE n > 0)"""
 
 
-def _audits(spark, sf) -> DataFrame:
-    found = entry_candidates(spark, sf)
+def _audits(found: DataFrame) -> DataFrame:
     of = lambda s: signals.select_greedily(found.where(f"{s}_edge"), 24 * HOUR, 3).withColumn("strategy", F.lit(s))
     return of("e1").unionByName(of("e2"))
 
 
 @query("o90_greedy_selection", f"WITH RECURSIVE {_SELECTIONS} SELECT strategy, symbol, {_TS.format('decision_time')} AS decision_time, components, round(activity, 6) AS activity, decision FROM se")
 def o90(spark, sf):
-    return rounded(_audits(spark, sf))
-
-
-def _selections(spark, sf) -> DataFrame:
-    return _audits(spark, sf).where("decision = 'selected'").select("strategy", "symbol", "decision_time")
+    return rounded(_audits(entry_candidates(spark, sf)))
 
 
 # Execution
@@ -273,13 +270,13 @@ def o93(spark, sf):
     return rounded(found.withColumn("filled_quote", F.round("filled_quote", 4)))
 
 
-def _entry_executions(spark, sf) -> DataFrame:
-    orders = entry_candidates(spark, sf).select(*_ORDERS)
+def _entry_executions(spark, sf, found: DataFrame | None = None) -> DataFrame:
+    orders = (entry_candidates(spark, sf) if found is None else found).select(*_ORDERS)
     return execution.simulated(orders, tape(spark, sf), QUOTE, ENTRY * HOUR, HOLD * HOUR, EXIT * HOUR, 0.15, 0.001)
 
 
-def _late_executions(spark, sf) -> DataFrame:
-    orders = late_candidates(spark, sf).select(*_ORDERS)
+def _late_executions(spark, sf, found: DataFrame | None = None) -> DataFrame:
+    orders = (late_candidates(spark, sf) if found is None else found).select(*_ORDERS)
     return execution.simulated(orders, tape(spark, sf), QUOTE, ENTRY * HOUR, HOLD // 2 * HOUR, EXIT * HOUR, 0.10, 0.001, stop=0.05)
 
 
@@ -303,11 +300,11 @@ _LADDER = f"""la_ AS (
 @query("o94_o97_ladder", f"""WITH {_EC}, {_ENTRY_SIM}, {_LADDER} SELECT order_id, horizon::INT AS horizon, round(mfe, 4) AS mfe, round(mae, 4) AS mae,
   {', '.join(f"{_TS.format(f'touch_{t}')} AS touch_{t}" for t in (10, 15, 25, 50))} FROM la_""")
 def o94(spark, sf):
-    return rounded(_ladder(spark, sf), 4)
+    return rounded(_ladder(spark, sf, entry_candidates(spark, sf)), 4)
 
 
-def _ladder(spark, sf) -> DataFrame:
-    orders = entry_candidates(spark, sf).select(*_ORDERS).withColumn("until", F.expr(f"decision_time + interval {ENTRY} hours"))
+def _ladder(spark, sf, found: DataFrame) -> DataFrame:
+    orders = found.select(*_ORDERS).withColumn("until", F.expr(f"decision_time + interval {ENTRY} hours"))
     filled = execution.fills(orders, tape(spark, sf), True, "decision_time", "until", quote=QUOTE).where("complete")
     entries = orders.select("order_id", "symbol").join(filled.select("order_id", "fill_time", "vwap"), "order_id")
     return execution.path_ladder(entries, tape(spark, sf), (480, 1440, 1920), (10, 15, 25, 50))
@@ -317,8 +314,9 @@ def _ladder(spark, sf) -> DataFrame:
   round(quantile_cont(mae, 0.1), 4) AS mae_p10, round(min(mae), 4) AS worst_mae, {', '.join(f'round(avg((touch_{t} IS NOT NULL)::INT), 4) AS hit_{t}_rate' for t in (10, 15, 25, 50))}
   FROM la_ JOIN si USING (order_id) WHERE status = 'completed' GROUP BY 1""")
 def o103(spark, sf):
-    done = _entry_executions(spark, sf).where("status = 'completed'").select("order_id")
-    return rounded(performance.path_diagnostics(_ladder(spark, sf).join(done, "order_id", "left_semi"), ["horizon"], (10, 15, 25, 50)), 4)
+    found = entry_candidates(spark, sf)
+    done = _entry_executions(spark, sf, found).where("status = 'completed'").select("order_id")
+    return rounded(performance.path_diagnostics(_ladder(spark, sf, found).join(done, "order_id", "left_semi"), ["horizon"], (10, 15, 25, 50)), 4)
 
 
 @query("o91_feedback_selection", f"""WITH RECURSIVE {_LM}, {_LATE_SIM},
@@ -335,15 +333,16 @@ def o103(spark, sf):
           FROM fo f JOIN od o ON o.n = f.n + 1))
   SELECT symbol, {_TS.format('decision_time')} AS decision_time, components, decision FROM fo WHERE n > 0""")
 def o91(spark, sf):
-    extra = late_candidates(spark, sf).select("order_id", "components", "activity")
-    executed = _late_executions(spark, sf).join(extra, "order_id")
+    found = late_candidates(spark, sf)
+    executed = _late_executions(spark, sf, found).join(found.select("order_id", "components", "activity"), "order_id")
     return rounded(signals.select_with_feedback(executed, 3 * HOUR, 3).select("symbol", "decision_time", "components", "decision"))
 
 
 def _by_strategy(spark, sf) -> DataFrame:
     """Selections of both strategies, each symbol and time executed once, with what came of it."""
-    chosen = _selections(spark, sf)
-    prices = entry_candidates(spark, sf).select("symbol", "decision_time", "order_id", "signal_close")
+    found = entry_candidates(spark, sf)
+    chosen = staged(_audits(found).where("decision = 'selected'").select("strategy", "symbol", "decision_time"), "selections")
+    prices = found.select("symbol", "decision_time", "order_id", "signal_close")
     once = signals.executed_once(chosen.join(prices, ["symbol", "decision_time"]))
     executions = execution.simulated(once.select(*_ORDERS), tape(spark, sf), QUOTE, ENTRY * HOUR, HOLD * HOUR, EXIT * HOUR, 0.15, 0.001)
     return signals.executions_by_strategy(chosen, executions)

@@ -1,5 +1,8 @@
 import hashlib
+import random
+import re
 import uuid
+from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -7,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab.functions import scalars
-from barlab.operators import execution, inference, performance, rolling, signals, splits, surge
-from barlab.plans import catalog
+from barlab.operators import confirmation, context, execution, inference, packaging, performance, rolling, samples, signals, splits, surge
+from barlab.plans import registry as catalog
+from barlab.plans import signals_study
 from barlab.sources import trades as src
 
 T0 = datetime(2024, 1, 1)
@@ -51,8 +55,8 @@ def test_features_do_not_look_ahead(spark):
     def features(values):
         grid = src.dense_grid(hours(spark, values), "2024-01-01 00:00:00", "2024-01-03 12:00:00")
         out = rolling.window_aggregates(grid, [4])
-        out = rolling.drawdown_runup(rolling.range_position(rolling.realized_volatility(out, 8), 8), 8)
-        out = signals.armed_recently(signals.liquidity_gate(out, 8, 1, 1, 1), 8, 5.0, 10)
+        out = rolling.log_trend(rolling.range_position(rolling.realized_volatility(out, 8), 8), 8, 24)
+        out = signals.entry_signals(context.offset_ratios(out, 2, 3, 3, 4), signals_study.RULE | {"deep": 9, "long": 9, "day": 5, "refs": 2, "median": 1, "quote": 1})
         rows = out.where(F.col("open_time") < F.lit("2024-01-02 16:00:00").cast("timestamp")).orderBy("open_time")
         return [r.asDict() for r in rows.collect()]
 
@@ -65,8 +69,8 @@ def test_arming_and_momentum_need_volume_days_and_runup(spark):
         bars = hours(spark, lows).withColumn("quote_volume", F.when(F.col("low") > 100, F.lit(volume)).otherwise(F.lit(100.0)))
         end = (T0 + timedelta(hours=len(lows))).strftime("%Y-%m-%d %H:%M:%S")
         grid = src.dense_grid(bars, "2024-01-01 00:00:00", end)
-        armed = signals.armed_with_volume(grid, 8, 20.75, 4, 24, 2.0, 5, 48).where("armed").count()
-        late = signals.late_momentum_whole(grid, 4, 24, {"gain": 500.0, "clock": 2.0, "position": 0.6, "quote": 1.0, "runup": 3.3}, 5, 3)
+        armed = signals.armed_recently(grid, 8, 20.75, 4, 24, 2.0, 5, 48).where("armed").count()
+        late = signals.late_momentum(grid, 4, 24, {"gain": 500.0, "clock": 2.0, "position": 0.6, "quote": 1.0, "runup": 3.3}, 5, 3, 1)
         return armed, [(r.components, r.late) for r in late.where("low > 100").collect()]
 
     assert found(6, 900.0) == (1, [(3, True)])  # volume, position and run-up; the return isn't reached
@@ -74,6 +78,50 @@ def test_arming_and_momentum_need_volume_days_and_runup(spark):
     assert found(4, 900.0) == (0, [(2, False)])  # four days to compare with are too few
 
 
+def test_volatility_takes_returns_inside_the_window_alone(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    closes = [None if rng.random() < 0.2 else 100 + rng.random() * 5 for _ in range(48)]
+    grid = src.dense_grid(hours(spark, closes), "2024-01-01 00:00:00", "2024-01-03 00:00:00")
+    for r in rolling.realized_volatility(grid, 8).where("hour(open_time) >= 0").collect():
+        i = int((r.open_time - T0).total_seconds() // 3600)
+        own = [c for c in closes[max(0, i - 7) : i + 1] if c is not None]
+        steps = np.diff(np.log(own))
+        want = float(np.std(steps, ddof=1) * np.sqrt(8) * 100) if len(own) >= 6 else None
+        assert (r.volatility is None) == (want is None) and (want is None or r.volatility == pytest.approx(want, abs=1e-7))
+        assert r.up_part == (pytest.approx(float(np.mean(steps > 0))) if len(own) > 1 else None)
+
+
+def test_path_extremes_equal_a_walk(spark):
+    rng = random.Random(4)
+    closes = [None if rng.random() < 0.05 else 100 + rng.random() * 30 for _ in range(60)]
+    grid = src.dense_grid(hours(spark, closes), "2024-01-01 00:00:00", "2024-01-03 12:00:00")
+    wanted = grid.where("hour(open_time) % 3 = 0").select("symbol", "open_time")
+    for r in rolling.path_extremes(grid, wanted, 6).collect():
+        i = int((r.open_time - T0).total_seconds() // 3600)
+        own = closes[max(0, i - 5) : i + 1]
+        if len(own) < 6 or None in own:
+            assert r.runup is None and r.drawdown is None
+        else:
+            assert r.runup == pytest.approx(max(b / a - 1 for k, a in enumerate(own) for b in own[k:]) * 100)
+            assert r.drawdown == pytest.approx(min(b / a - 1 for k, a in enumerate(own) for b in own[k:]) * 100)
+
+
+def test_continuation_trigger_and_hypotheses_at_their_floors(spark):
+    rows = spark.createDataFrame(
+        [(0.9, 12.0, 0.74, None, True), (0.9, 12.0, 0.73, 3.3, True), (0.9, 11.9, 0.73, 3.3, True), (0.9, 12.0, 0.74, 3.3, None)],
+        "return_short double, clock_ratio double, position double, runup double, liquid boolean",
+    )
+    assert [(r.late_components, r.trigger) for r in samples.continuation_trigger(rows).collect()] == [(3, True), (3, True), (2, False), (4, False)]
+    rows = spark.createDataFrame(
+        [(5.0, 5.0, 1.5, 5.0, 5.0, 0.4), (5.1, 5.0, 1.5, 4.9, 5.0, 0.4), (None, 5.0, 1.5, None, 5.0, 0.4), (5.0, 5.0, None, 5.0, None, None)],
+        "prior_week double, return_day double, volume_rate double, relative_day double, acceleration double, volatility_ratio double",
+    )
+    got = [(r.h1, r.h2, r.h3) for r in samples.hypotheses(rows).collect()]
+    assert got == [(True, True, True), (False, False, False), (None, None, None), (None, None, None)]
+
+
 def test_fill_takes_part_of_the_last_trade(spark):
     trades = tape(spark, [(10, 100.0, 1.0, False), (20, 100.0, 9.0, True), (30, 200.0, 5.0, False)])
     orders = spark.createDataFrame([("o", "A", T0, T0 + timedelta(minutes=5))], ["order_id", "symbol", "a", "b"])
@@ -90,7 +138,7 @@ def test_greedy_selection_rests_and_caps(spark):
     rows = [("B", at(1), 2, 5.0), ("A", at(1), 2, 5.0), ("C", at(1), 3, 1.0), ("A", at(2), 3, 9.0), ("D", at(3), 3, 9.0), ("A", at(26), 2, 1.0)]
     found = signals.select_greedily(spark.createDataFrame(rows, "symbol string, decision_time timestamp, components int, activity double"), 24 * 3600, 3)
     assert [(r.symbol, r.decision) for r in found.collect()] == [
-        ("C", "selected"), ("A", "selected"), ("B", "selected"), ("A", "cooldown"), ("D", "day_full"), ("A", "selected"),
+        ("C", "selected"), ("A", "selected"), ("B", "selected"), ("A", "suppressed_symbol_cooldown"), ("D", "suppressed_daily_cap"), ("A", "selected"),
     ]
 
 
@@ -125,17 +173,198 @@ def test_permutations_equal_brute_force(spark):
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
-def test_inference_runs_the_references_iterations_over_completed_trades(spark):
+def test_inference_runs_all_iterations_over_completed_trades(spark):
     sf = "/root/testdata/sf0.001"
-    assert catalog.queries()["o72_permutation_full"](spark, sf).first().iterations == 50_000
-    got = catalog.queries()["o74_bootstrap_full"](spark, sf).first()
-    done = inference.cluster_bootstrap(catalog._book(spark, sf).where("status <> 'exit_not_filled'"), 10_000, 20260725).first()
+    assert catalog.queries()["o72_permutation"](spark, sf).first().iterations == 50_000
+    got = catalog.queries()["o74_bootstrap"](spark, sf).first()
+    done = inference.cluster_bootstrap(signals_study._book(spark, sf).where("status = 'completed'"), 10_000, 20260725).first()
     assert got.iterations == 10_000 and got.low == pytest.approx(done.low, abs=1e-6)
 
 
-def test_split_keeps_a_date_for_each_part(spark):
-    days = spark.createDataFrame([(T0.date() + timedelta(d),) for d in range(3) for _ in range(10 if d == 0 else 1)], ["event_date"])
-    assert [r.split for r in splits.temporal_split(days).orderBy("event_date").collect()] == ["discovery", "validation", "sealed"]
+def split_days(counts, discovery=70, validation=15):
+    """The rule told day by day."""
+    if len(counts) < 3:
+        return ["discovery", "validation"][: len(counts)]
+    total, so_far, out = sum(counts), 0, []
+    for i, n in enumerate(counts):
+        left = len(counts) - i
+        first = so_far < total * discovery / 100 and left > 2
+        out.append("discovery" if first else "validation" if so_far < total * (discovery + validation) / 100 and left > 1 else "sealed_test")
+        so_far += n
+    if "validation" not in out:
+        out[-2] = "validation"
+    return out
+
+
+@pytest.mark.parametrize("counts", [[3], [2, 9], [10, 1, 1], [1, 1, 10], [1] * 30, [i % 5 + 1 for i in range(30)], [9, 1, 1, 1, 1, 1, 1], [90, 1, 1, 1, 1]])
+def test_splits_are_chronological(spark, counts):
+    days = spark.createDataFrame([(T0.date() + timedelta(d),) for d, n in enumerate(counts) for _ in range(n)], ["event_date"])
+    got = [r.split for r in splits.temporal_split(days).orderBy("event_date").collect()]
+    assert got == split_days(counts)
+    if counts[0] != 90:  # with 90 of 94 events on the first day the repair makes the last date but one validation
+        assert got == sorted(got, key=["discovery", "validation", "sealed_test"].index)
+
+
+def test_controls_count_their_reuse_by_symbol(spark):
+    rng = random.Random(5)
+    rows = []
+    for symbol in "AB":
+        for e in range(6):
+            for _ in range(25):
+                key = T0 + timedelta(days=rng.randrange(5), hours=rng.randrange(3))
+                rows.append((symbol, T0 + timedelta(days=20, hours=e), f"{symbol}{e}", key + timedelta(minutes=rng.choice([0, 5])), key, rng.randrange(3), bool(rng.randrange(2)),
+                             rng.randrange(4), hashlib.sha256(str(rng.random()).encode()).hexdigest(), "pass" if rng.random() < 0.8 else "near_crossing"))
+    names = "symbol string, event_time timestamp, event_id string, at timestamp, key timestamp, tier int, same_weekday boolean, day_distance int, tie string, reason string"
+    want, used = [], Counter()
+    for symbol, event in sorted({(r[0], r[2]) for r in rows}):
+        order = lambda r: (used[symbol, r[4]] > 0, used[symbol, r[4]], r[5], not r[6], r[7], r[8])
+        best = {}
+        for r in sorted((r for r in rows if r[2] == event and r[9] == "pass"), key=order):
+            best.setdefault(r[3].date(), r)
+        for rank, r in enumerate(sorted(best.values(), key=order)[:3], 1):
+            want.append((event, r[3], r[4], rank, used[symbol, r[4]], "reused" if used[symbol, r[4]] else "pass"))
+            used[symbol, r[4]] += 1
+    got = samples.select_controls(spark.createDataFrame(rows, names).repartition(5), 3, "reused").collect()
+    assert sorted((r.event_id, r.at, r.key, r.control_rank, r.prior_reuse, r.quality_status) for r in got) == sorted(want)
+    assert any(w[4] for w in want)
+    assert samples.select_controls(spark.createDataFrame([], names), 3).count() == 0
+
+
+def test_background_samples_take_each_baseline_once(spark):
+    times = samples.background_times(spark.createDataFrame([("A",), ("B",)], ["symbol"]), "p", "2024-01-01", "2024-01-05", 3)
+    rows = times.orderBy("symbol", "sample_index", "candidate_rank").collect()
+    for symbol in "AB":
+        for k in range(3):
+            seed = int(hashlib.sha256(f"p|{symbol}|{k}".encode()).hexdigest()[:16], 16)
+            order = [0]
+            for d in range(1, 5):
+                order += [-d, d]
+            days = list(dict.fromkeys((seed % 5 + d) % 5 for d in order))
+            want = [T0 + timedelta(days=d, minutes=(seed // 5) % 1440) for d in days]
+            assert [r["at"] for r in rows if r.symbol == symbol and r.sample_index == k] == want
+    judged = times.select("symbol", F.date_trunc("hour", "at").alias("bar")).distinct().withColumns({
+        "baseline_time": F.date_trunc("day", "bar"), "reason": F.when(F.col("symbol") == "A", "pass").otherwise("insufficient_prior_history"),
+    })
+    got = samples.background_samples(times, judged, "hour").collect()
+    assert len(got) == 3 and len({r.baseline_time for r in got}) == 3 and {r.symbol for r in got} == {"A"}
+
+
+def test_event_samples_and_issues(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("e1", "A", "d", at(7), at(5), at(90), at(88)), ("e2", "A", "d", None, at(5), None, at(500)), ("e3", "A", "d", None, None, None, at(1)), ("e4", "A", "d", None, at(10), at(10), at(12))]
+    frame = spark.createDataFrame(rows, "event_id string, symbol string, split string, baseline_trade_time timestamp, baseline_time timestamp, cross_trade_time timestamp, cross_time timestamp")
+    good, issues = samples.event_samples(frame, "minute", 480)
+    assert [(r.event_id, r.minutes, r.baseline_resolution) for r in good.collect()] == [("e1", 83, "resolved_trade_minute")]
+    assert sorted((r.event_id, r.issue) for r in issues.collect()) == [("e2", "duration_outside_window"), ("e3", "no_baseline_time"), ("e4", "duration_outside_window")]
+    controls = spark.createDataFrame([("c", "e1", "d", "A", 1, at(1000)), ("x", "gone", "d", "A", 1, at(1000))], "control_id string, event_id string, split string, symbol string, control_rank int, at timestamp")
+    made = {r.sample_id: r for r in samples.matched_samples(good, controls, "minute").collect()}
+    assert set(made) == {"event:e1", "control:c"} and made["control:c"].baseline_anchor == at(917)
+
+
+def test_exits_ask_the_stop_first_and_the_ladder_keeps_horizons(spark):
+    entries = spark.createDataFrame([("o", "A", T0, 100.0)], "order_id string, symbol string, fill_time timestamp, vwap double")
+    trades = tape(spark, [(0, 80.0, 1.0, True), (30, 101.0, 1.0, True), (60, 94.0, 1.0, False), (90, 116.0, 1.0, True), (7200, 160.0, 1.0, True)])
+    (row,) = execution.first_exit(entries, trades, 180 * 60, 0.10, 0.05).collect()
+    assert (row.exit_reason, row.exit_trigger, row.trigger_price, row.path_mfe) == ("stop", T0 + timedelta(seconds=60), 94.0, pytest.approx(1.0))
+    (row,) = execution.first_exit(entries, trades, 180 * 60, 0.15, None).collect()
+    assert (row.exit_reason, row.exit_trigger) == ("target", T0 + timedelta(seconds=90))
+    (row,) = execution.first_exit(entries, trades, 45, 0.15, 0.05).collect()
+    assert (row.exit_reason, row.exit_trigger, row.trigger_price) == ("time", T0 + timedelta(seconds=45), None)
+    got = {r.horizon: r for r in execution.path_ladder(entries, trades, (1, 60, 180), (10, 50)).collect()}
+    assert got[1].mfe == pytest.approx(1.0) and got[1].mae == pytest.approx(-6.0) and got[1].touch_10 is None
+    assert got[60].touch_10 == T0 + timedelta(seconds=90) and got[60].touch_50 is None and got[180].touch_50 == T0 + timedelta(seconds=7200)
+
+
+def test_simulation_statuses(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    trades = tape(spark, [(10, 100.0, 50.0, False), (40, 120.0, 5.0, True), (50, 118.0, 5.0, True)])
+    orders = spark.createDataFrame([("a", "A", at(0), 100.0), ("b", "A", at(20), 100.0), ("c", None, at(0), 1.0)], "order_id string, symbol string, decision_time timestamp, signal_close double")
+    got = {r.order_id: r for r in execution.simulated(orders, trades, 500.0, 15, 60, 30, 0.15, 0.001).collect()}
+    assert got["a"].status == "completed" and got["a"].exit_vwap == pytest.approx(120.0) and got["a"].fees == pytest.approx(0.5 + 0.6)
+    assert got["a"].net_pnl == pytest.approx(600 * 0.999 - 500 * 1.001)
+    assert got["b"].status == "entry_not_filled" and got["c"].status == "execution_error"
+    got = execution.simulated(orders.limit(1), trades, 4000.0, 15, 60, 30, 0.15, 0.001).first()
+    assert got.status == "exit_not_filled" and got.net_pnl is None
+
+
+def test_feedback_selection_counts_completed_trades(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [
+        ("A", at(1), 3, 1.0, "entry_not_filled", None), ("A", at(2), 3, 1.0, "completed", at(3)), ("A", at(5), 3, 1.0, "completed", at(6)), ("B", at(5), 4, 1.0, "completed", at(7)),
+        ("C", at(6), 3, 1.0, "completed", at(8)), ("A", at(12), 3, 1.0, "completed", at(13)), ("C", at(30), 3, 1.0, "exit_not_filled", None),
+    ]
+    frame = spark.createDataFrame(rows, "symbol string, decision_time timestamp, components int, activity double, status string, exit_time timestamp")
+    got = [(r.symbol, r.decision) for r in signals.select_with_feedback(frame, 3 * 3600, 2).collect()]
+    assert got == [
+        ("A", "entry_not_filled"), ("A", "suppressed_symbol_cooldown"), ("B", "completed"), ("A", "completed"), ("C", "suppressed_daily_trade_cap"),
+        ("A", "suppressed_daily_trade_cap"), ("C", "exit_not_filled"),
+    ]
+
+
+def test_executions_are_shared_between_strategies(spark):
+    chosen = spark.createDataFrame([("e1", "A", T0, "o1"), ("e2", "A", T0, "o1"), ("e2", "B", T0, "o2")], "strategy string, symbol string, decision_time timestamp, order_id string")
+    once = signals.executed_once(chosen)
+    assert sorted(r.order_id for r in once.collect()) == ["o1", "o2"]
+    done = once.where("symbol = 'A'").withColumn("status", F.lit("completed"))
+    got = signals.executions_by_strategy(chosen, done).collect()
+    assert sorted((r.strategy, r.symbol, r.status) for r in got) == [("e1", "A", "completed"), ("e2", "A", "completed"), ("e2", "B", "execution_missing")]
+
+
+def test_graduation_without_losses_depends_on_the_protocol(spark):
+    measures = dict(
+        trades=150, symbols=30, total_pnl=500.0, expectancy=2.0, profit_factor=float("inf"), max_drawdown=10.0, longest_losing_run=0, largest_symbol_share=0.1, fill_rate=0.95,
+        least_part_trades=40, least_part_expectancy=1.0, bootstrap_low=0.5, coverage=0.99, failure_fraction=0.0,
+    )
+    stats = spark.createDataFrame([tuple(measures.values())], list(measures))
+    assert len(signals_study.HALVES) == 14 and len(signals_study.THIRDS) == 13
+    row = performance.graduation(stats, signals_study.HALVES, 2, infinite_fails=True).first()
+    assert (row.passed, row.failed) == (False, "minimum_profit_factor")
+    assert performance.graduation(stats, signals_study.THIRDS, 2).first().passed
+    row = performance.graduation(stats.withColumn("bootstrap_low", F.lit(None).cast("double")), signals_study.THIRDS, 2).first()
+    assert row.failed == "bootstrap_lower_expectancy_above_zero"
+
+
+def test_acceptance_fails_what_is_missing(spark):
+    rows = [(i, i // 3, int(i % 3 == 0), i % 3 == 0, "AB"[i % 2], "discovery") for i in range(90)]
+    frame = spark.createDataFrame(rows, "id long, match_group long, label int, signal boolean, symbol string, split string")
+    p_value = spark.createDataFrame([(0.01,)], ["p_value"])
+    row = confirmation.acceptance(confirmation.split_results(frame), p_value, confirmation.FIRST_FLOORS).first()
+    assert not row.passed and set(row.failed.split(",")) == {"symbols_hit", "sealed_test"} and row.rate_ratio_ok  # an infinite ratio passes
+
+
+def test_ratio_interval_drops_infinite_draws(spark):
+    rows = [(s, label, int(s == "B" or label == 1)) for s in "ABCD" for label in (0, 1) for _ in range(3)]
+    got = inference.cluster_ratio_interval(spark.createDataFrame(rows, "symbol string, label int, signal int"), 400, 7).first()
+    assert got.infinite > 50 and got.finite + got.infinite == 400 and got.low >= 1
+    few = inference.cluster_ratio_interval(spark.createDataFrame(rows[:3], "symbol string, label int, signal int"), 400, 7).first()
+    assert few.low is None and few.finite == 0
+
+
+def test_packages(spark, tmp_path):
+    sizes = spark.createDataFrame([("c", 5), ("a", 6), ("b", 5), ("d", 50), ("e", 1)], "symbol string, bytes long")
+    assert [(r.symbol, r.chunk) for r in packaging.first_fit_chunks(sizes, 11).orderBy("symbol").collect()] == [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 3)]
+    rows = spark.createDataFrame([("x", "discovery"), ("y", "sealed_test")], "id string, split string")
+    assert sorted((r.id, r.split, r.sealed) for r in packaging.write_by_split(rows, f"{tmp_path}/out").collect()) == [("x", "discovery", False), ("y", "sealed_test", True)]
+    assert packaging.staged_evidence(480, 480, 480, "2025-01-01", "2025-12-31", "2026-01-01") == []
+    assert packaging.staged_evidence(60, 480, 479, None, "2025-12-31", "2026-01-01") == ["guard_after", "window", "explicit_window"]
+    assert packaging.staged_evidence(480, 480, 480, "2025-01-01", "2026-02-01", "2026-01-01") == ["cutoff"]
+    assert packaging.scan_window_issues("2024-01-01", "2024-12-01", "2024-11-01") == ["incomplete_day", "length"]
+    raw = spark.createDataFrame([("1704067199999",), ("1704067200000",), ("head",)], ["time"])
+    assert src.write_before_cutoff(raw, 1704067200000, f"{tmp_path}/cut").count() == 1
+    empty = src.write_before_cutoff(raw, 0, f"{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == ["time", "timestamp_ms_normalized"]
+
+
+def test_names_and_bands(spark):
+    names = ["BTCUSDT", "a.b-c", "__x__", "//", "", "é", "A" * 90, "a b"]
+    got = {r.n: r.f for r in spark.createDataFrame([(n,) for n in names], ["n"]).select("n", scalars.safe_filename(F.col("n")).alias("f")).collect()}
+    for n in names:
+        clean = "_".join(p for p in re.split("[^A-Za-z0-9]", n) if p)
+        tail = hashlib.sha256(n.encode()).hexdigest()[:12]
+        assert got[n] == (clean[:80] if clean and clean == n else f"{clean[:60] or 'symbol'}_{tail}")
+    minutes = [None, float("nan"), 0.0, 180.0, 180.2, 360.0, 420.5, 480.0, 480.1, -3.0]
+    bands = [r.b for r in spark.createDataFrame([(m,) for m in minutes], "m double").select(scalars.duration_band(F.col("m")).alias("b")).collect()]
+    assert bands == ["unknown", "unknown", "le_3h", "le_3h", "gt_3h_to_6h", "gt_3h_to_6h", "gt_7h_to_8h", "gt_7h_to_8h", "outside_8h", "outside_8h"]
 
 
 def test_uuid5_equals_the_standard_one(spark):
