@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged  # noqa: F401  (the operators take it from here)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,37 +19,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or, where that is unset,
-    /tmp/checkpoints under a local master and the warehouse otherwise."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if re.match(r"local(\[|$)", spark.sparkContext.master):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table below the shared folder and read it back: lineage ends there, and every
-    executor can read it after another one is lost."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{checkpoint_root(spark)}/barlab/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files go when the driver drops the plans that made them; nothing needs those any more.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Empty staged tables that nothing is to read again: whatever was made of them must be staged itself."""
-    for one in tables:
-        one.sparkSession.createDataFrame([], one.schema).write.mode("overwrite").parquet(one.staged_at)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

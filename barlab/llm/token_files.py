@@ -207,7 +207,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, kind: str = "<u4", key: s
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, ids binary, token bigint, n bigint")
 
 
-def write_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
+def write_files(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
     """Tokenize ``docs`` and write its file set; returns the blocks and the ranks as read back.
 
     Null text is empty, so has the end id alone. Null ids come first; rows repeated with one id follow each other.
@@ -240,7 +240,7 @@ def write_files(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, Dat
 
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if n and n + len(ids.as_py()) // width > BLOCK_IDS:
+                if n and n + len(ids.as_py()) // width > block_ids:
                     yield made()
                     block, waiting, n = block + 1, [], 0
                 waiting.append((key, ids.as_py()))

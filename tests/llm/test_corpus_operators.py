@@ -452,3 +452,49 @@ def test_html_templates_against_a_count(spark, setting):
     assert all(r.text == want[r.page_id] for r in got if r.page_id is not None and r.page_id < 40)
     assert {(r.page_id, r.url, r.text[:3]) for r in got if r.page_id is None or r.page_id >= 40} == {(90, None, ""), (91, "y", ""), (None, "z", "n\n\n")}
     assert html_extract.extracted(frame.limit(0), **setting).count() == 0
+
+
+ODD = [(None, "one two three"), (None, None), (3, "one two three"), (3, "one two three"), (4, ""), (5, "word " * 40_000), (6, "é \u0000 \u2028 x")]
+
+
+def test_mix_of_odd_rows(documents):
+    out = mixing.mixed(documents([(*r, "s") for r in ODD])).collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(i for i, _ in ODD)
+    assert sorted(r.size for r in out) == [0, 0, 3, 3, 3, 4, 40_000] and all(r.copies <= 3 for r in out)
+    assert mixing.mixed(documents([])).count() == 0
+
+
+def test_bpe_and_token_files_of_odd_rows(documents):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = collections.Counter((r.doc_id, r.n_tokens) for r in bpe.digests(documents(ODD), path).collect())
+    assert got == collections.Counter((i, len(tokenizer.encode(t or "").ids)) for i, t in ODD)
+    assert bpe.digests(documents([]), path).count() == 0
+    both = bpe.decode_documents(bpe.encode_documents(documents(ODD), path), path).where("doc_id = 6").first()
+    assert both.decoded == ODD[-1][1] and both.norm == "y"
+    path = P.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = token_files.read_files(*token_files.write_files(documents(ODD), path, end_id=1)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 3, 3, 4, 5, 6]
+    sizes = {(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in ODD}
+    assert {(r.doc_id, len(r.ids) // 4) for r in rows} == sizes and all(b.start == a.start + len(a.ids) // 4 for a, b in zip(rows, rows[1:]))
+
+
+def test_token_files_in_many_blocks(documents, monkeypatch):
+    path, rows = P.path("word_bpe_49k.json"), [(i, f"alpha beta {i} gamma") for i in range(60)]
+    whole = {r.doc_id: (r.start, bytes(r.ids)) for r in token_files.read_files(*token_files.write_files(documents(rows), path, end_id=1)).collect()}
+    monkeypatch.setattr(token_files, "BROADCAST_ROWS", 0)
+    blocks, ranks = token_files.write_files(documents(rows), path, end_id=1, block_ids=20)
+    assert blocks.count() > 10
+    assert {r.doc_id: (r.start, bytes(r.ids)) for r in token_files.read_files(blocks, ranks).collect()} == whole
+
+
+def test_language_of_odd_rows(spark, documents):
+    rows = [(i, prose(random.Random(i), 20, ["le", "mer"] if i % 2 else ["the", "sea"]), "s", "fr" if i % 2 else "en") for i in range(40)]
+    model = lang_id.train(documents([*rows, (None, "la mer", "s", "fr"), (7, "x", "s", None)]))
+    got = collections.Counter((r.doc_id, r.lang_pred) for r in lang_id.identified(documents(ODD), model, keep=["doc_id"]).collect())
+    assert got[3, "en"] == 2 and got[None, "und"] == 1 and got[4, "und"] == 1 and sum(got.values()) == len(ODD)
+    kept = documents(ODD).where(lang_id.language(model, spark, F.col("text")) != "und")
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([None, 3, 3, 5, 6])
