@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, lang_id, license_scan, line_quality, mixing, suffix_dedup, token_files
+from . import (
+    bpe, exact_dedup, html_extract, importance, jaccard_join, lang_id, license_scan, line_quality, mixing, piece_bpe, suffix_dedup,
+    token_files,
+)
 
 
 def queries() -> dict:
@@ -18,6 +21,8 @@ def queries() -> dict:
         "op8_language_id": lang_id.op8_language_id,
         "op9_html_main_text": html_extract.op9_html_main_text,
         "op10_token_files": token_files.op10_token_files,
+        "op11_piece_bpe": piece_bpe.op11_piece_bpe,
+        "op13_importance": importance.op13_importance,
     }
 
 
