@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import (
     bpe, exact_dedup, html_extract, importance, jaccard_join, lang_id, license_scan, line_quality, mixing, piece_bpe, suffix_dedup,
-    token_files,
+    token_alignment, token_files,
 )
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op9_html_main_text": html_extract.op9_html_main_text,
         "op10_token_files": token_files.op10_token_files,
         "op11_piece_bpe": piece_bpe.op11_piece_bpe,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_importance": importance.op13_importance,
     }
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from barlab.llm import importance, piece_bpe
+from barlab.llm import importance, piece_bpe, token_alignment as alignment
 
 P = pytest.importorskip("public_tokenizers")
 PIECES = "piece_bpe_32k.model"
@@ -103,3 +103,87 @@ def test_importance_of_empty_tables(documents):
     some = documents([(1, "a b"), (2, None)])
     assert importance.resampled(some.limit(0), some).count() == 0
     assert {r.doc_id: r.rank for r in importance.resampled(some, some.limit(0)).collect()} == {1: None, 2: None}
+
+
+PATHS = P.path("byte_bpe_50k.json"), P.path(PIECES)
+
+
+def aligned(rows, library):
+    """Alignments and scores as they are defined, one document at a time, from the two libraries."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_file(PATHS[0])
+    first.encode_special_tokens = True
+    letters = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in letters)}
+    spelled = {i: bytes(byte_of[c] for c in t) for t, i in json.load(open(PATHS[0]))["model"]["vocab"].items()}
+    found, documents = [], Counter()
+    for _, text in rows:
+        a = first.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = library.encode(text or "")
+        of_b = lambda i: bytes([int(library.id_to_piece(i)[3:5], 16)]) if library.is_byte(i) else library.id_to_piece(i).replace("▁", " ").encode()
+        sizes = [len(spelled[i]) for i in a], [len(of_b(i)) for i in b]
+        if not text or b"".join(map(of_b, b)) != (" " + text).encode():
+            found.append(([], [], [], []))
+            continue
+        ends = np.cumsum(sizes[0]).tolist(), np.cumsum(sizes[1]).tolist()
+        groups, links, i, j = [([], [])], [], 0, 0
+        while i < len(a) or j < len(b):
+            links.append((a[i], b[j]))
+            x, y = ends[0][i], ends[1][j]
+            if x <= y:
+                groups[-1][0].append(a[i])
+                i += 1
+            if y <= x:
+                groups[-1][1].append(b[j])
+                j += 1
+            if x == y:
+                groups.append(([], []))
+        found.append((a, b, groups[:-1], links))
+        documents.update(set(links))
+    best = defaultdict(int)
+    for (x, _), n in documents.items():
+        best[x] = max(best[x], n)
+    out = []
+    for (i, _), (a, b, groups, links) in zip(rows, found):
+        said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        digest = hashlib.sha256(said.encode()).hexdigest() if a else ""
+        out.append((i, len(a), len(b), len(groups), len(links), sum(documents[p] == best[p[0]] for p in links), sum(documents[p] for p in links), digest))
+    return out
+
+
+@pytest.mark.parametrize("size, fan, parcel", [(1 << 15, 16, 2_000_000), (40, 2, 5), (7, 3, 100), (1, 16, 1)])
+def test_alignment_against_its_definition(documents, library, monkeypatch, size, fan, parcel):
+    rng = random.Random(6)
+    for name, value in (("RANGE_CHARS", size), ("FAN", fan), ("PARCEL_PAIRS", parcel)):
+        monkeypatch.setattr(alignment, name, value)
+    words = ["the", "café", "thinking", "О", "word", "3,5", "\n", "  x", "it's", "🤖", "漢字"]
+    some = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(25 if size > 1 else 6)]
+    rows = list(enumerate(ODD + some + ["the same text " * 6] * 5)) + [(None, "no id here"), (3, some[0])]
+    got = alignment.link_scores(documents(rows), *PATHS)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(aligned(rows, library), key=str)
+
+
+def test_alignment_of_an_empty_table(documents):
+    assert alignment.link_scores(documents([]), *PATHS).count() == 0
+
+
+def test_fragments_compose_in_any_tree(library):
+    rng, both = random.Random(9), alignment.tokenizers(*PATHS)
+    for text in texts(rng, 60) + ["some plain words " * 20]:
+        a, b, same = both.encode(" " + text)
+        if not same:
+            continue
+        tokens = (a, np.cumsum(both.a_bytes[a]), b, np.cumsum(both.b_bytes[b]))
+        want = alignment.closed(both, tokens, 0)
+        size = int(tokens[1][-1])
+        cuts = sorted({0, size, *(rng.randrange(size + 1) for _ in range(rng.randrange(8)))})
+        parts = [alignment.fragment(both, alignment._part(tokens, x, y)) for x, y in zip(cuts, cuts[1:])]
+        while len(parts) > 1:
+            k = rng.randrange(len(parts) - 1)
+            parts[k : k + 2] = [alignment.composed(both, parts[k : k + 2])]
+        got = alignment.whole(both, parts[0])
+        assert (b"".join(got.body), got.groups, got.links, got.n_a, got.n_b) == (b"".join(want.body), want.groups, want.links, want.n_a, want.n_b)
+        assert got.codes.tolist() == want.codes.tolist() and got.times.tolist() == want.times.tolist()
