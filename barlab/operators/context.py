@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import holds, pct_change, ratio
-from .rolling import by_time, last, realized_volatility, whole_sum
+from .rolling import realized_volatility
+from .windows import Over, by_time, windowed
 from .samples import continuation_trigger, daily_rate_ratio, hypotheses, interval_return
 
 
@@ -36,7 +37,7 @@ def daily_trends(windows: DataFrame, complete: int, most: int = 11) -> DataFrame
     )
     late = Window.partitionBy("sample_id").orderBy(F.desc("day"))
     days = days.withColumn("back", F.row_number().over(late)).where(F.col("back") <= most).withColumn("x", -F.col("back").cast("double"))
-    values = {"volume": F.col("quote"), "close": F.col("close"), "range": F.greatest((F.col("high") / F.col("low") - 1) * 100, F.lit(1e-9)) + 1}
+    values = {"volume": F.col("quote"), "close": F.col("close"), "range": F.greatest((ratio(F.col("high"), F.col("low")) - 1) * 100, F.lit(1e-9)) + 1}
     days = days.withColumns({f"ln_{k}": F.when(v > 0, F.ln(v)) for k, v in values.items()})
     n = F.count(F.lit(1))
 
@@ -58,7 +59,7 @@ def episodes(windows: DataFrame, unit: str = "hour", prior: int = 24, least_prio
     (the high begins to reach 1.005 times the best of the ``prior`` units before, of which ``least_prior`` must exist) and
     failed ones (a close within ``follow_seconds`` falls to 0.98 of the breakout's high)."""
     order = Window.partitionBy("sample_id").orderBy("open_time")
-    moved = (F.col("close") / F.lag("close").over(order) - 1) * 100
+    moved = (ratio(F.col("close"), F.lag("close").over(order)) - 1) * 100
     moves = windows.withColumn("moved", moved).groupBy("sample_id").agg(
         F.count_if(F.col("moved") >= 2).alias("up_2"), F.count_if(F.col("moved") >= 5).alias("up_5"), F.count_if(F.col("moved") <= -2).alias("down_2")
     )
@@ -98,20 +99,25 @@ def reference_context(grid: DataFrame, references: list[str], windows: list[int]
 
 
 def offset_ratios(grid: DataFrame, short: int, before_short: int, long: int, before_long: int) -> DataFrame:
-    """Adds, for the last ``short`` bars and the ``before_short`` before them, and for the last ``long`` and the
-    ``before_long`` before them, by bar: volume_step and trade_step (short), long_volume_step, return_step (the short
-    return less the rate of the bars before it), taker_step (the taker ratio less the one before)."""
-    now = lambda n: by_time().rowsBetween(1 - n, 0)
-    then = lambda n, m: by_time().rowsBetween(1 - n - m, -n)
-    rate = lambda c, n, m: ratio(F.sum(c).over(now(n)) / n, F.sum(c).over(then(n, m)) / m)
-    taker = lambda f: ratio(F.sum("taker_buy_quote").over(f), F.sum("quote_volume").over(f))
+    """Adds, by bar: volume_step and trade_step (the last ``short`` bars to the ``before_short`` before them), long_volume_step
+    (the last ``long`` to the ``before_long`` before them), return_step (the return over ``long`` bars less that over the
+    ``long`` before) and taker_step (the taker ratio of the last ``long`` bars less that of the ``long`` before). A sum needs
+    all of its bars, but for the taker ratio of the last ones, and a divisor must be positive."""
+    sums = {
+        "__q1": ("quote_volume", short, 0), "__q2": ("quote_volume", before_short, short), "__t1": ("trade_count", short, 0), "__t2": ("trade_count", before_short, short),
+        "__l1": ("quote_volume", long, 0), "__l2": ("quote_volume", before_long, long), "__p": ("quote_volume", long, long), "__k": ("taker_buy_quote", long, long),
+        "__now": ("taker_buy_quote", long, 0),
+    }
+    rows = windowed(grid, {n: Over("sum", F.col(c), w, skip) for n, (c, w, skip) in sums.items()} | {f"{n}_n": Over("count", F.col(c), w, skip) for n, (c, w, skip) in sums.items()})
+    full = lambda n: F.when(F.col(f"{n}_n") == sums[n][1], F.col(n).cast("double"))
+    per = lambda a, b: F.when(b > 0, ratio(a, b))
+    rate = lambda a, b: per(full(a) / sums[a][1], full(b) / sums[b][1])
     lagged = lambda k: F.lag("close", k).over(by_time())
-    return grid.withColumns({
-        "volume_step": rate("quote_volume", short, before_short), "trade_step": rate("trade_count", short, before_short),
-        "long_volume_step": rate("quote_volume", long, before_long),
-        "return_step": pct_change(lagged(short), F.col("close")) - pct_change(lagged(short + before_short), lagged(short)) * short / before_short,
-        "taker_step": taker(now(short)) - taker(then(short, before_short)),
-    })
+    return rows.withColumns({
+        "volume_step": rate("__q1", "__q2"), "trade_step": rate("__t1", "__t2"), "long_volume_step": rate("__l1", "__l2"),
+        "return_step": pct_change(lagged(long), F.col("close")) - pct_change(lagged(2 * long), lagged(long)),
+        "taker_step": per(F.col("__now"), F.col("__l1")) - per(full("__k"), full("__p")),
+    }).drop(*(c for n in sums for c in (n, f"{n}_n")))
 
 
 def window_ratios(rows: DataFrame, day: int) -> DataFrame:
@@ -143,19 +149,25 @@ def quality_status(has_bar: Column, observed: Column, liquid: Column) -> Column:
 def context_features(grid: DataFrame, day: int, history: int, volume_bars: int, volume: float, references: list[str]) -> DataFrame:
     """The features of every bar that the hypotheses and statuses need: windows of 1, 3, 7 and 10 days, their ratios, the
     return relative to the references (none, if the list is empty), liquidity and the observed part of the history."""
-    rows = grid
-    for w in (day, 3 * day, 7 * day, 10 * day):
-        f = last(w)
-        rows = realized_volatility(rows, w).withColumnRenamed("volatility", f"volatility_{w}").drop("up_part", "log_return").withColumns({
-            f"return_{w}": pct_change(F.lag("close", w).over(by_time()), F.col("close")), f"range_{w}": pct_change(F.min("low").over(f), F.max("high").over(f)),
-            f"quote_{w}": F.sum("quote_volume").over(f), f"trades_{w}": F.sum("trade_count").over(f),
-        })
+    rows, widths = grid, (day, 3 * day, 7 * day, 10 * day)
+    for w in widths:
+        rows = realized_volatility(rows, w).withColumnRenamed("volatility", f"volatility_{w}").drop("up_part", "log_return")
+    measures = {"volume_seen": Over("sum", F.col("quote_volume"), volume_bars), "volume_known": Over("count", F.col("quote_volume"), volume_bars)}
+    for w in widths:
+        measures |= {
+            f"low_{w}": Over("min", F.col("low"), w), f"high_{w}": Over("max", F.col("high"), w), f"quote_{w}": Over("sum", F.col("quote_volume"), w),
+            f"trades_{w}": Over("sum", F.col("trade_count"), w),
+        }
+    rows = windowed(rows, measures | {"seen": Over("count", F.when(F.col("observed"), 1), history)})
+    rows = rows.withColumns({
+        **{f"return_{w}": pct_change(F.lag("close", w).over(by_time()), F.col("close")) for w in widths}, **{f"range_{w}": pct_change(F.col(f"low_{w}"), F.col(f"high_{w}")) for w in widths},
+    }).drop(*(f"{c}_{w}" for c in ("low", "high") for w in widths))
     rows = window_ratios(rows, day).withColumns({
-        "volume_now": whole_sum("quote_volume", volume_bars), "observed_part": F.sum(F.col("observed").cast("int")).over(last(history)) / F.lit(float(history)),
+        "volume_now": F.when(F.col("volume_known") == volume_bars, F.col("volume_seen")), "observed_part": F.col("seen") / F.lit(float(history)),
         "prior_week": interval_return(F.col(f"return_{7 * day}"), F.col(f"return_{day}")), "return_day": F.col(f"return_{day}"),
         "volume_rate": daily_rate_ratio(F.col(f"quote_{day}"), F.col(f"quote_{3 * day}"), 2),
         "trade_rate": daily_rate_ratio(F.col(f"trades_{day}").cast("double"), F.col(f"trades_{3 * day}").cast("double"), 2),
-    }).withColumn("liquid", holds(F.col("volume_now") >= volume))
+    }).withColumn("liquid", holds(F.col("volume_now") >= volume)).drop("volume_seen", "volume_known", "seen")
     if references:
         relative = reference_context(grid, references, [day]).select("symbol", "open_time", F.col(f"own_minus_proxy_{day}").alias("relative_day"))
         rows = rows.join(relative, ["symbol", "open_time"], "left")

@@ -1,4 +1,5 @@
-"""Gap-aware features over windows of a dense grid. Windows count bars; every frame is partitioned by symbol."""
+"""Gap-aware features over windows of a dense grid. Windows count bars; every frame is partitioned by symbol (or by chunks
+of it, see ``windows.in_time_chunks``), and what is wide goes over ``windows.windowed``."""
 
 from __future__ import annotations
 
@@ -6,11 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pct_change, ratio
-
-
-def by_time():
-    """A symbol's bars in order of time."""
-    return Window.partitionBy("symbol").orderBy("open_time")
+from . import windows
+from .windows import Over, by_time, windowed
 
 
 def last(n: int):
@@ -18,20 +16,25 @@ def last(n: int):
     return by_time().rowsBetween(1 - n, 0)
 
 
-def window_aggregates(grid: DataFrame, windows: list[int]) -> DataFrame:
-    """For each window w: return_w, observed_w, range_w, quote_w, trades_w, taker_w. Sums are null only where no bar
-    is observed; a return needs both of its bars."""
-    out = grid
-    for w in windows:
-        f = last(w)
+def window_aggregates(grid: DataFrame, widths: list[int]) -> DataFrame:
+    """For each width w: return_w, observed_w, range_w, quote_w, trades_w, trade_quote_w (the average trade), taker_w. Sums are
+    null only where no bar is observed; a return needs both of its bars, a ratio a positive divisor."""
+    seen = F.when(F.col("observed"), 1)
+    measures = {}
+    for w in widths:
+        measures |= {
+            f"observed_{w}": Over("count", seen, w), f"__low_{w}": Over("min", F.col("low"), w), f"__high_{w}": Over("max", F.col("high"), w),
+            f"quote_{w}": Over("sum", F.col("quote_volume"), w), f"trades_{w}": Over("sum", F.col("trade_count"), w),
+            f"__taker_{w}": Over("sum", F.col("taker_buy_quote"), w),
+        }
+    out = windowed(grid, measures)
+    for w in widths:
         out = out.withColumns({
-            f"return_{w}": pct_change(F.lag("close", w).over(by_time()), F.col("close")),
-            f"observed_{w}": F.avg(F.col("observed").cast("double")).over(f),
-            f"range_{w}": pct_change(F.min("low").over(f), F.max("high").over(f)),
-            f"quote_{w}": F.sum("quote_volume").over(f),
-            f"trades_{w}": F.sum("trade_count").over(f),
-            f"taker_{w}": ratio(F.sum("taker_buy_quote").over(f), F.sum("quote_volume").over(f)),
-        })
+            f"return_{w}": pct_change(F.lag("close", w).over(by_time()), F.col("close")), f"observed_{w}": F.col(f"observed_{w}") / F.lit(float(w)),
+            f"range_{w}": pct_change(F.col(f"__low_{w}"), F.col(f"__high_{w}")),
+            f"trade_quote_{w}": F.when(F.col(f"trades_{w}") > 0, ratio(F.col(f"quote_{w}"), F.col(f"trades_{w}").cast("double"))),
+            f"taker_{w}": F.when(F.col(f"quote_{w}") > 0, ratio(F.col(f"__taker_{w}"), F.col(f"quote_{w}"))),
+        }).drop(f"__low_{w}", f"__high_{w}", f"__taker_{w}")
     return out
 
 
@@ -41,111 +44,72 @@ def log_returns(grid: DataFrame) -> DataFrame:
     return grid.withColumn("log_return", F.ln("close") - F.ln(before))
 
 
-def realized_volatility(grid: DataFrame, w: int) -> DataFrame:
+def realized_volatility(grid: DataFrame, w: int, least: int | None = None) -> DataFrame:
     """Adds volatility (sample deviation of the log returns between neighbouring closes of the last w bars, scaled to the
-    window, in percent; from max(5, 0.8 w) closes up) and up_part (part of those returns above zero; from two closes up).
-    The first close of a window has no return in it, so its own is taken off the window's sums."""
-    f, least = last(w), max(5, int(0.8 * w))
+    window, in percent; from ``least`` closes up, by default max(5, 0.8 w)) and up_part (part of those returns above zero;
+    from two closes up, or from ``least`` where it is given). The first close of a window has no return in it, so its own is
+    taken off the window's sums. Null where a close isn't positive."""
     rows = log_returns(grid)
-    edge = F.first(F.when(F.col("close").isNotNull(), F.struct(F.coalesce("log_return", F.lit(0.0)).alias("r"), F.col("log_return").isNotNull().cast("int").alias("n"))), ignorenulls=True).over(f)
-    rows = rows.withColumns({"edge": edge, "closes": F.count("close").over(f)})
-    n = F.count("log_return").over(f) - F.col("edge.n")
-    total = F.sum("log_return").over(f) - F.col("edge.r")
-    square = F.sum(F.col("log_return") * F.col("log_return")).over(f) - F.col("edge.r") * F.col("edge.r")
-    up = F.count_if(F.col("log_return") > 0).over(f) - (F.col("edge.r") > 0).cast("int")
-    rows = rows.withColumns({"n": n, "total": total, "square": square, "up": up})
+    r = F.col("log_return")
+    edge = F.when(F.col("close").isNotNull(), F.struct(F.coalesce(r, F.lit(0.0)).alias("r"), r.isNotNull().cast("int").alias("n")))
+    rows = windows.next_known(rows, "edge", edge, w)
+    rows = windowed(rows, {
+        "closes": Over("count", F.col("close"), w), "bad": Over("count", F.when(F.col("close") <= 0, 1), w), "n": Over("count", r, w), "total": Over("sum", r, w),
+        "square": Over("sum", r * r, w), "up": Over("count", F.when(r > 0, 1), w),
+    })
+    ok = (F.col("closes") >= (max(5, int(0.8 * w)) if least is None else least)) & (F.col("bad") == 0)
+    rows = rows.withColumns({
+        "n": F.col("n") - F.col("edge.n"), "total": F.col("total") - F.col("edge.r"), "square": F.col("square") - F.col("edge.r") * F.col("edge.r"),
+        "up": F.col("up") - (F.col("edge.r") > 0).cast("int"),
+    })
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - ratio(F.col("total") * F.col("total"), F.col("n"))) / F.nullif(F.col("n") - 1, F.lit(0)))
+    enough = ok if least is not None else (F.col("closes") > 1) & (F.col("bad") == 0)
     return rows.withColumns({
-        "volatility": F.when((F.col("closes") >= least) & (F.col("n") >= 2), spread * F.sqrt(F.lit(float(w))) * 100),
-        "up_part": F.when(F.col("closes") > 1, ratio(F.col("up").cast("double"), F.col("n"))),
-    }).drop("edge", "closes", "n", "total", "square", "up")
+        "volatility": F.when(ok & (F.col("n") >= 2), spread * F.sqrt(F.lit(float(w))) * 100), "up_part": F.when(enough, ratio(F.col("up").cast("double"), F.col("n"))),
+    }).drop("edge", "closes", "bad", "n", "total", "square", "up")
+
+
+def matched_volatility(grid: DataFrame, w: int) -> DataFrame:
+    """As realized_volatility, as matched controls have it: windows of 5 bars or more, from max(3, 0.8 w) closes up."""
+    if w < 5:
+        return grid.withColumns({"volatility": F.lit(None).cast("double"), "up_part": F.lit(None).cast("double")})
+    return realized_volatility(grid, w, max(3, int(0.8 * w))).drop("log_return")
 
 
 def range_position(grid: DataFrame, w: int) -> DataFrame:
-    """Adds position (0 at the window's low, 1 at its high) and bars since the last high and the last low."""
-    f = last(w)
-    number = F.row_number().over(by_time())
-    high = F.max(F.when(F.col("observed"), F.struct("high", F.col("i").alias("i")))).over(f)
-    low = F.max(F.when(F.col("observed"), F.struct((-F.col("low")).alias("low"), F.col("i").alias("i")))).over(f)
-    return grid.withColumn("i", number).withColumns({"top": high, "bottom": low}).withColumns({
-        "position": F.when(F.col("top.high") > -F.col("bottom.low"), (F.col("close") + F.col("bottom.low")) / (F.col("top.high") + F.col("bottom.low"))),
-        "bars_since_high": F.col("i") - F.col("top.i"), "bars_since_low": F.col("i") - F.col("bottom.i"),
+    """Adds position (0 at the window's low, 1 at its high), vs_high and vs_low (percent from them) and the bars since the last
+    high and the last low."""
+    i, seen = F.col("i"), F.col("observed")
+    rows = windowed(grid.withColumn("i", F.row_number().over(by_time())), {
+        "top": Over("max", F.when(seen, F.struct("high", i.alias("i"))), w), "bottom": Over("max", F.when(seen, F.struct((-F.col("low")).alias("low"), i.alias("i"))), w),
+    })
+    low, wide = -F.col("bottom.low"), F.col("top.high") > -F.col("bottom.low")
+    return rows.withColumns({
+        "position": F.when(wide, ratio(F.col("close") - low, F.col("top.high") - low)), "vs_high": F.when(wide, pct_change(F.col("top.high"), F.col("close"))),
+        "vs_low": F.when(wide, pct_change(low, F.col("close"))), "bars_since_high": i - F.col("top.i"), "bars_since_low": i - F.col("bottom.i"),
     }).drop("i", "top", "bottom")
 
 
 def drawdown_runup(grid: DataFrame, w: int) -> DataFrame:
-    """Adds drawdown and runup in percent over the last w bars, gaps left out; both null below two observed bars.
-
-    One fold over the window's closes keeps the running extremes; the frame is at most w values a row."""
-    start = F.struct(F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("down"), F.lit(0.0).alias("up"))
-
-    def step(a: Column, x: Column) -> Column:
-        high, low = F.greatest(a["high"], x), F.least(a["low"], x)
-        return F.struct(high.alias("high"), low.alias("low"), F.least(a["down"], x / high - 1).alias("down"), F.greatest(a["up"], x / low - 1).alias("up"))
-
-    folded = grid.withColumn("closes", F.collect_list("close").over(last(w))).withColumn("fold", F.aggregate("closes", start, step))
-    enough = F.size("closes") >= 2
-    return folded.withColumns({
-        "drawdown": F.when(enough, F.col("fold.down") * 100), "runup": F.when(enough, F.col("fold.up") * 100),
-    }).drop("closes", "fold")
-
-
-def path_extremes(grid: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
-    """Adds to ``wanted`` (symbol, open_time) runup and drawdown in percent over the last w bars, null where one of them
-    has no positive close. Only the wanted bars meet their windows: bars carry a number, windows reach over two blocks
-    of w numbers, and an equi-join on symbol and block brings them together."""
-    bars = grid.select("symbol", "open_time", "close", F.row_number().over(by_time()).alias("i"))
-    block = lambda c: F.floor(c / w)
-    ends = wanted.select("symbol", "open_time").join(bars.select("symbol", "open_time", F.col("i").alias("end")), ["symbol", "open_time"])
-    spread = ends.withColumn("block", F.explode(F.array(block(F.col("end")), block(F.col("end")) - 1)))
-    path = spread.join(bars.select("symbol", "i", "close", block(F.col("i")).alias("block")), ["symbol", "block"]).where("i > end - %d and i <= end" % w)
-    start = F.struct(F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("down"), F.lit(0.0).alias("up"))
-
-    def step(a: Column, x: Column) -> Column:
-        high, low = F.greatest(a["high"], x["close"]), F.least(a["low"], x["close"])
-        return F.struct(
-            high.alias("high"), low.alias("low"), F.least(a["down"], x["close"] / high - 1).alias("down"), F.greatest(a["up"], x["close"] / low - 1).alias("up")
-        )
-
-    groups = path.groupBy("symbol", "open_time").agg(
-        F.sort_array(F.collect_list(F.struct("i", "close"))).alias("path"), F.count(F.when(F.col("close") > 0, 1)).alias("n")
-    ).where(F.col("n") == w).withColumn("fold", F.aggregate("path", start, step))
-    found = groups.select("symbol", "open_time", (F.col("fold.up") * 100).alias("runup"), (F.col("fold.down") * 100).alias("drawdown"))
-    return wanted.join(found, ["symbol", "open_time"], "left")
+    """Adds drawdown and runup in percent over the last w bars, gaps left out; both null below two closes, or where a close
+    isn't positive."""
+    rows, known = windows.path_extremes(grid, F.col("close"), w), F.col("path_known") >= 2
+    return rows.withColumns({"drawdown": F.when(known, F.col("path_fall") * 100), "runup": F.when(known, F.col("path_rise") * 100)}).drop(
+        "path_known", "path_low", "path_high", "path_rise", "path_fall"
+    )
 
 
-def log_trend(grid: DataFrame, w: int, bars_per_day: int, most: int = 600) -> DataFrame:
-    """Adds trend (daily percent from the least-squares slope of the log close) and trend_r2 over the observed closes of
-    the last w bars, from 6 up. Gaps are left out, so that closes are one apart; of n > ``most`` closes every
-    ceil(n / most)-th counts, the first one on. Null where the fit isn't defined. The frame is at most w values a row."""
-    closes = F.collect_list("close").over(last(w))
-    rows = grid.withColumn("closes", closes).withColumn("n", F.size("closes"))
-    stride = F.greatest(F.lit(1), F.ceil(F.col("n") / most).cast("int"))
-    rows = rows.withColumn("stride", stride).withColumn("y", F.transform(F.filter("closes", lambda x, i: i % F.col("stride") == 0), lambda x: F.ln(x)))
-    m = F.size("y").cast("double")
-    total = lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumns({"m": m, "mean_y": ratio(total("y"), m), "mean_x": (m - 1) / 2})
-    xy = total(F.transform("y", lambda v, i: (i - F.col("mean_x")) * (v - F.col("mean_y"))))
-    yy = total(F.transform("y", lambda v: (v - F.col("mean_y")) * (v - F.col("mean_y"))))
-    xx = m * (m * m - 1) / 12
-    ok = (F.col("n") >= 6) & (F.array_min("closes") > 0) & (F.col("m") > 1)
-    rows = rows.withColumns({"xy": F.when(ok, xy), "yy": F.when(ok, yy), "xx": F.when(ok, xx)})
-    return rows.withColumns({
-        "trend": F.expm1(F.col("xy") / F.col("xx") / F.col("stride") * bars_per_day) * 100,
-        "trend_r2": F.when(F.col("yy") > 0, F.col("xy") * F.col("xy") / (F.col("xx") * F.nullif("yy", F.lit(0.0)))),
-    }).drop("closes", "n", "stride", "y", "m", "mean_y", "mean_x", "xy", "yy", "xx")
+def whole_path(grid: DataFrame, w: int) -> DataFrame:
+    """As drawdown_runup, but null where one of the w closes is missing."""
+    rows, whole = windows.path_extremes(grid, F.col("close"), w), (F.col("path_known") == w) & F.lit(w > 1)
+    return rows.withColumns({"drawdown": F.when(whole, F.col("path_fall") * 100), "runup": F.when(whole, F.col("path_rise") * 100)}).drop(
+        "path_known", "path_low", "path_high", "path_rise", "path_fall"
+    )
 
 
-def same_clock_ratio(grid: DataFrame, value: Column, day: int, days: int = 7, least: int = 1) -> DataFrame:
-    """Adds clock_ratio: the value over the median of its values at the same time on the days before (zeros count as
-    missing), null below ``least`` of them, and clock_days, their number."""
-    earlier = F.array_compact(F.array(*(F.nullif(F.lag("x", day * d).over(by_time()), F.lit(0.0)) for d in range(1, days + 1))))
-    s, n = F.col("earlier"), F.size("earlier")
-    at = lambda k: F.get(s, k.cast("int"))
-    median = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-    return grid.withColumn("x", value).withColumn("earlier", F.sort_array(earlier)).withColumns({
-        "clock_days": n, "clock_ratio": F.when(n >= least, ratio(F.col("x"), median)),
-    }).drop("x", "earlier")
+def log_trend(grid: DataFrame, w: int, bars_per_day: int, most: int = 600) -> DataFrame:
+    """Adds trend (daily percent) and trend_r2 of the closes of the last w bars, as ``windows.log_trend`` says."""
+    return windows.log_trend(grid, F.col("close"), w, bars_per_day, most)
 
 
 def whole_sum(name: str, w: int) -> Column:
@@ -153,24 +117,30 @@ def whole_sum(name: str, w: int) -> Column:
     return F.when(F.count(name).over(last(w)) == w, F.sum(name).over(last(w)))
 
 
-def whole_clock_ratio(grid: DataFrame, value: Column, day: int, days: int = 7) -> DataFrame:
-    """As same_clock_ratio, but zeros are values, so that only missing days aren't counted; a median of zero gives null."""
+def whole_clock_ratio(grid: DataFrame, value: Column, day: int, days: int = 7, least: int = 0) -> DataFrame:
+    """Adds clock_ratio: the value over the median of its values at the same time on the days before, null below ``least``
+    known ones, and clock_days, their number. Zeros are values; a median of zero gives null."""
     earlier = F.sort_array(F.array_compact(F.array(*(F.lag("x", day * d).over(by_time()) for d in range(1, days + 1)))))
     n = F.size("earlier")
     at = lambda k: F.get("earlier", k.cast("int"))
     median = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-    return grid.withColumn("x", value).withColumn("earlier", earlier).withColumns({"clock_days": n, "clock_ratio": ratio(F.col("x"), median)}).drop("x", "earlier")
+    return grid.withColumn("x", value).withColumn("earlier", earlier).withColumns({
+        "clock_days": n, "clock_ratio": F.when(n >= least, ratio(F.col("x"), median)),
+    }).drop("x", "earlier")
 
 
 def outcomes(grid: DataFrame, w: int) -> DataFrame:
-    """Adds outcome_gain and outcome_drawdown in percent and outcome_coverage over the w bars after each: never
-    inputs of a prediction."""
-    f = by_time().rowsBetween(1, w)
-    return grid.withColumns({
-        "outcome_gain": pct_change(F.col("close"), F.max("high").over(f)),
-        "outcome_drawdown": pct_change(F.col("close"), F.min("low").over(f)),
-        "outcome_coverage": F.sum(F.col("observed").cast("int")).over(f) / F.lit(float(w)),
+    """Adds outcome_gain and outcome_drawdown in percent of the close and outcome_coverage over the w bars that begin with
+    the decision, at this bar's end: never inputs of a prediction."""
+    rows = windowed(grid, {
+        "__high": Over("max", F.col("high"), w, 1, True), "__low": Over("min", F.col("low"), w, 1, True),
+        "__seen": Over("count", F.when(F.col("observed"), 1), w, 1, True),
     })
+    there = F.least(F.row_number().over(by_time(ahead=True)) - 1, F.lit(w))
+    return rows.withColumns({
+        "outcome_gain": pct_change(F.col("close"), F.col("__high")), "outcome_drawdown": pct_change(F.col("close"), F.col("__low")),
+        "outcome_coverage": F.coalesce(ratio(F.col("__seen").cast("double"), there), F.lit(0.0)),
+    }).drop("__high", "__low", "__seen")
 
 
 def candle_shape(grid: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import duration_band, holds, ratio, stable_integer, tie_break, uuid5
-from .rolling import by_time, whole_sum
+from .rolling import whole_sum
+from .windows import by_time
 
 #: Minutes from an event's clock time at which controls of the first and of the local-low kind are tried.
 CLOCK_OFFSETS = (0, -15, 15, -30, 30, -45, 45, -60, 60)

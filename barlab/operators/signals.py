@@ -9,57 +9,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_or_null, holds, pct_change, ratio
-from .rolling import by_time, drawdown_runup, last, path_extremes, same_clock_ratio, whole_clock_ratio, whole_sum
+from .rolling import last, whole_clock_ratio, whole_path, whole_sum
+from .windows import Over, by_time, rolling_median, whole, windowed
 
 
 def liquidity_gate(grid: DataFrame, w: int, median: float, quote: float, trades: int) -> DataFrame:
     """Adds liquid: over the last w bars, all observed, the median and the sum of the quote volume and the number of
     trades reach their floors."""
-    f = last(w)
-    return grid.withColumn("liquid", holds(
-        (F.sum(F.col("observed").cast("int")).over(f) == w) & (F.percentile("quote_volume", F.lit(0.5)).over(f) >= median)
-        & (F.sum("quote_volume").over(f) >= quote) & (F.sum("trade_count").over(f) >= trades)
-    ))
+    rows = rolling_median(grid, "__median", "quote_volume", w)
+    rows = windowed(rows, {
+        "__seen": Over("count", F.when(F.col("observed"), 1), w), "__quote": Over("sum", F.col("quote_volume"), w), "__trades": Over("sum", F.col("trade_count"), w),
+    })
+    good = (F.col("__seen") == w) & (F.col("__median") >= median) & (F.col("__quote") >= quote) & (F.col("__trades") >= trades)
+    return rows.withColumn("liquid", holds(good)).drop("__median", "__seen", "__quote", "__trades")
 
 
 def acceleration(grid: DataFrame, w: int, day: int, gain: float, step_up: float, clock: float, refs: int) -> DataFrame:
     """Adds accelerating: the return over w bars, the trades of the later half over the earlier half's, and the trades
-    over those at the same time on earlier days reach their floors."""
-    half = w // 2
-    late = F.sum("trade_count").over(last(half))
-    early = F.nullif(F.sum("trade_count").over(last(w)) - late, F.lit(0))
-    rows = same_clock_ratio(grid.withColumn("trades_w", F.sum("trade_count").over(last(w)).cast("double")), F.col("trades_w"), day)
+    over those at the same time on earlier days (``refs`` of them known) reach their floors. Windows with a gap are
+    unknown; days without trades are days."""
+    rows = whole(grid.withColumn("__t", F.col("trade_count").cast("double")), "__whole", "sum", F.col("__t"), w)
+    rows = whole_clock_ratio(whole(rows, "__late", "sum", F.col("__t"), w // 2), F.col("__whole"), day)
+    early = F.nullif(F.col("__whole") - F.col("__late"), F.lit(0.0))
     return rows.withColumn("accelerating", holds(
-        (pct_change(F.lag("close", w).over(by_time()), F.col("close")) >= gain) & (ratio(late.cast("double"), early.cast("double")) >= step_up)
+        (pct_change(F.lag("close", w).over(by_time()), F.col("close")) >= gain) & (F.col("__late") >= step_up * early)
         & (F.col("clock_ratio") >= clock) & (F.col("clock_days") >= refs)
-    )).drop("trades_w")
+    )).drop("__t", "__whole", "__late")
 
 
 def armed_recently(grid: DataFrame, w: int, gain: float, volume_w: int, day: int, clock: float, refs: int, ttl: int) -> DataFrame:
     """Adds rise_from_low, long_ratio (quote volume over ``volume_w`` bars to its median at the same time on the days
     before), armed (the rise from the least low of the last w bars, all observed, reaches ``gain`` percent, and the
     ratio ``clock`` with at least ``refs`` days known) and armed_recent: armed in one of the ``ttl`` bars before."""
-    f = last(w)
-    rows = whole_clock_ratio(grid, whole_sum("quote_volume", volume_w), day).withColumnsRenamed({"clock_ratio": "long_ratio", "clock_days": "long_days"})
-    rows = rows.withColumn("rise_from_low", F.when(F.count("low").over(f) == w, pct_change(F.min("low").over(f), F.col("close"))))
-    rows = rows.withColumn("armed", holds(
-        (F.sum(F.col("observed").cast("int")).over(f) == w) & (F.col("rise_from_low") >= gain) & (F.col("long_ratio") >= clock) & (F.col("long_days") >= refs)
-    ))
-    return rows.withColumn("armed_recent", holds(F.max("armed").over(by_time().rowsBetween(-ttl, -1)))).drop("long_days")
+    rows = whole_clock_ratio(whole(grid, "__long", "sum", F.col("quote_volume"), volume_w), F.col("__long"), day)
+    rows = windowed(rows.withColumnsRenamed({"clock_ratio": "long_ratio", "clock_days": "long_days"}), {
+        "__low": Over("min", F.col("low"), w), "__lows": Over("count", F.col("low"), w), "__seen": Over("count", F.when(F.col("observed"), 1), w),
+    })
+    rows = rows.withColumn("rise_from_low", F.when(F.col("__lows") == w, pct_change(F.col("__low"), F.col("close"))))
+    rows = rows.withColumn("armed", holds((F.col("__seen") == w) & (F.col("rise_from_low") >= gain) & (F.col("long_ratio") >= clock) & (F.col("long_days") >= refs)))
+    rows = windowed(rows, {"__armed": Over("count", F.when(F.col("armed"), 1), ttl, 1)})
+    return rows.withColumn("armed_recent", F.col("__armed") > 0).drop("long_days", "__long", "__low", "__lows", "__seen", "__armed")
 
 
 def late_momentum(grid: DataFrame, w: int, day: int, floors: dict[str, float], refs: int, least: int, short: int) -> DataFrame:
     """Adds components, how many of four hold (return, volume over the same clock time with ``refs`` days known, position
     in the day's range, run-up), each by itself, and late: at least ``least`` of them in an observed bar whose last
     ``short`` bars have volume. A window with a gap is unknown; the day's may lack 10 of 1440 parts."""
-    f = last(day)
-    full = F.count("high").over(f) >= day * 1430 / 1440
-    low, high = F.when(full, F.min("low").over(f)), F.when(full, F.max("high").over(f))
-    rows = whole_clock_ratio(grid.withColumns({"quote_w": whole_sum("quote_volume", w), "quote_short": whole_sum("quote_volume", short)}), F.col("quote_w"), day)
-    rows = drawdown_runup(rows, w).withColumns({
-        "return_w": pct_change(F.lag("close", w).over(by_time()), F.col("close")), "position": F.when(high > low, (F.col("close") - low) / (high - low)),
-        "runup": F.when(F.count("close").over(last(w)) == w, F.col("runup")),
-    })
+    rows = windowed(grid, {"__n": Over("count", F.col("high"), day), "__lo": Over("min", F.col("low"), day), "__hi": Over("max", F.col("high"), day)})
+    full, low, high = F.col("__n") >= day * 1430 / 1440, F.col("__lo"), F.col("__hi")
+    rows = whole_clock_ratio(rows.withColumns({"quote_w": whole_sum("quote_volume", w), "quote_short": whole_sum("quote_volume", short)}), F.col("quote_w"), day)
+    rows = whole_path(rows, w).withColumns({
+        "return_w": pct_change(F.lag("close", w).over(by_time()), F.col("close")), "position": F.when(full & (high > low), (F.col("close") - low) / (high - low)),
+    }).drop("__n", "__lo", "__hi")
     rows = rows.withColumns({
         "return_pass": holds(F.col("return_w") >= floors["gain"]), "volume_pass": holds((F.col("clock_ratio") >= floors["clock"]) & (F.col("clock_days") >= refs)),
         "range_pass": holds(F.col("position") >= floors["position"]), "runup_pass": holds(F.col("runup") >= floors["runup"]),
@@ -78,12 +79,17 @@ def entry_signals(grid: DataFrame, rule: dict[str, float]) -> DataFrame:
     armed time) and the measures behind them."""
     w, half, day, refs = rule["w"], rule["w"] // 2, rule["day"], rule["refs"]
     rows = liquidity_gate(grid, w, rule["median"], rule["quote"], rule["trades"])
-    rows = rows.withColumn("trade_count", F.col("trade_count").cast("double")).withColumns({
-        "q": whole_sum("quote_volume", w), "q_late": whole_sum("quote_volume", half), "t": whole_sum("trade_count", w), "t_late": whole_sum("trade_count", half),
-        "return_w": pct_change(F.lag("close", w).over(by_time()), F.col("close")),
-        "low_w": F.when(F.count("low").over(last(w)) == w, F.min("low").over(last(w))), "high_w": F.when(F.count("high").over(last(w)) == w, F.max("high").over(last(w))),
-        "whole_long": holds(F.sum(F.col("observed").cast("int")).over(last(rule["long"])) == rule["long"]),
+    rows, double = rows.withColumn("trade_count", F.col("trade_count").cast("double")), {"q": "quote_volume", "t": "trade_count"}
+    sums = {f"{n}{part}": Over(how, F.col(c), width) for n, c in double.items() for part, how, width in (("", "sum", w), ("_n", "count", w), ("_late", "sum", half), ("_late_n", "count", half))}
+    rows = windowed(rows, sums | {
+        "low_w": Over("min", F.col("low"), w), "lows": Over("count", F.col("low"), w), "high_w": Over("max", F.col("high"), w), "highs": Over("count", F.col("high"), w),
+        "seen_long": Over("count", F.when(F.col("observed"), 1), rule["long"]),
     })
+    rows = rows.withColumns({
+        **{c: F.when(F.col(f"{c}_n") == (half if c.endswith("late") else w), F.col(c)) for c in ("q", "t", "q_late", "t_late")},
+        "return_w": pct_change(F.lag("close", w).over(by_time()), F.col("close")), "whole_long": F.col("seen_long") == rule["long"],
+        "low_w": F.when(F.col("lows") == w, F.col("low_w")), "high_w": F.when(F.col("highs") == w, F.col("high_w")),
+    }).drop("q_n", "t_n", "q_late_n", "t_late_n", "lows", "highs", "seen_long")
     rows = whole_clock_ratio(rows, F.col("q"), day).withColumnsRenamed({"clock_ratio": "q_ratio", "clock_days": "q_days"})
     rows = whole_clock_ratio(rows, F.col("t"), day).withColumnsRenamed({"clock_ratio": "t_ratio", "clock_days": "t_days"})
     step = lambda c: ratio(F.col(f"{c}_late"), F.nullif(F.col(c) - F.col(f"{c}_late"), F.lit(0.0)))
@@ -95,8 +101,8 @@ def entry_signals(grid: DataFrame, rule: dict[str, float]) -> DataFrame:
         "t4": holds((F.col("return_w") >= rule["t4_gain"]) & (F.col("q_ratio") >= rule["t4_clock"]) & (F.col("q_late") >= rule["step"] * F.nullif(early[0], F.lit(0.0))) & (F.col("q_days") >= refs)),
         "asked": holds((F.col("return_w") >= rule["t5_gain"]) & (F.col("position") >= rule["t5_position"]) & F.col("whole_long")),
     })
-    extremes = path_extremes(grid, rows.where("asked").select("symbol", "open_time"), rule["long"])
-    rows = rows.join(extremes, ["symbol", "open_time"], "left")
+    rows = whole_path(rows, rule["long"])
+    rows = rows.withColumns({c: F.when(F.col("asked"), F.col(c)) for c in ("runup", "drawdown")})
     rows = rows.withColumn("t5", holds((F.col("runup") >= rule["t5_runup"]) & (F.col("drawdown") <= rule["t5_drawdown"])))
     rows = rows.withColumn("components", sum((F.col(c).cast("int") for c in ("t3", "t4", "t5")), F.lit(0)))
     rows = rows.withColumn("e1", F.col("liquid") & (F.col("components") > 0)).withColumn("e2", F.col("e1") & F.col("armed_recent"))
@@ -105,6 +111,11 @@ def entry_signals(grid: DataFrame, rule: dict[str, float]) -> DataFrame:
     }).drop("low_w", "high_w", "whole_long", "q_late", "t_late", "q_days", "t_days", "e1", "e2", "asked")
 
 
+def entry_reach(rule: dict[str, float]) -> int:
+    """How many bars entry_signals looks back from a bar: a bar armed before, its low or its volume's days, and an edge."""
+    return rule["ttl"] + max(rule["deep"], 7 * rule["day"] + max(rule["w"], rule["long"])) + 2
+
+
 def rising_edge(state: Column) -> Column:
     """The state holds here and did not hold one bar earlier; the first bar has no earlier one, so may be an edge."""
     return state & ~F.lag(state, 1, False).over(by_time())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import holds, pct_change
+from .windows import Over, by_time, windowed
 
 _EPS = 1e-15
 
@@ -43,9 +44,9 @@ def first_surges(bars: DataFrame, window_seconds: int, step_seconds: int, factor
 
 def crossing_mask(grid: DataFrame, w: int, factor: float) -> DataFrame:
     """Adds crossing: the high reaches ``factor`` times the least low of the w-1 bars before, all of them observed."""
-    frame = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(1 - w, -1)
-    full = F.sum(F.col("observed").cast("int")).over(frame) == w - 1
-    return grid.withColumn("crossing", holds(full & (F.col("high") >= F.min("low").over(frame) * factor)))
+    rows = windowed(grid, {"__low": Over("min", F.col("low"), w - 1, 1), "__seen": Over("count", F.when(F.col("observed"), 1), w - 1, 1)})
+    full = F.col("__seen") == w - 1
+    return rows.withColumn("crossing", holds(full & (F.col("high") >= F.col("__low") * factor))).drop("__low", "__seen")
 
 
 def near_trades(events: DataFrame, trades: DataFrame, start: str, end: str, bucket_seconds: int) -> DataFrame:
@@ -72,21 +73,40 @@ def resolved_trades(surges: DataFrame, trades: DataFrame, step: str, factor: flo
     return surges.join(base, keys, "left").join(cross, keys, "left")
 
 
-def saleability(resolved: DataFrame, trades: DataFrame, seconds: int, quote: float, window_minutes: int) -> DataFrame:
-    """What sellers got within ``seconds`` of the crossing trade: notional, lowest and highest price, the price of the
-    first ``quote`` units (the last fill in part), and whether the event is saleable. Unresolved events aren't."""
+def saleability(resolved: DataFrame, trades: DataFrame, seconds: int, quote: float, window_minutes: int, factor: float) -> DataFrame:
+    """What trades came to within ``seconds`` of the crossing trade: level_notional (of all that reach ``factor`` times the
+    baseline) and, of sellers alone, that (sell_notional_at_level) and the notional and base quantity at any price, lowest
+    and highest price, first time; the time and price of the trade that brings them to ``quote`` units, and exit_vwap of
+    those units (the last fill in part), which are null where they aren't reached; and whether the event is saleable.
+    Unresolved events aren't."""
     keys = ["symbol", "event_date"]
     ready = resolved.where("cross_trade_time is not null").withColumn("sell_end", F.expr(f"cross_trade_time + interval {seconds} seconds"))
-    sells = near_trades(ready, trades.where("is_buyer_maker"), "cross_trade_time", "sell_end", seconds).withColumn("notional", F.col("price") * F.col("qty"))
+    tolerance = F.greatest(F.abs("baseline_low") * 1e-12, F.lit(_EPS))
+    after = near_trades(ready, trades, "cross_trade_time", "sell_end", seconds).withColumns({
+        "notional": F.col("price") * F.col("qty"), "at_level": F.col("price") + tolerance >= F.col("baseline_low") * factor,
+    })
+    sold = lambda c, when=None: F.coalesce(F.sum(F.when(F.col("is_buyer_maker") if when is None else when, F.col(c))), F.lit(0.0))
+    levels = after.groupBy(*keys).agg(
+        sold("notional", F.col("at_level")).alias("level_notional"), sold("notional", F.col("at_level") & F.col("is_buyer_maker")).alias("sell_notional_at_level"),
+        sold("qty").alias("sell_base"),
+    )
     before = Window.partitionBy(*keys).orderBy("ts", "trade_id").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.greatest(F.lit(0.0), F.least("notional", quote - F.coalesce(F.sum("notional").over(before), F.lit(0.0))))
-    totals = sells.withColumn("used", used).groupBy(*keys).agg(
-        F.sum("notional").alias("sell_notional"), F.min("price").alias("lowest_sell"), F.max("price").alias("highest_sell"),
-        F.try_divide(F.sum("used"), F.sum(F.col("used") / F.col("price"))).alias("exit_vwap"),
+    sells = after.where("is_buyer_maker").withColumn("sold_before", F.coalesce(F.sum("notional").over(before), F.lit(0.0)))
+    used, reached = F.greatest(F.lit(0.0), F.least("notional", quote - F.col("sold_before"))), F.col("sold_before") + F.col("notional") + 1e-12 >= quote
+    sells = sells.withColumns({"used": F.when(F.col("price") > 0, used), "hit": F.when(reached, F.struct("ts", "trade_id", "price"))})
+    totals = sells.groupBy(*keys).agg(
+        F.sum("notional").alias("sell_notional"), F.min("price").alias("lowest_sell"), F.max("price").alias("highest_sell"), F.min("ts").alias("first_sell_time"),
+        F.min("hit").alias("hit"), F.sum(F.col("used") / F.nullif("price", F.lit(0.0))).alias("exit_base"),
     )
     elapsed = F.unix_micros("cross_trade_time") - F.unix_micros("baseline_trade_time")
     passed = (elapsed > 0) & (elapsed <= window_minutes * 60_000_000) & (F.col("sell_notional") + 1e-12 >= quote)
-    return resolved.join(totals, keys, "left").withColumn("saleable", holds(passed))
+    out = resolved.join(levels, keys, "left").join(totals, keys, "left").withColumn("saleable", holds(passed))
+    nothing = F.when(F.col("cross_trade_time").isNotNull(), 0.0)
+    return out.withColumns({
+        **{c: F.coalesce(c, nothing) for c in ("level_notional", "sell_notional_at_level", "sell_base", "sell_notional")},
+        "quote_reached_time": F.col("hit.ts"), "quote_reached_price": F.col("hit.price"),
+        "exit_vwap": F.when(F.col("hit").isNotNull(), F.try_divide(F.lit(quote), F.col("exit_base"))),
+    }).drop("hit", "exit_base")
 
 
 def event_records(surges: DataFrame, bars: DataFrame) -> DataFrame:
@@ -129,13 +149,14 @@ def algorithmic_baseline(grid: DataFrame, w: int, factor: float) -> DataFrame:
     """For every bar taken as a crossing: the latest bar of the least low among the w-1 before it (all observed), the bars
     between, the best gain of the w-1 bars after the baseline (all observed), and whether that reaches
     the factor. Baselines without a whole window after them are left out."""
-    by_time = Window.partitionBy("symbol").orderBy("open_time")
-    back, ahead = by_time.rowsBetween(1 - w, -1), by_time.rowsBetween(1, w - 1)
-    whole = lambda f: F.sum(F.col("observed").cast("int")).over(f) == w - 1
-    rows = grid.withColumn("i", F.row_number().over(by_time)).withColumns({
-        "base": F.when(whole(back), F.min(F.when(F.col("observed"), F.struct("low", (-F.col("i")).alias("minus")))).over(back)),
-        "future_high": F.when(whole(ahead), F.max("high").over(ahead)),
+    seen, i = F.when(F.col("observed"), 1), F.col("i")
+    rows = windowed(grid.withColumn("i", F.row_number().over(by_time())), {
+        "__back": Over("count", seen, w - 1, 1), "__ahead": Over("count", seen, w - 1, 1, True), "future_high": Over("max", F.col("high"), w - 1, 1, True),
+        "base": Over("min", F.when(F.col("observed"), F.struct("low", (-i).alias("minus"))), w - 1, 1),
     })
+    rows = rows.withColumns({
+        "base": F.when(F.col("__back") == w - 1, F.col("base")), "future_high": F.when(F.col("__ahead") == w - 1, F.col("future_high")),
+    }).drop("__back", "__ahead")
     future = rows.select("symbol", F.col("i").alias("base_i"), F.col("future_high").alias("high_after"), F.col("open_time").alias("baseline_time"), F.col("low").alias("base_low"))
     chosen = rows.where("base is not null").withColumn("base_i", -F.col("base.minus"))
     gain = pct_change(F.col("baseline_low"), F.col("high_after"))

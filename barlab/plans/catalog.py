@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import rolling, splits, surge
+from ..operators import rolling, splits, surge, windows
 from ..sources import trades as src
 
 WINDOW, FACTOR = 8, 1.25
@@ -293,18 +293,38 @@ def o23(spark, sf):
     return rounded(found.select("symbol", "event_date", "baseline_trade_time", "cross_trade_time", "cross_trade_price"))
 
 
-@query("o25_saleability", f"""WITH {_R}, se AS (
-  SELECT re.symbol, event_date, price, price * qty AS notional,
-         greatest(0.0, least(price * qty, 5000.0 - coalesce(sum(price * qty) OVER (PARTITION BY re.symbol, event_date ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used
-  FROM re JOIN tr ON tr.symbol = re.symbol AND is_buyer_maker AND ts BETWEEN cross_trade_time AND cross_trade_time + INTERVAL 6 HOUR
-), su2 AS (SELECT symbol, event_date, sum(notional) AS sell_notional, min(price) AS lowest_sell, max(price) AS highest_sell, sum(used) / nullif(sum(used / price), 0) AS exit_vwap FROM se GROUP BY 1, 2)
-SELECT symbol, event_date::VARCHAR AS event_date, round(sell_notional, 4) AS sell_notional, round(lowest_sell, 4) AS lowest_sell, round(highest_sell, 4) AS highest_sell, round(exit_vwap, 4) AS exit_vwap,
-       coalesce(epoch_us(cross_trade_time) > epoch_us(baseline_trade_time) AND epoch_us(cross_trade_time) - epoch_us(baseline_trade_time) <= 480 * 60000000::BIGINT AND sell_notional + 1e-12 >= 5000.0, false) AS saleable
-FROM re LEFT JOIN su2 USING (symbol, event_date)""")
+@query("o25_saleability", f"""WITH {_R}, af AS (
+  SELECT re.symbol, event_date, ts, trade_id, price, qty, price * qty AS notional, is_buyer_maker,
+         price + greatest(abs(baseline_low) * 1e-12, 1e-15) >= baseline_low * {FACTOR} AS at_level
+  FROM re JOIN tr ON tr.symbol = re.symbol AND ts BETWEEN cross_trade_time AND cross_trade_time + INTERVAL 6 HOUR
+), se AS (
+  SELECT *, coalesce(sum(notional) OVER (PARTITION BY symbol, event_date ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM af WHERE is_buyer_maker
+), le AS (
+  SELECT symbol, event_date, sum(CASE WHEN at_level THEN notional ELSE 0 END) AS level_notional,
+         sum(CASE WHEN at_level AND is_buyer_maker THEN notional ELSE 0 END) AS sell_notional_at_level, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0 END) AS sell_base
+  FROM af GROUP BY 1, 2
+), su2 AS (
+  SELECT symbol, event_date, sum(notional) AS sell_notional, min(price) AS lowest_sell, max(price) AS highest_sell, min(ts) AS first_sell_time,
+         min(CASE WHEN before + notional + 1e-12 >= 20000.0 THEN ts END) AS quote_reached_time,
+         first(price ORDER BY ts, trade_id) FILTER (WHERE before + notional + 1e-12 >= 20000.0) AS quote_reached_price,
+         sum(greatest(0.0, least(notional, 20000.0 - before)) / price) AS exit_base
+  FROM se GROUP BY 1, 2)
+SELECT symbol, event_date::VARCHAR AS event_date, {', '.join(f"CASE WHEN cross_trade_time IS NOT NULL THEN round(coalesce({c}, 0), 4) END AS {c}"
+    for c in ("level_notional", "sell_notional_at_level", "sell_base", "sell_notional"))},
+  round(lowest_sell, 4) AS lowest_sell, round(highest_sell, 4) AS highest_sell, {_TS.format('first_sell_time')} AS first_sell_time, {_TS.format('quote_reached_time')} AS quote_reached_time,
+  round(quote_reached_price, 4) AS quote_reached_price, CASE WHEN quote_reached_time IS NOT NULL THEN round(20000.0 / exit_base, 4) END AS exit_vwap,
+  coalesce(epoch_us(cross_trade_time) > epoch_us(baseline_trade_time) AND epoch_us(cross_trade_time) - epoch_us(baseline_trade_time) <= 480 * 60000000::BIGINT AND sell_notional + 1e-12 >= 20000.0, false) AS saleable
+FROM re LEFT JOIN le USING (symbol, event_date) LEFT JOIN su2 USING (symbol, event_date)""")
 def o25(spark, sf):
+    """With a quote that some events' sellers don't reach."""
     resolved = surge.resolved_trades(first_surges(spark, sf), tape(spark, sf), "1 hour", FACTOR)
-    found = surge.saleability(resolved, tape(spark, sf), 6 * 3600, 5000.0, WINDOW * 60)
-    return rounded(found.select("symbol", "event_date", "sell_notional", "lowest_sell", "highest_sell", "exit_vwap", "saleable"), 4)
+    found = surge.saleability(resolved, tape(spark, sf), 6 * 3600, 20000.0, WINDOW * 60, FACTOR)
+    shown = (
+        "level_notional", "sell_notional_at_level", "sell_base", "sell_notional", "lowest_sell", "highest_sell", "first_sell_time", "quote_reached_time",
+        "quote_reached_price", "exit_vwap", "saleable",
+    )
+    return rounded(found.select("symbol", "event_date", *shown), 4)
 
 
 @query("o64_event_record", f"""WITH {_S} SELECT su.symbol, su.event_date::VARCHAR AS event_date, round(first(open ORDER BY open_time), 6) AS day_open, round(max(high), 6) AS day_high, round(last(close ORDER BY open_time), 6) AS day_close,
@@ -348,15 +368,21 @@ def o38(spark, sf):
 def _agg_sql(w: int) -> str:
     f = f"OVER ({_BY} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     return (
-        f"round((close / lag(close, {w}) OVER ({_BY}) - 1) * 100, 6) AS return_{w}, round(avg(observed::INT) {f}, 6) AS observed_{w}, round((max(high) {f} / min(low) {f} - 1) * 100, 6) AS range_{w}, "
-        f"round(sum(quote_volume) {f}, 4) AS quote_{w}, CAST(sum(trade_count) {f} AS BIGINT) AS trades_{w}, round(sum(taker_buy_quote) {f} / nullif(sum(quote_volume) {f}, 0), 6) AS taker_{w}"
+        f"round((close / lag(close, {w}) OVER ({_BY}) - 1) * 100, 6) AS return_{w}, round(sum(observed::INT) {f} / {w}.0, 6) AS observed_{w}, "
+        f"round((max(high) {f} / min(low) {f} - 1) * 100, 6) AS range_{w}, round(sum(quote_volume) {f}, 4) AS quote_{w}, CAST(sum(trade_count) {f} AS BIGINT) AS trades_{w}, "
+        f"round(sum(quote_volume) {f} / nullif(sum(trade_count) {f}, 0), 4) AS trade_quote_{w}, "
+        f"round(sum(taker_buy_quote) {f} / nullif(sum(quote_volume) {f}, 0), 6) AS taker_{w}"
     )
 
 
-@query("o44_o45_window_aggregates", f"WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, {_agg_sql(4)}, {_agg_sql(24)} FROM gr")
+_AGGREGATES = ("return", "observed", "range", "quote", "trades", "trade_quote", "taker")
+
+
+@query("o44_o45_window_aggregates", f"WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, {_agg_sql(4)}, {_agg_sql(48)} FROM gr")
 def o44(spark, sf):
-    out = rolling.window_aggregates(grid(spark, sf), [4, 24]).withColumns({f"quote_{w}": F.round(f"quote_{w}", 4) for w in (4, 24)})
-    return rounded(out.select("symbol", "open_time", *(f"{m}_{w}" for w in (4, 24) for m in ("return", "observed", "range", "quote", "trades", "taker"))))
+    """A narrow window and a wide one."""
+    out = rolling.window_aggregates(grid(spark, sf), [4, 48]).withColumns({f"{c}_{w}": F.round(f"{c}_{w}", 4) for w in (4, 48) for c in ("quote", "trade_quote")})
+    return rounded(out.select("symbol", "open_time", *(f"{m}_{w}" for w in (4, 48) for m in _AGGREGATES)))
 
 
 @query("o47_o48_volatility", f"""WITH {_G}, cl AS (SELECT symbol, open_time, list(close) FILTER (close IS NOT NULL) OVER ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c FROM gr),
@@ -369,10 +395,11 @@ def o47(spark, sf):
 
 @query("o49_range_position", f"""WITH {_G}, nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), ex AS (
   SELECT *, max(high) OVER w AS h, min(low) OVER w AS l, max(CASE WHEN observed THEN struct_pack(a := high, b := i) END) OVER w AS t, max(CASE WHEN observed THEN struct_pack(a := -low, b := i) END) OVER w AS o
-  FROM nu WINDOW w AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN h > l THEN round((close - l) / (h - l), 6) END AS position, i - t.b AS bars_since_high, i - o.b AS bars_since_low FROM ex""")
+  FROM nu WINDOW w AS ({_BY} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
+  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN h > l THEN round((close - l) / (h - l), 6) END AS position, CASE WHEN h > l THEN round((close / h - 1) * 100, 6) END AS vs_high,
+  CASE WHEN h > l THEN round((close / l - 1) * 100, 6) END AS vs_low, i - t.b AS bars_since_high, i - o.b AS bars_since_low FROM ex""")
 def o49(spark, sf):
-    out = rolling.range_position(grid(spark, sf), 24).select("symbol", "open_time", "position", "bars_since_high", "bars_since_low")
+    out = rolling.range_position(grid(spark, sf), 48).select("symbol", "open_time", "position", "vs_high", "vs_low", "bars_since_high", "bars_since_low")
     return rounded(out.withColumns({c: F.col(c).cast("long") for c in ("bars_since_high", "bars_since_low")}))
 
 
@@ -394,14 +421,21 @@ def o50(spark, sf):
     return rounded(rolling.log_trend(grid(spark, sf), 24, 24, most=10).select("symbol", "open_time", "trend", "trend_r2"), 4)
 
 
-_LAGS = ", ".join(f"nullif(lag(v, {24 * d}) OVER ({_BY}), 0)" for d in range(1, 8))
+#: Sums over four bars; every fifth day's are zero, which count as values.
+_CLOCK_LAGS = ", ".join(f"lag(v, {24 * d}) OVER ({_BY})" for d in range(1, 8))
 
 
-@query("o53_o80_same_clock", f"""WITH {_G}, v AS (SELECT symbol, open_time, quote_volume AS v FROM gr), e AS (SELECT *, list_filter([{_LAGS}], lambda x: x IS NOT NULL) AS e FROM v)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, len(e)::INT AS clock_days, CASE WHEN len(e) >= 5 THEN round(v / list_median(e), 6) END AS clock_ratio FROM e""")
+@query("o53_o80_same_clock", f"""WITH {_G}, z AS (SELECT symbol, open_time, CASE WHEN day(open_time) % 5 < 4 THEN quote_volume WHEN quote_volume IS NOT NULL THEN 0 END AS q FROM gr),
+  v AS (SELECT symbol, open_time, CASE WHEN count(q) OVER w = 4 THEN sum(q) OVER w END AS v FROM z WINDOW w AS ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+  e AS (SELECT *, list_filter([{_CLOCK_LAGS}], lambda x: x IS NOT NULL) AS e FROM v)
+  SELECT symbol, {_TS.format('open_time')} AS open_time, len(e)::INT AS clock_days, CASE WHEN len(e) >= 1 THEN round(v / nullif(list_median(e), 0), 6) END AS clock_ratio,
+  CASE WHEN len(e) >= 5 THEN round(v / nullif(list_median(e), 0), 6) END AS clock_ratio_of_5 FROM e""")
 def o53(spark, sf):
-    out = rolling.same_clock_ratio(grid(spark, sf), F.col("quote_volume"), 24, 7, 5)
-    return rounded(out.select("symbol", "open_time", "clock_days", "clock_ratio"))
+    """Zero sums are values of their days; a median of zero gives null."""
+    zero = F.when(F.dayofmonth("open_time") % 5 < 4, F.col("quote_volume")).when(F.col("quote_volume").isNotNull(), 0.0)
+    rows = windows.whole(grid(spark, sf).withColumn("q", zero), "v", "sum", F.col("q"), 4)
+    out = rolling.whole_clock_ratio(rows, F.col("v"), 24).withColumn("clock_ratio_of_5", F.when(F.col("clock_days") >= 5, F.col("clock_ratio")))
+    return rounded(out.select("symbol", "open_time", "clock_days", "clock_ratio", "clock_ratio_of_5"))
 
 
 @query("o57_candle_shape", f"WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(abs(close - open) / nullif(high - low, 0), 6) AS body, round((high - greatest(open, close)) / nullif(high - low, 0), 6) AS upper, round((least(open, close) - low) / nullif(high - low, 0), 6) AS lower FROM ba")
@@ -410,6 +444,6 @@ def o57(spark, sf):
 
 
 @query("o58_outcomes", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, round((max(high) OVER w / close - 1) * 100, 6) AS outcome_gain, round((min(low) OVER w / close - 1) * 100, 6) AS outcome_drawdown,
-  round(sum(observed::INT) OVER w / 8.0, 6) AS outcome_coverage FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING)""")
+  round(coalesce(avg(observed::INT) OVER w, 0), 6) AS outcome_coverage FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 40 FOLLOWING)""")
 def o58(spark, sf):
-    return rounded(rolling.outcomes(grid(spark, sf), 8).select("symbol", "open_time", "outcome_gain", "outcome_drawdown", "outcome_coverage"))
+    return rounded(rolling.outcomes(grid(spark, sf), 40).select("symbol", "open_time", "outcome_gain", "outcome_drawdown", "outcome_coverage"))

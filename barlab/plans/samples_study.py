@@ -286,13 +286,20 @@ def o55(spark, sf):
     return rounded(context.reference_context(grid(spark, sf), list(_REFS), list(_REF_WINDOWS)), 4)
 
 
-_NOW, _THEN, _LNOW, _LTHEN = (f"({_BY} ROWS BETWEEN {a} PRECEDING AND {b})" for a, b in ((2, "CURRENT ROW"), (10, "3 PRECEDING"), (4, "CURRENT ROW"), (16, "5 PRECEDING")))
+def _full(column: str, w: int, skip: int = 0) -> str:
+    f = f"({_BY} ROWS BETWEEN {skip + w - 1} PRECEDING AND {f'{skip} PRECEDING' if skip else 'CURRENT ROW'})"
+    return f"CASE WHEN count({column}) OVER {f} = {w} THEN sum({column}) OVER {f} END"
 
 
-@query("o56_offset_ratios", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, round(sum(quote_volume) OVER {_NOW} / 3 / nullif(sum(quote_volume) OVER {_THEN} / 8, 0), 4) AS volume_step,
-  round(sum(trade_count) OVER {_NOW} / 3.0 / nullif(sum(trade_count) OVER {_THEN} / 8.0, 0), 4) AS trade_step, round(sum(quote_volume) OVER {_LNOW} / 5 / nullif(sum(quote_volume) OVER {_LTHEN} / 12, 0), 4) AS long_volume_step,
-  round((close / lag(close, 3) OVER ({_BY}) - 1) * 100 - (lag(close, 3) OVER ({_BY}) / lag(close, 11) OVER ({_BY}) - 1) * 100 * 3 / 8, 4) AS return_step,
-  round(sum(taker_buy_quote) OVER {_NOW} / nullif(sum(quote_volume) OVER {_NOW}, 0) - sum(taker_buy_quote) OVER {_THEN} / nullif(sum(quote_volume) OVER {_THEN}, 0), 4) AS taker_step FROM gr""")
+_LONG = f"({_BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@query("o56_offset_ratios", f"""WITH {_G}, s AS (
+    SELECT *, {_full('quote_volume', 3)} AS q1, {_full('quote_volume', 8, 3)} AS q2, {_full('trade_count', 3)} AS t1, {_full('trade_count', 8, 3)} AS t2, {_full('quote_volume', 5)} AS l1,
+           {_full('quote_volume', 12, 5)} AS l2, {_full('quote_volume', 5, 5)} AS p, {_full('taker_buy_quote', 5, 5)} AS k, sum(taker_buy_quote) OVER {_LONG} / nullif(sum(quote_volume) OVER {_LONG}, 0) AS tn,
+           lag(close, 5) OVER ({_BY}) AS c5, lag(close, 10) OVER ({_BY}) AS c10 FROM gr)
+  SELECT symbol, {_TS.format('open_time')} AS open_time, round(q1 / 3 / nullif(q2 / 8, 0), 4) AS volume_step, round(t1 / 3.0 / nullif(t2 / 8.0, 0), 4) AS trade_step,
+         round(l1 / 5 / nullif(l2 / 12, 0), 4) AS long_volume_step, round((close / c5 - 1) * 100 - (c5 / c10 - 1) * 100, 4) AS return_step, round(tn - k / nullif(p, 0), 4) AS taker_step FROM s""")
 def o56(spark, sf):
     return rounded(context.offset_ratios(grid(spark, sf), 3, 8, 5, 12).select("symbol", "open_time", "volume_step", "trade_step", "long_volume_step", "return_step", "taker_step"), 4)
 

@@ -49,15 +49,14 @@ def o82(spark, sf):
     return rounded(signals.liquidity_gate(grid(spark, sf), 8, 5000, 60000, 20).select("symbol", "open_time", "liquid"))
 
 
-_TLAGS = ", ".join(f"nullif(lag(t8, {24 * d}) OVER ({_BY}), 0)" for d in range(1, 8))
+_TLAGS = ", ".join(f"lag(t8, {24 * d}) OVER ({_BY})" for d in range(1, 8))
 
 
 @query("o83_acceleration", f"""WITH {_G}, s AS (
-    SELECT symbol, open_time, close, lag(close, 8) OVER ({_BY}) AS c8, sum(trade_count) OVER ({_BY} {_LIQUID})::DOUBLE AS t8,
-           sum(trade_count) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)::DOUBLE AS t4 FROM gr),
+    SELECT symbol, open_time, close, lag(close, 8) OVER ({_BY}) AS c8, {_whole('trade_count::DOUBLE', 8)} AS t8, {_whole('trade_count::DOUBLE', 4)} AS t4 FROM gr),
   e AS (SELECT *, list_filter([{_TLAGS}], lambda x: x IS NOT NULL) AS e FROM s)
   SELECT symbol, {_TS.format('open_time')} AS open_time,
-         coalesce((close / c8 - 1) * 100 >= 1 AND t4 / nullif(t8 - t4, 0) >= 1.05 AND t8 / list_median(e) >= 1.1 AND len(e) >= 5, false) AS accelerating FROM e""")
+         coalesce((close / c8 - 1) * 100 >= 1 AND t4 >= 1.05 * nullif(t8 - t4, 0) AND t8 / nullif(list_median(e), 0) >= 1.1 AND len(e) >= 5, false) AS accelerating FROM e""")
 def o83(spark, sf):
     return rounded(signals.acceleration(grid(spark, sf), 8, 24, 1.0, 1.05, 1.1, 5).select("symbol", "open_time", "accelerating"))
 

@@ -93,21 +93,6 @@ def test_volatility_takes_returns_inside_the_window_alone(spark):
         assert r.up_part == (pytest.approx(float(np.mean(steps > 0))) if len(own) > 1 else None)
 
 
-def test_path_extremes_equal_a_walk(spark):
-    rng = random.Random(4)
-    closes = [None if rng.random() < 0.05 else 100 + rng.random() * 30 for _ in range(60)]
-    grid = src.dense_grid(hours(spark, closes), "2024-01-01 00:00:00", "2024-01-03 12:00:00")
-    wanted = grid.where("hour(open_time) % 3 = 0").select("symbol", "open_time")
-    for r in rolling.path_extremes(grid, wanted, 6).collect():
-        i = int((r.open_time - T0).total_seconds() // 3600)
-        own = closes[max(0, i - 5) : i + 1]
-        if len(own) < 6 or None in own:
-            assert r.runup is None and r.drawdown is None
-        else:
-            assert r.runup == pytest.approx(max(b / a - 1 for k, a in enumerate(own) for b in own[k:]) * 100)
-            assert r.drawdown == pytest.approx(min(b / a - 1 for k, a in enumerate(own) for b in own[k:]) * 100)
-
-
 def test_continuation_trigger_and_hypotheses_at_their_floors(spark):
     rows = spark.createDataFrame(
         [(0.9, 12.0, 0.74, None, True), (0.9, 12.0, 0.73, 3.3, True), (0.9, 11.9, 0.73, 3.3, True), (0.9, 12.0, 0.74, 3.3, None)],
