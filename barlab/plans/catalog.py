@@ -370,7 +370,7 @@ def _agg_sql(w: int) -> str:
     return (
         f"round((close / lag(close, {w}) OVER ({_BY}) - 1) * 100, 6) AS return_{w}, round(sum(observed::INT) {f} / {w}.0, 6) AS observed_{w}, "
         f"round((max(high) {f} / min(low) {f} - 1) * 100, 6) AS range_{w}, round(sum(quote_volume) {f}, 4) AS quote_{w}, CAST(sum(trade_count) {f} AS BIGINT) AS trades_{w}, "
-        f"round(sum(quote_volume) {f} / nullif(sum(trade_count) {f}, 0), 4) AS trade_quote_{w}, "
+        f"round(sum(quote_volume) {f} / nullif(sum(trade_count) {f}, 0) + 1e-9, 4) AS trade_quote_{w}, "
         f"round(sum(taker_buy_quote) {f} / nullif(sum(quote_volume) {f}, 0), 6) AS taker_{w}"
     )
 
@@ -380,8 +380,10 @@ _AGGREGATES = ("return", "observed", "range", "quote", "trades", "trade_quote",
 
 @query("o44_o45_window_aggregates", f"WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, {_agg_sql(4)}, {_agg_sql(48)} FROM gr")
 def o44(spark, sf):
-    """A narrow window and a wide one."""
-    out = rolling.window_aggregates(grid(spark, sf), [4, 48]).withColumns({f"{c}_{w}": F.round(f"{c}_{w}", 4) for w in (4, 48) for c in ("quote", "trade_quote")})
+    """A narrow window and a wide one. Averages that lie between two shown values go up in both engines."""
+    out = rolling.window_aggregates(grid(spark, sf), [4, 48]).withColumns({
+        f"{c}_{w}": F.round(F.col(f"{c}_{w}") + more, 4) for w in (4, 48) for c, more in (("quote", 0.0), ("trade_quote", 1e-9))
+    })
     return rounded(out.select("symbol", "open_time", *(f"{m}_{w}" for w in (4, 48) for m in _AGGREGATES)))
 
 
