@@ -203,21 +203,50 @@ def snapshots(samples: DataFrame, offsets: list[int], step: str) -> DataFrame:
     return spread.withColumn("at", F.expr(f"anchor - offset * interval {step}"))
 
 
-def raw_windows(samples: DataFrame, grid: DataFrame, bars: int, step_seconds: int) -> DataFrame:
-    """The ``bars`` grid rows before each sample's anchor, gaps kept, with relative_bar below zero; samples whose
-    window isn't whole are left out."""
-    times = F.explode(F.sequence(F.lit(-bars), F.lit(-1))).alias("relative_bar")
-    wanted = samples.select("sample_id", "symbol", "anchor", times).withColumn(
-        "open_time", F.timestamp_seconds(F.unix_seconds("anchor") + F.col("relative_bar") * step_seconds)
-    )
-    found = wanted.join(grid, ["symbol", "open_time"])
-    whole = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == bars)
-    return found.join(whole.select("sample_id"), "sample_id", "left_semi")
-
-
-def shared_store(windows: DataFrame) -> DataFrame:
-    """The windows' bars once for each symbol and time, without sample ids."""
-    return windows.drop("sample_id", "anchor", "relative_bar").dropDuplicates(["symbol", "open_time"])
+#: Seconds of the slots over which windows and bars are brought together.
+_SLOT = 86_400
+
+
+def _slots(first: Column, last: Column) -> Column:
+    """The slots that a range of seconds, both ends included, touches."""
+    return F.explode(F.sequence(F.floor(first / _SLOT), F.floor(last / _SLOT)))
+
+
+def whole_windows(samples: DataFrame, grid: DataFrame, bars: int, step_seconds: int) -> DataFrame:
+    """``samples`` (sample_id, symbol, anchor, ...) whose ``bars`` grid rows before the anchor are all there: two lookups
+    in the numbered grid. Adds first and last, the seconds at which the window's first and last bar open."""
+    at = F.unix_seconds("anchor")
+    asked = samples.withColumns({"first": at - bars * step_seconds, "last": at - step_seconds})
+    numbered = grid.select("symbol", F.unix_seconds("open_time").alias("second"), F.row_number().over(by_time()).alias("i"))
+    for end in ("first", "last"):
+        asked = asked.join(numbered.withColumnsRenamed({"second": end, "i": f"__{end}"}), ["symbol", end])
+    return asked.where(F.col("__last") - F.col("__first") == bars - 1).drop("__first", "__last")
+
+
+def covered(windows: DataFrame) -> DataFrame:
+    """``windows``: symbol, first, last. Their union as disjoint ranges: symbol, first, last. A window that begins after the
+    furthest end so far begins a new one."""
+    order = Window.partitionBy("symbol").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = windows.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("symbol", "island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+
+
+def shared_store(windows: DataFrame, grid: DataFrame) -> DataFrame:
+    """The bars that any of ``windows`` (of whole_windows) covers, once for each symbol and time: the union of the windows
+    is taken before it meets the bars, so a bar meets at most one range and is read once."""
+    ranges = covered(windows).withColumn("slot", _slots(F.col("first"), F.col("last")))
+    second = F.unix_seconds("open_time")
+    dated = grid.withColumn("slot", F.floor(second / _SLOT))
+    return ranges.join(dated, ["symbol", "slot"]).where(second.between(F.col("first"), F.col("last"))).drop("slot", "first", "last")
+
+
+def raw_windows(windows: DataFrame, store: DataFrame, step_seconds: int) -> DataFrame:
+    """The bars of each of ``windows`` (of whole_windows) from a store that holds them, gaps kept, with relative_bar below
+    zero. Windows meet bars by the day."""
+    second, asked = F.unix_seconds("open_time"), windows.withColumn("slot", _slots(F.col("first"), F.col("last")))
+    found = asked.join(store.withColumn("slot", F.floor(second / _SLOT)), ["symbol", "slot"]).where(second.between(F.col("first"), F.col("last")))
+    return found.withColumn("relative_bar", F.expr(f"cast((unix_seconds(open_time) - unix_seconds(anchor)) div {step_seconds} as int)")).drop("slot", "first", "last")
 
 
 def value_counts(rows: DataFrame, *columns: str) -> DataFrame:

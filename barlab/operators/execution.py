@@ -42,9 +42,14 @@ def path_ladder(entries: DataFrame, trades: DataFrame, horizons: tuple[int, ...]
     target percent the first time it was reached. Orders without a trade after entry have every horizon too."""
     path = held_path(entries, trades, max(horizons) * 60)
     minutes = (F.unix_micros("ts") - F.unix_micros("fill_time")) / 60e6
-    ladder = path.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).where(minutes <= F.col("horizon"))
-    touch = lambda t: F.min(F.when(F.col("price") >= F.col("vwap") * (1 + t / 100), F.col("ts"))).alias(f"touch_{t}")
-    found = ladder.groupBy("order_id", "horizon").agg(F.max("gain").alias("mfe"), F.min("gain").alias("mae"), *map(touch, targets))
+    within = lambda h, c: F.when(minutes <= h, c)
+    touch = lambda h, t: F.min(within(h, F.when(F.col("price") >= F.col("vwap") * (1 + t / 100), F.col("ts")))).alias(f"touch_{t}")
+    # One pass over the trades gives all horizons; a row an order then opens into its horizons.
+    rungs = [
+        F.struct(F.lit(h).alias("horizon"), F.max(within(h, F.col("gain"))).alias("mfe"), F.min(within(h, F.col("gain"))).alias("mae"), *(touch(h, t) for t in targets))
+        for h in horizons
+    ]
+    found = path.groupBy("order_id").agg(F.array(*rungs).alias("rungs")).select("order_id", F.explode("rungs").alias("r")).select("order_id", "r.*")
     every = entries.select("order_id", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
     return every.join(found, ["order_id", "horizon"], "left")
 

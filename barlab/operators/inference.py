@@ -3,13 +3,19 @@ run on any task and repeat after a retry."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 
 
-#: So many iterations of a group are drawn in one row's turn.
+#: So many iterations of a class are drawn in one row's turn.
 _BLOCK = 500
 
 
@@ -19,22 +25,44 @@ def draw(n: Column, *names: Column | int) -> Column:
     return F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % n
 
 
+def binomial_steps(n: int, p: float) -> tuple[int, np.ndarray]:
+    """The least number of hits worth a thought and the cumulative chances from there on: all of them, or, of many groups,
+    those within 40 deviations of the mean (what lies beyond is less than a double can add)."""
+    spread = 40 * math.sqrt(n * p * (1 - p)) + 1
+    low, high = max(0, math.floor(n * p - spread)), min(n, math.ceil(n * p + spread))
+    k = np.arange(low, high, dtype=float)
+    steps = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1)) + math.log(p / (1 - p)))])
+    chances = np.exp(steps - steps.max())
+    return low, np.cumsum(chances) / chances.sum()
+
+
 def permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFrame:
     """``samples``: match_group, label (one event, 1, in each group), signal (0 or 1), id. The event label moves to a
     drawn member of each group; one row: observed difference of event and control rates, the number of iterations that
-    reach it, and p = (that + 1) / (iterations + 1)."""
+    reach it, and p = (that + 1) / (iterations + 1).
+
+    The statistic asks only in how many groups the label falls on a hit. Groups with as many hits of as many members are
+    alike, and how many of them hit is binomial, so an iteration takes one number for each class of groups (a hash of seed,
+    iteration and class, through the binomial's steps), however many groups there are."""
     groups = samples.groupBy("match_group").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("id", "signal"))), lambda s: s["signal"]).alias("signals"),
         F.max(F.when(F.col("label") == 1, F.col("signal"))).alias("event"), F.sum("signal").alias("hits"), F.count(F.lit(1)).alias("size"),
     )
-    # Where all signals of a group are equal, every draw gives the same: only the other groups are drawn from.
+    # Where all signals of a group are equal, every draw gives the same.
     mixed, same = (F.col("hits") > 0) & (F.col("hits") < F.col("size")), F.when((F.col("hits") > 0) & (F.col("hits") == F.col("size")), 1).otherwise(0)
     totals = groups.agg(F.sum("event").alias("e0"), F.sum(same).alias("fixed"), F.sum("hits").alias("h"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("g")).where("g > 0")
-    blocks = groups.where(mixed).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // _BLOCK))))
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("match_group"), F.lit(16))).repartition("block", "part")
-    rows = blocks.withColumn("i", F.explode(F.sequence(F.col("block") * _BLOCK + 1, F.least((F.col("block") + 1) * _BLOCK, F.lit(iterations)))))
-    chosen = F.get("signals", draw(F.col("size"), seed, F.col("i"), F.col("match_group")).cast("int"))
-    sums = rows.groupBy("i").agg(F.sum(chosen).alias("drawn"))
+    classes = groups.where(mixed).groupBy(F.col("hits").cast("long").alias("hits"), F.col("size").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("many"))
+    blocks = classes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // _BLOCK)))).repartition("hits", "size", "block")
+
+    def draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hits, size, many, block in zip(*(c.to_pylist() for c in batch.columns)):
+                low, steps = binomial_steps(many, hits / size)
+                own = range(block * _BLOCK + 1, min((block + 1) * _BLOCK, iterations) + 1)
+                at = [int(hashlib.md5(f"{seed}:{i}:{hits}:{size}".encode()).hexdigest()[:8], 16) / 4294967296 for i in own]
+                drawn = low + np.minimum(np.searchsorted(steps, at, side="right"), len(steps) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(drawn, pa.int64())], ["i", "drawn"])
+
+    sums = blocks.mapInArrow(draws, "i int, drawn long").groupBy("i").agg(F.sum("drawn").alias("drawn"))
     every = samples.sparkSession.range(iterations + 1).select(F.col("id").cast("int").alias("i")).join(sums, "i", "left").crossJoin(F.broadcast(totals))
     every = every.withColumn("e", F.when(F.col("i") == 0, F.col("e0")).otherwise(F.col("fixed") + F.coalesce("drawn", F.lit(0))))
     stats = every.select("i", (ratio(F.col("e"), F.col("g")) - ratio(F.col("h") - F.col("e"), F.col("n") - F.col("g"))).alias("d"))

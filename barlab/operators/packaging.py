@@ -50,14 +50,6 @@ def bundle_manifest(events: DataFrame, days: int, tables: dict[str, DataFrame])
     return wanted.join(counts, ["event_id", "role"], "left").fillna(0, ["rows"]).withColumn("prior_days", F.lit(days))
 
 
-def sample_window(store: DataFrame, samples: DataFrame, bars: int, step_seconds: int) -> DataFrame:
-    """The labelled windows of ``samples`` (sample_id, symbol, anchor, label) from a store that holds each bar once."""
-    times = F.explode(F.sequence(F.lit(-bars), F.lit(-1))).alias("relative_bar")
-    wanted = samples.select("sample_id", "symbol", "label", "anchor", times)
-    wanted = wanted.withColumn("open_time", F.timestamp_seconds(F.unix_seconds("anchor") + F.col("relative_bar") * step_seconds)).drop("anchor")
-    return wanted.join(store, ["symbol", "open_time"])
-
-
 def normalised_reference(frame: DataFrame, symbol: str | None, columns: list[str]) -> DataFrame:
     """A reference series with its symbol first, whatever it was, and the columns in a fixed order; missing ones null."""
     named = frame.withColumn("symbol", F.lit(symbol)) if symbol is not None else frame

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import duration_band, holds, ratio, stable_integer, tie_break, uuid5
+from ..functions.scalars import duration_band, holds, pct_change, ratio, stable_integer, tie_break, uuid5
 from .rolling import whole_sum
-from .windows import by_time
+from .windows import by_time, over_ranges
 
 #: Minutes from an event's clock time at which controls of the first and of the local-low kind are tried.
 CLOCK_OFFSETS = (0, -15, 15, -30, 30, -45, 45, -60, 60)
@@ -301,21 +301,70 @@ def continuation_trigger(rows: DataFrame) -> DataFrame:
     return rows.withColumn("trigger", holds(F.col("liquid")) & (F.col("late_components") >= 3))
 
 
+def numbered_bars(grid: DataFrame, step_seconds: int) -> DataFrame:
+    """symbol, n (the bar's number since the epoch), low, high, close, observed."""
+    return grid.select("symbol", F.floor(F.unix_seconds("open_time") / step_seconds).alias("n"), "low", "high", "close", "observed")
+
+
+def bar_number(at: Column, step_seconds: int, up: bool = False) -> Column:
+    """The number of the bar that holds a time (or of the first one that doesn't begin before it)."""
+    return (F.ceil if up else F.floor)(F.unix_seconds(at) / step_seconds).cast("long")
+
+
 def window_audit(samples: DataFrame, grid: DataFrame, step_seconds: int, percent: float) -> DataFrame:
     """``samples``: sample_id, symbol, label, baseline_anchor, cross_anchor. Over the bars from baseline to crossing, both
     included: the observed part, the largest percent from a low to a later bar's high, crossed (it reaches ``percent``),
-    and contaminated: a control whose window crossed or is observed below 0.99, or has no bar. Only sampled windows meet
-    their bars, by an equi-join on the times in them."""
-    times = F.sequence(F.unix_seconds("baseline_anchor"), F.unix_seconds("cross_anchor"), F.lit(step_seconds).cast("long"))
-    spread = samples.where("baseline_anchor <= cross_anchor").select("sample_id", "symbol", F.explode(F.transform(times, F.timestamp_seconds)).alias("open_time"))
-    bars = spread.join(grid.select("symbol", "open_time", "low", "high", "observed"), ["symbol", "open_time"])
-    before = Window.partitionBy("sample_id").orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)
-    # A gap's own least low is unknown, so the bar after it has nothing to be compared with.
-    low = F.when(F.lag("low").over(Window.partitionBy("sample_id").orderBy("open_time")).isNotNull(), F.min("low").over(before))
-    rise = F.when(low > 0, (ratio(F.col("high"), low) - 1) * 100)
-    found = bars.withColumn("rise", rise).groupBy("sample_id").agg(F.avg(F.col("observed").cast("double")).alias("part"), F.max("rise").alias("largest_gain"))
-    out = samples.join(found, "sample_id", "left")
+    and contaminated: a control whose window crossed or is observed below 0.99, or has no bar. A gap's own least low is
+    unknown, so the bar after it has nothing to be compared with. Windows meet summaries of runs of bars, not the bars."""
+    asked = samples.select("sample_id", "symbol", bar_number(F.col("baseline_anchor"), step_seconds, True).alias("first"), bar_number(F.col("cross_anchor"), step_seconds).alias("last"))
+    found = over_ranges(asked, numbered_bars(grid, step_seconds), ["sample_id"])
+    out = samples.join(found.select("sample_id", (F.col("seen") / F.col("bars").cast("double")).alias("part"), ((F.col("rise") - 1) * 100).alias("largest_gain")), "sample_id", "left")
     crossed = F.when(F.col("part").isNotNull(), holds(F.col("largest_gain") >= percent))
     return out.withColumns({
         "crossed": crossed, "contaminated": (F.col("label") == 0) & F.coalesce(crossed | (F.col("part") < 0.99), F.lit(True)), "part": F.coalesce("part", F.lit(0.0)),
     })
+
+
+def sample_outcomes(samples: DataFrame, grid: DataFrame, step_seconds: int, ahead: int) -> DataFrame:
+    """``samples``: sample_id, symbol, at (the decision), anchor. Adds, never to be used as inputs of a prediction, for the bars
+    from the decision to the anchor (to_anchor) and for ``ahead`` bars from the decision on (next): outcome_*_gain and
+    outcome_*_drawdown, percent from the entry (the close of the bar before the decision) to the highest high and the lowest
+    low, and outcome_*_observed, the observed part (0 without bars)."""
+    first = bar_number(F.col("at"), step_seconds)
+    ranges = {"to_anchor": bar_number(F.col("anchor"), step_seconds), "next": first + ahead - 1}
+    bars = numbered_bars(grid, step_seconds)
+    span = F.explode(F.array(*(F.struct(F.lit(n).alias("span"), last.alias("last")) for n, last in ranges.items()))).alias("s")
+    asked = samples.select("sample_id", "symbol", first.alias("first"), span).select("sample_id", "symbol", "first", "s.*")
+    found = over_ranges(asked, bars, ["sample_id", "span"])
+    of = lambda n, c: F.max(F.when(F.col("span") == n, F.col(c))).alias(f"{n}_{c}")
+    wide = found.groupBy("sample_id").agg(*(of(n, c) for n in ranges for c in ("bars", "seen", "low", "top")))
+    entry = bars.select("symbol", F.col("n").alias("entry_bar"), F.col("close").alias("entry"))
+    out = samples.withColumn("entry_bar", first - 1).join(entry, ["symbol", "entry_bar"], "left").join(wide, "sample_id", "left")
+    return out.withColumns({
+        **{f"outcome_{n}_gain": pct_change(F.col("entry"), F.col(f"{n}_top")) for n in ranges},
+        **{f"outcome_{n}_drawdown": pct_change(F.col("entry"), F.col(f"{n}_low")) for n in ranges},
+        **{f"outcome_{n}_observed": F.coalesce(ratio(F.col(f"{n}_seen").cast("double"), F.col(f"{n}_bars")), F.lit(0.0)) for n in ranges},
+    }).drop("entry_bar", *(f"{n}_{c}" for n in ranges for c in ("bars", "seen", "low", "top")))
+
+
+def baseline_outcomes(samples: DataFrame, grid: DataFrame, step_seconds: int, ahead: int) -> DataFrame:
+    """``samples``: sample_id, symbol, baseline_anchor, cross_anchor. One row each with the outcomes of the bars from baseline to
+    crossing (to_cross) and of ``ahead`` bars from the baseline on (next): outcome_*_gain from the baseline bar's low (its
+    close, where the low isn't positive), outcome_*_drawdown from its close, outcome_*_observed, and to_cross_high."""
+    first = bar_number(F.col("baseline_anchor"), step_seconds)
+    ranges = {"to_cross": bar_number(F.col("cross_anchor"), step_seconds), "next": first + ahead - 1}
+    bars = numbered_bars(grid, step_seconds)
+    span = F.explode(F.array(*(F.struct(F.lit(n).alias("span"), last.alias("last")) for n, last in ranges.items()))).alias("s")
+    asked = samples.select("sample_id", "symbol", first.alias("first"), span).select("sample_id", "symbol", "first", "s.*")
+    of = lambda n, c: F.max(F.when(F.col("span") == n, F.col(c))).alias(f"{n}_{c}")
+    wide = over_ranges(asked, bars, ["sample_id", "span"]).groupBy("sample_id").agg(*(of(n, c) for n in ranges for c in ("bars", "seen", "low", "top")))
+    base = bars.select("symbol", "n", F.col("low").alias("base_low"), F.col("close").alias("base_close"))
+    out = samples.select("sample_id", "symbol", first.alias("n")).join(base, ["symbol", "n"], "left").join(wide, "sample_id", "left")
+    # Where the crossing comes before the baseline, the first window has no bar and the second none to be compared with.
+    some = F.col("to_cross_bars").isNotNull()
+    low, close = F.when(some, F.when(F.col("base_low") > 0, F.col("base_low")).otherwise(F.col("base_close"))), F.when(some, F.col("base_close"))
+    return out.select(
+        "sample_id", F.col("to_cross_top").alias("to_cross_high"), *(pct_change(low, F.col(f"{n}_top")).alias(f"outcome_{n}_gain") for n in ranges),
+        *(pct_change(close, F.col(f"{n}_low")).alias(f"outcome_{n}_drawdown") for n in ranges),
+        *(F.coalesce(ratio(F.col(f"{n}_seen").cast("double"), F.col(f"{n}_bars")), F.lit(0.0)).alias(f"outcome_{n}_observed") for n in ranges),
+    )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.scalars import finite_or_null, holds, pct_change, ratio
-from .rolling import last, whole_clock_ratio, whole_path, whole_sum
+from ..sources.staging import discard, staged
+from .rolling import whole_clock_ratio, whole_path, whole_sum
 from .windows import Over, by_time, rolling_median, whole, windowed
 
 
@@ -133,68 +135,69 @@ def before_outcome_cutoff(found: DataFrame, end: Column, seconds: int) -> DataFr
     return found.where(F.unix_micros("decision_time") <= F.unix_micros(end) - seconds * 1_000_000)
 
 
-def select_greedily(found: DataFrame, cooldown_seconds: int, per_day: int) -> DataFrame:
-    """``found``: symbol, decision_time, components, activity. Takes candidates in order of time, then components and
-    activity downwards, then symbol; a symbol rests after a selection, and a UTC day takes so many. Adds decision.
-
-    The day's cap couples symbols and the rest couples days, so this is one ordered fold. Only its narrow rows go
-    through one task, streamed in order, after a shuffle that leaves the stages before it their partitions; state is one
-    time a symbol."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rests: dict[str, pd.Timestamp] = {}
-        day, taken = None, 0
-        for batch in batches:
-            said = []
-            for symbol, at in zip(batch["symbol"], batch["decision_time"]):
-                if at.date() != day:
-                    day, taken = at.date(), 0
-                if symbol in rests and at < rests[symbol]:
-                    said.append("suppressed_symbol_cooldown")
-                elif taken >= per_day:
-                    said.append("suppressed_daily_cap")
-                else:
-                    said.append("selected")
-                    rests[symbol] = at + pd.Timedelta(seconds=cooldown_seconds)
-                    taken += 1
-            yield batch.assign(decision=said)
-
-    rows = found.select("symbol", "decision_time", "components", "activity")
-    return _in_order(rows).mapInPandas(fold, "symbol string, decision_time timestamp, components int, activity double, decision string")
-
-
-def _in_order(rows: DataFrame) -> DataFrame:
-    order = [F.col("decision_time"), F.desc("components"), F.desc("activity"), F.col("symbol")]
-    return rows.repartition(1).sortWithinPartitions(*order)
+def select_greedily(found: DataFrame, cooldown_seconds: int, per_day: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``found``: symbol, decision_time, components, activity and the columns of ``by``, each value of which is a selection
+    of its own. Takes candidates in order of time, then components and activity downwards, then symbol; a symbol rests
+    after a selection, and a UTC day takes so many. Adds decision."""
+    rests = F.timestamp_micros(F.unix_micros("decision_time") + cooldown_seconds * 1_000_000)
+    rows = found.select(*by, "symbol", "decision_time", "components", "activity", rests.alias("rests"), F.lit(1).alias("counted"))
+    label = F.when(F.col("rested"), "suppressed_symbol_cooldown").when(F.col("capped"), "suppressed_daily_cap").otherwise("selected")
+    return _settled(rows, per_day, by).withColumn("decision", label).drop("rests", "counted", "rested", "capped")
 
 
 def select_with_feedback(executed: DataFrame, rest_seconds: int, per_day: int) -> DataFrame:
     """``executed``: symbol, decision_time, components, activity, status, exit_time: every candidate with what it would
     have come to. Takes them in the order of select_greedily; a UTC day takes so many that complete, by the day of the
     decision, and a symbol rests after its exit, or after the decision where it failed. Adds decision: the status of
-    those taken, else what suppressed them. Executions don't depend on the selection, so only this fold is ordered."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rests: dict[str, pd.Timestamp] = {}
-        day, filled = None, 0
+    those taken, else what suppressed them. Executions don't depend on the selection."""
+    done = F.col("status") == "completed"
+    rests = F.timestamp_micros(F.unix_micros(F.when(done, F.col("exit_time")).otherwise(F.col("decision_time"))) + rest_seconds * 1_000_000)
+    rows = executed.select("symbol", "decision_time", "components", "activity", "status", "exit_time", rests.alias("rests"), done.cast("int").alias("counted"))
+    label = F.when(F.col("rested"), "suppressed_symbol_cooldown").when(F.col("capped"), "suppressed_daily_trade_cap").otherwise(F.col("status"))
+    return _settled(rows, per_day, ()).withColumn("decision", label).drop("rests", "counted", "rested", "capped")
+
+
+def _settled(rows: DataFrame, per_day: int, by: tuple[str, ...]) -> DataFrame:
+    """``rows``: symbol, decision_time, components, activity, rests (until when a symbol that is taken rests), counted (whether
+    it fills a place of its day). Adds rested (the symbol rests) and capped (it doesn't, but its day is full).
+
+    A day's cap couples symbols and a rest couples days, but neither needs one task. In a round every symbol goes through
+    its own candidates in order, taking the day's full ones as the last round left them, and then every day counts its
+    candidates that don't rest. What a round says of a candidate depends on earlier candidates alone, so each round
+    settles more of the order's beginning, and where two rounds agree that is the fold in order. Most often the first
+    round meets no full day, or the second agrees."""
+    order = [F.asc("decision_time"), F.desc("components"), F.desc("activity"), F.asc("symbol"), F.asc("place")]
+    rows = staged(rows.withColumns({"place": F.monotonically_increasing_id(), "capped": F.lit(False)}), "candidates")
+    schema = StructType([*rows.schema.fields, StructField("rested", BooleanType())])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, until = None, None
         for batch in batches:
-            said = []
-            for symbol, at, status, exit_ in zip(batch["symbol"], batch["decision_time"], batch["status"], batch["exit_time"]):
-                if at.date() != day:
-                    day, filled = at.date(), 0
-                if symbol in rests and at < rests[symbol]:
-                    said.append("suppressed_symbol_cooldown")
-                elif filled >= per_day:
-                    said.append("suppressed_daily_trade_cap")
-                else:
-                    said.append(status)
-                    filled += status == "completed"
-                    rests[symbol] = (exit_ if status == "completed" else at) + pd.Timedelta(seconds=rest_seconds)
-            yield batch.assign(decision=said)
-
-    rows = executed.select("symbol", "decision_time", "components", "activity", "status", "exit_time")
-    schema = "symbol string, decision_time timestamp, components int, activity double, status string, exit_time timestamp, decision string"
-    return _in_order(rows).mapInPandas(fold, schema)
+            columns = [batch.column(c) for c in (*by, "symbol")]
+            at, rests = (batch.column(c).cast(pa.int64()).to_pylist() for c in ("decision_time", "rests"))
+            out = []
+            for k, (now, then, capped) in enumerate(zip(at, rests, batch.column("capped").to_pylist())):
+                mine = tuple(c[k].as_py() for c in columns)
+                if mine != key:
+                    key, until = mine, None
+                rested = until is not None and now < until
+                if not rested and not capped:
+                    until = then
+                out.append(rested)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], schema.names)
+
+    day = Window.partitionBy(*by, F.to_date("decision_time")).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.when(~F.col("rested"), F.col("counted"))).over(day), F.lit(0))
+    while True:
+        walked = rows.repartition(*by, "symbol").sortWithinPartitions(*by, "symbol", *order).mapInArrow(own, schema)
+        now = walked.withColumn("full", ~F.col("rested") & (filled >= per_day))
+        now = staged(now.withColumn("changed", F.col("full") != F.col("capped")).drop("capped").withColumnRenamed("full", "capped"), "round")
+        settled = not now.where("changed").limit(1).count()
+        discard(rows)
+        if settled:
+            return now.drop("changed", "place")
+        rows = now.select(*rows.columns)
+        rows.staged_at = now.staged_at
 
 
 def executed_once(selections: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import holds, pct_change
+from ..sources.staging import SLOT_SECONDS
 from .windows import Over, by_time, windowed
 
 _EPS = 1e-15
@@ -51,11 +52,13 @@ def crossing_mask(grid: DataFrame, w: int, factor: float) -> DataFrame:
 
 def near_trades(events: DataFrame, trades: DataFrame, start: str, end: str, bucket_seconds: int) -> DataFrame:
     """Events with each of their symbol's trades in [start, end] (columns of ``events``). The interval join is an
-    equi-join on time buckets, so it shuffles by symbol and bucket instead of comparing everything."""
-    bucket = lambda c: F.floor(F.unix_seconds(c) / bucket_seconds)
-    spread = events.withColumn("bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    tape = trades.withColumn("bucket", bucket(F.col("ts")))
-    return spread.join(tape, ["symbol", "bucket"]).where(F.col("ts").between(F.col(start), F.col(end))).drop("bucket")
+    equi-join on time buckets, so it shuffles by symbol and bucket instead of comparing everything; a stored tape
+    (``staging.stored_tape``) has its slots for buckets and stays where it is."""
+    stored = "slot" in trades.columns
+    bucket = lambda c: F.floor(F.unix_seconds(c) / (SLOT_SECONDS if stored else bucket_seconds))
+    spread = events.withColumn("slot", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    tape = trades.drop("day") if stored else trades.withColumn("slot", bucket(F.col("ts")))
+    return spread.join(tape, ["symbol", "slot"]).where(F.col("ts").between(F.col(start), F.col(end))).drop("slot")
 
 
 def resolved_trades(surges: DataFrame, trades: DataFrame, step: str, factor: float) -> DataFrame:

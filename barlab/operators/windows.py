@@ -5,8 +5,8 @@ first bar on (prefixes) and up to its last (suffixes) are native windows. A wind
 of the block before, from the window's first bar on, and the prefix of its own, so that it takes one lookup back. That
 holds for whatever composes from left to right: sums, counts, extremes, and the rises and falls along a path.
 
-Windows of any place and length take dyadic blocks instead: summaries of every aligned run of 2^k bars, and as many of
-them joined as the window's length has binary digits, twice.
+Windows of any place and length take aligned runs instead: summaries of every run of 8^k bars, a few of which on each
+level make up the window.
 
 Time chunks. A window looks back a known number of bars, so a symbol's bars are dealt out in chunks of time, each with
 the bars before (and after) it that its windows reach. Nothing but the chunk's own bars are given out.
@@ -147,52 +147,71 @@ def path_extremes(rows: DataFrame, value: Column, w: int) -> DataFrame:
     }).select(*kept, "path_known", "path_low", "path_high", "path_rise", "path_fall")
 
 
-def dyadic_summaries(bars: DataFrame, levels: int) -> DataFrame:
-    """``bars``: symbol, n (bars counted without gaps), low, high, observed. Summaries of the aligned runs of 2^level bars:
-    symbol, level, block, bars, seen, low (the least), high (the greatest one that may be compared with lows before the
-    run) and rise (the greatest such high over the least low before it in the run). A bar's high is compared with
-    the lows before it where the bar before it has a low, and until a low isn't positive."""
+#: Bars (or runs) of one level that make up a run of the next.
+FAN = 8
+
+
+def _composed(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """Neighbouring runs (seen, low, top, high, rise) as one for each ``by``. Lows before a run count for its highs; after a
+    low that isn't positive nothing is compared any more."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__least", F.min("low").over(before))
+    open_ = F.col("__least").isNull() | (F.col("__least") > 0)
+    rows = rows.withColumns({
+        "high": F.when(open_, F.col("high")), "rise": F.when(open_, F.greatest("rise", ratio(F.col("high"), F.col("__least")))),
+    })
+    return rows.groupBy(*by).agg(*(f(c).alias(c) for f, c in ((F.sum, "bars"), (F.sum, "seen"), (F.min, "low"), (F.max, "top"), (F.max, "high"), (F.max, "rise"))))
+
+
+def run_summaries(bars: DataFrame, levels: int) -> DataFrame:
+    """``bars``: symbol, n (bars counted without gaps), low, high, observed. Summaries of the aligned runs of FAN^level bars:
+    symbol, level, block, bars, seen, low (the least), top (the greatest high), high (the greatest that may be compared with
+    lows before the run) and rise (the greatest such high over the least low before it in the run). A bar's high is compared
+    with the lows before it where the bar before it has a low, and until a low isn't positive."""
     before = Window.partitionBy("symbol").orderBy("n")
     comparable = F.when((F.lag("n").over(before) == F.col("n") - 1) & F.lag("low").over(before).isNotNull(), F.col("high"))
     level = bars.select(
-        "symbol", F.lit(0).alias("level"), F.col("n").alias("block"), F.lit(1).cast("long").alias("bars"), F.col("observed").cast("long").alias("seen"), "low",
-        comparable.alias("high"), F.lit(None).cast("double").alias("rise"),
+        "symbol", F.col("n").alias("block"), F.lit(1).cast("long").alias("bars"), F.col("observed").cast("long").alias("seen"), "low",
+        F.col("high").alias("top"), comparable.alias("high"), F.lit(None).cast("double").alias("rise"),
     )
-    found = [level]
+    found = [level.withColumn("level", F.lit(0))]
     for k in range(1, levels + 1):
-        side = lambda c, s: F.max(F.when(F.col("block") % 2 == s, F.col(c)))
-        both = level.groupBy("symbol", F.floor(F.col("block") / 2).alias("parent")).agg(
-            F.sum("bars").alias("bars"), F.sum("seen").alias("seen"), F.min("low").alias("low"), F.max("high").alias("__all"), F.max("rise").alias("__within"),
-            side("low", 0).alias("l0"), side("high", 0).alias("h0"), side("high", 1).alias("h1"), side("rise", 0).alias("r0"),
-        )
-        spoilt = F.col("l0") <= 0
-        level = both.select(
-            "symbol", F.lit(k).alias("level"), F.col("parent").alias("block"), "bars", "seen", "low",
-            F.when(spoilt, F.col("h0")).otherwise(F.col("__all")).alias("high"),
-            F.when(spoilt, F.col("r0")).otherwise(F.greatest("__within", ratio(F.col("h1"), F.col("l0")))).alias("rise"),
-        )
-        found.append(level)
+        children = level.withColumn("parent", F.floor(F.col("block") / FAN))
+        level = _composed(children, ["symbol", "parent"], F.col("block")).withColumnRenamed("parent", "block")
+        found.append(level.withColumn("level", F.lit(k)))
     return reduce(DataFrame.unionByName, found)
 
 
-def dyadic_cover(first: Column, last: Column, levels: int) -> Column:
-    """An array of (level, block): the aligned runs of up to 2^levels bars that make up [first, last], in any order. Level by
-    level from single bars up, an odd first run and an odd last one are taken and the rest halves."""
+def run_cover(first: Column, last: Column, levels: int) -> Column:
+    """An array of (level, block): the aligned runs of up to FAN^levels bars that make up [first, last], in any order. Level by
+    level from single bars up, what lies outside whole runs of the next level is taken."""
     empty = F.array().cast("array<struct<level:int,block:bigint>>")
-    run = lambda k, b: F.struct(k.cast("int").alias("level"), b.cast("bigint").alias("block"))
-    start = F.struct(first.cast("bigint").alias("low"), (last + 1).cast("bigint").alias("high"), empty.alias("taken"))
+
+    def runs(k: Column, a: Column, b: Column) -> Column:
+        one = lambda x: F.struct(k.cast("int").alias("level"), x.cast("bigint").alias("block"))
+        return F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), one)).otherwise(empty)
 
     def climb(s: Column, k: Column) -> Column:
-        left = (s["low"] < s["high"]) & (s["low"] % 2 != 0)
-        low = s["low"] + left.cast("bigint")
-        right = (low < s["high"]) & (s["high"] % 2 != 0)
-        high = s["high"] - right.cast("bigint")
-        taken = F.concat(s["taken"], F.when(left, F.array(run(k, s["low"]))).otherwise(empty), F.when(right, F.array(run(k, high))).otherwise(empty))
-        return F.struct(F.floor(low / 2).cast("bigint").alias("low"), F.floor(high / 2).cast("bigint").alias("high"), taken.alias("taken"))
+        low, high = s["low"], s["high"]
+        up, down = (F.ceil(low / FAN) * FAN).cast("bigint"), (F.floor(high / FAN) * FAN).cast("bigint")
+        inner = up < down
+        taken = F.concat(s["taken"], runs(k, low, F.when(inner, up).otherwise(high)), F.when(inner, runs(k, down, high)).otherwise(empty))
+        to = lambda c: F.when(inner, F.floor(c / FAN)).otherwise(0).cast("bigint")
+        return F.struct(to(up).alias("low"), to(down).alias("high"), taken.alias("taken"))
 
+    start = F.struct(first.cast("bigint").alias("low"), (last + 1).cast("bigint").alias("high"), empty.alias("taken"))
     done = F.aggregate(F.array(*(F.lit(k) for k in range(levels))), start, climb) if levels else start
-    top = F.when(done["low"] < done["high"], F.transform(F.sequence(done["low"], done["high"] - 1), lambda b: run(F.lit(levels), b))).otherwise(empty)
-    return F.concat(done["taken"], top)
+    return F.concat(done["taken"], runs(F.lit(levels), done["low"], done["high"]))
+
+
+def over_ranges(asked: DataFrame, bars: DataFrame, key: list[str], levels: int = 3) -> DataFrame:
+    """``asked``: ``key``, symbol, first, last (bar numbers, both included); ``bars`` as run_summaries takes them. For each range
+    with a bar: bars, seen, low, top, high and rise (see there), from up to 2 FAN runs a level (and, at the last one, as many
+    as the range is long in them)."""
+    run = F.explode(run_cover(F.col("first"), F.col("last"), levels)).alias("run")
+    parts = asked.where("first <= last").select(*key, "symbol", run).select(*key, "symbol", "run.*")
+    parts = parts.join(run_summaries(bars, levels), ["symbol", "level", "block"])
+    return _composed(parts, key, F.col("block") * F.pow(F.lit(float(FAN)), F.col("level")))
 
 
 # Order statistics

@@ -418,8 +418,15 @@ PERMUTATIONS, RATIO_DRAWS = 50_000, 20_000
 
 
 def _permutation_sql(n: int) -> str:
-    return f"""gs AS (SELECT g, list(signal::INT ORDER BY doc_id) AS signals, max(CASE WHEN label = 1 THEN signal::INT END) AS event, sum(signal::INT) AS hits, count(*) AS size FROM v GROUP BY g),
-  it AS (SELECT i, sum(CASE WHEN i = 0 THEN event ELSE signals[1 + ('0x' || substr(md5('805601:' || i || ':' || g), 1, 8))::BIGINT % size] END) AS e, sum(hits) AS h, sum(size) AS n, count(*) AS k FROM gs, range(0, {n + 1}) AS r(i) GROUP BY i),
+    """Binomial draws for classes of groups with equal hits and sizes."""
+    chance = "exp(lgamma(many + 1) - lgamma(k + 1) - lgamma(many - k + 1) + k * ln(hits / size::DOUBLE) + (many - k) * ln(1 - hits / size::DOUBLE))"
+    return f"""gs AS (SELECT g, max(CASE WHEN label = 1 THEN signal::INT END) AS event, sum(signal::INT)::BIGINT AS hits, count(*) AS size FROM v GROUP BY g),
+  tt AS (SELECT sum(event) AS e0, sum((hits = size)::INT) AS fixed, sum(hits) AS h, sum(size) AS n, count(*) AS k FROM gs),
+  cz AS (SELECT hits, size, count(*) AS many FROM gs WHERE hits BETWEEN 1 AND size - 1 GROUP BY ALL),
+  cu AS (SELECT hits, size, k, sum({chance}) OVER (PARTITION BY hits, size ORDER BY k) AS upto FROM (SELECT *, unnest(range(0, many)) AS k FROM cz)),
+  un AS (SELECT i, hits, size, ('0x' || substr(md5('805601:' || i || ':' || hits || ':' || size), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM cz, range(1, {n + 1}) AS r(i)),
+  dw AS (SELECT i, count(*) AS drawn FROM un JOIN cu USING (hits, size) WHERE upto <= u GROUP BY i),
+  it AS (SELECT r.i, CASE WHEN r.i = 0 THEN e0 ELSE fixed + coalesce(drawn, 0) END AS e, h, n, k FROM range(0, {n + 1}) AS r(i) CROSS JOIN tt LEFT JOIN dw USING (i)),
   pm AS (SELECT i, e / k::DOUBLE - (h - e) / (n - k)::DOUBLE AS d FROM it),
   pv AS (SELECT o.d AS observed, count(*) FILTER (pm.d >= o.d - 1e-12) AS exceed, count(*) AS iterations, (count(*) FILTER (pm.d >= o.d - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM pm, (SELECT d FROM pm WHERE i = 0) o WHERE i > 0 GROUP BY o.d)"""
 
@@ -505,15 +512,21 @@ _RW = _SA + f""", gr AS {_G.split(", gr AS", 1)[1]}, rw AS (SELECT sample_id, sa
   FROM sa JOIN gr ON gr.symbol = sa.symbol AND gr.open_time >= anchor - INTERVAL 24 HOUR AND gr.open_time < anchor QUALIFY n = 24)"""
 
 
+def _windows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Whole windows of the samples, and the store of their bars."""
+    bars = grid(spark, sf)
+    whole = context.whole_windows(_samples(spark, sf), bars, 24, HOUR)
+    return whole, context.shared_store(whole, bars)
+
+
 @query("o110_raw_windows", f"WITH {_RW} SELECT sample_id, symbol, {_TS.format('open_time')} AS open_time, relative_bar::INT AS relative_bar, round(close, 6) AS close, observed FROM rw")
 def o110(spark, sf):
-    return rounded(context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, HOUR).select("sample_id", "symbol", "open_time", "relative_bar", "close", "observed"))
+    return rounded(context.raw_windows(*_windows(spark, sf), HOUR).select("sample_id", "symbol", "open_time", "relative_bar", "close", "observed"))
 
 
 @query("o111_shared_store", f"WITH {_RW} SELECT DISTINCT symbol, {_TS.format('open_time')} AS open_time, round(close, 6) AS close, observed FROM rw")
 def o111(spark, sf):
-    found = context.shared_store(context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, HOUR))
-    return rounded(found.select("symbol", "open_time", "close", "observed"))
+    return rounded(_windows(spark, sf)[1].select("symbol", "open_time", "close", "observed"))
 
 
 @query("o106_value_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
@@ -538,9 +551,9 @@ def o113(spark, sf):
 
 @query("o114_sample_window", f"WITH {_RW} SELECT sample_id, symbol, 1 AS label, relative_bar::INT AS relative_bar, {_TS.format('open_time')} AS open_time, round(close, 6) AS close FROM rw")
 def o114(spark, sf):
-    windows = context.raw_windows(_samples(spark, sf), grid(spark, sf), 24, HOUR)
-    whole = windows.select("sample_id", "symbol", "anchor").distinct().withColumn("label", F.lit(1))
-    found = packaging.sample_window(context.shared_store(windows), whole, 24, HOUR)
+    """From a store that is written once."""
+    whole, store = _windows(spark, sf)
+    found = context.raw_windows(whole.withColumn("label", F.lit(1)), staged(store, "store"), HOUR)
     return rounded(found.select("sample_id", "symbol", "label", "relative_bar", "open_time", "close"))
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import execution, inference, performance, signals
+from ..operators import execution, inference, performance, signals, windows
 from ..sources.staging import staged
-from .catalog import _BY, _G, _TS, grid, query, rounded, tape
+from .catalog import _BY, _G, _TS, grid, query, rounded
+from .catalog import stored as tape
 
 #: The rule of the entry signals, in hourly bars.
 RULE = {
@@ -91,7 +92,8 @@ _ES = _G + f""", s AS (
 
 
 def _entry_signals(spark, sf) -> DataFrame:
-    return signals.entry_signals(grid(spark, sf), RULE).withColumn("activity", F.round("activity", 6))
+    rows = windows.in_time_chunks(grid(spark, sf), lambda g: signals.entry_signals(g, RULE), signals.entry_reach(RULE), HOUR)
+    return rows.withColumn("activity", F.round("activity", 6))
 
 
 @query("o84_o85_entry_signals", f"""WITH {_ES} SELECT symbol, {_TS.format('open_time')} AS open_time, liquid, t3, t4, t5, components::INT AS components, e1_edge, e2_edge FROM es""")
@@ -200,8 +202,8 @@ _SELECTIONS = f"""{_EC}, {_greedy_sql('e1s', 'ca', 'e1_edge', 'INTERVAL 24 HOUR'
 
 
 def _audits(found: DataFrame) -> DataFrame:
-    of = lambda s: signals.select_greedily(found.where(f"{s}_edge"), 24 * HOUR, 3).withColumn("strategy", F.lit(s))
-    return of("e1").unionByName(of("e2"))
+    each = F.explode(F.array_compact(F.array(*(F.when(F.col(f"{s}_edge"), s) for s in ("e1", "e2")))))
+    return signals.select_greedily(found.withColumn("strategy", each), 24 * HOUR, 3, ("strategy",))
 
 
 @query("o90_greedy_selection", f"WITH RECURSIVE {_SELECTIONS} SELECT strategy, symbol, {_TS.format('decision_time')} AS decision_time, components, round(activity, 6) AS activity, decision FROM se")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: With this on, the shuffle files of a query go when it ends.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -20,15 +25,58 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
+@contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table below the shared folder and read it back: lineage ends there, and every executor can read
-    it after another one is lost."""
+    it after another one is lost. The shuffle files behind the table go once it is written."""
     spark, schema = df.sparkSession, df.schema
     path = f"{checkpoint_root(spark)}/barlab/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files go when the driver drops the plans that made them; nothing needs those any more.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _shuffles_end_with_the_query(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
     return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again: those whose successor is written."""
+    for table in tables:
+        path = getattr(table, "staged_at", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            file = jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+
+
+#: Seconds of a slot of a stored tape, which is a UTC day.
+SLOT_SECONDS = 86_400
+
+
+def stored_tape(trades: DataFrame, label: str = "tape") -> DataFrame:
+    """Trades written once for many joins: partitioned by UTC day, for scans of a range of time, and in it bucketed by symbol
+    and slot and sorted by time, so that joins on these move only their other side. Adds day (text) and slot (the day's
+    number). A day of a symbol lies in one file."""
+    spark = trades.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"barlab_{label}_{uuid.uuid4().hex}"
+    slot = F.floor(F.unix_seconds("ts") / SLOT_SECONDS)
+    rows = trades.withColumns({"slot": slot, "day": F.date_format("ts", "yyyy-MM-dd")}).repartition(n, "symbol", "slot")
+    with _shuffles_end_with_the_query(spark):
+        rows.write.format("parquet").option("compression", "zstd").option("path", f"{checkpoint_root(spark)}/barlab/{name}").partitionBy("day").bucketBy(
+            n, "symbol", "slot"
+        ).sortBy("symbol", "slot", "ts", "trade_id").saveAsTable(name)
+    out = spark.table(name)
+    out.tape_name = name
+    return out

@@ -47,9 +47,13 @@ def normalised_trades(raw: DataFrame) -> DataFrame:
 
 
 def trade_range(trades: DataFrame, start: str, end: str) -> DataFrame:
-    """Trades in [start, end], both ends included, one row for each symbol and id (the latest)."""
+    """Trades in [start, end], both ends included, one row for each symbol and id (the latest). Of a stored tape only the
+    range's days are read."""
+    first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    inside = trades.where(F.col("ts").between(first, last))
+    if "day" in trades.columns:
+        inside = inside.where(F.col("day").between(F.date_format(first, "yyyy-MM-dd"), F.date_format(last, "yyyy-MM-dd"))).drop("day", "slot")
     latest = Window.partitionBy("symbol", "trade_id").orderBy(F.desc("ts"))
-    inside = trades.where(F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
     return inside.withColumn("n", F.row_number().over(latest)).where("n = 1").drop("n")
 
 

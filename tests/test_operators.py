@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import uuid
@@ -13,6 +14,7 @@ from barlab.functions import scalars
 from barlab.operators import confirmation, context, execution, inference, packaging, performance, rolling, samples, signals, splits, surge
 from barlab.plans import registry as catalog
 from barlab.plans import signals_study
+from barlab.sources import staging
 from barlab.sources import trades as src
 
 T0 = datetime(2024, 1, 1)
@@ -122,15 +124,114 @@ def test_greedy_selection_rests_and_caps(spark):
     at = lambda h: T0 + timedelta(hours=h)
     rows = [("B", at(1), 2, 5.0), ("A", at(1), 2, 5.0), ("C", at(1), 3, 1.0), ("A", at(2), 3, 9.0), ("D", at(3), 3, 9.0), ("A", at(26), 2, 1.0)]
     found = signals.select_greedily(spark.createDataFrame(rows, "symbol string, decision_time timestamp, components int, activity double"), 24 * 3600, 3)
-    assert [(r.symbol, r.decision) for r in found.collect()] == [
+    got = [(r.symbol, r.decision) for r in found.orderBy("decision_time", F.desc("components"), F.desc("activity"), "symbol").collect()]
+    assert got == [
         ("C", "selected"), ("A", "selected"), ("B", "selected"), ("A", "suppressed_symbol_cooldown"), ("D", "suppressed_daily_cap"), ("A", "selected"),
     ]
 
 
-def test_greedy_selection_leaves_the_stages_before_it_their_partitions(spark):
-    rows = spark.range(0, 8, 1, 4).selectExpr("cast(id as string) as symbol", "timestamp_seconds(id) as decision_time", "1 as components", "1.0D as activity")
-    plan = signals.select_greedily(rows, 1, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "Coalesce 1" not in plan and "Exchange SinglePartition" in plan
+def folded(rows, rest, cap, counted, taken):
+    """The selection as one fold in order. ``rows``: symbol, time, components, activity, status, exit."""
+    rests, day, n, out = {}, None, 0, []
+    for symbol, at, components, activity, status, exit_ in sorted(rows, key=lambda r: (r[1], -r[2], -r[3], r[0])):
+        if at.date() != day:
+            day, n = at.date(), 0
+        if symbol in rests and at < rests[symbol]:
+            said = "suppressed_symbol_cooldown"
+        elif n >= cap:
+            said = counted[1]
+        else:
+            said, n = taken(status), n + counted[0](status)
+            rests[symbol] = rest(at, status, exit_)
+        out.append((symbol, at, components, activity, said))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("symbols, cap, hours_", [(30, 3, 30), (4, 1, 9), (60, 5, 24), (3, 50, 3)])
+def test_selection_in_rounds_equals_the_fold(spark, symbols, cap, hours_):
+    """Full days that move rests, and rests that free places, over many days."""
+    rng = random.Random(symbols)
+    rows = []
+    for _ in range(600):
+        at = T0 + timedelta(minutes=30 * rng.randrange(48 * 20))
+        rows.append((f"S{rng.randrange(symbols)}", at, rng.randrange(3), float(rng.randrange(4)), rng.choice(["completed", "completed", "exit_not_filled"]), at + timedelta(hours=rng.randrange(1, 40))))
+    rows = list({r[:4]: r for r in rows}.values())
+    frame = spark.createDataFrame(rows, "symbol string, decision_time timestamp, components int, activity double, status string, exit_time timestamp").repartition(4)
+    found = signals.select_greedily(frame, hours_ * 3600, cap)
+    want = folded(rows, lambda at, *_: at + timedelta(hours=hours_), cap, (lambda _: 1, "suppressed_daily_cap"), lambda _: "selected")
+    assert sorted((r.symbol, r.decision_time, r.components, r.activity, r.decision) for r in found.collect()) == want
+    found = signals.select_with_feedback(frame, hours_ * 3600, cap)
+    rest = lambda at, status, exit_: (exit_ if status == "completed" else at) + timedelta(hours=hours_)
+    want = folded(rows, rest, cap, (lambda s: s == "completed", "suppressed_daily_trade_cap"), lambda s: s)
+    assert sorted((r.symbol, r.decision_time, r.components, r.activity, r.decision) for r in found.collect()) == want
+
+
+def test_selections_side_by_side(spark):
+    rows = [("x", "A", T0, 1, 1.0), ("y", "A", T0, 1, 1.0), ("y", "B", T0, 1, 2.0)]
+    found = signals.select_greedily(spark.createDataFrame(rows, "strategy string, symbol string, decision_time timestamp, components int, activity double"), 3600, 1, ("strategy",))
+    assert sorted((r.strategy, r.symbol, r.decision) for r in found.collect()) == [("x", "A", "selected"), ("y", "A", "suppressed_daily_cap"), ("y", "B", "selected")]
+
+
+def test_stored_tape_stays_where_it_is(spark, tmp_path):
+    """No join moves the tape, and a range of time reads its days alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trades = spark.createDataFrame(
+            [("AB"[i % 2], i, T0 + timedelta(minutes=40 * i), 10.0 + i % 9, 5.0, i % 3 == 0) for i in range(500)],
+            "symbol string, trade_id long, ts timestamp, price double, qty double, is_buyer_maker boolean",
+        )
+        stored = staging.stored_tape(trades)
+        orders = spark.createDataFrame([(f"o{i}", "AB"[i % 2], T0 + timedelta(hours=7 * i), 10.0) for i in range(40)], "order_id string, symbol string, decision_time timestamp, signal_close double")
+        run = lambda tape_: execution.simulated(orders, tape_, 100.0, 6 * 3600, 48 * 3600, 12 * 3600, 0.15, 0.001)
+        want, got = (sorted(map(tuple, run(t).collect()), key=str) for t in (trades, stored))
+        assert got == want and any("completed" in r for r in got)
+        joined = surge.near_trades(orders.withColumn("until", F.expr("decision_time + interval 30 hours")), stored, "decision_time", "until", 3600)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("FileScan") - 400 : plan.index("FileScan")] if "FileScan" in plan else ""
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in below.split("SortMergeJoin")[-1].split(":-")[-1].split("+- *")[-1]
+        ranged = src.trade_range(stored, "2024-01-03", "2024-01-04")
+        assert "PartitionFilters: [isnotnull(day" in ranged._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.trade_id for r in ranged.collect()) == sorted(r.trade_id for r in src.trade_range(trades, "2024-01-03", "2024-01-04").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_binomial_steps_are_the_exact_distribution():
+    for n, p in ((1, 0.5), (7, 1 / 3), (40, 0.9), (200_000, 0.25)):
+        low, steps = inference.binomial_steps(n, p)
+        for k in {low, low + len(steps) // 3, low + len(steps) // 2}:
+            exact = [math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(low, k + 1)]
+            assert steps[k - low] == pytest.approx(sum(exact), abs=1e-9)
+        assert steps[-1] == pytest.approx(1)
+
+
+def test_union_of_windows_reads_each_bar_once(spark):
+    grid = src.dense_grid(hours(spark, [float(i + 1) for i in range(96)]), "2024-01-01 00:00:00", "2024-01-05 00:00:00")
+    anchors = [("a", 30), ("b", 33), ("c", 33), ("d", 80), ("e", 3), ("f", 96), ("g", 57)]
+    own = spark.createDataFrame([(n, "A", T0 + timedelta(hours=h)) for n, h in anchors], "sample_id string, symbol string, anchor timestamp")
+    whole = context.whole_windows(own, grid, 24, 3600)
+    assert sorted(r.sample_id for r in whole.collect()) == ["a", "b", "c", "d", "f", "g"]
+    store = context.shared_store(whole, grid)
+    times = [int((r.open_time - T0).total_seconds() // 3600) for r in store.collect()]
+    assert sorted(times) == sorted({t for n, h in anchors if n != "e" for t in range(h - 24, h)}) and len(context.covered(whole).collect()) == 2
+    found = context.raw_windows(whole, store, 3600)
+    assert sorted((r.sample_id, r.relative_bar, r.close) for r in found.collect()) == sorted((n, k, float(h + k + 1)) for n, h in anchors if n != "e" for k in range(-24, 0))
+
+
+def test_outcomes_of_samples(spark):
+    grid = src.dense_grid(hours(spark, [10.0, 11.0, None, 9.0, 14.0, 8.0, 20.0]), "2024-01-01 00:00:00", "2024-01-01 07:00:00")
+    at = lambda h: T0 + timedelta(hours=h)
+    own = spark.createDataFrame([("s", "A", at(2), at(4)), ("t", "A", at(3), at(1)), ("u", "B", at(2), at(4))], "sample_id string, symbol string, at timestamp, anchor timestamp")
+    got = {r.sample_id: r for r in samples.sample_outcomes(own, grid, 3600, 5).collect()}
+    s = got["s"]
+    assert (s.entry, s.outcome_to_anchor_observed, s.outcome_next_observed) == (11.0, pytest.approx(2 / 3), pytest.approx(4 / 5))
+    assert s.outcome_to_anchor_gain == pytest.approx((14 / 11 - 1) * 100) and s.outcome_to_anchor_drawdown == pytest.approx((9 / 11 - 1) * 100)
+    assert s.outcome_next_gain == pytest.approx((20 / 11 - 1) * 100) and s.outcome_next_drawdown == pytest.approx((8 / 11 - 1) * 100)
+    assert got["t"].outcome_to_anchor_observed == 0 and got["t"].outcome_next_gain is None and got["u"].outcome_next_observed == 0
+    own = spark.createDataFrame([("s", "A", at(1), at(4)), ("t", "A", at(4), at(3))], "sample_id string, symbol string, baseline_anchor timestamp, cross_anchor timestamp")
+    got = {r.sample_id: r for r in samples.baseline_outcomes(own, grid, 3600, 6).collect()}
+    assert got["s"].outcome_to_cross_gain == pytest.approx((14 / 11 - 1) * 100) and got["s"].outcome_next_drawdown == pytest.approx((8 / 11 - 1) * 100)
+    assert got["t"].outcome_to_cross_gain is None and got["t"].outcome_next_gain is None and got["t"].outcome_next_observed == 1
 
 
 def test_performance_without_losses_and_left_out_trades(spark):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.operators import context, rolling, signals, surge, windows
+from barlab.operators import context, rolling, samples, signals, surge, windows
 from barlab.operators.windows import Over, by_time
 from barlab.plans import signals_study
 
@@ -114,15 +114,38 @@ def test_trend_equals_least_squares(spark, w, most):
             assert r2 is None
 
 
-def test_dyadic_runs_make_up_any_window(spark):
+def test_runs_make_up_any_window(spark):
     rng = random.Random(2)
-    pairs = [(a, a + rng.randrange(0, 70)) for a in (rng.randrange(0, 200) for _ in range(80))] + [(5, 4), (0, 0), (0, 127)]
+    pairs = [(a, a + rng.randrange(0, 700)) for a in (rng.randrange(0, 2000) for _ in range(80))] + [(5, 4), (0, 0), (0, 511), (7, 8)]
     rows = spark.createDataFrame(pairs, "a long, b long")
-    for levels in (0, 3, 7):
-        for r in rows.select("a", "b", windows.dyadic_cover(F.col("a"), F.col("b"), levels).alias("runs")).collect():
-            covered = sorted(x for level, block in r.runs for x in range(block << level, (block + 1) << level))
+    for levels in (0, 1, 3):
+        for r in rows.select("a", "b", windows.run_cover(F.col("a"), F.col("b"), levels).alias("runs")).collect():
+            covered = sorted(x for level, block in r.runs for x in range(block * 8**level, (block + 1) * 8**level))
             assert covered == list(range(r.a, r.b + 1))
-            assert levels < 7 or len(r.runs) <= 2 * 7
+            assert levels < 3 or len(r.runs) <= 2 * 7 * 3 + 2
+
+
+def test_ranges_equal_a_walk(spark):
+    """With gaps, and lows that aren't positive."""
+    rng = random.Random(5)
+    values = [None if rng.random() < 0.1 else (0.5 if rng.random() < 0.01 else 50 + rng.random() * 40) for _ in range(300)]
+    grid = bars(spark, values)
+    first = int((T0 - datetime(1970, 1, 1)).total_seconds()) // 3600
+    asked = [(i, "A", first + a, first + a + rng.randrange(0, 250)) for i, a in enumerate(rng.randrange(0, 290) for _ in range(60))]
+    found = windows.over_ranges(spark.createDataFrame(asked, "key int, symbol string, first long, last long"), samples.numbered_bars(grid, 3600), ["key"])
+    got = {r.key: r for r in found.collect()}
+    for key, _, a, b in asked:
+        own = values[a - first : b - first + 1]
+        lows, best, before, last_known = [None if x is None else x - 1 for x in own], None, None, False
+        for x, low in zip(own, lows):
+            if x is not None and last_known and before is not None and before > 0:
+                best = max(best or 0, (x + 1) / before)
+            last_known = low is not None
+            if low is not None:
+                before = low if before is None else min(before, low)
+        r = got[key]
+        assert (r.bars, r.seen) == (len(own), sum(x is not None for x in own))
+        assert close(r.rise, best) and r.low == min((x for x in lows if x is not None), default=None)
 
 
 def test_a_symbol_goes_through_many_tasks(spark):
