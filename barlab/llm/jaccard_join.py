@@ -8,8 +8,10 @@ anchors of each set come first: there every document meets the cell's pivot alon
 comparison each. Of all anchors only cells that hold several components remain, and their smallest document is their
 pivot. Inside a cell the distance to the pivot, computed exactly, makes the Voronoi region around it (up to twice
 the threshold) and the rest, with the documents between one and two thresholds in both; so any two linked documents
-stay together. Regions divide again around new pivots as long as that parts them; small ones are compared pair by pair,
-and ones whose documents all lie at the same distance from everything, which no pivot can part, block by block.
+stay together. Regions divide again around new pivots as long as that parts them; small ones are compared pair by pair.
+In ones whose documents all lie at the same distance from everything, which no pivot can part, blocks of documents meet
+with their sets: a pair that its sketches can't part is compared there and then, and connects what it joins, so that a
+block gives out the links that connect its components and never its pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from .components import contracted
 WIDTH = 5
 #: Documents of a cell up to which all pairs are compared.
 LEAF = 8
-#: Regions are divided while that takes away this part of their rows or more; documents in one block of what is left.
-PROGRESS, BLOCK = 0.5, 512
+#: Regions are divided while that takes away this part of their rows or more; documents in one block of what is left, and
+#: their shingles together, about.
+PROGRESS, BLOCK, BLOCK_SHINGLES = 0.5, 512, 2_000_000
 #: Anchors of a set that are looked at first.
 HEADS = 4
 #: Documents per owner of the anchor exchange, about.
@@ -310,40 +313,61 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", h
     )
 
 
-def _open_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one block pair: pairs of different components whose sketches allow a link."""
+class _Merged(dict):
+    """Components while links are found: a forest over roots."""
+
+    def __missing__(self, root: int) -> int:
+        return root
+
+    def of(self, root: int) -> int:
+        while self[root] != root:
+            self[root] = root = self[self[root]]
+        return root
+
+
+def _links(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one block pair: links that connect documents of different components, exactly, as few as connect them."""
     left, right = group[group["side"] != 1], group[group["side"] != 0]
     a, b = (np.frombuffer(b"".join(x["sketch"]), "<u4").reshape(-1, _BUCKETS).astype(np.int32) for x in (left, right))
-    sizes, found = (a.sum(axis=1), b.sum(axis=1)), []
+    sizes, found, merged = (a.sum(axis=1), b.sum(axis=1)), [], _Merged()
     order = np.argsort(sizes[1], kind="stable")
     b, size_b, right = b[order], sizes[1][order], right.iloc[order]
-    x_b, root_b = right["x"].to_numpy(), right["root"].to_numpy()
+    x_b, root_b, set_b = right["x"].to_numpy(), right["root"].to_numpy(), right["shingles"].to_numpy()
     lo, hi = np.searchsorted(size_b, -(-4 * sizes[0] // 5)), np.searchsorted(size_b, 5 * sizes[0] // 4, side="right")
-    for own, x, root, size, i, j in zip(a, left["x"].to_numpy(), left["root"].to_numpy(), sizes[0], lo, hi):
+    for own, x, root, size, set_, i, j in zip(a, left["x"].to_numpy(), left["root"].to_numpy(), sizes[0], left["shingles"].to_numpy(), lo, hi):
         most = np.minimum(own, b[i:j]).sum(axis=1)
-        near = (10 * most >= 8 * (size + size_b[i:j] - most)) & (root_b[i:j] != root) & (x_b[i:j] != x)
-        found += [(min(x, y), max(x, y)) for y in x_b[i:j][near]]
-    return pd.DataFrame(sorted(set(found)), columns=["p", "x"]).astype("int64")
+        near = np.flatnonzero((10 * most >= 8 * (size + size_b[i:j] - most)) & (root_b[i:j] != root) & (x_b[i:j] != x)) + i
+        # The likeliest first: once two components are one, their other pairs needn't be compared.
+        for k in near[np.argsort(-most[near - i], kind="stable")]:
+            mine, other = merged.of(root), merged.of(root_b[k])
+            if mine == other:
+                continue
+            shared = len(np.intersect1d(set_, set_b[k], assume_unique=True))
+            if 100 * shared >= 80 * (size + size_b[k] - shared):
+                merged[max(mine, other)] = min(mine, other)
+                found.append((min(x, x_b[k]), max(x, x_b[k])))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of undivided cells that their sketches can't part. Sizes must lie within 5:4 of each other, so a cell
+    """Links (a, b) that connect the components of undivided cells. Sizes must lie within 5:4 of each other, so a cell
     falls into classes of that width, each against itself and the next; large classes are compared block by block,
     and a document goes to as many block pairs as there are blocks."""
-    rows = active.join(sets.select("x", "sketch", F.size("shingles").alias("size")), "x").select(
-        "cell", "x", "root", "sketch", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")
+    rows = active.join(sets.select("x", "sketch", "shingles", F.size("shingles").alias("size")), "x").select(
+        "cell", "x", "root", "sketch", "shingles", "size", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")
     )
-    placed = rows.withColumn("to", F.explode(F.array(F.struct(F.col("kind").alias("kind"), F.lit(0).alias("next")), F.struct((F.col("kind") - 1).alias("kind"), F.lit(1).alias("next")))))
-    placed = placed.select("cell", "x", "root", "sketch", "to.kind", "to.next")
+    to = F.explode(F.array(F.struct(F.col("kind").alias("kind"), F.lit(0).alias("next")), F.struct((F.col("kind") - 1).alias("kind"), F.lit(1).alias("next"))))
+    placed = rows.withColumn("to", to).select("cell", "x", "root", "sketch", "shingles", "size", "to.kind", "to.next")
     # A class is worth comparing where it has a member of its own and two components.
     counts = placed.groupBy("cell", "kind").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("next").alias("own")
-    ).where("a < b and own = 0").select("cell", "kind", "blocks")
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.min("root").alias("least"),
+        F.max("root").alias("most"), F.min("next").alias("own"),
+    ).where("least < most and own = 0").select("cell", "kind", "blocks")
     blocked = placed.join(counts, ["cell", "kind"]).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     pair = lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))
     spread = blocked.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    groups = spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root", "sketch").groupBy("cell", "kind", "i", "j")
-    return groups.applyInPandas(_open_pairs, "p bigint, x bigint").distinct().withColumn("same", F.lit(False))
+    groups = spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root", "sketch", "shingles").groupBy("cell", "kind", "i", "j")
+    return groups.applyInPandas(_links, "a bigint, b bigint")
 
 
 class _Join:
@@ -394,8 +418,7 @@ class _Join:
             small, large = active.where(F.col("n") <= LEAF), active.where(F.col("n") > LEAF)
             n = large.count()
             if before is not None and n > (1 - PROGRESS) * before:
-                open_ = staged(_remaining(active, sets), "open")
-                self.compare(open_, sets, "last")
+                self.link(staged(_remaining(active, sets), "last-links"), "last")
                 return
             before = n
             a = small.select("cell", F.col("x").alias("p"), F.col("root").alias("a_root"))
