@@ -42,8 +42,10 @@ def test_golomb_round_trip():
         assert (golomb.decode(golomb.encode(values, 1 << 40)) == values).all()
 
 
-@pytest.mark.parametrize("setting", [{}, {"broadcast_prints": 0}, {"hot_part": 0.0}, {"hot_part": 1.0}])
-def test_exact_duplicates(documents, setting):
+@pytest.mark.parametrize("setting", [{}, {"broadcast_prints": 9}, {"hot_part": 0.0}, {"hot_part": 1.0}])
+def test_exact_duplicates(documents, monkeypatch, setting):
+    plans, write = {}, exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda df, label: plans.setdefault(label, df) and write(df, label))
     rows = list(enumerate(corpus(random.Random(1)))) + [(None, "one two"), (None, "none like it"), (7, "one two"), (-(1 << 63), "two three"), (None, "two three")]
     rows += [(90, "z" * 100_000), (91, "Z" * 100_000)]
     groups = collections.defaultdict(list)
@@ -57,6 +59,13 @@ def test_exact_duplicates(documents, setting):
         want[i, keep, len(own), i == keep, hashlib.sha256(lower(t).encode()).hexdigest()] += 1
     got = collections.Counter(tuple(r) for r in exact_dedup.exact_duplicates(documents(rows), **setting).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
     assert got == want
+    # The scans that read texts move none; of files they read their own.
+    scans = {label: df for label, df in plans.items() if label.startswith("told")}
+    assert len(scans) > 1 if "broadcast_prints" in setting else len(scans) == 1
+    for df in scans.values():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and all("hashpartitioning(print" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    monkeypatch.undo()
     assert exact_dedup.exact_duplicates(documents([]), **setting).count() == 0
 
 
