@@ -1,17 +1,22 @@
 """Main text of HTML pages, with site templates removed.
 
 A page is read once, from left to right, into blocks of text under nested containers. Every container's subtree is
-hashed with all it holds, menus and footers too; Spark counts, for each host, the distinct main texts whose pages hold
-a subtree, and subtrees on many of them are taken out of all pages of the host. Copies of an article count once, so
-they don't make it a template. Single paragraphs, headings and list items are never compared alone, so what several
-articles quote stays. What elements, roles and names say (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) goes on a host's first page already; names inside an article count only as whole
-words of a container that leave no doubt.
+hashed with all it holds, menus and footers too; Spark counts, for each host, the distinct articles whose pages hold
+a subtree, and subtrees on many of them, or on a good part of a small host's, are taken out of all pages of the host.
+Articles are told apart by one of their blocks, drawn by length and alike for alike texts, so that copies of one, and most
+often edited copies, don't make what they hold a template. Single paragraphs, headings and list items are never compared alone, so what several articles quote stays.
+
+What elements and roles say (menus, headers, footers, sidebars, forms, scripts) and names of adverts, notices and reader
+comments goes on a host's first page already. Other names only raise a doubt, which the container's own text decides
+when it ends: a "navigation" that holds prose is a chapter on navigation. Parts of compound names count for short
+containers. The main part is then chosen by its share of the page's text: articles where they hold most of it, else the
+main element, else the page, so that a teaser in an article element doesn't stand for the page.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: A subtree is template on more than this many distinct main texts of its host, however large the host.
-TEMPLATE_PAGES = 10
+#: A subtree is template on more than this many distinct articles of its host, however large the host; or on at least so
+#: many and this part of the host's distinct articles.
+TEMPLATE_PAGES, LEAST_PAGES, PART_OF_HOST = 10, 4, 0.2
 #: Templates up to which they are broadcast (a host and 8 bytes each); beyond, both sides shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -41,18 +47,29 @@ CONTAINERS = frozenset("aside details dialog div dl figure footer form header me
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 DROPPED = frozenset("nav footer aside form button select option iframe svg dialog menu head object canvas audio video template".split()) | RAW
 DROPPED_ROLES = frozenset("navigation contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Class words and ids that mark what isn't text anywhere, and those that do so outside articles only.
+#: Class words and ids that mark what isn't text anywhere.
 DROPPED_NAMES = frozenset(
     "ad ads adbox ad-box ad-slot ad-container ad-banner advert adverts advertisement advertising sponsored cookie-notice "
-    "cookie-banner cookie-consent cookie-bar consent-banner gdpr popup modal overlay newsletter newsletter-signup subscribe-form sidebar "
-    "side-bar nav navbar navigation breadcrumb breadcrumbs pagination pager site-header site-footer comment comments comment-list commentlist "
+    "cookie-banner cookie-consent cookie-bar consent-banner gdpr newsletter newsletter-signup subscribe-form sidebar side-bar navbar "
+    "breadcrumb breadcrumbs pagination pager site-header site-footer comment comments comment-list commentlist "
     "comments-area comments-section comment-section reader-comments user-comments disqus disqus_thread respond share-buttons share-bar "
-    "social-share social-links related-posts related-articles related-links".split()
+    "social-share social-links".split()
 )
+#: Those that do so unless the container holds prose, anywhere and outside articles only.
+DOUBTED_NAMES = frozenset("popup modal overlay nav navigation related-posts related-articles related-links".split())
 OUTER_NAMES = frozenset(
     "menu notice notices banner cookie cookies consent header footer masthead page-header page-footer promo promotion sponsor social share "
     "sharing related recommended search login signup toolbar subscribe subscription discussion replies alert".split()
 )
+#: Parts of compound names that mark a short container; and, of one that doesn't hold most of the page, reader comments.
+DROPPED_PARTS = frozenset("ad ads advert adverts advertisement promo sponsor sponsored cookie cookies consent newsletter".split())
+COMMENT_PARTS = frozenset("comment comments".split())
+#: Characters of a short container. Prose: blocks that end as sentences do, of at least so many words and mostly outside links;
+#: so many characters of it, and half of a container's text, make a container prose inside an article, and outside.
+SHORT, WORDS, PROSE_INSIDE, PROSE_OUTSIDE = 400, 8, 60, 250
+#: What part of the main element's (or the page's) text articles must hold to stand for it, what part of the page's the main
+#: element must hold, and what part of the largest article's another one must, to be no teaser.
+OF_MAIN, OF_PAGE, MAIN_OF_PAGE, OF_LARGEST = 0.8, 0.5, 0.3, 0.1
 #: Elements of prose: names on them tell nothing.
 PROSE = frozenset("a abbr b blockquote body cite code em h1 h2 h3 h4 h5 h6 html i main mark p pre q s small strong sub sup td th tr u".split())
 #: An opening tag of these ends an open element of the same group first.
@@ -66,30 +83,56 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|$)", re.I) for name in RAW}
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element isn't text; ``inside``: within an article or the main part."""
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
+_PARTS = re.compile(r"[-_]+")
+
+
+def _judged(tag: str, attributes: str, inside: bool) -> str:
+    """What an element's name says of it: "gone", "doubted", "short" or "comment" (gone if its text bears that out), or nothing;
+    ``inside``: within an article or the main part."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return "gone"
+    found = ""
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         words = "".join(values).lower().split()
         if name.lower() == "role":
             if not DROPPED_ROLES.isdisjoint(words) or "banner" in words and not inside:
-                return True
-        elif tag == "article":
+                return "gone"
+            continue
+        if tag == "article":
             if "comment" in words:
-                return True
-        elif tag not in PROSE and (not DROPPED_NAMES.isdisjoint(words) or not inside and not OUTER_NAMES.isdisjoint(words)):
-            return True
-    return False
+                return "gone"
+            continue
+        parts = {part for w in words for part in _PARTS.split(w)}
+        if tag in PROSE:
+            # What marks a paragraph as an advert or a notice doesn't make a long one.
+            found = found or ("short" if not parts.isdisjoint(DROPPED_PARTS) and tag not in ("html", "body", "main") else "")
+        elif not DROPPED_NAMES.isdisjoint(words):
+            return "gone"
+        elif not DOUBTED_NAMES.isdisjoint(words) or not inside and not OUTER_NAMES.isdisjoint(words):
+            found = "doubted"
+        elif not parts.isdisjoint(COMMENT_PARTS):
+            found = found or "comment"
+        elif not parts.isdisjoint(DROPPED_PARTS):
+            found = found or "short"
+    return found
 
 
 class Page:
-    """texts: the blocks in page order, with what holds them: 0 dropped, 1 the page, 2 the main part, 3 an article.
-    containers: digest, first block and block past the last of each container with text. Work is linear in the page."""
+    """texts: the blocks in page order, with what holds them: 0 dropped, 1 the page, 2 the main part, 3 an article (with the
+    number of the outermost one, or -1, in articles). containers: digest, first block and block past the last of each container
+    with text. doubts: what a name says, whether inside an article or main part, first block and block past the last of each
+    container whose text decides. Work is linear in the page."""
 
     def __init__(self, source: str):
         self.texts: list[str] = []
         self.holders: list[int] = []
+        self.articles: list[int] = []
+        self.mains: list[bool] = []
+        self.prose: list[bool] = []
+        self.doubts: list[tuple[str, bool, int, int]] = []
+        self.article, self.number, self.linked, self.in_main = -1, 0, 0, 0
+        self.named: list[tuple[int, str, bool]] = []  # depth, judgement and whether inside, of open containers in doubt
         self.containers: list[tuple[int, int, int]] = []
         # tag, holder, first block, parts of the innermost container
         self.stack: list[tuple[str, int, int, list]] = [("", 1, 0, [])]
@@ -160,6 +203,8 @@ class Page:
         """A text node; its character references are its own."""
         if end > begin:
             self.words.append(entities.unescape(s[begin:end]))
+            if self.open["a"]:
+                self.linked += end - begin
 
     def flush(self) -> None:
         line = " ".join("".join(self.words).split())
@@ -168,7 +213,11 @@ class Page:
             _, holder, _, parts = self.stack[-1]
             self.texts.append(line)
             self.holders.append(holder)
+            self.articles.append(self.article if holder == 3 else -1)
+            self.mains.append(self.in_main > 0)
+            self.prose.append(bool(_SENTENCE.search(line)) and line.count(" ") >= WORDS - 1 and 2 * self.linked < len(line))
             parts.append(line)
+        self.linked = 0
 
     def last(self, tags: tuple[str, ...]) -> int:
         """The innermost open element of these."""
@@ -189,14 +238,23 @@ class Page:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             return
         _, holder, _, parts = self.stack[-1]
-        if _dropped(tag, attributes, holder > 1):
+        said = _judged(tag, attributes, holder > 1) if holder else ""
+        if said == "gone":
             if tag not in BLOCKS:
                 self.flush()
             holder = 0
         elif holder and (tag == "article" or holder == 3):
+            if holder != 3:
+                self.article, self.number = self.number, self.number + 1
             holder = 3
         elif holder and (tag == "main" or re.search(r"(?<![\w-])role\s*=\s*[\"']?main\b", attributes, re.I)):
             holder = 2
+        if said and said != "gone" and (tag in BLOCKS or tag not in PROSE):
+            if tag not in BLOCKS:
+                self.flush()
+            self.named.append((len(self.stack), said, self.stack[-1][1] > 1))
+        if holder == 2 != self.stack[-1][1]:
+            self.in_main += 1
         self.open[tag].append(len(self.stack))
         if tag in BLOCKS:
             self.blocks.append(len(self.stack))
@@ -204,9 +262,16 @@ class Page:
 
     def pop(self) -> None:
         tag, holder, first, parts = self.stack[-1]
-        if tag in BLOCKS or holder == 0 != self.stack[-2][1]:
+        doubted = self.named and self.named[-1][0] == len(self.stack) - 1
+        if tag in BLOCKS or doubted or holder == 0 != self.stack[-2][1]:
             self.flush()
+        if doubted:
+            _, said, inside = self.named.pop()
+            if len(self.texts) > first:
+                self.doubts.append((said, inside, first, len(self.texts)))
         self.stack.pop()
+        if holder == 2 != self.stack[-1][1]:
+            self.in_main -= 1
         self.open[tag].pop()
         if tag in BLOCKS:
             self.blocks.pop()
@@ -227,10 +292,51 @@ class Page:
             self.pop_to(places[-1])
 
     def main(self) -> np.ndarray:
-        """The numbers of the blocks of the articles, else of the main part, else of the page."""
-        holders = np.array(self.holders, np.int64)
-        most = holders.max(initial=0)
-        return np.flatnonzero(holders == most) if most else np.empty(0, np.int64)
+        """The numbers of the blocks of the main part."""
+        holders, articles, mains = np.array(self.holders, np.int64), np.array(self.articles, np.int64), np.array(self.mains, bool)
+        sizes = np.array([len(t) for t in self.texts], np.int64) * (holders > 0)
+        self._decide(holders, sizes)
+        sizes *= holders > 0
+        own = articles >= 0
+        of_article = np.bincount(articles[own], sizes[own], minlength=self.number) if own.any() else np.zeros(0)
+        kept = own & (holders > 0)
+        if len(of_article):
+            kept[own] &= of_article[articles[own]] >= OF_LARGEST * of_article.max()
+        in_main = mains & (holders > 0)
+        page, held, main = sizes.sum(), sizes[kept].sum(), sizes[in_main].sum()
+        if held and (held >= OF_MAIN * main if main and not (kept & ~in_main).any() else held >= OF_PAGE * page):
+            return np.flatnonzero(kept)
+        scope = in_main if main and main >= MAIN_OF_PAGE * page else holders > 0
+        if len(of_article):  # small articles without prose are teasers
+            told = np.bincount(articles[own], np.array(self.prose, bool)[own], minlength=self.number)
+            scope[own] &= ((of_article >= OF_LARGEST * sizes[scope].sum()) | (told > 0))[articles[own]]
+        return np.flatnonzero(scope)
+
+    def _decide(self, holders: np.ndarray, sizes: np.ndarray) -> None:
+        """Drops the containers in doubt whose text doesn't clear them. Running sums make each a difference of two."""
+        if not self.doubts:
+            return
+        chars = np.concatenate([[0], np.cumsum(sizes)])
+        prose = np.concatenate([[0], np.cumsum(sizes * np.array(self.prose, bool))])
+        edges = np.zeros(len(holders) + 1, np.int64)
+        for said, inside, first, past in self.doubts:
+            n, told = chars[past] - chars[first], prose[past] - prose[first]
+            if said == "doubted":
+                gone = 2 * told < n or told < (PROSE_INSIDE if inside else PROSE_OUTSIDE)
+            else:
+                gone = n <= SHORT if said == "short" else 2 * n <= chars[-1]
+            if gone:
+                edges[first] += 1
+                edges[past] -= 1
+        holders[np.cumsum(edges[:-1]) > 0] = 0
+
+
+def article_of(blocks: list[str]) -> int:
+    """A hash of one block, each drawn with a chance by its length: texts that share most of their blocks' characters share it
+    most often, ones that share a quote or a box seldom."""
+    hashes = [xxhash.xxh64_intdigest(b) for b in blocks]
+    drawn = min(range(len(blocks)), key=lambda k: -math.log((hashes[k] + 1) / 2.0**64) / len(blocks[k]), default=None)
+    return 0 if drawn is None else hashes[drawn] - (1 << 63)
 
 
 def _host(url):
@@ -252,7 +358,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 main = page.main()
                 own = [page.texts[i] for i in main]
                 spans = [(d, *np.searchsorted(main, (a, b)).tolist()) for d, a, b in page.containers]
-                hashes.append(xxhash.xxh64_intdigest("\n".join(own)) - (1 << 63))
+                hashes.append(article_of(own))
                 blocks.append(own)
                 containers.append([dict(zip(("digest", "first", "past"), x)) for x in spans])
             yield pa.RecordBatch.from_arrays(
@@ -275,11 +381,14 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def site_templates(parsed: DataFrame, limit: int = TEMPLATE_PAGES) -> DataFrame:
-    """``parsed``: host, main_hash, containers. The subtrees (host, digest) on more than ``limit`` distinct main texts of
-    a host, with their number as ``pages``."""
+def site_templates(parsed: DataFrame, limit: int = TEMPLATE_PAGES, least: int = LEAST_PAGES, part: float = PART_OF_HOST) -> DataFrame:
+    """``parsed``: host, main_hash (of article_of), containers. The subtrees (host, digest) on more than
+    ``limit`` distinct articles of a host, or on ``least`` and a ``part`` of them, with their number as ``pages``."""
     held = parsed.select("host", "main_hash", F.explode(F.array_distinct("containers.digest")).alias("digest")).distinct()
-    return held.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > limit)
+    counts = held.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min(least, limit + 1))
+    hosts = parsed.select("host", "main_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("articles"))
+    many = (F.col("pages") > limit) | (F.col("pages") >= least) & (F.col("pages") >= part * F.col("articles"))
+    return counts.join(hosts, "host").where(many).select("host", "digest", "pages")
 
 
 def extracted(
@@ -288,7 +397,7 @@ def extracted(
     """Per row of ``pages``: page_id, url, text (blocks joined by two line feeds).
 
     A null or empty page has the empty text. A null id or url comes back as null; pages without a host in their url
-    share one. Copies of a main text count once towards their host. Repeated rows are answered alike, and other
+    share one. Copies of an article, edited or not, count once towards their host. Repeated rows are answered alike, and other
     columns are ignored; an empty table gives no rows."""
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), _host(F.col(url)).alias("host"), F.coalesce(F.col(page_html), F.lit("")).alias("html")

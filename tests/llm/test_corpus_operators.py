@@ -447,7 +447,7 @@ def test_html_templates_against_a_count(spark, setting):
     for host, text, own in parts:
         for box in own:
             for s in subtrees(box):
-                held[host, s].add((text, *own))
+                held[host, s].add(html_extract.article_of([text, *(t for b in own for t in texts(b)), "What several of them quote"]))
     want = {}
     for (i, *_), (host, text, own) in zip(rows, parts):
         out = [text]
@@ -463,6 +463,48 @@ def test_html_templates_against_a_count(spark, setting):
     assert html_extract.extracted(frame.limit(0), **setting).count() == 0
 
 
+def sentences(n, tag="number"):
+    return "".join(f"<p>This is {tag} {k} of the article, and it says something in a whole sentence.</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("source, more", [
+    ("<body><main>{}</main><div><article><a href=1>Teaser card</a></article></div></body>", []),
+    ("<main>{}<article><a href=1>Teaser card</a></article></main>", []),
+    ("<article>{}<section id=navigation><h2>Navigation</h2><p>Birds find their way by the stars and by the field of the earth.</p></section></article>", ["Navigation", "Birds"]),
+    ("<article>{}<section id=modal><p>Modal logic speaks of what may be and what has to be the case.</p></section></article>", ["Modal"]),
+    ("<article>{}<div class=overlay><p>An overlay network lies above another network and hides its ways.</p></div></article>", ["An overlay"]),
+    ("<body>{}<section id=discussion><h2>Discussion</h2>" + sentences(4, "claim") + "</section></body>", ["Discussion"] + ["This is claim"] * 4),
+    ("<body>{}<section id=related><h2>Related work</h2>" + sentences(4, "claim") + "</section></body>", ["Related work"] + ["This is claim"] * 4),
+    ("<body>{}<div class=related><ul><li><a href=1>This is the long title of another article that goes on and on here.</a></ul></div></body>", []),
+    ("<article>{}<div class=comment-body><p>Nice article, thanks!</p></div></article>", []),
+    ("<article>{}<div class=article-ad>Buy now</div><div class=promo-box><p>Get 20% off.</p></div></article>", []),
+    ("<article>{}<p class=ad>Ad here</p><p class=cookie-notice>We use cookies.</p></article>", []),
+    ("<article>{}<div class=navigation><a href=1>One</a> <a href=2>Two</a></div></article>", []),
+    ("<main><h1>Title</h1><article>{}</article></main>", []),
+])
+def test_main_part_by_its_text(source, more):
+    got = main_of(source.format(sentences(8)))
+    assert [t for t in got if not t.startswith("This is number")] == [t for t in got if any(t.startswith(m) for m in more)] and len(got) == 8 + len(more)
+
+
+def test_counts_alone_remove_what_sites_repeat(spark):
+    """Boxes without a telling name or element, on hosts of any size; a table that edited copies of one article share stays."""
+    rows, rng = [], random.Random(2)
+    box = "<div class=x7><p>Call us today or visit the office in the old town.</p><ul><li>Mon to Fri<li>Sat</ul></div>"
+    for i in range(30):
+        own = "".join(f"<p>{prose(rng, 40)} {i}.</p>" for _ in range(3))
+        rows.append((i, f"http://small{i // 6}.example/{i}", f"<body><h1>Page {i}</h1>{own}{box}</body>"))
+    long = [f"<p>{prose(rng, 60)}</p>" for _ in range(40)]
+    for i in range(8):
+        edited = long[:i] + [f"<p>Edit {i}.</p>"] + long[i + 1 :]
+        rows.append((100 + i, f"http://copies.example/{i}", "<body>" + "".join(edited) + "<table><tr><td>seven<td>eight</table></body>"))
+    for i in range(100, 140):
+        rows.append((200 + i, f"http://copies.example/o{i}", f"<body><p>{prose(rng, 50)} {i}</p></body>"))
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("office in the old town" not in got[i] and "Sat" not in got[i] and got[i].startswith(f"Page {i}") and got[i].count("\n\n") == 3 for i in range(30))
+    assert all(got[100 + i].endswith("seven\n\neight") for i in range(8))
+
+
 ODD = [(None, "one two three"), (None, None), (3, "one two three"), (3, "one two three"), (4, ""), (5, "word " * 40_000), (6, "é \u0000 \u2028 x")]
 
 
