@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -248,9 +249,19 @@ def test_permutations_equal_brute_force(spark):
     frame = spark.createDataFrame(rows, "id long, match_group long, label int, signal int")
     hits, n, k = sum(map(sum, groups.values())), sum(map(len, groups.values())), len(groups)
     gap = lambda e: e / k - (hits - e) / (n - k)
-    drawn = lambda i, g, own: own[int(hashlib.md5(f"7:{i}:{g}".encode()).hexdigest()[:8], 16) % len(own)]
+    classes = Counter((sum(own), len(own)) for own in groups.values())
+
+    def drawn(i, h, size, many):
+        """Hits among ``many`` groups with h of size hits each, from the binomial's steps."""
+        u = int(hashlib.md5(f"7:{i}:{h}:{size}".encode()).hexdigest()[:8], 16) / 2**32
+        chance = [math.comb(many, j) * (h / size) ** j * (1 - h / size) ** (many - j) for j in range(many + 1)]
+        return next(j for j in range(many + 1) if u < sum(chance[: j + 1]) or j == many)
+
     observed = gap(sum(own[0] for own in groups.values()))
-    exceed = sum(gap(sum(drawn(i, g, own) for g, own in groups.items())) >= observed - 1e-12 for i in range(1, 1202))
+    exceed = sum(gap(sum(many if h == size else drawn(i, h, size, many) for (h, size), many in classes.items() if h)) >= observed - 1e-12 for i in range(1, 1202))
+    exact = list(itertools.product(*groups.values()))
+    share = sum(gap(sum(pick)) >= observed - 1e-12 for pick in exact) / len(exact)
+    assert exceed / 1201 == pytest.approx(share, abs=0.05)
     got = inference.permutation_test(frame, 1201, 7).first()
     assert (got.observed, got.exceed, got.iterations) == (pytest.approx(observed), exceed, 1201) and got.p_value == (exceed + 1) / 1202
     same = inference.permutation_test(frame.where("match_group in (3, 4)"), 20, 7).first()
