@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import holds, pct_change, ratio
-from .rolling import realized_volatility
-from .windows import Over, by_time, windowed
+from .rolling import drawdown_runup, range_position, realized_volatility, whole_clock_ratio
+from .windows import Over, by_time, whole, windowed
 from .samples import continuation_trigger, daily_rate_ratio, hypotheses, interval_return
 
 
@@ -138,15 +138,18 @@ def window_ratios(rows: DataFrame, day: int) -> DataFrame:
     })
 
 
-def quality_status(has_bar: Column, observed: Column, liquid: Column) -> Column:
-    """missing_decision_bar, pass (0.995 observed, and liquid), warning (0.98 observed) or insufficient_history."""
+def quality_status(has_bar: Column, observed: Column, liquid: Column, parts: tuple[float, float] = (0.995, 0.98)) -> Column:
+    """missing_decision_bar, pass (the first of ``parts`` observed, and liquid), warning (the second) or
+    insufficient_history."""
     return (
-        F.when(~holds(has_bar), "missing_decision_bar").when((observed >= 0.995) & holds(liquid), "pass").when(observed >= 0.98, "warning")
+        F.when(~holds(has_bar), "missing_decision_bar").when((observed >= parts[0]) & holds(liquid), "pass").when(observed >= parts[1], "warning")
         .otherwise("insufficient_history")
     )
 
 
-def context_features(grid: DataFrame, day: int, history: int, volume_bars: int, volume: float, references: list[str]) -> DataFrame:
+def context_features(
+    grid: DataFrame, day: int, history: int, volume_bars: int, volume: float, references: list[str], parts: tuple[float, float] = (0.995, 0.98),
+) -> DataFrame:
     """The features of every bar that the hypotheses and statuses need: windows of 1, 3, 7 and 10 days, their ratios, the
     return relative to the references (none, if the list is empty), liquidity and the observed part of the history."""
     rows, widths = grid, (day, 3 * day, 7 * day, 10 * day)
@@ -173,7 +176,15 @@ def context_features(grid: DataFrame, day: int, history: int, volume_bars: int,
         rows = rows.join(relative, ["symbol", "open_time"], "left")
     else:
         rows = rows.withColumn("relative_day", F.lit(None).cast("double"))
-    return rows.withColumn("quality", quality_status(F.col("close").isNotNull(), F.col("observed_part"), F.col("liquid")))
+    return rows.withColumn("quality", quality_status(F.col("close").isNotNull(), F.col("observed_part"), F.col("liquid"), parts))
+
+
+def continuation_features(grid: DataFrame, short: int, day: int) -> DataFrame:
+    """symbol, open_time and what the continuation trigger asks of a bar: return_short, clock_ratio (the volume of ``short`` bars
+    over its median at that time on the days before), position in the range of ``day`` bars and runup over ``short`` ones."""
+    rows = whole_clock_ratio(whole(grid, "__v", "sum", F.col("quote_volume"), short), F.col("__v"), day)
+    rows = drawdown_runup(range_position(rows, day), short).withColumn("return_short", pct_change(F.lag("close", short).over(by_time()), F.col("close")))
+    return rows.select("symbol", "open_time", "return_short", "clock_ratio", "position", "runup")
 
 
 def baseline_rows(samples: DataFrame, features: DataFrame, audit: DataFrame, offsets: list[int], unit_seconds: int) -> DataFrame:

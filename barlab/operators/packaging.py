@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import holds
+
 
 def first_fit_chunks(sizes: DataFrame, target_bytes: int) -> DataFrame:
     """``sizes``: symbol, bytes. Symbols in order go into one chunk until the next would take it over the target; a larger
@@ -77,21 +79,40 @@ def export(rows: DataFrame, order: list[str], condition: Column | None = None) -
     return kept.select(*sorted(kept.columns)).orderBy(*order)
 
 
-def staged_evidence(window_minutes: int, guard_before: int, guard_after: int, start: str | None, end: str | None, cutoff: str) -> list[str]:
-    """What keeps a scan from being fresh evidence: guards or window below 480 minutes, no explicit window, an end after
-    the cutoff (ISO dates). Empty where nothing does."""
-    out = [name for name, n in (("guard_before", guard_before), ("guard_after", guard_after)) if n < 480]
-    out += ["window"] if window_minutes != 480 else []
-    if not start or not end:
-        return [*out, "explicit_window"]
-    return [*out, *(["cutoff"] if end > cutoff else [])]
-
+def daily_bars(bars: DataFrame) -> DataFrame:
+    """Bars of UTC days from finer ones: OHLC, volume, quote volume, trades, taker quote."""
+    known = bars.where("close is not null")
+    return known.groupBy("symbol", F.to_date("open_time").alias("day")).agg(
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("quote_volume").alias("quote_volume"), F.sum("trade_count").alias("trade_count"), F.sum("taker_buy_quote").alias("taker_buy_quote"),
+    )
 
-def scan_window_issues(start: str, end: str, today: str) -> list[str]:
-    """What is wrong with a scan over the UTC days [start, end) (ISO dates): order, incomplete_day (it reaches into today),
-    length (1 to 240 days)."""
-    from datetime import date
 
-    a, b, now = map(date.fromisoformat, (start, end, today))
-    days = (b - a).days
-    return [name for name, bad in (("order", days <= 0), ("incomplete_day", b > now), ("length", days > 240)) if bad]
+def reference_package(grid: DataFrame, samples: DataFrame, references: list[str], path: str) -> DataFrame:
+    """Writes a reference package below ``path``: reference_data (the references' bars, a folder a symbol), universe_daily_data
+    (daily bars of all symbols) and universe_symbols (their audit). Returns part, symbol and rows of what is there."""
+    columns = ["open", "high", "low", "close", "volume", "quote_volume", "trade_count", "taker_buy_quote"]
+    parts = {
+        "reference_data": normalised_reference(grid.where(F.col("symbol").isin(references)), None, columns), "universe_daily_data": daily_bars(grid),
+        "universe_symbols": universe_audit(grid, samples),
+    }
+    found = None
+    for name, rows in parts.items():
+        by = ["symbol"] if name == "reference_data" else []
+        rows.write.option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{name}")
+        read = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+        own = read.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "symbol", "rows")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def evidence_issues(scans: DataFrame, cutoff: str, least: int = 480) -> DataFrame:
+    """``scans``: window_minutes, guard_before, guard_after, start_date, end_date (days). Adds issues, what keeps each from being
+    fresh evidence: guards below ``least`` minutes, another window than that, no explicit days, an end after the cutoff."""
+    short = lambda c: ~holds(F.col(c) >= least)
+    explicit = F.col("start_date").isNotNull() & F.col("end_date").isNotNull()
+    found = {
+        "guard_before": short("guard_before"), "guard_after": short("guard_after"), "window": ~holds(F.col("window_minutes") == least), "explicit_window": ~explicit,
+        "cutoff": explicit & (F.col("end_date") > F.lit(cutoff).cast("date")),
+    }
+    return scans.withColumn("issues", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in found.items()))))

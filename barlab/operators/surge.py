@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import holds, pct_change
@@ -112,18 +112,47 @@ def saleability(resolved: DataFrame, trades: DataFrame, seconds: int, quote: flo
     }).drop("hit", "exit_base")
 
 
-def event_records(surges: DataFrame, bars: DataFrame) -> DataFrame:
-    """Adds each event day's open, high, close, the time of its first highest bar, the volume before the crossing and
-    the number of bars."""
-    day = bars.where("close is not null").withColumn("event_date", F.to_date("open_time"))
-    joined = surges.join(day, ["symbol", "event_date"])
-    totals = joined.groupBy("symbol", "event_date").agg(
-        F.min_by("open", "open_time").alias("day_open"), F.max("high").alias("day_high"), F.max_by("close", "open_time").alias("day_close"),
-        F.min(F.struct((-F.col("high")).alias("h"), "open_time")).alias("peak"),
-        F.sum(F.when(F.col("open_time") < F.col("cross_time"), F.col("quote_volume")).otherwise(0.0)).alias("volume_before"),
-        F.count(F.lit(1)).alias("bars"),
-    ).withColumn("peak_time", F.col("peak.open_time")).drop("peak")
-    return surges.join(totals, ["symbol", "event_date"], "left")
+def event_records(resolved: DataFrame, bars: DataFrame, step_seconds: int, window_seconds: int) -> DataFrame:
+    """``resolved``: first surges with their trades. Adds what an event's record holds: of its day open, high, close, quote
+    volume, trades, the close of its first bar, the time of its first highest bar; the close of the day before (its own open,
+    where that has no bar); gains in percent up to the high (from the day before, the open and the first close) and of
+    the crossing trade; minutes from the day's start to crossing and peak; of the bars from ``window_seconds`` before the day
+    up to the crossing the number and the quote volume; how many bars are missing of the day with that time before it, and
+    of the time from baseline to crossing; and quality: warning where a bar or a trade is missing or the trades lie further
+    apart than the window, else pass."""
+    keys = ["symbol", "event_date"]
+    second, day = F.unix_seconds("open_time"), lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    # A bar counts for its own day and, in the time before the next one, for that as well; the day before gives its close.
+    dates = F.array(F.to_date("open_time"), F.date_add(F.to_date("open_time"), 1))
+    spread = bars.where("close is not null").withColumn("event_date", F.explode(dates))
+    rows = resolved.select(*keys, "cross_time", "baseline_time").join(spread, keys)
+    begin, at, cross = day("event_date"), second, F.unix_seconds("cross_time")
+    own, loaded = at >= begin, at >= begin - window_seconds
+    inside = lambda c: F.when(own, F.col(c))
+    totals = rows.groupBy(*keys).agg(
+        F.min_by(inside("open"), inside("open_time")).alias("day_open"), F.max(inside("high")).alias("day_high"), F.max_by(inside("close"), inside("open_time")).alias("day_close"),
+        F.sum(inside("quote_volume")).alias("day_quote"), F.sum(inside("trade_count")).alias("day_trades"), F.min_by(inside("close"), inside("open_time")).alias("first_close"),
+        F.min(F.when(own, F.struct((-F.col("high")).alias("h"), "open_time"))).alias("peak"), F.max_by(F.when(~own, F.col("close")), F.when(~own, F.col("open_time"))).alias("previous_close"),
+        F.count_if(own).alias("bars"), F.count_if(loaded & (at < cross)).alias("bars_before"), F.sum(F.when(loaded & (at < cross), F.col("quote_volume")).otherwise(0.0)).alias("volume_before"),
+        F.count_if(loaded).alias("loaded"), F.count_if((at >= F.unix_seconds("baseline_time")) & (at <= cross)).alias("window_bars"),
+    )
+    out = resolved.join(totals, keys, "left")
+    elapsed = (F.unix_micros("cross_trade_time") - F.unix_micros("baseline_trade_time")) / 1e6
+    expected = lambda seconds: F.floor(seconds / step_seconds)
+    out = out.withColumns({
+        "peak_time": F.col("peak.open_time"), "previous_close": F.coalesce("previous_close", "day_open"), "exact_seconds": elapsed,
+        "exact_window": holds((elapsed > 0) & (elapsed <= window_seconds)),
+        "missing_bars": F.greatest(F.lit(0), expected(F.lit(86_400 + window_seconds)) - F.coalesce("loaded", F.lit(0))).cast("long"),
+        "missing_window_bars": F.greatest(F.lit(0), expected(F.unix_seconds("cross_time") - F.unix_seconds("baseline_time")) + 1 - F.coalesce("window_bars", F.lit(0))).cast("long"),
+        "crossed_in_first_bar": F.col("cross_time") == F.col("event_date").cast("timestamp"),
+        "day_minutes_to_cross": F.floor((F.unix_seconds("cross_time") - day("event_date")) / 60).cast("long"),
+    })
+    poor = (F.col("missing_bars") > 0) | (F.col("missing_window_bars") > 0) | F.col("baseline_trade_time").isNull() | F.col("cross_trade_time").isNull() | ~F.col("exact_window")
+    return out.withColumns({
+        "day_minutes_to_peak": F.floor((F.unix_seconds("peak_time") - day("event_date")) / 60).cast("long"), "previous_close_to_high": pct_change(F.col("previous_close"), F.col("day_high")),
+        "open_to_high": pct_change(F.col("day_open"), F.col("day_high")), "first_close_to_high": pct_change(F.col("first_close"), F.col("day_high")),
+        "gain_at_cross": pct_change(F.col("baseline_low"), F.col("cross_trade_price")), "quality": F.when(poor, "warning").otherwise("pass"),
+    }).drop("peak", "loaded", "window_bars")
 
 
 def decision_observations(
@@ -177,10 +206,26 @@ def first_future_cross(baselines: DataFrame, grid: DataFrame, w: int, factor: fl
     return baselines.join(hit.groupBy("symbol", "open_time").agg(F.min("at").alias("first_future_cross")), ["symbol", "open_time"], "left")
 
 
-def scan_issues(resolved: DataFrame) -> DataFrame:
-    """Per symbol its events and how many of them have no trade at the baseline or at the crossing: a scan keeps such rows
-    and reports them."""
-    return resolved.groupBy("symbol").agg(
+def scan_issues(records: DataFrame) -> DataFrame:
+    """``records`` of event_records. Per symbol its events, how many of them have no trade at the baseline or at the
+    crossing, bars missing in their window, or trades too far apart, and how many pass: a scan keeps such rows and reports
+    them."""
+    return records.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("baseline_trade_time").isNull()).alias("baseline_unresolved"),
-        F.count_if(F.col("cross_trade_time").isNull()).alias("cross_unresolved"),
+        F.count_if(F.col("cross_trade_time").isNull()).alias("cross_unresolved"), F.count_if(F.col("missing_window_bars") > 0).alias("gaps_in_window"),
+        F.count_if(~F.col("exact_window")).alias("outside_window"), F.count_if(F.col("quality") == "pass").alias("passed"),
     )
+
+
+def scan_windows(scans: DataFrame, today: Column, longest: int = 240) -> DataFrame:
+    """``scans``: start_date and end_date (days; the end isn't in the window; null both for the last days up to today) and
+    lookback. Adds first_day, last_day, load_from (a day earlier, for the day before the first) and issues: one_bound_missing,
+    order, incomplete_day (it reaches into today), length (not 1 to ``longest`` days)."""
+    both, none = F.col("start_date").isNotNull() & F.col("end_date").isNotNull(), F.col("start_date").isNull() & F.col("end_date").isNull()
+    end = F.when(none, today).otherwise(F.col("end_date"))
+    start = F.when(none, F.date_sub(today, F.col("lookback"))).otherwise(F.col("start_date"))
+    days = F.datediff("end_", "start_")
+    found = {"one_bound_missing": ~both & ~none, "order": days <= 0, "incomplete_day": F.col("end_") > today, "length": (days < 1) | (days > longest)}
+    issues = F.array_compact(F.array(*(F.when(holds(c), F.lit(k)) for k, c in found.items())))
+    out = scans.withColumns({"start_": start, "end_": end}).withColumn("issues", issues)
+    return out.withColumns({"first_day": F.col("start_"), "last_day": F.date_sub("end_", 1), "load_from": F.date_sub("start_", 1)}).drop("start_", "end_")

@@ -339,12 +339,41 @@ def o25(spark, sf):
     return rounded(found.select("symbol", "event_date", *shown), 4)
 
 
-@query("o64_event_record", f"""WITH {_S} SELECT su.symbol, su.event_date::VARCHAR AS event_date, round(first(open ORDER BY open_time), 6) AS day_open, round(max(high), 6) AS day_high, round(last(close ORDER BY open_time), 6) AS day_close,
-  {_TS.format('first(open_time ORDER BY high DESC, open_time)')} AS peak_time, round(sum(CASE WHEN open_time < cross_time THEN quote_volume ELSE 0 END), 4) AS volume_before, count(*) AS bars
-  FROM su JOIN ba ON ba.symbol = su.symbol AND CAST(open_time AS DATE) = su.event_date GROUP BY 1, 2""")
+_EVENT_NUMBERS = (
+    "day_open", "day_high", "day_close", "day_quote", "first_close", "previous_close", "volume_before", "previous_close_to_high", "open_to_high", "first_close_to_high",
+    "gain_at_cross", "exact_seconds",
+)
+_EVENT_COUNTS = ("day_trades", "bars", "bars_before", "missing_bars", "missing_window_bars", "day_minutes_to_cross", "day_minutes_to_peak")
+_ER = _R + """, el AS (
+  SELECT re.*, ba.* EXCLUDE (symbol), event_date::TIMESTAMP AS day, open_time >= event_date AS own, open_time >= event_date - INTERVAL 8 HOUR AS loaded
+  FROM re JOIN ba ON ba.symbol = re.symbol AND open_time >= event_date - INTERVAL 1 DAY AND open_time < event_date + INTERVAL 1 DAY
+), et AS (
+  SELECT symbol, event_date, first(open ORDER BY open_time) FILTER (own) AS day_open, max(high) FILTER (own) AS day_high, last(close ORDER BY open_time) FILTER (own) AS day_close,
+    sum(quote_volume) FILTER (own) AS day_quote, sum(trade_count) FILTER (own)::BIGINT AS day_trades, first(close ORDER BY open_time) FILTER (own) AS first_close,
+    first(open_time ORDER BY high DESC, open_time) FILTER (own) AS peak_time, last(close ORDER BY open_time) FILTER (NOT own) AS before_close, count(*) FILTER (own) AS bars,
+    count(*) FILTER (loaded AND open_time < cross_time) AS bars_before, coalesce(sum(quote_volume) FILTER (loaded AND open_time < cross_time), 0) AS volume_before,
+    count(*) FILTER (loaded) AS n_loaded, count(*) FILTER (open_time BETWEEN baseline_time AND cross_time) AS n_window FROM el GROUP BY 1, 2
+), eq AS (
+  SELECT re.*, et.* EXCLUDE (symbol, event_date), coalesce(before_close, day_open) AS previous_close, (epoch_us(cross_trade_time) - epoch_us(baseline_trade_time)) / 1e6::DOUBLE AS exact_seconds,
+    coalesce(exact_seconds > 0 AND exact_seconds <= 28800, false) AS exact_window, greatest(0, 32 - n_loaded) AS missing_bars,
+    greatest(0, ((epoch(cross_time) - epoch(baseline_time)) / 3600)::BIGINT + 1 - n_window) AS missing_window_bars, cross_time = event_date AS crossed_in_first_bar,
+    ((epoch(cross_time) - epoch(event_date::TIMESTAMP)) / 60)::BIGINT AS day_minutes_to_cross, ((epoch(peak_time) - epoch(event_date::TIMESTAMP)) / 60)::BIGINT AS day_minutes_to_peak,
+    (day_high / coalesce(before_close, day_open) - 1) * 100 AS previous_close_to_high, (day_high / day_open - 1) * 100 AS open_to_high, (day_high / first_close - 1) * 100 AS first_close_to_high,
+    (cross_trade_price / baseline_low - 1) * 100 AS gain_at_cross FROM re JOIN et USING (symbol, event_date)
+), er AS (
+  SELECT *, CASE WHEN missing_bars > 0 OR missing_window_bars > 0 OR baseline_trade_time IS NULL OR cross_trade_time IS NULL OR NOT exact_window THEN 'warning' ELSE 'pass' END AS quality FROM eq)"""
+
+
+def event_records(spark: SparkSession, sf: str) -> DataFrame:
+    resolved = surge.resolved_trades(first_surges(spark, sf), stored(spark, sf), "1 hour", FACTOR)
+    return surge.event_records(resolved, bars(spark, sf), 3600, WINDOW * 3600)
+
+
+@query("o64_event_record", f"""WITH {_ER} SELECT symbol, event_date::VARCHAR AS event_date, {_TS.format('peak_time')} AS peak_time, exact_window, crossed_in_first_bar, quality,
+  {', '.join(f'{c}::BIGINT AS {c}' for c in _EVENT_COUNTS)}, {', '.join(f'round({c}, 4) AS {c}' for c in _EVENT_NUMBERS)} FROM er""")
 def o64(spark, sf):
-    found = surge.event_records(first_surges(spark, sf), bars(spark, sf)).withColumn("volume_before", F.round("volume_before", 4))
-    return rounded(found.select("symbol", "event_date", "day_open", "day_high", "day_close", "peak_time", "volume_before", "bars"))
+    found = event_records(spark, sf).select("symbol", "event_date", "peak_time", "exact_window", "crossed_in_first_bar", "quality", *_EVENT_COUNTS, *_EVENT_NUMBERS)
+    return rounded(found.withColumns({c: F.col(c).cast("long") for c in _EVENT_COUNTS}), 4)
 
 
 @query("o65_decisions", f"""WITH {_B}, mo AS (SELECT * REPLACE (open_time + INTERVAL 150 DAY AS open_time) FROM ba), al AS (SELECT * FROM ba UNION ALL SELECT * FROM mo),
@@ -362,18 +391,36 @@ def o65(spark, sf):
     return rounded(surge.decision_observations(all_, dates, "1 hour"))
 
 
-@query("o38_algorithmic_baseline", f"""WITH {_G}, nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), wi AS (
+def _baselines_sql(factor: float) -> str:
+    """ab: the algorithmic baseline of each bar taken as a crossing, over the grid gr."""
+    gain = "(f.high_after / w.base.l - 1) * 100"
+    return f"""nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), wi AS (
   SELECT symbol, open_time, i, sum(observed::INT) OVER b = 7 AS whole, min(CASE WHEN observed THEN struct_pack(l := low, m := -i) END) OVER b AS base,
          CASE WHEN sum(observed::INT) OVER a = 7 THEN max(high) OVER a END AS high_after FROM nu
-  WINDOW b AS ({_BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), a AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
-  SELECT w.symbol, {_TS.format('w.open_time')} AS open_time, {_TS.format('f.open_time')} AS baseline_time, round(w.base.l, 6) AS baseline_low, CAST(w.i + w.base.m AS BIGINT) AS duration,
-         round((f.high_after / w.base.l - 1) * 100, 6) AS future_gain, coalesce((f.high_after / w.base.l - 1) * 100 + 1e-12 >= 25, false) AS contaminated
-  FROM wi w JOIN wi f ON f.symbol = w.symbol AND f.i = -w.base.m WHERE w.whole AND f.high_after IS NOT NULL""")
+  WINDOW b AS ({_BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), a AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)
+), ab AS (
+  SELECT w.symbol, w.open_time, f.open_time AS baseline_time, w.base.l AS baseline_low, CAST(w.i + w.base.m AS BIGINT) AS duration, {gain} AS future_gain,
+         coalesce({gain} + 1e-12 >= {(factor - 1) * 100}, false) AS contaminated
+  FROM wi w JOIN wi f ON f.symbol = w.symbol AND f.i = -w.base.m WHERE w.whole AND f.high_after IS NOT NULL)"""
+
+
+@query("o38_algorithmic_baseline", f"""WITH {_G}, {_baselines_sql(FACTOR)}
+  SELECT symbol, {_TS.format('open_time')} AS open_time, {_TS.format('baseline_time')} AS baseline_time, round(baseline_low, 6) AS baseline_low, duration,
+         round(future_gain, 6) AS future_gain, contaminated FROM ab""")
 def o38(spark, sf):
     found = surge.algorithmic_baseline(grid(spark, sf), WINDOW, FACTOR)
     return rounded(found.withColumn("duration", F.col("duration").cast("long")))
 
 
+@query("o38_first_future_cross", f"""WITH {_G}, {_baselines_sql(FACTOR)}
+  SELECT ab.symbol, {_TS.format('ab.open_time')} AS open_time, {_TS.format('min(gr.open_time)')} AS first_future_cross
+  FROM ab LEFT JOIN gr ON contaminated AND gr.symbol = ab.symbol AND gr.open_time > baseline_time AND gr.open_time <= baseline_time + INTERVAL 7 HOUR AND gr.high >= baseline_low * {FACTOR} GROUP BY 1, 2""")
+def o38_crosses(spark, sf):
+    bars_ = grid(spark, sf)
+    found = surge.first_future_cross(surge.algorithmic_baseline(bars_, WINDOW, FACTOR), bars_, WINDOW, FACTOR, 3600)
+    return rounded(found.select("symbol", "open_time", "first_future_cross"))
+
+
 # Window features
 
 

@@ -3,13 +3,16 @@ SQL can say it. Windows count hourly bars."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import confirmation, context, inference, packaging, samples, splits, surge
 from ..sources.staging import staged
-from .catalog import _B, _BAND, _BY, _G, _R, _S, _TS, bars, first_surges, grid, query, rounded, tape
+from ..sources.staging import checkpoint_root
+from .catalog import _B, _BAND, _BY, _ER, _G, _R, _S, _TS, _baselines_sql, bars, event_records, first_surges, grid, query, rounded, tape
 
 HOUR, AWAY = 3600, 6 * 3600
 
@@ -138,15 +141,40 @@ def o39(spark, sf):
     return rounded(out.withColumn("volume_before", F.round("volume_before", 4)))
 
 
-@query("o37_local_low_controls")
-def o37(spark, sf):
+_LOW = ", ".join(map(str, samples.LOW_OFFSETS))
+_KNOWN = "EXISTS (SELECT 1 FROM kn WHERE kn.symbol = {0}.symbol AND abs(epoch_us({1}) - epoch_us(kn.t)) < 7200 * 1000000::BIGINT)"
+_LL = _CC.replace(_OFFSETS, _LOW) + f""", gr AS {_G.split(', gr AS', 1)[1]}, {_baselines_sql(1.6)}, kn AS (SELECT symbol, cross_time AS t FROM su UNION ALL SELECT symbol, baseline_time FROM su),
+  lg AS (SELECT *, count(*) OVER w AS there, coalesce(sum(observed::INT) OVER w, 0) / 72.0::DOUBLE AS part, CASE WHEN count(quote_volume) OVER v = 3 THEN sum(quote_volume) OVER v END AS vol FROM gr
+    WINDOW w AS ({_BY} ROWS BETWEEN 72 PRECEDING AND 1 PRECEDING), v AS ({_BY} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+  lb AS (SELECT cc.*, baseline_time, duration * 60 AS minutes, contaminated, (SELECT minutes_to_cross FROM ev WHERE ev.event_id = cc.event_id) AS event_minutes
+    FROM cc LEFT JOIN ab ON ab.symbol = cc.symbol AND ab.open_time = date_trunc('hour', t)),
+  lj AS (SELECT lb.*, abs(minutes - event_minutes) AS differ, CASE WHEN {_KNOWN.format('lb', 'lb.t')} THEN 'within_known_event' WHEN baseline_time IS NULL THEN 'incomplete_algorithm_window'
+      WHEN contaminated THEN 'future_contamination' WHEN {_BAND.format('minutes')} <> {_BAND.format('event_minutes')} THEN 'duration_band_mismatch'
+      WHEN {_KNOWN.format('lb', 'baseline_time')} THEN 'baseline_within_known_event' WHEN there < 72 OR part < 0.9 THEN 'insufficient_prior_history' WHEN vol IS NULL THEN 'missing_entry_liquidity'
+      WHEN vol < 3000 THEN 'below_entry_liquidity_floor' ELSE 'pass' END AS reason
+    FROM lb LEFT JOIN lg ON lg.symbol = lb.symbol AND lg.open_time = baseline_time),
+  lt AS (SELECT *, (CASE WHEN off_ = 0 AND differ <= 30 THEN 0 WHEN off_ = 0 THEN 1 WHEN abs(off_) <= 60 AND differ <= 30 THEN 2 WHEN abs(off_) <= 60 THEN 3 ELSE 4 END)::INT AS tier FROM lj)"""
+
+
+def _low_judged(spark, sf) -> DataFrame:
     events = _events(spark, sf)
     found = samples.clock_candidates(events.drop("baseline_time", "event_duration"), _days(spark, sf), samples.LOW_OFFSETS)
     found = found.join(events.select("event_id", "event_duration"), "event_id")
     known = events.select("symbol", "event_time").unionByName(events.select("symbol", F.col("baseline_time").alias("event_time")))
     baselines = surge.algorithmic_baseline(grid(spark, sf), 8, 1.6)
-    judged = samples.judged_low_controls(found, known, baselines, samples.baseline_gate(grid(spark, sf), 72, 3, 25000.0, part=0.9), 2 * HOUR, 60, "hour")
-    chosen = samples.select_controls(judged, 3, "reused_control_baseline").withColumnRenamed("key", "baseline_time")
+    return samples.judged_low_controls(found, known, baselines, samples.baseline_gate(grid(spark, sf), 72, 3, 3000.0, part=0.9), 2 * HOUR, 60, "hour")
+
+
+@query("o37_judged_low_controls", f"""WITH {_LL} SELECT event_id, {_TS.format('t')} AS at, off_ AS "offset", reason, {_TS.format('baseline_time')} AS baseline_time, minutes::BIGINT AS duration,
+  round(differ, 6) AS duration_difference, CASE WHEN baseline_time IS NOT NULL THEN tier END AS tier FROM lt""")
+def o37_judged(spark, sf):
+    rows = _low_judged(spark, sf).withColumn("tier", F.when(F.col("baseline_time").isNotNull(), F.col("tier")))
+    return rounded(rows.select("event_id", "at", "offset", "reason", "baseline_time", F.col("duration").cast("long").alias("duration"), "duration_difference", "tier"))
+
+
+@query("o37_local_low_controls")
+def o37(spark, sf):
+    chosen = samples.select_controls(_low_judged(spark, sf), 3, "reused_control_baseline").withColumnRenamed("key", "baseline_time")
     return rounded(samples.control_ids(chosen, "local-low-control", "at", "baseline_time").withColumn("match_tier", samples.named(F.col("tier"), samples.LOW_TIERS)))
 
 
@@ -322,13 +350,13 @@ _CF = f"""w0 AS (SELECT symbol, open_time, close, {', '.join(map(_window_columns
   rp AS (SELECT open_time, avg(return_24) FILTER (symbol IN ('click', 'view')) AS proxy FROM w1 GROUP BY 1),
   cf AS (SELECT w1.*, volatility_24 / nullif(volatility_168, 0) AS volatility_ratio, return_24 - (return_72 - return_24) / 2 AS acceleration, ((1 + return_168 / 100) / (1 + return_24 / 100) - 1) * 100 AS prior_week,
     CASE WHEN quote_72 - quote_24 > 0 THEN quote_24 / ((quote_72 - quote_24) / 2) END AS volume_rate, CASE WHEN trades_72 - trades_24 > 0 THEN trades_24 / ((trades_72 - trades_24) / 2) END AS trade_rate,
-    return_24 - proxy AS relative_day, coalesce(volume_now >= 25000, false) AS liquid,
-    CASE WHEN close IS NULL THEN 'missing_decision_bar' WHEN observed_part >= 0.995 AND coalesce(volume_now >= 25000, false) THEN 'pass' WHEN observed_part >= 0.98 THEN 'warning' ELSE 'insufficient_history' END AS quality
+    return_24 - proxy AS relative_day, coalesce(volume_now >= 2000, false) AS liquid,
+    CASE WHEN close IS NULL THEN 'missing_decision_bar' WHEN observed_part >= 0.9 AND coalesce(volume_now >= 2000, false) THEN 'pass' WHEN observed_part >= 0.8 THEN 'warning' ELSE 'insufficient_history' END AS quality
     FROM w1 LEFT JOIN rp USING (open_time))"""
 
 
 def _features(spark, sf, references=_REFS) -> DataFrame:
-    return context.context_features(grid(spark, sf), 24, 240, 3, 25000.0, list(references))
+    return context.context_features(grid(spark, sf), 24, 240, 3, 2000.0, list(references), (0.9, 0.8))
 
 
 @query("o54_o59_context_features", f"""WITH {_G}, {_CF} SELECT symbol, {_TS.format('open_time')} AS open_time, quality, liquid, round(quote_24 / nullif(quote_72, 0), 4) AS volume_share_1_of_3, round(quote_24 / nullif(quote_168, 0), 4) AS volume_share_1_of_7,
@@ -365,6 +393,47 @@ def o107(spark, sf):
     return _baseline_rows(spark, sf).select("sample_id", "label", "offset", "stage", "quality", "contaminated", "h1", "h2", "h3")
 
 
+_OUT = f"""{_MS}, gr AS {_G.split(', gr AS', 1)[1]}, bo AS (SELECT ms.sample_id, ms.symbol, baseline_anchor, cross_anchor, low AS bl, close AS bc FROM ms LEFT JOIN gr ON gr.symbol = ms.symbol AND open_time = baseline_anchor),
+  oc AS (SELECT sample_id, max(high) AS h, min(low) AS l, avg(observed::INT) AS o FROM ms JOIN gr ON gr.symbol = ms.symbol AND open_time BETWEEN baseline_anchor AND cross_anchor GROUP BY 1),
+  ox AS (SELECT sample_id, max(high) AS h, min(low) AS l, avg(observed::INT) AS o FROM ms JOIN gr ON gr.symbol = ms.symbol AND open_time BETWEEN baseline_anchor AND baseline_anchor + INTERVAL 19 HOUR GROUP BY 1),
+  oe AS (SELECT sample_id, close AS entry FROM ms JOIN gr ON gr.symbol = ms.symbol AND open_time = baseline_anchor - INTERVAL 1 HOUR)"""
+_BASE = "CASE WHEN bl > 0 THEN bl ELSE bc END"
+
+
+@query("o107_outcomes", f"""WITH {_OUT} SELECT bo.sample_id, round(oc.h, 6) AS to_cross_high, {', '.join(f"round(({a}.h / {_BASE} - 1) * 100, 4) AS outcome_{n}_gain, round(({a}.l / bc - 1) * 100, 4) AS outcome_{n}_drawdown, round(coalesce({a}.o, 0), 4) AS outcome_{n}_observed" for a, n in (('oc', 'to_cross'), ('ox', 'next')))}
+  FROM bo LEFT JOIN oc USING (sample_id) LEFT JOIN ox USING (sample_id)""")
+def o107_outcomes(spark, sf):
+    found = samples.baseline_outcomes(_matched(spark, sf), grid(spark, sf), HOUR, 20).withColumn("to_cross_high", F.round("to_cross_high", 6))
+    return rounded(found, 4)
+
+
+@query("o58_sample_outcomes", f"""WITH {_OUT} SELECT bo.sample_id, round(entry, 4) AS entry, {', '.join(f"round(({a}.h / entry - 1) * 100, 4) AS outcome_{n}_gain, round(({a}.l / entry - 1) * 100, 4) AS outcome_{n}_drawdown, round(coalesce({a}.o, 0), 4) AS outcome_{n}_observed" for a, n in (('oc', 'to_anchor'), ('ox', 'next')))}
+  FROM bo LEFT JOIN oe USING (sample_id) LEFT JOIN oc USING (sample_id) LEFT JOIN ox USING (sample_id)""")
+def o58_samples(spark, sf):
+    own = _matched(spark, sf).select("sample_id", "symbol", F.col("baseline_anchor").alias("at"), F.col("cross_anchor").alias("anchor"))
+    return rounded(samples.sample_outcomes(own, grid(spark, sf), HOUR, 20).drop("symbol", "at", "anchor"), 4)
+
+
+_CO = f"""{_AU}, {_CF}, k0 AS (SELECT *, row_number() OVER ({_BY}) AS i, CASE WHEN count(quote_volume) OVER w4 = 4 THEN sum(quote_volume) OVER w4 END AS v, min(low) OVER d AS l, max(high) OVER d AS h, lag(close, 4) OVER ({_BY}) AS c4,
+    [x for x in [lag(close, 3) OVER ({_BY}), lag(close, 2) OVER ({_BY}), lag(close, 1) OVER ({_BY}), close] if x IS NOT NULL] AS c FROM gr WINDOW w4 AS ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), d AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+  k1 AS (SELECT *, list_filter([{', '.join(f'lag(v, {24 * d}) OVER ({_BY})' for d in range(1, 8))}], lambda x: x IS NOT NULL) AS e FROM k0),
+  kf AS (SELECT symbol, open_time, (close / c4 - 1) * 100 AS return_short, v / nullif(list_median(e), 0) AS clock_ratio, CASE WHEN h > l THEN (close - l) / (h - l) END AS position,
+    CASE WHEN len(c) > 1 THEN (list_max(flatten([[c[b] / c[a] for a in range(1, b + 1)] for b in range(1, len(c) + 1)])) - 1) * 100 END AS runup FROM k1),
+  co AS (SELECT sample_id, label, contaminated, kf.*, coalesce(liquid, false) AS liquid, CASE WHEN contaminated THEN 'contaminated_control' ELSE coalesce(quality, 'missing_decision_bar') END AS quality,
+    coalesce(return_short >= 0.9, false)::INT + coalesce(clock_ratio >= 12, false)::INT + coalesce(position >= 0.74, false)::INT + coalesce(runup >= 3.3, false)::INT AS late_components
+    FROM au LEFT JOIN cf ON cf.symbol = au.symbol AND cf.open_time = cross_anchor - INTERVAL 2 HOUR LEFT JOIN kf ON kf.symbol = au.symbol AND kf.open_time = cross_anchor - INTERVAL 2 HOUR)"""
+
+
+@query("o107_continuation_rows", f"""WITH {_CO} SELECT sample_id, label, quality, contaminated, round(return_short, 4) AS return_short, round(clock_ratio, 4) AS clock_ratio, round(position, 4) AS position, round(runup, 4) AS runup,
+  late_components::INT AS late_components, liquid AND late_components >= 3 AS "trigger" FROM co""")
+def o107_continuation(spark, sf):
+    own, bars_ = _matched(spark, sf), grid(spark, sf)
+    audit = samples.window_audit(own, bars_, HOUR, 25.0)
+    features = _features(spark, sf).drop("position", "runup", "return_short", "clock_ratio").join(context.continuation_features(bars_, 4, 24), ["symbol", "open_time"])
+    rows = context.continuation_rows(own, features, audit, 1, HOUR)
+    return rounded(rows.select("sample_id", "label", "quality", "contaminated", "return_short", "clock_ratio", "position", "runup", "late_components", "trigger"), 4)
+
+
 @query("o108_rows_without_references", f"WITH {_BR} SELECT sample_id, label, off_::INT AS \"offset\", quality, NULL::BOOLEAN AS h2, h3 AS signal FROM br")
 def o108(spark, sf):
     return _baseline_rows(spark, sf, ()).select("sample_id", "label", "offset", "quality", "h2", F.col("h3").alias("signal"))
@@ -586,6 +655,59 @@ def o121(spark, sf):
     return rounded(own.withColumn("quote_volume", F.round("quote_volume", 4)))
 
 
-@query("o66_scan", f"""WITH {_R} SELECT symbol, count(*) AS events, count(*) FILTER (baseline_trade_time IS NULL) AS baseline_unresolved, count(*) FILTER (cross_trade_time IS NULL) AS cross_unresolved FROM re GROUP BY 1""")
+@query("o66_scan", f"""WITH {_ER} SELECT symbol, count(*) AS events, count(*) FILTER (baseline_trade_time IS NULL) AS baseline_unresolved, count(*) FILTER (cross_trade_time IS NULL) AS cross_unresolved,
+  count(*) FILTER (missing_window_bars > 0) AS gaps_in_window, count(*) FILTER (NOT exact_window) AS outside_window, count(*) FILTER (quality = 'pass') AS passed FROM er GROUP BY 1""")
 def o66(spark, sf):
-    return surge.scan_issues(surge.resolved_trades(first_surges(spark, sf), tape(spark, sf), "1 hour", 1.25))
+    return surge.scan_issues(event_records(spark, sf))
+
+
+_SCANS = "sn AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE END AS a, CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 THEN o_orderdate::DATE + (o_orderkey % 400 - 20)::INT END AS b FROM orders)"
+
+
+def _scans(spark, sf) -> DataFrame:
+    """Orders as scans asked for: with days, with one of them, or without."""
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    return spark.read.parquet(f"{sf}/orders.parquet").select(
+        "o_orderkey", F.when(key % 7 > 0, day).alias("start_date"), F.when((key % 5 > 0) & (key % 7 > 0), F.date_add(day, (key % 400 - 20).cast("int"))).alias("end_date"),
+    )
+
+
+@query("o66_scan_windows", f"""WITH {_SCANS}, w AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN DATE '1996-06-01' - 60 ELSE a END AS s, CASE WHEN a IS NULL AND b IS NULL THEN DATE '1996-06-01' ELSE b END AS e FROM sn)
+  SELECT o_orderkey, s::DATE::VARCHAR AS first_day, (e - 1)::DATE::VARCHAR AS last_day, (s - 1)::DATE::VARCHAR AS load_from, array_to_string(list_filter([CASE WHEN (a IS NULL) <> (b IS NULL) THEN 'one_bound_missing' END,
+    CASE WHEN e::DATE - s::DATE <= 0 THEN 'order' END, CASE WHEN e > DATE '1996-06-01' THEN 'incomplete_day' END, CASE WHEN e::DATE - s::DATE NOT BETWEEN 1 AND 240 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS issues FROM w""")
+def o66_windows(spark, sf):
+    found = surge.scan_windows(_scans(spark, sf).withColumn("lookback", F.lit(60)), F.lit("1996-06-01").cast("date"))
+    return rounded(found.withColumn("issues", F.concat_ws(",", "issues")).select("o_orderkey", "first_day", "last_day", "load_from", "issues"))
+
+
+@query("o122_evidence", f"""WITH {_SCANS} SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'guard_before' END, CASE WHEN o_orderkey % 4 = 0 THEN 'guard_after' END, CASE WHEN o_orderkey % 11 = 0 THEN 'window' END,
+  CASE WHEN a IS NULL OR b IS NULL THEN 'explicit_window' END, CASE WHEN a IS NOT NULL AND b > DATE '1996-01-01' THEN 'cutoff' END], lambda x: x IS NOT NULL), ',') AS issues FROM sn""")
+def o122(spark, sf):
+    key = F.col("o_orderkey")
+    guards = {"guard_before": F.when(key % 3 == 0, 479).otherwise(480), "guard_after": F.when(key % 4 != 0, 600), "window_minutes": F.when(key % 11 == 0, 60).otherwise(480)}
+    found = packaging.evidence_issues(_scans(spark, sf).withColumns(guards), "1996-01-01")
+    return found.select("o_orderkey", F.concat_ws(",", "issues").alias("issues"))
+
+
+def _written(spark, name: str) -> str:
+    return f"{checkpoint_root(spark)}/barlab/{name}-{uuid.uuid4().hex}"
+
+
+@query("o113_reference_package", f"""WITH {_SA}, gr AS {_G.split(", gr AS", 1)[1]}, pk AS (SELECT 'reference_data' AS part, symbol FROM gr WHERE symbol IN ('click', 'view') UNION ALL
+    SELECT 'universe_daily_data', symbol FROM (SELECT DISTINCT symbol, open_time::DATE FROM gr WHERE observed) UNION ALL SELECT DISTINCT 'universe_symbols', symbol FROM gr)
+  SELECT part, symbol, count(*) AS rows FROM pk GROUP BY 1, 2""")
+def o113_package(spark, sf):
+    return packaging.reference_package(grid(spark, sf), _samples(spark, sf), list(_REFS), _written(spark, "reference"))
+
+
+@query("o113_daily_bars", f"""WITH {_B} SELECT symbol, open_time::DATE::VARCHAR AS day, round(first(open ORDER BY open_time), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(last(close ORDER BY open_time), 6) AS close,
+  round(sum(quote_volume), 4) AS quote_volume, sum(trade_count)::BIGINT AS trade_count FROM ba GROUP BY 1, 2""")
+def o113_daily(spark, sf):
+    found = packaging.daily_bars(grid(spark, sf)).withColumn("quote_volume", F.round("quote_volume", 4))
+    return rounded(found.select("symbol", "day", "open", "high", "low", "close", "quote_volume", "trade_count"))
+
+
+@query("o116_split_packages", f"""WITH {_SP}, ev AS (SELECT symbol || '@' || su.event_date::VARCHAR AS event_id, split FROM su JOIN sp USING (event_date)) SELECT split, split = 'sealed_test' AS sealed, count(*) AS events, min(event_id) AS first_event FROM ev GROUP BY 1""")
+def o116(spark, sf):
+    read = packaging.write_by_split(_events(spark, sf), _written(spark, "splits"))
+    return read.groupBy("split", "sealed").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"))

@@ -442,10 +442,6 @@ def test_packages(spark, tmp_path):
     assert [(r.symbol, r.chunk) for r in packaging.first_fit_chunks(sizes, 11).orderBy("symbol").collect()] == [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 3)]
     rows = spark.createDataFrame([("x", "discovery"), ("y", "sealed_test")], "id string, split string")
     assert sorted((r.id, r.split, r.sealed) for r in packaging.write_by_split(rows, f"{tmp_path}/out").collect()) == [("x", "discovery", False), ("y", "sealed_test", True)]
-    assert packaging.staged_evidence(480, 480, 480, "2025-01-01", "2025-12-31", "2026-01-01") == []
-    assert packaging.staged_evidence(60, 480, 479, None, "2025-12-31", "2026-01-01") == ["guard_after", "window", "explicit_window"]
-    assert packaging.staged_evidence(480, 480, 480, "2025-01-01", "2026-02-01", "2026-01-01") == ["cutoff"]
-    assert packaging.scan_window_issues("2024-01-01", "2024-12-01", "2024-11-01") == ["incomplete_day", "length"]
     raw = spark.createDataFrame([("1704067199999",), ("1704067200000",), ("head",)], ["time"])
     assert src.write_before_cutoff(raw, 1704067200000, f"{tmp_path}/cut").count() == 1
     empty = src.write_before_cutoff(raw, 0, f"{tmp_path}/none")
