@@ -58,6 +58,21 @@ def normalised_reference(frame: DataFrame, symbol: str | None, columns: list[str
     return named.select("symbol", "open_time", *(F.col(c) if c in frame.columns else F.lit(None).cast("double").alias(c) for c in columns), "observed")
 
 
+#: What the columns of bar packages mean.
+MEANINGS = {
+    "symbol": "trading pair", "open_time": "start of the bar, UTC", "open": "first price", "high": "highest price", "low": "lowest price", "close": "last price",
+    "volume": "base units traded", "quote_volume": "quote units traded", "trade_count": "number of trades", "taker_buy_base": "base units bought by takers",
+    "taker_buy_quote": "quote units bought by takers", "observed": "false where the bar is missing: its values are null, never filled in",
+    "relative_bar": "bars from the anchor, below zero before it", "label": "1 for an event, 0 for a control",
+}
+
+
+def data_dictionary(rows: DataFrame) -> DataFrame:
+    """A row a column of ``rows``, in order: position, column, type and what it means (null where that isn't known)."""
+    found = [(i, f.name, f.dataType.simpleString(), MEANINGS.get(f.name)) for i, f in enumerate(rows.schema.fields)]
+    return rows.sparkSession.createDataFrame(found, "position int, column string, type string, meaning string")
+
+
 def universe_audit(grid: DataFrame, samples: DataFrame) -> DataFrame:
     """Per symbol of the grid: bars, observed bars, first and last of them, and its samples."""
     bars = grid.groupBy("symbol").agg(

@@ -112,7 +112,8 @@ _S = _B + """, cr AS (
 # Sources
 
 
-@query("o09_trade_reader", f"WITH {_T} SELECT symbol, trade_id, {_TS.format('ts')} AS ts, round(price, 6) AS price, round(qty, 6) AS qty, is_buyer_maker FROM tr")
+@query("o09_trade_reader", f"""WITH {_T} SELECT symbol, trade_id, {_TS.format('ts')} AS ts, round(price, 6) AS price, round(qty, 6) AS qty,
+    is_buyer_maker FROM tr""")
 def o09(spark, sf):
     raw = tape(spark, sf).select(
         "symbol", F.col("trade_id").cast("string").alias("id"), F.col("price").cast("string"), F.col("qty").cast("string").alias("quantity"),
@@ -121,7 +122,9 @@ def o09(spark, sf):
     return rounded(src.normalised_trades(raw))
 
 
-@query("o08_bars", f"WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, round(quote_volume, 6) AS quote_volume, trade_count, round(taker_buy_quote, 6) AS taker_buy_quote FROM ba")
+@query("o08_bars", f"""WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(open, 6) AS open, round(high, 6) AS high, round(low,
+    6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, round(quote_volume, 6) AS quote_volume, trade_count, round(taker_buy_quote,
+    6) AS taker_buy_quote FROM ba""")
 def o08(spark, sf):
     return rounded(bars(spark, sf))
 
@@ -134,9 +137,12 @@ def o05(spark, sf):
     return src.before_cutoff(raw.unionByName(header), CUTOFF_MS).select("event_id", "timestamp_ms_normalized")
 
 
-@query("o08_kline_reader", f"""WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low,
-  round(close, 6) AS close, round(volume, 6) AS volume, {_TS.format("open_time + INTERVAL 59 MINUTE")} AS close_time, CASE WHEN hour(open_time) = 5 THEN NULL ELSE round(quote_volume, 4) END AS quote_volume,
-  CASE WHEN hour(open_time) = 3 THEN 0 ELSE trade_count END AS trade_count, NULL::DOUBLE AS taker_buy_base, round(taker_buy_quote, 4) AS taker_buy_quote FROM ba""")
+@query("o08_kline_reader", f"""WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(open, 6) AS open, round(high, 6) AS high,
+    round(low, 6) AS low,
+  round(close, 6) AS close, round(volume, 6) AS volume, {_TS.format("open_time + INTERVAL 59 MINUTE")} AS close_time, CASE
+    WHEN hour(open_time) = 5 THEN NULL ELSE round(quote_volume, 4) END AS quote_volume,
+  CASE WHEN hour(open_time) = 3 THEN 0 ELSE trade_count END AS trade_count, NULL::DOUBLE AS taker_buy_base, round(taker_buy_quote,
+    4) AS taker_buy_quote FROM ba""")
 def o08_klines(spark, sf):
     text = lambda c, name: F.col(c).cast("string").alias(name)
     hour = F.hour("open_time")
@@ -174,8 +180,10 @@ def o03(spark, sf):
     return src.exchange_symbols(_exchange(spark, sf)).drop("stable", "leveraged")
 
 
-@query("o10_universe", f"""WITH {_PAIRS} SELECT base, symbol::VARCHAR AS symbol, quote, CAST(rank AS BIGINT) AS quote_rank FROM (SELECT *, list_position(['PROMO', 'ECONOMY', 'STANDARD'], quote) AS rank FROM pa)
-  WHERE rank > 0 AND status = 'TRADING' AND spot AND trading AND limit_ QUALIFY row_number() OVER (PARTITION BY base ORDER BY rank, symbol::VARCHAR) = 1""")
+@query("o10_universe", f"""WITH {_PAIRS} SELECT base, symbol::VARCHAR AS symbol, quote, CAST(rank AS BIGINT) AS quote_rank FROM (SELECT *,
+    list_position(['PROMO', 'ECONOMY', 'STANDARD'], quote) AS rank FROM pa)
+  WHERE rank > 0 AND status = 'TRADING' AND spot AND trading AND limit_ QUALIFY row_number() OVER (PARTITION BY base ORDER BY rank,
+    symbol::VARCHAR) = 1""")
 def o10(spark, sf):
     found = splits.canonical_universe(src.exchange_symbols(_exchange(spark, sf)), ["PROMO", "ECONOMY", "STANDARD"])
     return found.select("base", "symbol", "quote", "quote_rank")
@@ -190,7 +198,8 @@ def o06(spark, sf):
     return rounded(src.archive_paths(paths, "store", "klines", "1m"))
 
 
-@query("o13_trade_range", f"WITH {_T} SELECT symbol, trade_id, {_TS.format('ts')} AS ts, round(price, 6) AS price, round(qty, 6) AS qty, is_buyer_maker FROM tr WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
+@query("o13_trade_range", f"""WITH {_T} SELECT symbol, trade_id, {_TS.format('ts')} AS ts, round(price, 6) AS price, round(qty, 6) AS qty,
+    is_buyer_maker FROM tr WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'""")
 def o13(spark, sf):
     return rounded(src.trade_range(stored(spark, sf), "2024-01-05", "2024-01-12"))
 
@@ -229,7 +238,8 @@ _BAND = """CASE WHEN {0} IS NULL THEN 'unknown' WHEN ceil({0}) < 0 THEN 'outside
   WHEN ceil({0}) <= 420 THEN 'gt_6h_to_7h' WHEN ceil({0}) <= 480 THEN 'gt_7h_to_8h' ELSE 'outside_8h' END"""
 
 
-@query("o29_duration_band", f"SELECT event_id, {_BAND.format('m')} AS band FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN 0 ELSE value END AS m FROM events)")
+@query("o29_duration_band", f"""SELECT event_id, {_BAND.format('m')} AS band FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL
+    WHEN event_id % 7 = 1 THEN 0 ELSE value END AS m FROM events)""")
 def o29(spark, sf):
     key = F.col("event_id") % 7
     minutes = F.when(key == 0, F.when(F.col("event_id") % 2 == 0, float("nan"))).when(key == 1, 0.0).otherwise(F.col("value"))
@@ -258,7 +268,8 @@ def o62(spark, sf):
     return rounded(rows.select("event_id", flag.alias("flag"), src.parse_flag(word).alias("maker"), scalars.finite_or_null(wild).alias("finite")))
 
 
-@query("o19_times", f"""SELECT event_id, {_TS.format("date_trunc('minute', ts)")} AS minute, ts::DATE::VARCHAR AS day, {_TS.format('ts')} AS parsed, epoch_us(ts) // 1000 AS millis FROM events""")
+@query("o19_times", f"""SELECT event_id, {_TS.format("date_trunc('minute', ts)")} AS minute, ts::DATE::VARCHAR AS day, {_TS.format('ts')} AS parsed,
+    epoch_us(ts) // 1000 AS millis FROM events""")
 def o19(spark, sf):
     ts = F.col("ts").cast("timestamp")
     text = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("+00:00")), (F.col("event_id") % 3 + 1).cast("int")))
@@ -268,9 +279,12 @@ def o19(spark, sf):
 # Surges
 
 
-@query("o20_daily_prefilter", f"""WITH {_B}, da AS (SELECT symbol, date_trunc('day', open_time) AS d, max(high) AS high, min(low) AS low FROM ba GROUP BY 1, 2),
-  pr AS (SELECT *, coalesce(date_diff('day', lag(d) OVER w, d) = 1, false) AS there, lag(low) OVER w AS before FROM da WINDOW w AS (PARTITION BY symbol ORDER BY d))
-  SELECT symbol, d::DATE::VARCHAR AS event_date, there AS previous_day_bar_available, round(CASE WHEN there THEN least(low, before) ELSE low END, 6) AS floor_low
+@query("o20_daily_prefilter", f"""WITH {_B}, da AS (SELECT symbol, date_trunc('day', open_time) AS d, max(high) AS high, min(low) AS low FROM ba
+    GROUP BY 1, 2),
+  pr AS (SELECT *, coalesce(date_diff('day', lag(d) OVER w, d) = 1, false) AS there, lag(low) OVER w AS before FROM da
+    WINDOW w AS (PARTITION BY symbol ORDER BY d))
+  SELECT symbol, d::DATE::VARCHAR AS event_date, there AS previous_day_bar_available, round(CASE WHEN there THEN least(low, before) ELSE low END,
+    6) AS floor_low
   FROM pr WHERE high + 1e-15 >= (CASE WHEN there THEN least(low, before) ELSE low END) * 1.9""")
 def o20(spark, sf):
     days = bars(spark, sf).groupBy("symbol", F.date_trunc("day", "open_time").alias("open_time")).agg(F.max("high").alias("high"), F.min("low").alias("low"))
@@ -278,13 +292,16 @@ def o20(spark, sf):
     return rounded(found.select("symbol", F.to_date("open_time").alias("event_date"), "previous_day_bar_available", "floor_low"))
 
 
-@query("o21_first_surge", f"WITH {_S} SELECT symbol, event_date::VARCHAR AS event_date, {_TS.format('cross_time')} AS cross_time, round(cross_high, 6) AS cross_high, {_TS.format('baseline_time')} AS baseline_time, round(baseline_low, 6) AS baseline_low, round(minutes_to_cross, 6) AS minutes_to_cross FROM su")
+@query("o21_first_surge", f"""WITH {_S} SELECT symbol, event_date::VARCHAR AS event_date, {_TS.format('cross_time')} AS cross_time, round(cross_high,
+    6) AS cross_high, {_TS.format('baseline_time')} AS baseline_time, round(baseline_low, 6) AS baseline_low, round(minutes_to_cross,
+    6) AS minutes_to_cross FROM su""")
 def o21(spark, sf):
     return rounded(first_surges(spark, sf))
 
 
 @query("o22_crossing_mask", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time,
-  coalesce(sum(observed::INT) OVER w = 7 AND high >= min(low) OVER w * 1.25, false) AS crossing FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+  coalesce(sum(observed::INT) OVER w = 7 AND high >= min(low) OVER w * 1.25, false) AS crossing FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 7 PRECEDING
+    AND 1 PRECEDING)""")
 def o22(spark, sf):
     return rounded(surge.crossing_mask(grid(spark, sf), WINDOW, FACTOR).select("symbol", "open_time", "crossing"))
 
@@ -299,7 +316,9 @@ _R = _S + """, bt AS (
 ), re AS (SELECT su.*, baseline_trade_time, cross_trade_time, cross_trade_price FROM su LEFT JOIN bt USING (symbol, event_date) LEFT JOIN ct USING (symbol, event_date))"""
 
 
-@query("o23_o24_resolved_trades", f"WITH {_R} SELECT symbol, event_date::VARCHAR AS event_date, {_TS.format('baseline_trade_time')} AS baseline_trade_time, {_TS.format('cross_trade_time')} AS cross_trade_time, round(cross_trade_price, 6) AS cross_trade_price FROM re")
+@query("o23_o24_resolved_trades", f"""WITH {_R} SELECT symbol, event_date::VARCHAR AS event_date,
+    {_TS.format('baseline_trade_time')} AS baseline_trade_time, {_TS.format('cross_trade_time')} AS cross_trade_time, round(cross_trade_price,
+    6) AS cross_trade_price FROM re""")
 def o23(spark, sf):
     found = surge.resolved_trades(first_surges(spark, sf), tape(spark, sf), "1 hour", FACTOR)
     return rounded(found.select("symbol", "event_date", "baseline_trade_time", "cross_trade_time", "cross_trade_price"))
@@ -310,11 +329,13 @@ def o23(spark, sf):
          price + greatest(abs(baseline_low) * 1e-12, 1e-15) >= baseline_low * {FACTOR} AS at_level
   FROM re JOIN tr ON tr.symbol = re.symbol AND ts BETWEEN cross_trade_time AND cross_trade_time + INTERVAL 6 HOUR
 ), se AS (
-  SELECT *, coalesce(sum(notional) OVER (PARTITION BY symbol, event_date ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT *, coalesce(sum(notional) OVER (PARTITION BY symbol, event_date ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    0) AS before
   FROM af WHERE is_buyer_maker
 ), le AS (
   SELECT symbol, event_date, sum(CASE WHEN at_level THEN notional ELSE 0 END) AS level_notional,
-         sum(CASE WHEN at_level AND is_buyer_maker THEN notional ELSE 0 END) AS sell_notional_at_level, sum(CASE WHEN is_buyer_maker THEN qty ELSE 0 END) AS sell_base
+         sum(CASE WHEN at_level AND is_buyer_maker THEN notional ELSE 0 END) AS sell_notional_at_level, sum(CASE
+    WHEN is_buyer_maker THEN qty ELSE 0 END) AS sell_base
   FROM af GROUP BY 1, 2
 ), su2 AS (
   SELECT symbol, event_date, sum(notional) AS sell_notional, min(price) AS lowest_sell, max(price) AS highest_sell, min(ts) AS first_sell_time,
@@ -324,9 +345,11 @@ def o23(spark, sf):
   FROM se GROUP BY 1, 2)
 SELECT symbol, event_date::VARCHAR AS event_date, {', '.join(f"CASE WHEN cross_trade_time IS NOT NULL THEN round(coalesce({c}, 0), 4) END AS {c}"
     for c in ("level_notional", "sell_notional_at_level", "sell_base", "sell_notional"))},
-  round(lowest_sell, 4) AS lowest_sell, round(highest_sell, 4) AS highest_sell, {_TS.format('first_sell_time')} AS first_sell_time, {_TS.format('quote_reached_time')} AS quote_reached_time,
+  round(lowest_sell, 4) AS lowest_sell, round(highest_sell, 4) AS highest_sell, {_TS.format('first_sell_time')} AS first_sell_time,
+    {_TS.format('quote_reached_time')} AS quote_reached_time,
   round(quote_reached_price, 4) AS quote_reached_price, CASE WHEN quote_reached_time IS NOT NULL THEN round(20000.0 / exit_base, 4) END AS exit_vwap,
-  coalesce(epoch_us(cross_trade_time) > epoch_us(baseline_trade_time) AND epoch_us(cross_trade_time) - epoch_us(baseline_trade_time) <= 480 * 60000000::BIGINT AND sell_notional + 1e-12 >= 20000.0, false) AS saleable
+  coalesce(epoch_us(cross_trade_time) > epoch_us(baseline_trade_time)
+    AND epoch_us(cross_trade_time) - epoch_us(baseline_trade_time) <= 480 * 60000000::BIGINT AND sell_notional + 1e-12 >= 20000.0, false) AS saleable
 FROM re LEFT JOIN le USING (symbol, event_date) LEFT JOIN su2 USING (symbol, event_date)""")
 def o25(spark, sf):
     """With a quote that some events' sellers don't reach."""
@@ -369,20 +392,26 @@ def event_records(spark: SparkSession, sf: str) -> DataFrame:
     return surge.event_records(resolved, bars(spark, sf), 3600, WINDOW * 3600)
 
 
-@query("o64_event_record", f"""WITH {_ER} SELECT symbol, event_date::VARCHAR AS event_date, {_TS.format('peak_time')} AS peak_time, exact_window, crossed_in_first_bar, quality,
+@query("o64_event_record", f"""WITH {_ER} SELECT symbol, event_date::VARCHAR AS event_date, {_TS.format('peak_time')} AS peak_time, exact_window,
+    crossed_in_first_bar, quality,
   {', '.join(f'{c}::BIGINT AS {c}' for c in _EVENT_COUNTS)}, {', '.join(f'round({c}, 4) AS {c}' for c in _EVENT_NUMBERS)} FROM er""")
 def o64(spark, sf):
     found = event_records(spark, sf).select("symbol", "event_date", "peak_time", "exact_window", "crossed_in_first_bar", "quality", *_EVENT_COUNTS, *_EVENT_NUMBERS)
     return rounded(found.withColumns({c: F.col(c).cast("long") for c in _EVENT_COUNTS}), 4)
 
 
-@query("o65_decisions", f"""WITH {_B}, mo AS (SELECT * REPLACE (open_time + INTERVAL 150 DAY AS open_time) FROM ba), al AS (SELECT * FROM ba UNION ALL SELECT * FROM mo),
+@query("o65_decisions", f"""WITH {_B}, mo AS (SELECT * REPLACE (open_time + INTERVAL 150 DAY AS open_time) FROM ba), al AS (SELECT * FROM ba UNION ALL
+    SELECT * FROM mo),
   da AS (SELECT DISTINCT symbol, CAST(open_time AS DATE) AS event_date FROM al),
-  tg AS (SELECT *, event_date + h * INTERVAL 1 HOUR - CASE WHEN month(event_date) BETWEEN 5 AND 7 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS target FROM da, unnest([14, 17, 19]) AS u(h)),
-  af AS (SELECT tg.*, open_time, close, high, min(open_time) OVER w + INTERVAL 1 HOUR AS entry_time, first(close) OVER w AS entry FROM tg JOIN al ON al.symbol = tg.symbol AND CAST(open_time AS DATE) = event_date AND open_time >= target
+  tg AS (SELECT *, event_date + h * INTERVAL 1 HOUR - CASE WHEN month(event_date) BETWEEN 5
+    AND 7 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS target FROM da, unnest([14, 17, 19]) AS u(h)),
+  af AS (SELECT tg.*, open_time, close, high, min(open_time) OVER w + INTERVAL 1 HOUR AS entry_time, first(close) OVER w AS entry FROM tg
+    JOIN al ON al.symbol = tg.symbol AND CAST(open_time AS DATE) = event_date AND open_time >= target
          WINDOW w AS (PARTITION BY tg.symbol, event_date, h ORDER BY open_time))
-  SELECT symbol, event_date::VARCHAR AS event_date, h::INT AS hour, {_TS.format('min(target)')} AS decision_time, {_TS.format('min(entry_time)')} AS entry_time, round(min(entry), 6) AS entry_price, round(max(high), 6) AS peak,
-         {_TS.format('first(open_time ORDER BY high DESC, open_time)')} AS peak_time, round((max(high) / min(entry) - 1) * 100, 6) AS max_gain FROM af WHERE open_time >= entry_time GROUP BY 1, 2, 3""")
+  SELECT symbol, event_date::VARCHAR AS event_date, h::INT AS hour, {_TS.format('min(target)')} AS decision_time,
+    {_TS.format('min(entry_time)')} AS entry_time, round(min(entry), 6) AS entry_price, round(max(high), 6) AS peak,
+         {_TS.format('first(open_time ORDER BY high DESC, open_time)')} AS peak_time, round((max(high) / min(entry) - 1) * 100, 6) AS max_gain FROM af
+    WHERE open_time >= entry_time GROUP BY 1, 2, 3""")
 def o65(spark, sf):
     """January keeps UTC in London; the same bars 150 days later fall into its summer time."""
     own = bars(spark, sf)
@@ -399,13 +428,15 @@ def _baselines_sql(factor: float) -> str:
          CASE WHEN sum(observed::INT) OVER a = 7 THEN max(high) OVER a END AS high_after FROM nu
   WINDOW b AS ({_BY} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), a AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)
 ), ab AS (
-  SELECT w.symbol, w.open_time, f.open_time AS baseline_time, w.base.l AS baseline_low, CAST(w.i + w.base.m AS BIGINT) AS duration, {gain} AS future_gain,
+  SELECT w.symbol, w.open_time, f.open_time AS baseline_time, w.base.l AS baseline_low, CAST(w.i + w.base.m AS BIGINT) AS duration,
+    {gain} AS future_gain,
          coalesce({gain} + 1e-12 >= {(factor - 1) * 100}, false) AS contaminated
   FROM wi w JOIN wi f ON f.symbol = w.symbol AND f.i = -w.base.m WHERE w.whole AND f.high_after IS NOT NULL)"""
 
 
 @query("o38_algorithmic_baseline", f"""WITH {_G}, {_baselines_sql(FACTOR)}
-  SELECT symbol, {_TS.format('open_time')} AS open_time, {_TS.format('baseline_time')} AS baseline_time, round(baseline_low, 6) AS baseline_low, duration,
+  SELECT symbol, {_TS.format('open_time')} AS open_time, {_TS.format('baseline_time')} AS baseline_time, round(baseline_low, 6) AS baseline_low,
+    duration,
          round(future_gain, 6) AS future_gain, contaminated FROM ab""")
 def o38(spark, sf):
     found = surge.algorithmic_baseline(grid(spark, sf), WINDOW, FACTOR)
@@ -414,7 +445,8 @@ def o38(spark, sf):
 
 @query("o38_first_future_cross", f"""WITH {_G}, {_baselines_sql(FACTOR)}
   SELECT ab.symbol, {_TS.format('ab.open_time')} AS open_time, {_TS.format('min(gr.open_time)')} AS first_future_cross
-  FROM ab LEFT JOIN gr ON contaminated AND gr.symbol = ab.symbol AND gr.open_time > baseline_time AND gr.open_time <= baseline_time + INTERVAL 7 HOUR AND gr.high >= baseline_low * {FACTOR} GROUP BY 1, 2""")
+  FROM ab LEFT JOIN gr ON contaminated AND gr.symbol = ab.symbol AND gr.open_time > baseline_time AND gr.open_time <= baseline_time + INTERVAL 7 HOUR
+    AND gr.high >= baseline_low * {FACTOR} GROUP BY 1, 2""")
 def o38_crosses(spark, sf):
     bars_ = grid(spark, sf)
     found = surge.first_future_cross(surge.algorithmic_baseline(bars_, WINDOW, FACTOR), bars_, WINDOW, FACTOR, 3600)
@@ -446,18 +478,53 @@ def o44(spark, sf):
     return rounded(out.select("symbol", "open_time", *(f"{m}_{w}" for w in (4, 48) for m in _AGGREGATES)))
 
 
-@query("o47_o48_volatility", f"""WITH {_G}, cl AS (SELECT symbol, open_time, list(close) FILTER (close IS NOT NULL) OVER ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c FROM gr),
+_MINUTES = """gm AS (
+  SELECT s.symbol, t.open_time, ba.* EXCLUDE (symbol, open_time), ba.close IS NOT NULL AS observed FROM (SELECT DISTINCT symbol FROM ba) s
+  CROSS JOIN (SELECT unnest(generate_series(a, b + INTERVAL 1439 MINUTE, INTERVAL 1 MINUTE)) AS open_time
+    FROM (SELECT date_trunc('day', min(open_time)) AS a, date_trunc('day', max(open_time)) AS b FROM ba)) t
+  LEFT JOIN ba ON ba.symbol = s.symbol AND ba.open_time = t.open_time)"""
+
+
+def _minute_sql(w: int) -> str:
+    f = f"OVER ({_BY} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    return (
+        f"round(sum(observed::INT) {f} / {w}.0, 6) AS observed_{w}, round((max(high) {f} / min(low) {f} - 1) * 100, 6) AS range_{w}, round(sum(quote_volume) {f}, 3) AS quote_{w}, "
+        f"CAST(sum(trade_count) {f} AS BIGINT) AS trades_{w}"
+    )
+
+
+@query("o45_o49_minute_windows", f"""WITH {_B.replace("date_trunc('hour', ts)", "date_trunc('minute', ts)")}, {_MINUTES}, st AS (
+    SELECT symbol, open_time, close, {_minute_sql(60)}, {_minute_sql(4320)}, min(low) OVER d AS l, max(high) OVER d AS h FROM gm
+    WINDOW d AS ({_BY} ROWS BETWEEN 1439 PRECEDING AND CURRENT ROW))
+  SELECT symbol, {_TS.format('open_time')} AS open_time, {', '.join(f'{c}_{w}' for w in (60, 4320) for c in ('observed', 'range', 'quote', 'trades'))},
+         CASE WHEN h > l THEN round((close - l) / (h - l), 6) END AS position_1440 FROM st""")
+def o45_minutes(spark, sf):
+    """Minute bars and the protocol's widths: an hour, a day and three days; a symbol goes through several tasks."""
+    def features(g: DataFrame) -> DataFrame:
+        return rolling.range_position(rolling.window_aggregates(g, [60, 4320]), 1440)
+
+    minutes = src.dense_grid(src.bars(tape(spark, sf), "minute"), step="1 minute")
+    out = windows.in_time_chunks(minutes, features, 4320, 60).withColumns({f"quote_{w}": F.round(f"quote_{w}", 3) for w in (60, 4320)})
+    columns = [f"{c}_{w}" for w in (60, 4320) for c in ("observed", "range", "quote", "trades")]
+    return rounded(out.select("symbol", "open_time", *columns, F.col("position").alias("position_1440")))
+
+
+@query("o47_o48_volatility", f"""WITH {_G}, cl AS (SELECT symbol, open_time,
+    list(close) FILTER (close IS NOT NULL) OVER ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS c FROM gr),
   lr AS (SELECT symbol, open_time, len(c) AS n, list_transform(range(2, len(c) + 1), lambda k: ln(c[k]) - ln(c[k - 1])) AS r FROM cl)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN n >= 19 THEN round(list_aggregate(r, 'stddev_samp') * sqrt(24.0) * 100, 6) END AS volatility,
+  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN n >= 19 THEN round(list_aggregate(r, 'stddev_samp') * sqrt(24.0) * 100,
+    6) END AS volatility,
   CASE WHEN n > 1 THEN round(len(list_filter(r, lambda x: x > 0)) / len(r)::DOUBLE, 6) END AS up_part FROM lr""")
 def o47(spark, sf):
     return rounded(rolling.realized_volatility(grid(spark, sf), 24).select("symbol", "open_time", "volatility", "up_part"))
 
 
 @query("o49_range_position", f"""WITH {_G}, nu AS (SELECT *, row_number() OVER ({_BY}) AS i FROM gr), ex AS (
-  SELECT *, max(high) OVER w AS h, min(low) OVER w AS l, max(CASE WHEN observed THEN struct_pack(a := high, b := i) END) OVER w AS t, max(CASE WHEN observed THEN struct_pack(a := -low, b := i) END) OVER w AS o
+  SELECT *, max(high) OVER w AS h, min(low) OVER w AS l, max(CASE WHEN observed THEN struct_pack(a := high, b := i) END) OVER w AS t, max(CASE
+    WHEN observed THEN struct_pack(a := -low, b := i) END) OVER w AS o
   FROM nu WINDOW w AS ({_BY} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
-  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN h > l THEN round((close - l) / (h - l), 6) END AS position, CASE WHEN h > l THEN round((close / h - 1) * 100, 6) END AS vs_high,
+  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN h > l THEN round((close - l) / (h - l), 6) END AS position, CASE
+    WHEN h > l THEN round((close / h - 1) * 100, 6) END AS vs_high,
   CASE WHEN h > l THEN round((close / l - 1) * 100, 6) END AS vs_low, i - t.b AS bars_since_high, i - o.b AS bars_since_low FROM ex""")
 def o49(spark, sf):
     out = rolling.range_position(grid(spark, sf), 48).select("symbol", "open_time", "position", "vs_high", "vs_low", "bars_since_high", "bars_since_low")
@@ -466,18 +533,23 @@ def o49(spark, sf):
 
 @query("o46_drawdown_runup", f"""WITH {_G}, nu AS (SELECT symbol, open_time, close, row_number() OVER ({_BY}) AS i FROM gr),
   pt AS (SELECT a.symbol, a.open_time, b.close / max(b.close) OVER w - 1 AS dd, b.close / min(b.close) OVER w - 1 AS ru
-    FROM nu a JOIN nu b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 7 AND a.i AND b.close IS NOT NULL WINDOW w AS (PARTITION BY a.symbol, a.open_time ORDER BY b.i))
-  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN count(dd) >= 2 THEN round(min(dd) * 100, 6) END AS drawdown, CASE WHEN count(dd) >= 2 THEN round(max(ru) * 100, 6) END AS runup
+    FROM nu a JOIN nu b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 7 AND a.i AND b.close IS NOT NULL WINDOW w AS (PARTITION BY a.symbol, a.open_time
+    ORDER BY b.i))
+  SELECT symbol, {_TS.format('open_time')} AS open_time, CASE WHEN count(dd) >= 2 THEN round(min(dd) * 100, 6) END AS drawdown, CASE
+    WHEN count(dd) >= 2 THEN round(max(ru) * 100, 6) END AS runup
   FROM nu LEFT JOIN pt USING (symbol, open_time) GROUP BY symbol, open_time""")
 def o46(spark, sf):
     return rounded(rolling.drawdown_runup(grid(spark, sf), 8).select("symbol", "open_time", "drawdown", "runup"))
 
 
 @query("o50_log_trend", f"""WITH {_G}, nu AS (SELECT symbol, open_time, close, row_number() OVER ({_BY}) AS i FROM gr),
-  pt AS (SELECT a.symbol, a.open_time, ln(b.close) AS y, row_number() OVER (PARTITION BY a.symbol, a.open_time ORDER BY b.i) - 1 AS k, count(*) OVER (PARTITION BY a.symbol, a.open_time) AS n
+  pt AS (SELECT a.symbol, a.open_time, ln(b.close) AS y, row_number() OVER (PARTITION BY a.symbol, a.open_time ORDER BY b.i) - 1 AS k,
+    count(*) OVER (PARTITION BY a.symbol, a.open_time) AS n
     FROM nu a JOIN nu b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 23 AND a.i AND b.close IS NOT NULL),
-  st AS (SELECT symbol, open_time, regr_slope(y, k::DOUBLE) AS s, CASE WHEN var_pop(y) > 0 THEN regr_r2(y, k::DOUBLE) END AS r FROM pt WHERE n >= 6 AND k % greatest(1, ceil(n / 10.0)::INT) = 0 GROUP BY 1, 2)
-  SELECT nu.symbol, {_TS.format('nu.open_time')} AS open_time, round((exp(s * 24) - 1) * 100, 4) AS trend, round(r, 4) AS trend_r2 FROM nu LEFT JOIN st USING (symbol, open_time)""")
+  st AS (SELECT symbol, open_time, regr_slope(y, k::DOUBLE) AS s, CASE WHEN var_pop(y) > 0 THEN regr_r2(y, k::DOUBLE) END AS r FROM pt WHERE n >= 6
+    AND k % greatest(1, ceil(n / 10.0)::INT) = 0 GROUP BY 1, 2)
+  SELECT nu.symbol, {_TS.format('nu.open_time')} AS open_time, round((exp(s * 24) - 1) * 100, 4) AS trend, round(r, 4) AS trend_r2 FROM nu LEFT
+    JOIN st USING (symbol, open_time)""")
 def o50(spark, sf):
     return rounded(rolling.log_trend(grid(spark, sf), 24, 24, most=10).select("symbol", "open_time", "trend", "trend_r2"), 4)
 
@@ -486,10 +558,13 @@ def o50(spark, sf):
 _CLOCK_LAGS = ", ".join(f"lag(v, {24 * d}) OVER ({_BY})" for d in range(1, 8))
 
 
-@query("o53_o80_same_clock", f"""WITH {_G}, z AS (SELECT symbol, open_time, CASE WHEN day(open_time) % 5 < 4 THEN quote_volume WHEN quote_volume IS NOT NULL THEN 0 END AS q FROM gr),
-  v AS (SELECT symbol, open_time, CASE WHEN count(q) OVER w = 4 THEN sum(q) OVER w END AS v FROM z WINDOW w AS ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+@query("o53_o80_same_clock", f"""WITH {_G}, z AS (SELECT symbol, open_time, CASE WHEN day(open_time) % 5 < 4 THEN quote_volume
+    WHEN quote_volume IS NOT NULL THEN 0 END AS q FROM gr),
+  v AS (SELECT symbol, open_time, CASE WHEN count(q) OVER w = 4 THEN sum(q) OVER w END AS v FROM z WINDOW w AS ({_BY} ROWS BETWEEN 3 PRECEDING
+    AND CURRENT ROW)),
   e AS (SELECT *, list_filter([{_CLOCK_LAGS}], lambda x: x IS NOT NULL) AS e FROM v)
-  SELECT symbol, {_TS.format('open_time')} AS open_time, len(e)::INT AS clock_days, CASE WHEN len(e) >= 1 THEN round(v / nullif(list_median(e), 0), 6) END AS clock_ratio,
+  SELECT symbol, {_TS.format('open_time')} AS open_time, len(e)::INT AS clock_days, CASE WHEN len(e) >= 1 THEN round(v / nullif(list_median(e), 0),
+    6) END AS clock_ratio,
   CASE WHEN len(e) >= 5 THEN round(v / nullif(list_median(e), 0), 6) END AS clock_ratio_of_5 FROM e""")
 def o53(spark, sf):
     """Zero sums are values of their days; a median of zero gives null."""
@@ -499,12 +574,15 @@ def o53(spark, sf):
     return rounded(out.select("symbol", "open_time", "clock_days", "clock_ratio", "clock_ratio_of_5"))
 
 
-@query("o57_candle_shape", f"WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(abs(close - open) / nullif(high - low, 0), 6) AS body, round((high - greatest(open, close)) / nullif(high - low, 0), 6) AS upper, round((least(open, close) - low) / nullif(high - low, 0), 6) AS lower FROM ba")
+@query("o57_candle_shape", f"""WITH {_B} SELECT symbol, {_TS.format('open_time')} AS open_time, round(abs(close - open) / nullif(high - low, 0),
+    6) AS body, round((high - greatest(open, close)) / nullif(high - low, 0), 6) AS upper, round((least(open, close) - low) / nullif(high - low, 0),
+    6) AS lower FROM ba""")
 def o57(spark, sf):
     return rounded(rolling.candle_shape(bars(spark, sf)).select("symbol", "open_time", "body", "upper", "lower"))
 
 
-@query("o58_outcomes", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, round((max(high) OVER w / close - 1) * 100, 6) AS outcome_gain, round((min(low) OVER w / close - 1) * 100, 6) AS outcome_drawdown,
+@query("o58_outcomes", f"""WITH {_G} SELECT symbol, {_TS.format('open_time')} AS open_time, round((max(high) OVER w / close - 1) * 100,
+    6) AS outcome_gain, round((min(low) OVER w / close - 1) * 100, 6) AS outcome_drawdown,
   round(coalesce(avg(observed::INT) OVER w, 0), 6) AS outcome_coverage FROM gr WINDOW w AS ({_BY} ROWS BETWEEN 1 FOLLOWING AND 40 FOLLOWING)""")
 def o58(spark, sf):
     return rounded(rolling.outcomes(grid(spark, sf), 40).select("symbol", "open_time", "outcome_gain", "outcome_drawdown", "outcome_coverage"))

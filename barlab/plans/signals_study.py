@@ -43,7 +43,8 @@ _LIQUID = "ROWS BETWEEN 7 PRECEDING AND CURRENT ROW"
 
 
 @query("o82_liquidity", f"""WITH {_G}, me AS (
-    SELECT *, sum(observed::INT) OVER w AS o, quantile_cont(quote_volume, 0.5) OVER w AS m, sum(quote_volume) OVER w AS q, sum(trade_count) OVER w AS n FROM gr
+    SELECT *, sum(observed::INT) OVER w AS o, quantile_cont(quote_volume, 0.5) OVER w AS m, sum(quote_volume) OVER w AS q,
+    sum(trade_count) OVER w AS n FROM gr
     WINDOW w AS ({_BY} {_LIQUID}))
   SELECT symbol, {_TS.format('open_time')} AS open_time, coalesce(o = 8 AND m >= 5000 AND q >= 60000 AND n >= 20, false) AS liquid FROM me""")
 def o82(spark, sf):
@@ -54,10 +55,12 @@ _TLAGS = ", ".join(f"lag(t8, {24 * d}) OVER ({_BY})" for d in range(1, 8))
 
 
 @query("o83_acceleration", f"""WITH {_G}, s AS (
-    SELECT symbol, open_time, close, lag(close, 8) OVER ({_BY}) AS c8, {_whole('trade_count::DOUBLE', 8)} AS t8, {_whole('trade_count::DOUBLE', 4)} AS t4 FROM gr),
+    SELECT symbol, open_time, close, lag(close, 8) OVER ({_BY}) AS c8, {_whole('trade_count::DOUBLE', 8)} AS t8,
+    {_whole('trade_count::DOUBLE', 4)} AS t4 FROM gr),
   e AS (SELECT *, list_filter([{_TLAGS}], lambda x: x IS NOT NULL) AS e FROM s)
   SELECT symbol, {_TS.format('open_time')} AS open_time,
-         coalesce((close / c8 - 1) * 100 >= 1 AND t4 >= 1.05 * nullif(t8 - t4, 0) AND t8 / nullif(list_median(e), 0) >= 1.1 AND len(e) >= 5, false) AS accelerating FROM e""")
+         coalesce((close / c8 - 1) * 100 >= 1 AND t4 >= 1.05 * nullif(t8 - t4, 0) AND t8 / nullif(list_median(e), 0) >= 1.1 AND len(e) >= 5,
+    false) AS accelerating FROM e""")
 def o83(spark, sf):
     return rounded(signals.acceleration(grid(spark, sf), 8, 24, 1.0, 1.05, 1.1, 5).select("symbol", "open_time", "accelerating"))
 
@@ -66,18 +69,24 @@ def o83(spark, sf):
 
 
 _ES = _G + f""", s AS (
-  SELECT symbol, open_time, close, quote_volume, trade_count::DOUBLE AS tc, observed, row_number() OVER ({_BY}) AS i, lag(close, 8) OVER ({_BY}) AS c8,
-         {_whole('quote_volume', 8)} AS q, {_whole('quote_volume', 4)} AS ql, {_whole('trade_count::DOUBLE', 8)} AS t, {_whole('trade_count::DOUBLE', 4)} AS tl,
-         {_whole('low', 8, 'min')} AS l8, {_whole('high', 8, 'max')} AS h8, {_whole('quote_volume', 24)} AS q24, (close / ({_whole('low', 72, 'min')}) - 1) * 100 AS rise,
+  SELECT symbol, open_time, close, quote_volume, trade_count::DOUBLE AS tc, observed, row_number() OVER ({_BY}) AS i, lag(close,
+    8) OVER ({_BY}) AS c8,
+         {_whole('quote_volume', 8)} AS q, {_whole('quote_volume', 4)} AS ql, {_whole('trade_count::DOUBLE', 8)} AS t,
+    {_whole('trade_count::DOUBLE', 4)} AS tl,
+         {_whole('low', 8, 'min')} AS l8, {_whole('high', 8, 'max')} AS h8, {_whole('quote_volume', 24)} AS q24,
+    (close / ({_whole('low', 72, 'min')}) - 1) * 100 AS rise,
          {_seen(8)} AS o8, {_seen(24)} AS o24, {_seen(72)} AS o72, quantile_cont(quote_volume, 0.5) OVER ({_BY} {_LIQUID}) AS med FROM gr
 ), e AS (SELECT *, {_days_before('q')} AS eq, {_days_before('t')} AS et, {_days_before('q24')} AS el FROM s
 ), r AS (
-  SELECT *, q / nullif(list_median(eq), 0) AS qr, t / nullif(list_median(et), 0) AS tr_, q24 / nullif(list_median(el), 0) AS lr, (close / c8 - 1) * 100 AS ret,
+  SELECT *, q / nullif(list_median(eq), 0) AS qr, t / nullif(list_median(et), 0) AS tr_, q24 / nullif(list_median(el), 0) AS lr,
+    (close / c8 - 1) * 100 AS ret,
          (close - l8) / nullif(h8 - l8, 0) AS pos, ql / nullif(q - ql, 0) AS qs, tl / nullif(t - tl, 0) AS ts_ FROM e
 ), a AS (
-  SELECT *, coalesce(o8 AND med >= 5000 AND q >= 60000 AND t >= 20, false) AS liquid, coalesce(o72 AND rise >= 20.75 AND lr >= 1.02 AND len(el) >= 5, false) AS armed,
+  SELECT *, coalesce(o8 AND med >= 5000 AND q >= 60000 AND t >= 20, false) AS liquid, coalesce(o72 AND rise >= 20.75 AND lr >= 1.02 AND len(el) >= 5,
+    false) AS armed,
          coalesce(ret >= 1 AND tl >= 1.05 * nullif(t - tl, 0) AND tr_ >= 1.1 AND len(et) >= 5, false) AS t3,
-         coalesce(ret >= 0.5 AND qr >= 1.1 AND ql >= 1.05 * nullif(q - ql, 0) AND len(eq) >= 5, false) AS t4, coalesce(ret >= 1.5 AND pos >= 0.75 AND o24, false) AS asked FROM r
+         coalesce(ret >= 0.5 AND qr >= 1.1 AND ql >= 1.05 * nullif(q - ql, 0) AND len(eq) >= 5, false) AS t4, coalesce(ret >= 1.5 AND pos >= 0.75
+    AND o24, false) AS asked FROM r
 ), pt AS (
   SELECT a.symbol, a.open_time, b.close / min(b.close) OVER p - 1 AS up, b.close / max(b.close) OVER p - 1 AS dn
   FROM a JOIN a b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 23 AND a.i WHERE a.asked WINDOW p AS (PARTITION BY a.symbol, a.open_time ORDER BY b.i)
@@ -85,9 +94,11 @@ _ES = _G + f""", s AS (
 ), f AS (SELECT a.*, runup, drawdown, coalesce(runup >= 8 AND drawdown <= -4, false) AS t5 FROM a LEFT JOIN x USING (symbol, open_time)
 ), g AS (
   SELECT *, t3::INT + t4::INT + t5::INT AS components, liquid AND (t3 OR t4 OR t5) AS e1,
-         coalesce(bool_or(armed) OVER ({_BY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), false) AS armed_recent, coalesce(round(greatest(qr, tr_), 6), 0) AS activity FROM f
+         coalesce(bool_or(armed) OVER ({_BY} ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), false) AS armed_recent, coalesce(round(greatest(qr, tr_), 6),
+    0) AS activity FROM f
 ), es AS (
-  SELECT *, e1 AND NOT lag(e1, 1, false) OVER ({_BY}) AS e1_edge, (e1 AND armed_recent) AND NOT lag(e1 AND armed_recent, 1, false) OVER ({_BY}) AS e2_edge FROM g
+  SELECT *, e1 AND NOT lag(e1, 1, false) OVER ({_BY}) AS e1_edge, (e1 AND armed_recent) AND NOT lag(e1 AND armed_recent, 1,
+    false) OVER ({_BY}) AS e2_edge FROM g
 )"""
 
 
@@ -96,12 +107,14 @@ def _entry_signals(spark, sf) -> DataFrame:
     return rows.withColumn("activity", F.round("activity", 6))
 
 
-@query("o84_o85_entry_signals", f"""WITH {_ES} SELECT symbol, {_TS.format('open_time')} AS open_time, liquid, t3, t4, t5, components::INT AS components, e1_edge, e2_edge FROM es""")
+@query("o84_o85_entry_signals", f"""WITH {_ES} SELECT symbol, {_TS.format('open_time')} AS open_time, liquid, t3, t4, t5,
+    components::INT AS components, e1_edge, e2_edge FROM es""")
 def o84(spark, sf):
     return rounded(_entry_signals(spark, sf).select("symbol", "open_time", "liquid", "t3", "t4", "t5", "components", "e1_edge", "e2_edge"))
 
 
-@query("o86_o87_armed_edges", f"""WITH {_ES} SELECT symbol, {_TS.format('open_time')} AS open_time, armed, armed_recent, armed AND NOT lag(armed, 1, false) OVER ({_BY}) AS edge,
+@query("o86_o87_armed_edges", f"""WITH {_ES} SELECT symbol, {_TS.format('open_time')} AS open_time, armed, armed_recent, armed AND NOT lag(armed, 1,
+    false) OVER ({_BY}) AS edge,
   round(rise, 4) AS rise_from_low, round(lr, 4) AS long_ratio FROM es""")
 def o86(spark, sf):
     rows = signals.armed_recently(grid(spark, sf), 72, 20.75, 24, 24, 1.02, 5, 48).withColumn("edge", signals.rising_edge(F.col("armed")))
@@ -121,13 +134,16 @@ def entry_candidates(spark, sf) -> DataFrame:
 
 
 _EC = _ES + f""", ca AS (
-  SELECT symbol, open_time AS signal_bar, open_time + INTERVAL 1 HOUR AS decision_time, close AS signal_close, e1_edge, e2_edge, armed_recent, components::INT AS components, t3, t4, t5,
-         ret AS return_w, q, qr AS q_ratio, t, tr_ AS t_ratio, qs AS q_step, ts_ AS t_step, pos AS position, runup, drawdown, rise AS rise_from_low, lr AS long_ratio, activity,
+  SELECT symbol, open_time AS signal_bar, open_time + INTERVAL 1 HOUR AS decision_time, close AS signal_close, e1_edge, e2_edge, armed_recent,
+    components::INT AS components, t3, t4, t5,
+         ret AS return_w, q, qr AS q_ratio, t, tr_ AS t_ratio, qs AS q_step, ts_ AS t_step, pos AS position, runup, drawdown, rise AS rise_from_low,
+    lr AS long_ratio, activity,
          symbol || '@' || epoch(open_time)::BIGINT AS order_id FROM es WHERE e1_edge OR e2_edge)"""
 _ROUND = ("return_w", "q", "q_ratio", "t", "t_ratio", "q_step", "t_step", "position", "runup", "drawdown", "rise_from_low", "long_ratio", "activity", "signal_close")
 
 
-@query("o88_entry_candidates", f"""WITH {_EC} SELECT symbol, {_TS.format('signal_bar')} AS signal_bar, {_TS.format('decision_time')} AS decision_time, order_id, e1_edge, e2_edge, armed_recent,
+@query("o88_entry_candidates", f"""WITH {_EC} SELECT symbol, {_TS.format('signal_bar')} AS signal_bar, {_TS.format('decision_time')} AS decision_time,
+    order_id, e1_edge, e2_edge, armed_recent,
   components, t3, t4, t5, {', '.join(f'round({c}, 4) AS {c}' for c in _ROUND)} FROM ca""")
 def o88(spark, sf):
     return rounded(entry_candidates(spark, sf), 4)
@@ -138,17 +154,22 @@ def o88(spark, sf):
 
 _LM = _G + f""", s AS (
   SELECT *, row_number() OVER ({_BY}) AS i, lag(close, 4) OVER ({_BY}) AS c4, {_whole('quote_volume', 4)} AS q4, {_whole('quote_volume', 2)} AS q2,
-         CASE WHEN count(high) OVER d >= 24 * 1430 / 1440.0 THEN min(low) OVER d END AS l, CASE WHEN count(high) OVER d >= 24 * 1430 / 1440.0 THEN max(high) OVER d END AS h,
+         CASE WHEN count(high) OVER d >= 24 * 1430 / 1440.0 THEN min(low) OVER d END AS l, CASE
+    WHEN count(high) OVER d >= 24 * 1430 / 1440.0 THEN max(high) OVER d END AS h,
          CASE WHEN count(close) OVER ({_BY} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4 THEN
            greatest({', '.join(f'lag(close, {a}) OVER ({_BY}) / lag(close, {b}) OVER ({_BY})' for b in range(4) for a in range(b + 1))}) END AS up
   FROM gr WINDOW d AS ({_BY} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)
 ), e AS (SELECT *, {_days_before('q4')} AS e FROM s
-), m AS (SELECT *, (close / c4 - 1) * 100 AS ret, q4 / nullif(list_median(e), 0) AS clock, len(e) AS days, CASE WHEN h > l THEN (close - l) / (h - l) END AS pos, (up - 1) * 100 AS runup FROM e
-), p AS (SELECT *, coalesce(ret >= 2, false) AS return_pass, coalesce(clock >= 1.3 AND days >= 5, false) AS volume_pass, coalesce(pos >= 0.6, false) AS range_pass, coalesce(runup >= 3.3, false) AS runup_pass FROM m
+), m AS (SELECT *, (close / c4 - 1) * 100 AS ret, q4 / nullif(list_median(e), 0) AS clock, len(e) AS days, CASE
+    WHEN h > l THEN (close - l) / (h - l) END AS pos, (up - 1) * 100 AS runup FROM e
+), p AS (SELECT *, coalesce(ret >= 2, false) AS return_pass, coalesce(clock >= 1.3 AND days >= 5, false) AS volume_pass, coalesce(pos >= 0.6,
+    false) AS range_pass, coalesce(runup >= 3.3, false) AS runup_pass FROM m
 ), la AS (SELECT *, return_pass::INT + volume_pass::INT + range_pass::INT + runup_pass::INT AS components FROM p
 ), ca AS (
-  SELECT symbol, open_time AS signal_bar, open_time + INTERVAL 1 HOUR AS decision_time, close AS signal_close, components::INT AS components, ret AS return_w, clock AS clock_ratio, days::INT AS clock_days,
-         pos AS position, runup, q2 AS quote_short, return_pass, volume_pass, range_pass, runup_pass, coalesce(round(clock, 6), 0) AS activity, symbol || '@' || epoch(open_time)::BIGINT AS order_id
+  SELECT symbol, open_time AS signal_bar, open_time + INTERVAL 1 HOUR AS decision_time, close AS signal_close, components::INT AS components,
+    ret AS return_w, clock AS clock_ratio, days::INT AS clock_days,
+         pos AS position, runup, q2 AS quote_short, return_pass, volume_pass, range_pass, runup_pass, coalesce(round(clock, 6), 0) AS activity,
+    symbol || '@' || epoch(open_time)::BIGINT AS order_id
   FROM la WHERE coalesce(components >= 3 AND observed AND q2 >= 10000, false))"""
 
 
@@ -163,7 +184,8 @@ def late_candidates(spark, sf) -> DataFrame:
 _LATE_ROUND = ("signal_close", "return_w", "clock_ratio", "position", "runup", "quote_short", "activity")
 
 
-@query("o81_o88_candidates", f"""WITH {_LM} SELECT symbol, {_TS.format('signal_bar')} AS signal_bar, {_TS.format('decision_time')} AS decision_time, order_id, components, clock_days,
+@query("o81_o88_candidates", f"""WITH {_LM} SELECT symbol, {_TS.format('signal_bar')} AS signal_bar, {_TS.format('decision_time')} AS decision_time,
+    order_id, components, clock_days,
   return_pass, volume_pass, range_pass, runup_pass, {', '.join(f'round({c}, 4) AS {c}' for c in _LATE_ROUND)} FROM ca""")
 def o81(spark, sf):
     return rounded(late_candidates(spark, sf), 4)
@@ -172,7 +194,8 @@ def o81(spark, sf):
 _LAST = "(SELECT date_trunc('day', max(open_time)) + INTERVAL 1 DAY FROM ba)"
 
 
-@query("o89_outcome_cutoff", f"WITH {_LM} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components FROM ca WHERE decision_time <= {_LAST} - INTERVAL 72 HOUR")
+@query("o89_outcome_cutoff", f"""WITH {_LM} SELECT symbol, {_TS.format('decision_time')} AS decision_time, components FROM ca
+    WHERE decision_time <= {_LAST} - INTERVAL 72 HOUR""")
 def o89(spark, sf):
     ends = grid(spark, sf).agg(F.date_trunc("day", F.max("open_time")).alias("day")).select((F.col("day") + F.expr("interval 1 day")).alias("end"))
     found = signals.before_outcome_cutoff(late_candidates(spark, sf).join(F.broadcast(ends)), F.col("end"), 72 * HOUR)
@@ -184,12 +207,15 @@ def o89(spark, sf):
 
 def _greedy_sql(name: str, source: str, trigger: str, rest: str, cap: int) -> str:
     """The fold as a recursion over the ordered candidates."""
-    return f"""{name}_o AS (SELECT symbol, decision_time, components, activity, row_number() OVER (ORDER BY decision_time, components DESC, activity DESC, symbol) AS n FROM {source} WHERE {trigger}),
+    return f"""{name}_o AS (SELECT symbol, decision_time, components, activity, row_number() OVER (ORDER BY decision_time, components DESC,
+    activity DESC, symbol) AS n FROM {source} WHERE {trigger}),
   {name} AS (
-    SELECT 0::BIGINT AS n, NULL::VARCHAR AS symbol, NULL::TIMESTAMP AS decision_time, NULL::INT AS components, NULL::DOUBLE AS activity, NULL::VARCHAR AS decision,
+    SELECT 0::BIGINT AS n, NULL::VARCHAR AS symbol, NULL::TIMESTAMP AS decision_time, NULL::INT AS components, NULL::DOUBLE AS activity,
+    NULL::VARCHAR AS decision,
            MAP([]::VARCHAR[], []::TIMESTAMP[]) AS rests, NULL::DATE AS day, 0 AS taken
     UNION ALL
-    SELECT n, symbol, decision_time, components, activity, decision, CASE WHEN decision = 'selected' THEN map_concat(rests, MAP([symbol], [decision_time + {rest}])) ELSE rests END,
+    SELECT n, symbol, decision_time, components, activity, decision, CASE WHEN decision = 'selected' THEN map_concat(rests, MAP([symbol],
+    [decision_time + {rest}])) ELSE rests END,
            decision_time::DATE, base + (decision = 'selected')::INT
     FROM (SELECT o.*, f.rests, CASE WHEN f.day = o.decision_time::DATE THEN f.taken ELSE 0 END AS base,
                  CASE WHEN o.decision_time < coalesce(f.rests[o.symbol], TIMESTAMP '1900-01-01') THEN 'suppressed_symbol_cooldown'
@@ -198,7 +224,8 @@ def _greedy_sql(name: str, source: str, trigger: str, rest: str, cap: int) -> st
 
 
 _SELECTIONS = f"""{_EC}, {_greedy_sql('e1s', 'ca', 'e1_edge', 'INTERVAL 24 HOUR', 3)}, {_greedy_sql('e2s', 'ca', 'e2_edge', 'INTERVAL 24 HOUR', 3)},
-  se AS (SELECT 'e1' AS strategy, symbol, decision_time, components, activity, decision FROM e1s WHERE n > 0 UNION ALL SELECT 'e2', symbol, decision_time, components, activity, decision FROM e2s WHERE n > 0)"""
+  se AS (SELECT 'e1' AS strategy, symbol, decision_time, components, activity, decision FROM e1s WHERE n > 0 UNION ALL SELECT 'e2', symbol,
+    decision_time, components, activity, decision FROM e2s WHERE n > 0)"""
 
 
 def _audits(found: DataFrame) -> DataFrame:
@@ -206,7 +233,8 @@ def _audits(found: DataFrame) -> DataFrame:
     return signals.select_greedily(found.withColumn("strategy", each), 24 * HOUR, 3, ("strategy",))
 
 
-@query("o90_greedy_selection", f"WITH RECURSIVE {_SELECTIONS} SELECT strategy, symbol, {_TS.format('decision_time')} AS decision_time, components, round(activity, 6) AS activity, decision FROM se")
+@query("o90_greedy_selection", f"""WITH RECURSIVE {_SELECTIONS} SELECT strategy, symbol, {_TS.format('decision_time')} AS decision_time, components,
+    round(activity, 6) AS activity, decision FROM se""")
 def o90(spark, sf):
     return rounded(_audits(entry_candidates(spark, sf)))
 
@@ -220,30 +248,43 @@ def _simulated_sql(source: str, quote: float, entry: int, hold: int, exit_: int,
     before = "OVER (PARTITION BY order_id ORDER BY ts, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""en0 AS (
     SELECT order_id, o.symbol, ts, price, price * qty AS a, {quote} - coalesce(sum(price * qty) {before}, 0) AS rest
-    FROM {source} o JOIN tr ON tr.symbol = o.symbol AND NOT is_buyer_maker AND price > 0 AND qty > 0 AND ts BETWEEN decision_time AND decision_time + INTERVAL {entry} HOUR
+    FROM {source} o JOIN tr ON tr.symbol = o.symbol AND NOT is_buyer_maker AND price > 0 AND qty > 0 AND ts BETWEEN decision_time
+    AND decision_time + INTERVAL {entry} HOUR
   ), en AS (
-    SELECT order_id, any_value(symbol) AS symbol, sum(least(a, rest) / price) AS base_qty, sum(least(a, rest) / price * price) / sum(least(a, rest) / price) AS entry_vwap,
-           max(ts) AS entry_time, count(*) AS entry_trades, sum(least(a, rest)) AS spent FROM en0 WHERE rest > 1e-12 GROUP BY 1 HAVING spent >= {quote} - 1e-8
+    SELECT order_id, any_value(symbol) AS symbol, sum(least(a, rest) / price) AS base_qty, sum(least(a, rest) / price * price) / sum(least(a,
+    rest) / price) AS entry_vwap,
+           max(ts) AS entry_time, count(*) AS entry_trades, sum(least(a, rest)) AS spent FROM en0 WHERE rest > 1e-12
+    GROUP BY 1 HAVING spent >= {quote} - 1e-8
   ), pa AS (
-    SELECT order_id, ts, trade_id, price, (price / entry_vwap - 1) * 100 AS gain, CASE {stopped.replace('vwap', 'entry_vwap')}WHEN price >= entry_vwap * (1 + {take}) THEN 'target' END AS reason
+    SELECT order_id, ts, trade_id, price, (price / entry_vwap - 1) * 100 AS gain,
+    CASE {stopped.replace('vwap', 'entry_vwap')}WHEN price >= entry_vwap * (1 + {take}) THEN 'target' END AS reason
     FROM en JOIN tr ON tr.symbol = en.symbol AND price > 0 AND ts > entry_time AND ts <= entry_time + INTERVAL {hold} HOUR
   ), hi AS (
-    SELECT order_id, first(ts ORDER BY ts, trade_id) AS hit, first(reason ORDER BY ts, trade_id) AS why, first(price ORDER BY ts, trade_id) AS trigger_price FROM pa WHERE reason IS NOT NULL GROUP BY 1
+    SELECT order_id, first(ts ORDER BY ts, trade_id) AS hit, first(reason ORDER BY ts, trade_id) AS why, first(price ORDER BY ts,
+    trade_id) AS trigger_price FROM pa WHERE reason IS NOT NULL GROUP BY 1
   ), ex AS (
-    SELECT en.*, coalesce(hit, entry_time + INTERVAL {hold} HOUR) AS exit_trigger, coalesce(why, 'time') AS exit_reason, trigger_price FROM en LEFT JOIN hi USING (order_id)
+    SELECT en.*, coalesce(hit, entry_time + INTERVAL {hold} HOUR) AS exit_trigger, coalesce(why, 'time') AS exit_reason, trigger_price FROM en LEFT
+    JOIN hi USING (order_id)
   ), wk AS (SELECT order_id, max(gain) AS path_mfe, min(gain) AS path_mae FROM pa JOIN ex USING (order_id) WHERE ts <= exit_trigger GROUP BY 1
   ), xf0 AS (
     SELECT order_id, ts, price, qty, base_qty, base_qty - coalesce(sum(qty) {before}, 0) AS rest
-    FROM ex JOIN tr ON tr.symbol = ex.symbol AND is_buyer_maker AND price > 0 AND qty > 0 AND ts BETWEEN exit_trigger AND exit_trigger + INTERVAL {exit_} HOUR
+    FROM ex JOIN tr ON tr.symbol = ex.symbol AND is_buyer_maker AND price > 0 AND qty > 0 AND ts BETWEEN exit_trigger
+    AND exit_trigger + INTERVAL {exit_} HOUR
   ), xf AS (
-    SELECT order_id, sum(least(qty, rest) * price) AS proceeds, sum(least(qty, rest) * price) / sum(least(qty, rest)) AS exit_vwap, max(ts) AS exit_time, count(*) AS exit_trades
+    SELECT order_id, sum(least(qty, rest) * price) AS proceeds, sum(least(qty, rest) * price) / sum(least(qty, rest)) AS exit_vwap,
+    max(ts) AS exit_time, count(*) AS exit_trades
     FROM xf0 WHERE rest > 1e-15 GROUP BY 1 HAVING sum(least(qty, rest)) >= any_value(base_qty) - 1e-12
   ), si AS (
-    SELECT o.order_id, o.symbol, decision_time, signal_close, entry_time, entry_vwap, base_qty, entry_trades, exit_trigger, exit_reason, trigger_price,
-           CASE WHEN entry_time IS NOT NULL THEN coalesce(path_mfe, 0) END AS path_mfe, CASE WHEN entry_time IS NOT NULL THEN coalesce(path_mae, 0) END AS path_mae,
-           exit_time, exit_vwap, proceeds, exit_trades, CASE WHEN entry_time IS NULL THEN 'entry_not_filled' WHEN exit_time IS NULL THEN 'exit_not_filled' ELSE 'completed' END AS status,
-           (entry_vwap / signal_close - 1) * 100 AS entry_slippage, (exit_vwap / trigger_price - 1) * 100 AS exit_slippage, (proceeds / {quote} - 1) * 100 AS gross_return,
-           proceeds * (1 - 0.001::DOUBLE) - {quote} * (1 + 0.001::DOUBLE) AS net_pnl, (proceeds * (1 - 0.001::DOUBLE) / ({quote} * (1 + 0.001::DOUBLE)) - 1) * 100 AS net_return,
+    SELECT o.order_id, o.symbol, decision_time, signal_close, entry_time, entry_vwap, base_qty, entry_trades, exit_trigger, exit_reason,
+    trigger_price,
+           CASE WHEN entry_time IS NOT NULL THEN coalesce(path_mfe, 0) END AS path_mfe, CASE WHEN entry_time IS NOT NULL THEN coalesce(path_mae,
+    0) END AS path_mae,
+           exit_time, exit_vwap, proceeds, exit_trades, CASE WHEN entry_time IS NULL THEN 'entry_not_filled'
+    WHEN exit_time IS NULL THEN 'exit_not_filled' ELSE 'completed' END AS status,
+           (entry_vwap / signal_close - 1) * 100 AS entry_slippage, (exit_vwap / trigger_price - 1) * 100 AS exit_slippage,
+    (proceeds / {quote} - 1) * 100 AS gross_return,
+           proceeds * (1 - 0.001::DOUBLE) - {quote} * (1 + 0.001::DOUBLE) AS net_pnl,
+    (proceeds * (1 - 0.001::DOUBLE) / ({quote} * (1 + 0.001::DOUBLE)) - 1) * 100 AS net_return,
            {quote} * 0.001::DOUBLE + proceeds * 0.001::DOUBLE AS fees, (epoch_us(exit_time) - epoch_us(entry_time)) / 60e6::DOUBLE AS holding_minutes
     FROM {source} o LEFT JOIN ex USING (order_id) LEFT JOIN wk USING (order_id) LEFT JOIN xf USING (order_id))"""
 
@@ -262,8 +303,10 @@ _ENTRY_SIM = _simulated_sql("ca", QUOTE, ENTRY, HOLD, EXIT, 0.15, None)
 _LATE_SIM = _simulated_sql("ca", QUOTE, ENTRY, HOLD // 2, EXIT, 0.10, 0.05)
 
 
-@query("o93_fills", f"""WITH {_EC}, {_ENTRY_SIM} SELECT order_id, round(sum(least(a, rest) / price), 6) AS filled_base, round(sum(least(a, rest) / price * price), 4) AS filled_quote,
-  round(sum(least(a, rest) / price * price) / sum(least(a, rest) / price), 6) AS vwap, {_TS.format('max(ts)')} AS fill_time, count(*) AS fill_count, sum(least(a, rest)) >= {QUOTE} - 1e-8 AS complete
+@query("o93_fills", f"""WITH {_EC}, {_ENTRY_SIM} SELECT order_id, round(sum(least(a, rest) / price), 6) AS filled_base, round(sum(least(a,
+    rest) / price * price), 4) AS filled_quote,
+  round(sum(least(a, rest) / price * price) / sum(least(a, rest) / price), 6) AS vwap, {_TS.format('max(ts)')} AS fill_time, count(*) AS fill_count,
+    sum(least(a, rest)) >= {QUOTE} - 1e-8 AS complete
   FROM en0 WHERE rest > 1e-12 GROUP BY order_id""")
 def o93(spark, sf):
     orders = entry_candidates(spark, sf).select(*_ORDERS).withColumn("until", F.expr(f"decision_time + interval {ENTRY} hours"))
@@ -311,8 +354,10 @@ def _ladder(spark, sf, found: DataFrame) -> DataFrame:
     return execution.path_ladder(entries, tape(spark, sf), (480, 1440, 1920), (10, 15, 25, 50))
 
 
-@query("o103_path_diagnostics", f"""WITH {_EC}, {_ENTRY_SIM}, {_LADDER} SELECT horizon::INT AS horizon, round(quantile_cont(mfe, 0.5), 4) AS median_mfe, round(quantile_cont(mae, 0.5), 4) AS median_mae,
-  round(quantile_cont(mae, 0.1), 4) AS mae_p10, round(min(mae), 4) AS worst_mae, {', '.join(f'round(avg((touch_{t} IS NOT NULL)::INT), 4) AS hit_{t}_rate' for t in (10, 15, 25, 50))}
+@query("o103_path_diagnostics", f"""WITH {_EC}, {_ENTRY_SIM}, {_LADDER} SELECT horizon::INT AS horizon, round(quantile_cont(mfe, 0.5),
+    4) AS median_mfe, round(quantile_cont(mae, 0.5), 4) AS median_mae,
+  round(quantile_cont(mae, 0.1), 4) AS mae_p10, round(min(mae), 4) AS worst_mae,
+    {', '.join(f'round(avg((touch_{t} IS NOT NULL)::INT), 4) AS hit_{t}_rate' for t in (10, 15, 25, 50))}
   FROM la_ JOIN si USING (order_id) WHERE status = 'completed' GROUP BY 1""")
 def o103(spark, sf):
     found = entry_candidates(spark, sf)
@@ -321,12 +366,15 @@ def o103(spark, sf):
 
 
 @query("o91_feedback_selection", f"""WITH RECURSIVE {_LM}, {_LATE_SIM},
-  od AS (SELECT si.symbol, si.decision_time, components, activity, status, exit_time, row_number() OVER (ORDER BY si.decision_time, components DESC, activity DESC, si.symbol) AS n FROM si JOIN ca USING (order_id)),
+  od AS (SELECT si.symbol, si.decision_time, components, activity, status, exit_time, row_number() OVER (ORDER BY si.decision_time, components DESC,
+    activity DESC, si.symbol) AS n FROM si JOIN ca USING (order_id)),
   fo AS (
-    SELECT 0::BIGINT AS n, NULL::VARCHAR AS symbol, NULL::TIMESTAMP AS decision_time, NULL::INT AS components, NULL::VARCHAR AS decision, MAP([]::VARCHAR[], []::TIMESTAMP[]) AS rests, NULL::DATE AS day, 0 AS filled
+    SELECT 0::BIGINT AS n, NULL::VARCHAR AS symbol, NULL::TIMESTAMP AS decision_time, NULL::INT AS components, NULL::VARCHAR AS decision,
+    MAP([]::VARCHAR[], []::TIMESTAMP[]) AS rests, NULL::DATE AS day, 0 AS filled
     UNION ALL
     SELECT n, symbol, decision_time, components, decision,
-           CASE WHEN decision LIKE 'suppressed%' THEN rests ELSE map_concat(rests, MAP([symbol], [(CASE WHEN decision = 'completed' THEN exit_time ELSE decision_time END) + INTERVAL 3 HOUR])) END,
+           CASE WHEN decision LIKE 'suppressed%' THEN rests ELSE map_concat(rests, MAP([symbol], [(CASE
+    WHEN decision = 'completed' THEN exit_time ELSE decision_time END) + INTERVAL 3 HOUR])) END,
            decision_time::DATE, base + (decision = 'completed')::INT
     FROM (SELECT o.*, f.rests, CASE WHEN f.day = o.decision_time::DATE THEN f.filled ELSE 0 END AS base,
                  CASE WHEN o.decision_time < coalesce(f.rests[o.symbol], TIMESTAMP '1900-01-01') THEN 'suppressed_symbol_cooldown'
@@ -349,9 +397,11 @@ def _by_strategy(spark, sf) -> DataFrame:
     return signals.executions_by_strategy(chosen, executions)
 
 
-@query("o92_strategies", f"""WITH RECURSIVE {_SELECTIONS}, un AS (SELECT DISTINCT order_id, ca.symbol, ca.decision_time, signal_close FROM ca JOIN se USING (symbol, decision_time) WHERE decision = 'selected'),
+@query("o92_strategies", f"""WITH RECURSIVE {_SELECTIONS}, un AS (SELECT DISTINCT order_id, ca.symbol, ca.decision_time, signal_close FROM ca
+    JOIN se USING (symbol, decision_time) WHERE decision = 'selected'),
   {_simulated_sql('un', QUOTE, ENTRY, HOLD, EXIT, 0.15, None)}
-  SELECT strategy, se.symbol, {_TS.format('se.decision_time')} AS decision_time, coalesce(status, 'execution_missing') AS status, exit_reason, round(net_pnl, 4) AS net_pnl
+  SELECT strategy, se.symbol, {_TS.format('se.decision_time')} AS decision_time, coalesce(status, 'execution_missing') AS status, exit_reason,
+    round(net_pnl, 4) AS net_pnl
   FROM se LEFT JOIN si ON si.symbol = se.symbol AND si.decision_time = se.decision_time WHERE decision = 'selected'""")
 def o92(spark, sf):
     return rounded(_by_strategy(spark, sf).select("strategy", "symbol", "decision_time", "status", "exit_reason", "net_pnl"), 4)
@@ -386,14 +436,19 @@ def _performance_sql(source: str, by: str, name: str = "pe") -> str:
     order = f"PARTITION BY {by} ORDER BY entry_time, symbol ROWS UNBOUNDED PRECEDING"
     return f"""{name}_do AS (SELECT *, net_pnl <= 0 AS loss, sum(net_pnl) OVER ({order}) AS equity FROM {source} WHERE status = 'completed'),
   {name}_fa AS (SELECT *, max(equity) OVER ({order}) - equity AS fall, count(CASE WHEN NOT loss THEN 1 END) OVER ({order}) AS streak FROM {name}_do),
-  {name}_ru AS (SELECT {by}, max(n) AS longest_losing_run FROM (SELECT {by}, streak, count(CASE WHEN loss THEN 1 END) AS n FROM {name}_fa GROUP BY {by}, streak) GROUP BY {by}),
-  {name}_sh AS (SELECT {by}, max(n) / sum(n)::DOUBLE AS largest_symbol_share FROM (SELECT {by}, symbol AS sy_, count(*) AS n FROM {name}_fa GROUP BY {by}, sy_) GROUP BY {by}),
-  {name}_st AS (SELECT {by}, count(*) AS trades, count(CASE WHEN NOT loss THEN 1 END) AS wins, avg(net_pnl) AS expectancy, sum(net_pnl) AS total_pnl, avg(net_return) AS mean_return,
-    quantile_cont(net_return, 0.5) AS median_return, CASE WHEN sum(CASE WHEN loss THEN net_pnl ELSE 0 END) < 0 THEN sum(CASE WHEN NOT loss THEN net_pnl ELSE 0 END) / -sum(CASE WHEN loss THEN net_pnl ELSE 0 END)
+  {name}_ru AS (SELECT {by}, max(n) AS longest_losing_run FROM (SELECT {by}, streak, count(CASE WHEN loss THEN 1 END) AS n FROM {name}_fa
+    GROUP BY {by}, streak) GROUP BY {by}),
+  {name}_sh AS (SELECT {by}, max(n) / sum(n)::DOUBLE AS largest_symbol_share FROM (SELECT {by}, symbol AS sy_, count(*) AS n FROM {name}_fa
+    GROUP BY {by}, sy_) GROUP BY {by}),
+  {name}_st AS (SELECT {by}, count(*) AS trades, count(CASE WHEN NOT loss THEN 1 END) AS wins, avg(net_pnl) AS expectancy, sum(net_pnl) AS total_pnl,
+    avg(net_return) AS mean_return,
+    quantile_cont(net_return, 0.5) AS median_return, CASE WHEN sum(CASE WHEN loss THEN net_pnl ELSE 0 END) < 0 THEN sum(CASE
+    WHEN NOT loss THEN net_pnl ELSE 0 END) / -sum(CASE WHEN loss THEN net_pnl ELSE 0 END)
     ELSE 'inf'::DOUBLE END AS profit_factor, max(fall) AS max_drawdown, count(DISTINCT symbol) AS symbols FROM {name}_fa GROUP BY {by}),
   {name}_le AS (SELECT {by}, count(*) FILTER (status <> 'completed') AS left_out, avg((status <> 'entry_not_filled')::INT) AS fill_rate,
     avg((status IN ('completed', 'exit_not_filled'))::INT) AS strict_fill_rate FROM {source} GROUP BY {by}),
-  {name} AS (SELECT * REPLACE (coalesce(trades, 0) AS trades, coalesce(longest_losing_run, 0) AS longest_losing_run) FROM {name}_le LEFT JOIN {name}_st {on} LEFT JOIN {name}_ru {on} LEFT JOIN {name}_sh {on})"""
+  {name} AS (SELECT * REPLACE (coalesce(trades, 0) AS trades, coalesce(longest_losing_run, 0) AS longest_losing_run) FROM {name}_le LEFT
+    JOIN {name}_st {on} LEFT JOIN {name}_ru {on} LEFT JOIN {name}_sh {on})"""
 
 
 _MEASURES = ("fill_rate", "strict_fill_rate", "expectancy", "total_pnl", "mean_return", "median_return", "profit_factor", "max_drawdown", "largest_symbol_share")
@@ -405,7 +460,8 @@ def o100(spark, sf):
     return rounded(performance.performance(_book(spark, sf), ["strategy"]))
 
 
-@query("o101_monthly", f"WITH {_K}, mo AS (SELECT *, strftime(entry_time, '%Y-%m') AS month FROM bk), {_performance_sql('mo', 'strategy, month')} SELECT strategy, month, {_SHOWN} FROM pe")
+@query("o101_monthly", f"""WITH {_K}, mo AS (SELECT *, strftime(entry_time, '%Y-%m') AS month FROM bk), {_performance_sql('mo', 'strategy, month')}
+    SELECT strategy, month, {_SHOWN} FROM pe""")
 def o101_monthly(spark, sf):
     rows = _book(spark, sf).withColumn("month", F.date_format("entry_time", "yyyy-MM"))
     return rounded(performance.performance(rows, ["strategy", "month"]))
@@ -416,7 +472,8 @@ def o101_symbols(spark, sf):
     return rounded(performance.performance(_book(spark, sf), ["symbol"]))
 
 
-@query("o101_daily", f"""WITH {_K} SELECT strategy, entry_time::DATE::VARCHAR AS day, count(*) AS trades, round(sum(net_pnl), 6) AS net_pnl, count(*) FILTER (net_pnl > 0) AS won,
+@query("o101_daily", f"""WITH {_K} SELECT strategy, entry_time::DATE::VARCHAR AS day, count(*) AS trades, round(sum(net_pnl), 6) AS net_pnl,
+    count(*) FILTER (net_pnl > 0) AS won,
   count(*) FILTER (net_pnl <= 0) AS lost FROM bk WHERE status = 'completed' GROUP BY 1, 2""")
 def o101_daily(spark, sf):
     return rounded(performance.daily_results(_book(spark, sf), ["strategy"]))
@@ -441,8 +498,10 @@ def o101_thirds(spark, sf):
     return rounded(performance.performance(_parts(spark, sf, 3), ["strategy", "part"]))
 
 
-@query("o102_max_concurrency", f"""WITH {_K}, mo AS (SELECT strategy, entry_time AS t, 1 AS d FROM bk WHERE status = 'completed' UNION ALL SELECT strategy, exit_time, -1 FROM bk WHERE status = 'completed')
-  SELECT strategy, CAST(max(h) AS BIGINT) AS max_concurrency FROM (SELECT strategy, sum(d) OVER (PARTITION BY strategy ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS h FROM mo) GROUP BY 1""")
+@query("o102_max_concurrency", f"""WITH {_K}, mo AS (SELECT strategy, entry_time AS t, 1 AS d FROM bk WHERE status = 'completed' UNION ALL
+    SELECT strategy, exit_time, -1 FROM bk WHERE status = 'completed')
+  SELECT strategy, CAST(max(h) AS BIGINT) AS max_concurrency FROM (SELECT strategy, sum(d) OVER (PARTITION BY strategy ORDER BY t,
+    d ROWS UNBOUNDED PRECEDING) AS h FROM mo) GROUP BY 1""")
 def o102(spark, sf):
     return performance.max_concurrency(_book(spark, sf), ["strategy"])
 
@@ -465,12 +524,18 @@ def _graduation_sql(floors: dict, n: int, infinite_fails: bool) -> str:
 
     names = [k for k in performance.CHECKS if k in floors]
     return f"""WITH {_K}, {_BOUNDS}, {_parts_sql(n)}, {_performance_sql('bk', 'strategy')}, {_performance_sql('th', 'strategy, part', 'pp')},
-  lp AS (SELECT strategy, CASE WHEN count(*) FILTER (trades > 0) = {n} THEN min(trades) ELSE 0 END AS least_part_trades, CASE WHEN count(*) FILTER (trades > 0) = {n} THEN min(expectancy) END AS least_part_expectancy FROM pp GROUP BY 1),
-  sy AS (SELECT strategy, symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (PARTITION BY strategy ORDER BY symbol) - 1 AS at_, count(*) OVER (PARTITION BY strategy) AS many FROM bk WHERE status = 'completed' GROUP BY 1, 2),
-  dr AS (SELECT strategy, i, ('0x' || substr(md5('20260725:' || i || ':' || at_), 1, 8))::BIGINT % many AS at_ FROM sy, range(1, {_DRAWS + 1}) AS r(i)),
-  lo AS (SELECT strategy, quantile_cont(m, 0.025) AS bootstrap_low FROM (SELECT strategy, i, sum(total) / sum(n) AS m FROM dr JOIN sy USING (strategy, at_) WHERE many > 1 GROUP BY 1, 2) GROUP BY 1),
-  ch AS (SELECT strategy, {', '.join(map(check, names))} FROM (SELECT *, 0.97 AS coverage, 0.0 AS failure_fraction FROM pe LEFT JOIN lp USING (strategy) LEFT JOIN lo USING (strategy)))
-  SELECT *, {' AND '.join(names)} AS passed, array_to_string(list_filter([{', '.join(f"CASE WHEN NOT {k} THEN '{k}' END" for k in names)}], lambda x: x IS NOT NULL), ',') AS failed, 5 AS strategies_tried FROM ch"""
+  lp AS (SELECT strategy, CASE WHEN count(*) FILTER (trades > 0) = {n} THEN min(trades) ELSE 0 END AS least_part_trades, CASE
+    WHEN count(*) FILTER (trades > 0) = {n} THEN min(expectancy) END AS least_part_expectancy FROM pp GROUP BY 1),
+  sy AS (SELECT strategy, symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (PARTITION BY strategy ORDER BY symbol) - 1 AS at_,
+    count(*) OVER (PARTITION BY strategy) AS many FROM bk WHERE status = 'completed' GROUP BY 1, 2),
+  dr AS (SELECT strategy, i, ('0x' || substr(md5('20260725:' || i || ':' || at_), 1, 8))::BIGINT % many AS at_ FROM sy, range(1,
+    {_DRAWS + 1}) AS r(i)),
+  lo AS (SELECT strategy, quantile_cont(m, 0.025) AS bootstrap_low FROM (SELECT strategy, i, sum(total) / sum(n) AS m FROM dr JOIN sy USING (strategy,
+    at_) WHERE many > 1 GROUP BY 1, 2) GROUP BY 1),
+  ch AS (SELECT strategy, {', '.join(map(check, names))} FROM (SELECT *, 0.97 AS coverage, 0.0 AS failure_fraction FROM pe LEFT
+    JOIN lp USING (strategy) LEFT JOIN lo USING (strategy)))
+  SELECT *, {' AND '.join(names)} AS passed, array_to_string(list_filter([{', '.join(f"CASE WHEN NOT {k} THEN '{k}' END" for k in names)}],
+    lambda x: x IS NOT NULL), ',') AS failed, 5 AS strategies_tried FROM ch"""
 
 
 def _graduated(spark, sf, floors: dict, n: int, infinite_fails: bool) -> DataFrame:
@@ -493,15 +558,20 @@ def o104_thirds(spark, sf):
     return _graduated(spark, sf, THIRDS, 3, False)
 
 
-@query("o105_coverage", f"""WITH {_G}, sp AS (SELECT symbol, min(CASE WHEN observed THEN open_time END) AS a, max(CASE WHEN observed THEN open_time END) AS b FROM gr GROUP BY 1)
-  SELECT symbol, round(avg(CASE WHEN open_time BETWEEN a AND b THEN observed::INT END), 6) AS span_coverage, round(avg(observed::INT), 6) AS grid_coverage FROM gr JOIN sp USING (symbol) GROUP BY 1""")
+@query("o105_coverage", f"""WITH {_G}, sp AS (SELECT symbol, min(CASE WHEN observed THEN open_time END) AS a, max(CASE
+    WHEN observed THEN open_time END) AS b FROM gr GROUP BY 1)
+  SELECT symbol, round(avg(CASE WHEN open_time BETWEEN a AND b THEN observed::INT END), 6) AS span_coverage, round(avg(observed::INT),
+    6) AS grid_coverage FROM gr JOIN sp USING (symbol) GROUP BY 1""")
 def o105(spark, sf):
     return rounded(performance.coverage(grid(spark, sf)))
 
 
-_BOOT = f"""WITH {_K}, sy AS (SELECT symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (ORDER BY symbol) - 1 AS at_, count(*) OVER () AS many FROM bk WHERE status = 'completed' GROUP BY symbol),
-  dr AS (SELECT i, ('0x' || substr(md5('20260725:' || i || ':' || at_), 1, 8))::BIGINT % many AS at_ FROM sy, range(1, 10001) AS r(i)), me AS (SELECT i, sum(total) / sum(n) AS m FROM dr JOIN sy USING (at_) GROUP BY i)
-  SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS iterations FROM me"""
+_BOOT = f"""WITH {_K}, sy AS (SELECT symbol, sum(net_pnl) AS total, count(*) AS n, row_number() OVER (ORDER BY symbol) - 1 AS at_,
+    count(*) OVER () AS many FROM bk WHERE status = 'completed' GROUP BY symbol),
+  dr AS (SELECT i, ('0x' || substr(md5('20260725:' || i || ':' || at_), 1, 8))::BIGINT % many AS at_ FROM sy, range(1, 10001) AS r(i)),
+    me AS (SELECT i, sum(total) / sum(n) AS m FROM dr JOIN sy USING (at_) GROUP BY i)
+  SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high,
+    count(*) AS iterations FROM me"""
 #: Fixed value: draws of the bootstrap.
 BOOTSTRAPS = 10_000
 

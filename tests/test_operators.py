@@ -442,6 +442,20 @@ def test_packages(spark, tmp_path):
     assert [(r.symbol, r.chunk) for r in packaging.first_fit_chunks(sizes, 11).orderBy("symbol").collect()] == [("a", 0), ("b", 0), ("c", 1), ("d", 2), ("e", 3)]
     rows = spark.createDataFrame([("x", "discovery"), ("y", "sealed_test")], "id string, split string")
     assert sorted((r.id, r.split, r.sealed) for r in packaging.write_by_split(rows, f"{tmp_path}/out").collect()) == [("x", "discovery", False), ("y", "sealed_test", True)]
+    assert [tuple(r) for r in packaging.data_dictionary(spark.createDataFrame([], "symbol string, close double, odd int")).collect()] == [
+        (0, "symbol", "string", "trading pair"), (1, "close", "double", "last price"), (2, "odd", "int", None),
+    ]
+    scans = spark.createDataFrame([(480, 480, 480, "2025-01-01", "2025-12-31"), (60, 480, 479, None, "2025-12-31"), (480, 480, 480, "2025-01-01", "2026-02-01"), (None, None, 480, None, None)],
+                                  "window_minutes int, guard_before int, guard_after int, start_date string, end_date string")
+    scans = scans.withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    assert [r.issues for r in packaging.evidence_issues(scans, "2026-01-01").collect()] == [
+        [], ["guard_after", "window", "explicit_window"], ["cutoff"], ["guard_before", "window", "explicit_window"]
+    ]
+    asked = spark.createDataFrame([("2024-01-01", "2024-12-01"), (None, None), ("2024-03-01", None), ("2024-03-02", "2024-03-01")], "start_date string, end_date string")
+    asked = asked.withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")}).withColumn("lookback", F.lit(10))
+    rows = surge.scan_windows(asked, F.lit("2024-11-01").cast("date")).collect()
+    assert [r.issues for r in rows] == [["incomplete_day", "length"], [], ["one_bound_missing"], ["order", "length"]]
+    assert (str(rows[1].first_day), str(rows[1].last_day), str(rows[1].load_from)) == ("2024-10-22", "2024-10-31", "2024-10-21")
     raw = spark.createDataFrame([("1704067199999",), ("1704067200000",), ("head",)], ["time"])
     assert src.write_before_cutoff(raw, 1704067200000, f"{tmp_path}/cut").count() == 1
     empty = src.write_before_cutoff(raw, 0, f"{tmp_path}/none")
