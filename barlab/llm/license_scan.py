@@ -3,7 +3,8 @@
 The automaton holds every run of words of every template. A file streams through it word by word, which gives at each
 place the longest run that ends there and occurs in a template; maximal runs are chained, template by template, into
 covered spans, each run after the open chain with which it covers most. A template counts as present when enough of it
-is covered.
+is covered. Bodies of long licenses share passages, so only longer runs join their chains, and of stretches that overlap the
+body that covers most counts.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .license_texts import PHRASES, TEMPLATES
+from .license_texts import PHRASES, TEMPLATES, bodies
 
 #: Shortest run of words that may join a chain, words that a chain may skip, and the part of a template to be covered.
 SHORTEST, SKIP, COVERED = 3, 8, 0.75
 #: So many covered words are enough in a long template.
 ENOUGH = 40
+#: The same of whole bodies: the shortest run, and words that are enough.
+BODY_RUN, BODY_ENOUGH = 6, 150
 
 _BLANK = bytes(b if (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80) else 0x20 for b in bytes(range(256)).lower())
 
@@ -78,12 +81,16 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
-        self.labels = [label for label, _ in templates]
-        split = [words_of(text) for _, text in templates]
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, whole: tuple[tuple[str, str], ...] = ()):
+        every, self.first_body = (*templates, *whole), len(templates)
+        self.labels = [label for label, _ in every]
+        split = [words_of(text) for _, text in every]
         self.sizes = [len(words) for words in split]
         self.word_id = {w: i for i, w in enumerate(sorted({w for words in split for w in words}))}
         self.automaton = Automaton([[self.word_id[w] for w in words] for words in split])
+        ends = self.automaton.ends
+        self.in_templates = [[e for e in own if e[0] < self.first_body] for own in ends] if whole else ends
+        self.in_bodies = [[e for e in own if e[0] >= self.first_body] for own in ends] if whole else None
 
     def maximal_runs(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(last word, length, state) of each run of at least SHORTEST words that occurs in a template and can't go on."""
@@ -117,14 +124,22 @@ class Scanner:
         for each stretch of the file that covers enough of it; stretches of one template don't overlap."""
         places: dict[int, list[tuple[int, int, int]]] = {}
         for last, size, state in self.maximal_runs(words):
-            for t, end in self.automaton.ends[state]:
+            for t, end in self.in_templates[state]:
                 places.setdefault(t, []).append((last, size, end))
-        out = []
+            if size >= BODY_RUN and self.in_bodies:
+                for t, end in self.in_bodies[state]:
+                    places.setdefault(t, []).append((last, size, end))
+        out, of_bodies = [], []
         for t, own in places.items():
-            need = min(COVERED * self.sizes[t], ENOUGH)
+            body = t >= self.first_body
+            need = min(COVERED * self.sizes[t], BODY_ENOUGH if body else ENOUGH)
             if sum(size for _, size, _ in own) >= need:
-                out += [(self.labels[t], *stretch, self.sizes[t]) for stretch in best_chains(own, need)]
-        return sorted(out)
+                (of_bodies if body else out).extend((self.labels[t], *stretch, self.sizes[t]) for stretch in best_chains(own, need))
+        kept: list[tuple[str, int, int, int, int]] = []
+        for s in sorted(of_bodies, key=lambda s: (-s[3], s)):
+            if all(s[2] < k[1] or s[1] > k[2] for k in kept):
+                kept.append(s)
+        return sorted(out + kept)
 
 
 def best_chains(places: list[tuple[int, int, int]], need: float) -> list[tuple[int, int, int]]:
@@ -156,7 +171,7 @@ def best_chains(places: list[tuple[int, int, int]], need: float) -> list[tuple[i
 
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
-    return Scanner()
+    return Scanner(TEMPLATES, bodies())
 
 
 _PHRASE = re.compile(rb"(?<= )(?=(" + b"|".join(p.encode() for p in PHRASES) + rb") )")

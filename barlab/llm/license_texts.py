@@ -1,4 +1,7 @@
-"""Public license texts and notices, each with the label it gives. Phrases of the base labels stand first."""
+"""Public license texts and notices, each with the label it gives. Phrases of the base labels stand first; whole
+bodies of long licenses lie as text files in the folder ``licenses``."""
+
+import pkgutil
 
 #: Phrases whose words give a base label wherever they stand.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -106,3 +109,14 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 )
+
+#: Files of whole bodies, as published.
+BODIES = (
+    ("apache", "apache-2.0"), ("gpl", "gpl-2"), ("gpl", "gpl-3"), ("lgpl", "lgpl-2.1"), ("lgpl", "lgpl-3"), ("mpl", "mpl-2.0"), ("cc0", "cc0-1.0"),
+    ("gfdl", "gfdl-1.3"), ("artistic", "artistic"),
+)
+
+
+def bodies() -> tuple[tuple[str, str], ...]:
+    """Label and text of each whole body; read through the package, which may be packed."""
+    return tuple((label, pkgutil.get_data(__package__, f"licenses/{name}.txt").decode()) for label, name in BODIES)

@@ -288,6 +288,23 @@ def test_edited_licenses_are_found():
     assert scan.spans([b"the", b"software", b"is", b"fine"] * 5000) == []
 
 
+def test_whole_bodies_are_found_and_told_apart():
+    """Each body, cut, edited or with another text around it, has its own label; what two of them share has one of theirs."""
+    rng, scan = random.Random(20), license_scan.scanner()
+    texts = license_scan.bodies()
+    assert len(texts) == 9 and scan.automaton.length[0] == 0
+    for label, text in texts:
+        own = license_scan.words_of(text)
+        for part in (own, own[: len(own) // 2], own[len(own) // 3 :]):
+            words = list(part)
+            for k in range(50, len(words), 60):
+                words[k] = b"edited"
+            found = [s for s in scan.spans([b"lead"] * 9 + words + [b"tail"] * 9) if s[4] > 600]
+            assert {s[0] for s in found} == {label} and sum(s[3] for s in found) > 0.75 * len(part), label
+    common = license_scan.words_of(prose(rng, 20_000, "the of and to in or by this license work any you may not for is that".split()))
+    assert scan.spans(common) == []
+
+
 def test_license_query_columns(spark, tmp_path):
     notice = license_scan.TEMPLATES[4][1]
     phrase = "the Mit-License. General PUBLIC license mit license2"
