@@ -254,7 +254,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row's text."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row's text. Rows that repeat and rows without an id give a row
+    each; null and empty texts have no ids and decode to an empty text; an empty table gives none."""
     both = round_trip(docs.select("doc_id", "text"), path)
     return both.select(
         "doc_id", F.size("bpe_ids").cast("long").alias("n_tokens"),

@@ -193,8 +193,8 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, int, str]]:
 
 def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, places (array of first, last, label: the base phrases) and spans (array of
-    label, first, last, covered, size: templates present). Null and empty texts have neither. Repeated rows are
-    answered each; other columns are ignored."""
+    label, first, last, covered, size: templates present). Null and empty texts have neither. Repeated rows and rows without
+    an id are answered each; other columns are ignored; an empty table gives no rows."""
     span = "struct<label:string,first:bigint,last:bigint,covered:bigint,size:bigint>"
     schema = f"doc_id bigint, n_words bigint, places array<struct<first:bigint,last:bigint,label:string>>, spans array<{span}>"
     of = lambda *fields: pa.list_(pa.struct([(n, pa.string() if n == "label" else pa.int64()) for n in fields]))

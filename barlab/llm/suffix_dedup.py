@@ -329,13 +329,17 @@ def removed_repeats(
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, as one binary).
 
     A byte goes where a WIDTH-byte string over it also starts in a document of smaller id. Null and empty texts keep
-    nothing and lose nothing. A null id comes after every other (the id 2**63 - 1 is refused). Rows repeated with one
-    id never take from each other. Other columns are ignored; an empty table gives no rows."""
+    nothing and lose nothing. A null id comes after every other. Rows repeated with one id never take from each other.
+    Other columns are ignored; an empty table gives no rows. (Ids of both ends, -2**63 and 2**63 - 1, in one table leave no
+    number for a null id and are refused.)"""
     spark = docs.sparkSession
-    refused = F.raise_error(F.lit("the id 2**63 - 1 stands for null"))
-    doc = F.when(F.col(key) == _NO_ID, refused).otherwise(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)))
+    total, low, top = docs.agg(F.count(F.lit(1)), F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
+    # Null has the last number; where an id has it, all ids move down by one.
+    moved = int(top == _NO_ID)
+    if moved and low == -_NO_ID - 1:
+        raise ValueError("ids of both ends of the range")
+    doc = F.coalesce(F.col(key).cast("long") - moved, F.lit(_NO_ID))
     rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = docs.select(key).count()
     owners, bits = max(shuffle_partitions(spark), -(-total // PER_OWNER)), min(60, total.bit_length() + 18)
     span = exchange.span_of(bits, owners)
     sent = staged(rows.mapInArrow(_send(bits, span, parcel_bytes, heavy_places), _SENT), "parcels")
@@ -347,9 +351,10 @@ def removed_repeats(
     found = parcels.select("parcel", "texts", "answers").mapInArrow(_distinct_runs(bits, span, shards), _RUNS)
     verdicts = found.groupBy("shard").applyInPandas(_verdicts, "parcel bigint, shard int, verdict binary")
     verdicts = staged(verdicts.groupBy("parcel").agg(F.collect_list(F.struct("shard", "verdict")).alias("verdicts")), "verdicts")
-    return parcels.join(verdicts.hint("shuffle_hash"), "parcel", "left").select("texts", "answers", "verdicts").mapInArrow(
+    cut = parcels.join(verdicts.hint("shuffle_hash"), "parcel", "left").select("texts", "answers", "verdicts").mapInArrow(
         _cut(bits, span, shards), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
+    return cut.withColumn("doc_id", F.col("doc_id") + moved) if moved else cut
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
