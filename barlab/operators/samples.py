@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import duration_band, holds, pct_change, ratio, stable_integer, tie_break, uuid5
 from .rolling import whole_sum
-from .windows import by_time, over_ranges
+from .windows import Over, by_time, over_ranges, windowed
 
 #: Minutes from an event's clock time at which controls of the first and of the local-low kind are tried.
 CLOCK_OFFSETS = (0, -15, 15, -30, 30, -45, 45, -60, 60)
@@ -82,11 +82,11 @@ def baseline_gate(grid: DataFrame, history: int, volume_bars: int, volume: float
     """For every bar taken as a baseline: reason, from the ``history`` bars before it (all there, ``part`` of them observed)
     and the volume of the last ``volume_bars`` of them (no floor, if None): insufficient_prior_history,
     missing_entry_liquidity, below_entry_liquidity_floor or pass; with observed_fraction and volume_before."""
-    f = by_time().rowsBetween(-history, -1)
-    rows = grid.withColumns({
-        "there": F.count(F.lit(1)).over(f), "observed_fraction": F.coalesce(F.sum(F.col("observed").cast("int")).over(f), F.lit(0)) / F.lit(float(history)),
-        "now": whole_sum("quote_volume", volume_bars),
-    }).withColumn("volume_before", F.lag("now", 1).over(by_time()))
+    rows = windowed(grid.withColumn("now", whole_sum("quote_volume", volume_bars)), {"seen_before": Over("count", F.when(F.col("observed"), 1), history, 1)})
+    rows = rows.withColumns({
+        "there": F.least(F.row_number().over(by_time()) - 1, F.lit(history)), "observed_fraction": F.col("seen_before") / F.lit(float(history)),
+        "volume_before": F.lag("now", 1).over(by_time()),
+    })
     reason = F.when((F.col("there") < history) | (F.col("observed_fraction") < part), "insufficient_prior_history")
     if volume is not None:
         reason = reason.when(F.col("volume_before").isNull(), "missing_entry_liquidity").when(F.col("volume_before") < volume, "below_entry_liquidity_floor")

@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: With this on, the shuffle files of a query go when it ends.
-_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a stage is written, the shuffle files of its query go when it ends, and rows go to Python in small batches.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -26,16 +26,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(_SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -43,7 +45,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     it after another one is lost. The shuffle files behind the table go once it is written."""
     spark, schema = df.sparkSession, df.schema
     path = f"{checkpoint_root(spark)}/barlab/{label}-{uuid.uuid4().hex}"
-    with _shuffles_end_with_the_query(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
@@ -51,13 +53,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing will read again: those whose successor is written."""
+    """Delete staged tables that nothing will read again: those whose successor is written. A session without a JVM of its own
+    leaves them where they are."""
     for table in tables:
-        path = getattr(table, "staged_at", None)
-        if path:
-            jvm = table.sparkSession.sparkContext._jvm
-            file = jvm.org.apache.hadoop.fs.Path(path)
-            file.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(file, True)
+        path, session = getattr(table, "staged_at", None), table.sparkSession
+        if path and hasattr(session, "_jvm"):
+            file = session._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(file, True)
 
 
 #: Seconds of a slot of a stored tape, which is a UTC day.
@@ -73,7 +75,7 @@ def stored_tape(trades: DataFrame, label: str = "tape") -> DataFrame:
     name = f"barlab_{label}_{uuid.uuid4().hex}"
     slot = F.floor(F.unix_seconds("ts") / SLOT_SECONDS)
     rows = trades.withColumns({"slot": slot, "day": F.date_format("ts", "yyyy-MM-dd")}).repartition(n, "symbol", "slot")
-    with _shuffles_end_with_the_query(spark):
+    with _writing(spark):
         rows.write.format("parquet").option("compression", "zstd").option("path", f"{checkpoint_root(spark)}/barlab/{name}").partitionBy("day").bucketBy(
             n, "symbol", "slot"
         ).sortBy("symbol", "slot", "ts", "trade_id").saveAsTable(name)
