@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import byte_slices, shuffle_partitions, staged, table
+from .common import byte_slices, given_back, shuffle_partitions, staged, table
 from .components import contracted
 
 WIDTH = 5
@@ -185,6 +185,8 @@ def _first_pass(bits: int, span: int):
                 sender=[sender], owner=[owner], block=[exchange.coded(distinct[a:b], owner, span)],
                 counts=[counts[a:b].astype(np.int32)], ids=[id_[ends[a] - counts[a] : ends[b - 1]]],
             )
+        del keys, least, slot_of, key, id_, order, shingle
+        given_back()
 
     return run
 
@@ -221,6 +223,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], ["x", "sketch", "shingles"]
             )
+    del shingle
+    given_back()
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

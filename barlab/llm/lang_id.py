@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import byte_slices, table
+from .common import byte_slices, given_back, table
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -235,6 +235,8 @@ def language(model: Model, spark: SparkSession, text: Column) -> Column:
         for texts in batches:
             out = [shared.value.predict(texts.iloc[i : i + 200].tolist())[0] for i in range(0, len(texts), 200)]
             yield pd.Series([x for part in out for x in part], dtype=object)
+            del texts, out
+        given_back()
 
     return predict(text)
 
