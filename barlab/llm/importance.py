@@ -214,3 +214,52 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
 
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 goes byte by byte through its table: first over single words, then on over a space and the next word.
+ORACLE = r"""
+WITH bits AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(
+    [n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS tab
+), docs AS MATERIALIZED (SELECT row_number() OVER () AS row_, doc_id, text FROM documents
+), texts AS (SELECT 0 AS kind, row_, text FROM docs UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT kind, row_, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+    SELECT kind, row_, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts)
+), runs AS (
+  SELECT kind, row_, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY kind, row_ ORDER BY i)
+), spelled AS (
+  SELECT w, flatten(list_transform(string_split(' ' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+    WHEN unicode(c) < 2048 THEN [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]
+    WHEN unicode(c) < 65536 THEN [224 + (unicode(c) >> 12), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)]
+    ELSE [240 + (unicode(c) >> 18), 128 + ((unicode(c) >> 12) & 63), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)] END)) AS bytes
+  FROM (SELECT DISTINCT w FROM words)
+), one AS (
+  SELECT w, list_reduce(list_prepend(4294967295::BIGINT, bytes[2:]), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])) AS c FROM spelled, bits
+), two AS (
+  SELECT d.w, d.w2, list_reduce(list_prepend(one.c, s.bytes), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])) AS c
+  FROM (SELECT DISTINCT w, w2 FROM runs WHERE w2 IS NOT NULL) d JOIN one USING (w) JOIN spelled s ON s.w = d.w2, bits
+), three AS (
+  SELECT d.w, d.w2, d.w3, list_reduce(list_prepend(two.c, s.bytes), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])) AS c
+  FROM (SELECT DISTINCT w, w2, w3 FROM runs WHERE w3 IS NOT NULL) d JOIN two USING (w, w2) JOIN spelled s ON s.w = d.w3, bits
+), features AS (
+  SELECT kind, row_, xor(c, 4294967295) % 10000 AS bucket FROM runs JOIN one USING (w) UNION ALL
+  SELECT kind, row_, xor(c, 4294967295) % 10000 FROM runs JOIN two USING (w, w2) UNION ALL
+  SELECT kind, row_, xor(c, 4294967295) % 10000 FROM runs JOIN three USING (w, w2, w3)
+), counts AS (
+  SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM features GROUP BY 1
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+  FROM counts, (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM counts)
+), weights AS (
+  SELECT row_, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE kind = 0 GROUP BY 1
+), sizes AS (SELECT row_, count(*) AS n_words FROM words WHERE kind = 0 GROUP BY 1
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(n_words, 0) AS n_words, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (row_) LEFT JOIN sizes USING (row_)
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS able FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM scored s LEFT JOIN ranked r ON r.doc_id IS NOT DISTINCT FROM s.doc_id
+"""

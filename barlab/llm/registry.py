@@ -28,4 +28,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_line_quality": line_quality.ORACLE, "op3_line_limit": line_quality.ORACLE_LIMIT, "op6_source_mix": mixing.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE, "op3_line_quality": line_quality.ORACLE, "op3_line_limit": line_quality.ORACLE_LIMIT,
+        "op6_source_mix": mixing.ORACLE, "op13_importance": importance.ORACLE,
+    }
