@@ -568,3 +568,18 @@ def test_language_of_odd_rows(spark, documents):
     assert got[3, "en"] == 2 and got[None, "und"] == 1 and got[4, "und"] == 1 and sum(got.values()) == len(ODD)
     kept = documents(ODD).where(lang_id.language(model, spark, F.col("text")) != "und")
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([None, 3, 3, 5, 6])
+
+
+def test_ties_of_languages_go_to_the_first(spark, documents):
+    """Two languages learned from the same texts cost every text the same."""
+    learned = [(i, f"some words of a text number {i // 2}", "s", "bb" if i % 2 else "aa") for i in range(40)]
+    model = lang_id.Model(lang_id.gram_counts(documents(learned).select("doc_id", "lang", "text")).toArrow())
+    found = lang_id.identified(documents([(1, "some other words"), (2, "zzz")]), model).collect()
+    assert {(r.lang_pred, round(r.score, 6)) for r in found} == {("aa", 0.5)}
+
+
+def test_equal_lots_are_told_apart_by_id(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "_hash32", lambda _: F.lit(7).cast("long"))
+    rows = [(i, "one two three", "ab"[i % 2]) for i in range(40)] + [(3, "one two three", "b")] * 2
+    out = [sorted((r.doc_id, r.copies) for r in mixing.mixed(documents(rows)).collect()) for _ in range(2)]
+    assert out[0] == out[1] and len(out[0]) == 42
