@@ -671,7 +671,7 @@ _RW = _SA + f""", gr AS {_G.split(", gr AS", 1)[1]}, rw AS (SELECT sample_id, sa
   FROM sa JOIN gr ON gr.symbol = sa.symbol AND gr.open_time >= anchor - INTERVAL 24 HOUR AND gr.open_time < anchor QUALIFY n = 24)"""
 
 
-def _windows(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _stored_windows(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Whole windows of the samples, and the store of their bars."""
     bars = grid(spark, sf)
     whole = context.whole_windows(_samples(spark, sf), bars, 24, HOUR)
@@ -681,12 +681,12 @@ def _windows(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query("o110_raw_windows", f"""WITH {_RW} SELECT sample_id, symbol, {_TS.format('open_time')} AS open_time, relative_bar::INT AS relative_bar,
     round(close, 6) AS close, observed FROM rw""")
 def o110(spark, sf):
-    return rounded(context.raw_windows(*_windows(spark, sf), HOUR).select("sample_id", "symbol", "open_time", "relative_bar", "close", "observed"))
+    return rounded(context.raw_windows(*_stored_windows(spark, sf), HOUR).select("sample_id", "symbol", "open_time", "relative_bar", "close", "observed"))
 
 
 @query("o111_shared_store", f"WITH {_RW} SELECT DISTINCT symbol, {_TS.format('open_time')} AS open_time, round(close, 6) AS close, observed FROM rw")
 def o111(spark, sf):
-    return rounded(_windows(spark, sf)[1].select("symbol", "open_time", "close", "observed"))
+    return rounded(_stored_windows(spark, sf)[1].select("symbol", "open_time", "close", "observed"))
 
 
 @query("o106_value_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
@@ -715,7 +715,7 @@ def o113(spark, sf):
     {_TS.format('open_time')} AS open_time, round(close, 6) AS close FROM rw""")
 def o114(spark, sf):
     """From a store that is written once."""
-    whole, store = _windows(spark, sf)
+    whole, store = _stored_windows(spark, sf)
     found = context.raw_windows(whole.withColumn("label", F.lit(1)), staged(store, "store"), HOUR)
     return rounded(found.select("sample_id", "symbol", "label", "relative_bar", "open_time", "close"))
 
