@@ -36,6 +36,28 @@ def binomial_steps(n: int, p: float) -> tuple[int, np.ndarray]:
     return low, np.cumsum(chances) / chances.sum()
 
 
+#: Where all signals of a group are equal, every draw gives the same.
+_MIXED = "hits > 0 and hits < size"
+
+
+def _groups(samples: DataFrame, *more: Column) -> DataFrame:
+    event = F.max(F.when(F.col("label") == 1, F.col("signal"))).alias("event")
+    return samples.groupBy("match_group").agg(event, F.sum("signal").alias("hits"), F.count(F.lit(1)).alias("size"), *more)
+
+
+def _tested(groups: DataFrame, sums: DataFrame, iterations: int) -> DataFrame:
+    """``sums``: i, drawn (hits that iteration i drew from the groups whose signals differ)."""
+    same = F.when((F.col("hits") > 0) & (F.col("hits") == F.col("size")), 1).otherwise(0)
+    totals = groups.agg(F.sum("event").alias("e0"), F.sum(same).alias("fixed"), F.sum("hits").alias("h"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("g")).where("g > 0")
+    every = groups.sparkSession.range(iterations + 1).select(F.col("id").cast("int").alias("i")).join(sums, "i", "left").crossJoin(F.broadcast(totals))
+    every = every.withColumn("e", F.when(F.col("i") == 0, F.col("e0")).otherwise(F.col("fixed") + F.coalesce("drawn", F.lit(0))))
+    stats = every.select("i", (ratio(F.col("e"), F.col("g")) - ratio(F.col("h") - F.col("e"), F.col("n") - F.col("g"))).alias("d"))
+    observed = stats.where("i = 0").select(F.col("d").alias("observed"))
+    return stats.where("i > 0").crossJoin(F.broadcast(observed)).groupBy("observed").agg(
+        F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("exceed"), F.count(F.lit(1)).alias("iterations")
+    ).withColumn("p_value", (F.col("exceed") + 1) / (F.col("iterations") + 1))
+
+
 def permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFrame:
     """``samples``: match_group, label (one event, 1, in each group), signal (0 or 1), id. The event label moves to a
     drawn member of each group; one row: observed difference of event and control rates, the number of iterations that
@@ -44,13 +66,8 @@ def permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFram
     The statistic asks only in how many groups the label falls on a hit. Groups with as many hits of as many members are
     alike, and how many of them hit is binomial, so an iteration takes one number for each class of groups (a hash of seed,
     iteration and class, through the binomial's steps), however many groups there are."""
-    groups = samples.groupBy("match_group").agg(
-        F.max(F.when(F.col("label") == 1, F.col("signal"))).alias("event"), F.sum("signal").alias("hits"), F.count(F.lit(1)).alias("size"),
-    )
-    # Where all signals of a group are equal, every draw gives the same.
-    mixed, same = (F.col("hits") > 0) & (F.col("hits") < F.col("size")), F.when((F.col("hits") > 0) & (F.col("hits") == F.col("size")), 1).otherwise(0)
-    totals = groups.agg(F.sum("event").alias("e0"), F.sum(same).alias("fixed"), F.sum("hits").alias("h"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("g")).where("g > 0")
-    classes = groups.where(mixed).groupBy(F.col("hits").cast("long").alias("hits"), F.col("size").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("many"))
+    groups = _groups(samples)
+    classes = groups.where(_MIXED).groupBy(F.col("hits").cast("long").alias("hits"), F.col("size").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("many"))
     blocks = classes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // _BLOCK)))).repartition("hits", "size", "block")
 
     def draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,13 +80,19 @@ def permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(drawn, pa.int64())], ["i", "drawn"])
 
     sums = blocks.mapInArrow(draws, "i int, drawn long").groupBy("i").agg(F.sum("drawn").alias("drawn"))
-    every = samples.sparkSession.range(iterations + 1).select(F.col("id").cast("int").alias("i")).join(sums, "i", "left").crossJoin(F.broadcast(totals))
-    every = every.withColumn("e", F.when(F.col("i") == 0, F.col("e0")).otherwise(F.col("fixed") + F.coalesce("drawn", F.lit(0))))
-    stats = every.select("i", (ratio(F.col("e"), F.col("g")) - ratio(F.col("h") - F.col("e"), F.col("n") - F.col("g"))).alias("d"))
-    observed = stats.where("i = 0").select(F.col("d").alias("observed"))
-    return stats.where("i > 0").crossJoin(F.broadcast(observed)).groupBy("observed").agg(
-        F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("exceed"), F.count(F.lit(1)).alias("iterations")
-    ).withColumn("p_value", (F.col("exceed") + 1) / (F.col("iterations") + 1))
+    return _tested(groups, sums, iterations)
+
+
+def member_permutation_test(samples: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """As ``permutation_test``, drawing a member of every group in every iteration (a hash of seed, iteration and group, in
+    the order of ids), so its work is groups by iterations."""
+    signals = F.transform(F.sort_array(F.collect_list(F.struct("id", "signal"))), lambda s: s["signal"]).alias("signals")
+    groups = _groups(samples, signals)
+    # Dealt out by number, as few groups are much work.
+    dealt = groups.where(_MIXED).select("match_group", "signals", "size").repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_group")
+    rows = dealt.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    chosen = F.get("signals", draw(F.col("size"), seed, F.col("i"), F.col("match_group")).cast("int"))
+    return _tested(groups, rows.groupBy("i").agg(F.sum(chosen).alias("drawn")), iterations)
 
 
 def cluster_bootstrap(trades: DataFrame, iterations: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -579,14 +579,27 @@ def _permutation_sql(n: int) -> str:
     GROUP BY o.d)"""
 
 
+def _member_permutation_sql(n: int) -> str:
+    """A member of every group drawn in every iteration."""
+    return f"""gs AS (SELECT g, list(signal::INT ORDER BY doc_id) AS signals, max(CASE WHEN label = 1 THEN signal::INT END) AS event,
+    sum(signal::INT) AS hits, count(*) AS size FROM v GROUP BY g),
+  it AS (SELECT i, sum(CASE WHEN i = 0 THEN event ELSE signals[1 + ('0x' || substr(md5('805601:' || i || ':' || g), 1, 8))::BIGINT % size] END) AS e,
+    sum(hits) AS h, sum(size) AS n, count(*) AS k FROM gs, range(0, {n + 1}) AS r(i) GROUP BY i),
+  pm AS (SELECT i, e / k::DOUBLE - (h - e) / (n - k)::DOUBLE AS d FROM it),
+  pv AS (SELECT o.d AS observed, count(*) FILTER (pm.d >= o.d - 1e-12) AS exceed, count(*) AS iterations,
+    (count(*) FILTER (pm.d >= o.d - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM pm, (SELECT d FROM pm WHERE i = 0) o WHERE i > 0
+    GROUP BY o.d)"""
+
+
 def _p_value(spark, sf, iterations: int) -> DataFrame:
     return inference.permutation_test(_population(spark, sf).withColumn("signal", F.col("signal").cast("int")), iterations, 805601)
 
 
-@query("o72_permutation", f"""WITH {_POP}, {_permutation_sql(PERMUTATIONS)} SELECT round(observed, 6) AS observed, exceed, iterations, round(p_value,
+@query("o72_permutation", f"""WITH {_POP}, {_member_permutation_sql(PERMUTATIONS)} SELECT round(observed, 6) AS observed, exceed, iterations, round(p_value,
     6) AS p_value FROM pv""")
 def o72(spark, sf):
-    return rounded(_p_value(spark, sf, PERMUTATIONS))
+    samples = _population(spark, sf).withColumn("signal", F.col("signal").cast("int"))
+    return rounded(inference.member_permutation_test(samples, PERMUTATIONS, 805601))
 
 
 def _ratio_sql(n: int) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barlab.functions import scalars
 from barlab.operators import confirmation, context, execution, inference, packaging, performance, rolling, samples, signals, splits, surge
 from barlab.plans import registry as catalog
-from barlab.plans import signals_study
+from barlab.plans import samples_study, signals_study
 from barlab.sources import staging
 from barlab.sources import trades as src
 
@@ -269,6 +269,38 @@ def test_permutations_equal_brute_force(spark):
     assert inference.permutation_test(frame.where("id < 0"), 20, 7).count() == 0
 
 
+def test_a_member_of_every_group_is_drawn_in_every_iteration(spark):
+    groups = {1: [1, 0, 0], 2: [0, 1], 3: [1, 1, 1], 4: [0, 0], 5: [0, 1, 1, 0], 6: [1, 0, 0]}  # the first of each is the event
+    rows = [(g * 10 + k, g, int(k == 0), s) for g, own in groups.items() for k, s in enumerate(own)]
+    frame = spark.createDataFrame(rows[::-1], "id long, match_group long, label int, signal int")
+    _equals_member_draws(inference.member_permutation_test(frame, 1201, 7).first(), groups, 1201, 7)
+    assert inference.member_permutation_test(frame.where("match_group in (3, 4)"), 20, 7).first().exceed == 20
+    assert inference.member_permutation_test(frame.where("id < 0"), 20, 7).count() == 0
+
+
+def _equals_member_draws(got, groups, iterations, seed):
+    """``groups``: by group its signals, the event's first, or the event's and all in the order of ids."""
+    groups = {g: own if isinstance(own, tuple) else (own[0], own) for g, own in groups.items()}
+    hits, n, k = sum(sum(own) for _, own in groups.values()), sum(len(own) for _, own in groups.values()), len(groups)
+    gap = lambda e: e / k - (hits - e) / (n - k)
+    member = lambda i, g, own: own[int(hashlib.md5(f"{seed}:{i}:{g}".encode()).hexdigest()[:8], 16) % len(own)]
+    observed = gap(sum(event for event, _ in groups.values()))
+    exceed = sum(gap(sum(member(i, g, own) for g, (_, own) in groups.items())) >= observed - 1e-12 for i in range(1, iterations + 1))
+    assert (got.observed, got.exceed, got.iterations) == (pytest.approx(observed, abs=1e-6), exceed, iterations)
+    assert got.p_value == pytest.approx((exceed + 1) / (iterations + 1), abs=1e-6)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_the_permutation_query_draws_from_every_group(spark):
+    sf = "/root/testdata/sf0.001"
+    groups = {}
+    for r in samples_study._population(spark, sf).orderBy("match_group", "id").collect():
+        event, own = groups.setdefault(r.match_group, (0, []))
+        groups[r.match_group] = (event or int(r.label == 1 and r.signal), own + [int(r.signal)])
+    assert groups
+    _equals_member_draws(catalog.queries()["o72_permutation"](spark, sf).first(), groups, 50_000, 805601)
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
 def test_inference_runs_all_iterations_over_completed_trades(spark):
     sf = "/root/testdata/sf0.001"
