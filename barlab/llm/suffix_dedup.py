@@ -3,9 +3,11 @@
 Documents are packed into parcels. Every 50-byte string has an anchor, the 20-byte string of least hash inside it, so
 equal strings have equal anchors; successive strings with one anchor are a run. A parcel's anchors go through a
 Golomb-coded exchange, and only runs around anchors that several places hold are looked at again: each parcel sends
-each distinct run once, with the smallest document that has it, to the anchor's shard. A shard sorts the suffixes of
-its distinct runs by induced sorting and reads off the permuted common prefixes which strings are equal, and so the
-smallest document that has each. These answers go back to the parcels, where the bytes that each document loses are
+each distinct run once, with the smallest document that has it, to the anchor's shard. Shards travel in bundles, a row
+for each parcel and bundle, as rows for each parcel and shard would grow with the square of the input. A shard takes what
+lies between the first and the last string of a run whose hash another string of the shard has as well, sorts the suffixes
+of that by induced sorting and reads off the permuted common prefixes which strings are equal, and so the smallest document
+that has each. These answers go back to the parcels, where the bytes that each document loses are
 put together. Runs of an anchor that very many places hold are cut into their single strings, which go to shards by
 their own hash, so that no anchor's runs gather in one task.
 """
@@ -30,6 +32,8 @@ from .suffix_array import permuted_prefixes, suffix_array
 WIDTH, GRAM = 50, 20
 #: Distinct runs in one shard, about; documents per owner of the exchange; bytes of text in a parcel.
 SHARD_RUNS, PER_OWNER, PARCEL_BYTES = 40_000, 20_000, 4 << 20
+#: Shards in one bundle at most, and bundles up to which a shard is a bundle of its own.
+BUNDLE, BUNDLES = 16, 200
 #: Strings in a run; longer ones (of one repeated byte, say) are cut.
 LONGEST_RUN = 64
 #: An anchor is named to its owner with its number of places where a parcel has so many, and is hot beyond so many in
@@ -39,22 +43,46 @@ HEAVY_PLACES, HOT_PLACES = 32, 20_000
 _U = np.uint64
 _BASE = 0x27D4EB2F165667C5
 _CHUNK = 1 << 15
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 #: Stands for a null id: after every other.
 _NO_ID = (1 << 63) - 1
 
 
-def _least_hashes(data: np.ndarray) -> np.ndarray:
-    """The anchor of each WIDTH-byte string of ``data``."""
-    power = lambda m: _U(pow(_BASE, m, 1 << 64))
+def _power(m: int) -> np.uint64:
+    return _U(pow(_BASE, m, 1 << 64))
+
+
+def _doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings of 2, 4 and 16 bytes at each place."""
     one = (data.astype(np.uint64) + _U(1)) * _U(0xC2B2AE3D27D4EB4F)
     one ^= one >> _U(32)
-    two = one[:-1] * power(1) + one[1:]
-    four = two[:-2] * power(2) + two[2:]
-    eight = four[:-4] * power(4) + four[4:]
-    sixteen = eight[:-8] * power(8) + eight[8:]
-    h = sixteen[:-4] * power(4) + four[16:]
+    two = one[:-1] * _power(1) + one[1:]
+    four = two[:-2] * _power(2) + two[2:]
+    eight = four[:-4] * _power(4) + four[4:]
+    return two, four, eight[:-8] * _power(8) + eight[8:]
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(31))) * _U(0x9E3779B97F4A7C15)
-    h ^= h >> _U(29)
+    return h ^ (h >> _U(29))
+
+
+def _string_hashes(data: np.ndarray) -> np.ndarray:
+    """Of each WIDTH-byte string of ``data``."""
+    out = [np.empty(0, np.uint64)]
+    last = len(data) - WIDTH + 1
+    for lo in range(0, last, _CHUNK):
+        two, _, sixteen = _doubled(data[lo : min(lo + _CHUNK, last) + WIDTH - 1])
+        n = len(two) - WIDTH + 2
+        h = (sixteen[:n] * _power(16) + sixteen[16 : 16 + n]) * _power(16) + sixteen[32 : 32 + n]
+        out.append(_finished(h * _power(2) + two[48 : 48 + n]))
+    return np.concatenate(out)
+
+
+def _least_hashes(data: np.ndarray) -> np.ndarray:
+    """The anchor of each WIDTH-byte string of ``data``."""
+    _, four, sixteen = _doubled(data)
+    h = _finished(sixteen[:-4] * _power(4) + four[16:])
     many, reach = WIDTH - GRAM + 1, 1
     least = h
     while reach * 2 <= many:
@@ -90,11 +118,11 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _packed(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays, each after its length in bytes, compressed together."""
     raw = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(3).compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
+    return _COMPRESSOR.compress(np.array([len(x) for x in raw], np.int64).tobytes() + b"".join(raw))
 
 
 def _unpacked(packed: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
+    raw = _DECOMPRESSOR.decompress(packed)
     at, out = 8 * len(kinds), []
     for kind, size in zip(kinds, np.frombuffer(raw, np.int64, len(kinds)).tolist()):
         out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
@@ -203,22 +231,26 @@ class _Parcel:
         self.pieces = [names[k] for k in order.tolist()]
 
 
-_RUNS = "parcel bigint, shard int, packed binary"
-_RUN_TYPES = dict(parcel=pa.int64(), shard=pa.int32(), packed=pa.binary())
+_RUNS = "parcel bigint, bundle int, packed binary"
 
 
-def _distinct_runs(bits: int, span: int, shards: int):
-    """Per parcel and shard a row with the parcel's distinct shared runs."""
+def _distinct_runs(bits: int, span: int, shards: int, parts: int):
+    """Per parcel and bundle of ``parts`` shards a row with the parcel's distinct shared runs, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = _Parcel(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), bits, span, shards)
-                cuts = np.flatnonzero(np.diff(own.shard, prepend=-1)).tolist()
-                for a, b in zip(cuts, [*cuts[1:], len(own.shard)]):
-                    lengths = np.array([*map(len, own.pieces[a:b])], np.int32)
-                    packed = _packed(own.least[a:b], lengths, b"".join(own.pieces[a:b]))
-                    yield _row(_RUN_TYPES, parcel=batch.column(0)[i].as_py(), shard=int(own.shard[a]), packed=packed)
+                bundle, part = np.divmod(own.shard, parts)
+                cuts, packed = np.flatnonzero(np.diff(bundle, prepend=-1)), []
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bundle)]):
+                    lengths = np.fromiter(map(len, own.pieces[a:b]), np.int32, b - a)
+                    counts = np.bincount(part[a:b], minlength=parts).astype(np.int32)
+                    packed.append(_packed(counts, own.least[a:b], lengths, b"".join(own.pieces[a:b])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * len(packed), pa.int64()), pa.array(bundle[cuts], pa.int32()), pa.array(packed, pa.binary())],
+                    ["parcel", "bundle", "packed"],
+                )
 
     return run
 
@@ -247,28 +279,56 @@ def smallest_holders(pieces: list[bytes], least: np.ndarray) -> np.ndarray:
     return smallest
 
 
-def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
+def _repeated(pieces: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """For every WIDTH-byte string of every piece, in order, whether another one has its hash."""
+    tops, ends = np.cumsum(counts), np.cumsum(counts + WIDTH - 1)
+    places = np.repeat(ends - counts - WIDTH + 1 - (tops - counts), counts) + np.arange(tops[-1])
+    h = _string_hashes(np.frombuffer(b"".join(pieces), np.uint8))[places]
+    ranked = np.sort(h)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if not len(twice):
+        return np.zeros(len(h), bool)
+    return twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+
+
+def smallest_of_strings(pieces: list[bytes], least: np.ndarray) -> np.ndarray:
+    """As ``smallest_holders``; only what can hold an equal string is sorted, and what is equal of several pieces once."""
+    counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - WIDTH + 1
+    begins = np.cumsum(counts) - counts
+    smallest = np.repeat(least, counts)
+    at = np.flatnonzero(_repeated(pieces, counts))
+    if not len(at):
+        return smallest
+    piece = np.searchsorted(begins, at, side="right") - 1
+    heads = np.flatnonzero(np.diff(piece, prepend=-1))
+    owner, first, last = piece[heads], at[heads], at[np.append(heads[1:], len(at)) - 1]
+    known: dict[bytes, int] = {}
+    lo, hi = first - begins[owner], last - begins[owner] + WIDTH
+    middles = (known.setdefault(pieces[k][a:b], len(known)) for k, a, b in zip(owner.tolist(), lo.tolist(), hi.tolist()))
+    number = np.fromiter(middles, np.int64, len(owner))
+    held = np.full(len(known), _NO_ID)
+    np.minimum.at(held, number, least[owner])
+    n = last - first + 1
+    many = np.zeros(len(known), np.int64)
+    many[number] = n
+    found = smallest_holders(list(known), held)
+    smallest[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())] = gathered(found, (np.cumsum(many) - many)[number], n)
+    return smallest
+
+
+def _judged(runs_: list[list[bytes]], docs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of one shard, per parcel and run in the order sent: stretches of strings with one smallest document (how many
     stretches, where each ends, and that document)."""
     known: dict[bytes, int] = {}
-    numbers, docs = [], []
-    for packed in group["packed"]:
-        least, lengths, raw = _unpacked(packed, np.int64, np.int32, np.uint8)
-        raw, ends = raw.tobytes(), np.cumsum(lengths, dtype=np.int64)
-        numbers.append(np.fromiter((known.setdefault(raw[a:b], len(known)) for a, b in zip((ends - lengths).tolist(), ends.tolist())), np.int64, len(ends)))
-        docs.append(least)
+    numbers = [np.fromiter((known.setdefault(x, len(known)) for x in own), np.int64, len(own)) for own in runs_]
+    if not known:
+        return [(np.empty(0, np.int64),) * 3 for _ in runs_]
     least = np.full(len(known), _NO_ID)
     np.minimum.at(least, np.concatenate(numbers), np.concatenate(docs))
     pieces = list(known)
     counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - WIDTH + 1
     tops = np.cumsum(counts)
-    smallest = np.repeat(least, counts)
-    # A run that is alone at its anchor has no string in common with another.
-    anchor = _least_hashes(np.frombuffer(b"".join(p[:WIDTH] for p in pieces), np.uint8))[::WIDTH]
-    _, inverse, together = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(together[inverse] > 1)
-    if len(several):
-        smallest[np.repeat(together[inverse] > 1, counts)] = smallest_holders([pieces[k] for k in several.tolist()], least[several])
+    smallest = smallest_of_strings(pieces, least)
     heads = np.zeros(len(smallest), bool)
     heads[1:] = smallest[1:] != smallest[:-1]
     heads[tops - counts] = True
@@ -277,11 +337,29 @@ def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
     end, value = np.append(begin[1:], len(smallest)) - (tops - counts)[piece], smallest[begin]
     many = np.bincount(piece, minlength=len(known))
     at = np.cumsum(many) - many
+    return [(many[own], gathered(end, at[own], many[own]), gathered(value, at[own], many[own])) for own in numbers]
+
+
+def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one bundle, what is ``_judged`` of each parcel's runs, shard by shard."""
+    sent = [_unpacked(packed, np.int32, np.int64, np.int32, np.uint8) for packed in group["packed"]]
+    shards = [np.append(0, np.cumsum(counts)) for counts, _, _, _ in sent]
+    ends = [np.append(0, np.cumsum(lengths, dtype=np.int64)) for _, _, lengths, _ in sent]
+    told: list[list] = [[] for _ in sent]
+    for k in range(len(sent[0][0])):
+        runs_, docs = [], []
+        for (_, least, _, raw), shard, end in zip(sent, shards, ends):
+            cuts = end[shard[k] : shard[k + 1] + 1]
+            own, cuts = raw[cuts[0] : cuts[-1]].tobytes(), (cuts - cuts[0]).tolist()
+            runs_.append([own[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
+            docs.append(least[shard[k] : shard[k + 1]])
+        for row, verdict in zip(told, _judged(runs_, docs)):
+            row.append(verdict)
     out = []
-    for number in numbers:
-        n = many[number]
-        out.append(_packed(n.astype(np.int32), gathered(end, at[number], n).astype(np.int32), gathered(value, at[number], n)))
-    return pd.DataFrame({"parcel": group["parcel"], "shard": group["shard"], "verdict": out})
+    for row in told:
+        many, end, value = (np.concatenate(x) for x in zip(*row))
+        out.append(_packed(many.astype(np.int32), end.astype(np.int32), value))
+    return pd.DataFrame({"parcel": group["parcel"], "bundle": group["bundle"], "verdict": out})
 
 
 def _cut(bits: int, span: int, shards: int):
@@ -299,7 +377,7 @@ def _left(own: _Parcel, verdicts: list | None) -> pa.RecordBatch:
     ids, sizes, data, ends = own.ids, own.sizes, own.data, np.cumsum(own.sizes)
     gone = np.zeros(len(data), bool)
     if verdicts:
-        parts = [_unpacked(v["verdict"], np.int32, np.int32, np.int64) for v in sorted(verdicts, key=lambda v: v["shard"])]
+        parts = [_unpacked(v["verdict"], np.int32, np.int32, np.int64) for v in sorted(verdicts, key=lambda v: v["bundle"])]
         many, end, least = (np.concatenate(x) for x in zip(*parts))
         many = many.astype(np.int64)
         at = np.cumsum(many) - many
@@ -346,11 +424,13 @@ def removed_repeats(
     blocks = sent.where("owner is not null").select("parcel", "owner", "block", "again", "heavy", "places")
     answers = staged(blocks.groupBy("owner").applyInPandas(_answers(hot_places), "parcel bigint, owner int, shared binary, hot binary, n bigint"), "answers")
     shards = max(shuffle_partitions(spark), -(-(answers.agg(F.sum("n")).first()[0] or 0) // SHARD_RUNS))
+    bundles = max(-(-shards // BUNDLE), min(shards, BUNDLES))
+    parts = -(-shards // bundles)
     told = answers.groupBy("parcel").agg(F.collect_list(F.struct("owner", "shared", "hot")).alias("answers"))
     parcels = sent.where("owner is null").select("parcel", "texts").join(told.hint("shuffle_hash"), "parcel", "left")
-    found = parcels.select("parcel", "texts", "answers").mapInArrow(_distinct_runs(bits, span, shards), _RUNS)
-    verdicts = found.groupBy("shard").applyInPandas(_verdicts, "parcel bigint, shard int, verdict binary")
-    verdicts = staged(verdicts.groupBy("parcel").agg(F.collect_list(F.struct("shard", "verdict")).alias("verdicts")), "verdicts")
+    found = parcels.select("parcel", "texts", "answers").mapInArrow(_distinct_runs(bits, span, shards, parts), _RUNS)
+    verdicts = found.groupBy("bundle").applyInPandas(_verdicts, "parcel bigint, bundle int, verdict binary")
+    verdicts = staged(verdicts.groupBy("parcel").agg(F.collect_list(F.struct("bundle", "verdict")).alias("verdicts")), "verdicts")
     cut = parcels.join(verdicts.hint("shuffle_hash"), "parcel", "left").select("texts", "answers", "verdicts").mapInArrow(
         _cut(bits, span, shards), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )

@@ -192,6 +192,35 @@ def test_removed_repeats(documents, monkeypatch, setting):
     assert suffix_dedup.removed_repeats(documents([])).count() == 0
 
 
+def test_shards_of_removed_repeats_travel_in_bundles(documents, monkeypatch):
+    rng = random.Random(15)
+    rows = list(enumerate(corpus(rng)))
+    show = lambda found: sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found.collect())
+    want, tables = show(suffix_dedup.removed_repeats(documents(rows))), {}
+    for name, value in (("SHARD_RUNS", 2), ("BUNDLE", 16), ("BUNDLES", 3)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(suffix_dedup, "staged", lambda frame, label, f=suffix_dedup.staged: tables.setdefault(label, f(frame, label)))
+    assert show(suffix_dedup.removed_repeats(documents(rows), parcel_bytes=900)) == want
+    shards = tables["answers"].agg(F.sum("n")).first()[0] // 2
+    sent = tables["verdicts"].agg(F.count(F.lit(1)), F.max(F.size("verdicts"))).first()
+    assert shards > 200 and sent[0] > 3 and 1 < sent[1] <= max(3, -(-(shards + 1) // 16))
+
+
+def test_smallest_of_strings_sorts_what_repeats(monkeypatch):
+    rng, sorted_ = random.Random(16), []
+    monkeypatch.setattr(suffix_dedup, "smallest_holders", lambda x, least, f=suffix_dedup.smallest_holders: sorted_.extend(x) or f(x, least))
+    for letters in (b"a", b"ab", b"abcdefgh", b"abcdefgh"):
+        base = bytes(rng.choice(letters) for _ in range(900))
+        places = [(rng.randrange(840), rng.randrange(50, 114)) for _ in range(40)]
+        pieces = list({base[a : a + n] for a, n in places if a + n <= 900} | {bytes(rng.choice(b"mnopqrs") for _ in range(70)) for _ in range(20)})
+        least, want = np.array([rng.randrange(9) for _ in pieces]), {}
+        for p, doc in zip(pieces, least.tolist()):
+            for k in range(len(p) - 49):
+                want[p[k : k + 50]] = min(want.get(p[k : k + 50], 9), doc)
+        assert suffix_dedup.smallest_of_strings(pieces, least).tolist() == [want[p[k : k + 50]] for p in pieces for k in range(len(p) - 49)]
+    assert sorted_ and not any(x[0] in b"mnopqrs" for x in sorted_)
+
+
 def test_line_quality_rejects_what_boilerplate_leaves(documents):
     rng = random.Random(6)
     common = "Share This   page with your friends and read all of the other news here today"
