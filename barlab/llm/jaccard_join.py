@@ -331,8 +331,10 @@ class _Merged(dict):
 
 def _links(group: pd.DataFrame) -> pd.DataFrame:
     """Of one block pair: links that connect documents of different components, exactly, as few as connect them."""
-    left, right = group[group["side"] != 1], group[group["side"] != 0]
-    a, b = (np.frombuffer(b"".join(x["sketch"]), "<u4").reshape(-1, _BUCKETS).astype(np.int32) for x in (left, right))
+    side = group["side"].to_numpy()
+    left, right = group[side != 1], group[side != 0]
+    sketches = np.stack([np.bincount(x.view(np.uint64) >> _U(56), minlength=_BUCKETS) for x in group["shingles"]]).astype(np.int32)
+    a, b = sketches[side != 1], sketches[side != 0]
     sizes, found, merged = (a.sum(axis=1), b.sum(axis=1)), [], _Merged()
     order = np.argsort(sizes[1], kind="stable")
     b, size_b, right = b[order], sizes[1][order], right.iloc[order]
@@ -353,15 +355,23 @@ def _links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def _of_different_documents(rows: DataFrame) -> DataFrame:
+    """``rows``: cell, x. Cells, of those that hold the same documents one: its pairs are theirs."""
+    held = lambda seed: F.sum(F.xxhash64("x", F.lit(seed)).cast("decimal(20,0)"))
+    prints = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("many"), held(1).alias("one"), held(2).alias("two"))
+    return prints.groupBy("many", "one", "two").agg(F.min("cell").alias("cell")).select("cell")
+
+
 def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect the components of undivided cells. Sizes must lie within 5:4 of each other, so a cell
     falls into classes of that width, each against itself and the next; large classes are compared block by block,
     and a document goes to as many block pairs as there are blocks."""
-    rows = active.join(sets.select("x", "sketch", "shingles", F.size("shingles").alias("size")), "x").select(
-        "cell", "x", "root", "sketch", "shingles", "size", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")
+    rows = active.join(sets.select("x", F.size("shingles").alias("size")), "x").select(
+        "cell", "x", "root", "size", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")
     )
+    rows = staged(rows.join(_of_different_documents(rows), "cell", "left_semi"), "last-rows")
     to = F.explode(F.array(F.struct(F.col("kind").alias("kind"), F.lit(0).alias("next")), F.struct((F.col("kind") - 1).alias("kind"), F.lit(1).alias("next"))))
-    placed = rows.withColumn("to", to).select("cell", "x", "root", "sketch", "shingles", "size", "to.kind", "to.next")
+    placed = rows.withColumn("to", to).select("cell", "x", "root", "size", "to.kind", "to.next")
     # A class is worth comparing where it has a member of its own and two components.
     counts = placed.groupBy("cell", "kind").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.min("root").alias("least"),
@@ -370,7 +380,9 @@ def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
     blocked = placed.join(counts, ["cell", "kind"]).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     pair = lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))
     spread = blocked.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    groups = spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root", "sketch", "shingles").groupBy("cell", "kind", "i", "j")
+    # Sets come last, as they are what weighs.
+    dealt = staged(spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root"), "last-blocks")
+    groups = dealt.join(sets.select("x", "shingles"), "x").select("cell", "kind", "i", "j", "side", "x", "root", "shingles").groupBy("cell", "kind", "i", "j")
     return groups.applyInPandas(_links, "a bigint, b bigint")
 
 

@@ -147,6 +147,25 @@ def test_suffix_array(monkeypatch, digit):
         assert list(suffix_array.suffix_array(np.array(s))) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_cells_of_the_same_documents_are_compared_once(spark, monkeypatch):
+    rng, dealt = random.Random(17), []
+    monkeypatch.setattr(jaccard_join, "staged", lambda frame, label, f=jaccard_join.staged: dealt.append((label, f(frame, label))) or dealt[-1][1])
+    base = [rng.randrange(-(2**63), 2**63) for _ in range(100)]
+    shingles = {1: base, 2: base[:95], 3: base[:70] + [rng.randrange(2**63) for _ in range(30)], 4: base[5:], 5: base[:95]}
+    cells = {10: [1, 2, 3], 11: [3, 2, 1], 12: [1, 4], 13: [4, 1], 14: [1, 2, 3, 5]}
+    active = spark.createDataFrame([(c, x, x) for c, own in cells.items() for x in own], "cell long, x long, root long")
+    sets = spark.createDataFrame([(x, None, sorted(own)) for x, own in shingles.items()], "x long, sketch binary, shingles array<long>")
+    found = {(r.a, r.b) for r in jaccard_join._remaining(active, sets).collect()}
+    whole = {(a, b) for a in shingles for b in shingles if a < b and 100 * len({*shingles[a]} & {*shingles[b]}) >= 80 * len({*shingles[a]} | {*shingles[b]})}
+    assert found <= whole and not any(3 in pair for pair in found) and (1, 4) in found
+    joined = {x: x for x in shingles}
+    for _ in shingles:
+        for a, b in found:
+            joined[a] = joined[b] = min(joined[a], joined[b])
+    assert joined == {1: 1, 2: 1, 3: 3, 4: 1, 5: 1}
+    assert {r.cell for r in dict(dealt)["last-blocks"].select("cell").distinct().collect()} == {10, 12, 14}
+
+
 def test_suffix_array_of_many_names():
     rng = np.random.default_rng(4)
     words = [bytes(rng.integers(97, 123, 5).astype(np.uint8)) for _ in range(4000)]
