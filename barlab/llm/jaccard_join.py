@@ -9,9 +9,10 @@ comparison each. Of all anchors only cells that hold several components remain,
 pivot. Inside a cell the distance to the pivot, computed exactly, makes the Voronoi region around it (up to twice
 the threshold) and the rest, with the documents between one and two thresholds in both; so any two linked documents
 stay together. Regions divide again around new pivots as long as that parts them; small ones are compared pair by pair.
-In ones whose documents all lie at the same distance from everything, which no pivot can part, blocks of documents meet
-with their sets: a pair that its sketches can't part is compared there and then, and connects what it joins, so that a
-block gives out the links that connect its components and never its pairs.
+Ones whose documents all lie at the same distance from everything, which no pivot can part, are put together where they
+hold mostly the same documents, and blocks of documents meet with their sets: those of other components meet all, those of
+the largest only these. A pair that its sketches can't part is compared there and then, and connects what it joins, so
+that a block gives out the links that connect its components and never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -362,24 +363,49 @@ def _of_different_documents(rows: DataFrame) -> DataFrame:
     return prints.groupBy("many", "one", "two").agg(F.min("cell").alias("cell")).select("cell")
 
 
+def _put_together(active: DataFrame) -> DataFrame:
+    """``active``: cell, x, root, n. A cell most of whose documents lie in a larger one goes there, so that documents which
+    many cells of one group hold are dealt out once. Cells that others go to stay where they are, and grow to twice their
+    documents at most: otherwise the others stay apart. Documents of one cell are together still."""
+    top = F.max(F.struct("n", "cell")).over(Window.partitionBy("x"))
+    rows = staged(active.select("cell", "x", "root", "n", top["cell"].alias("top")), "last-tops")
+    votes = rows.groupBy("cell", "n", "top").agg(F.count(F.lit(1)).alias("votes")).groupBy("cell", "n").agg(F.max(F.struct("votes", "top")).alias("best"))
+    hooks = staged(votes.where("best.top != cell and 2 * best.votes >= n").select("cell", F.col("best.top").alias("to")), "last-hooks")
+    hooks = hooks.join(hooks.select(F.col("cell").alias("to")), "to", "left_anti")
+    moved = staged(rows.join(hooks, "cell", "left").select("cell", "x", "root", "n", F.coalesce("to", "cell").alias("to")), "last-moved")
+    own = F.max(F.when(F.col("to") == F.col("cell"), F.col("n")))
+    wide = moved.select("to", "x").distinct().groupBy("to").agg(F.count(F.lit(1)).alias("all"))
+    wide = wide.join(moved.groupBy("to").agg(own.alias("own")), "to").where("all > 2 * own").select("to", F.lit(True).alias("wide"))
+    return moved.join(wide, "to", "left").select(F.when(F.col("wide"), F.col("cell")).otherwise(F.col("to")).alias("cell"), "x", "root").distinct()
+
+
 def _remaining(active: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect the components of undivided cells. Sizes must lie within 5:4 of each other, so a cell
-    falls into classes of that width, each against itself and the next; large classes are compared block by block,
-    and a document goes to as many block pairs as there are blocks."""
-    rows = active.join(sets.select("x", F.size("shingles").alias("size")), "x").select(
-        "cell", "x", "root", "size", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")
-    )
-    rows = staged(rows.join(_of_different_documents(rows), "cell", "left_semi"), "last-rows")
+    falls into classes of that width, each against itself and the next. Large classes are compared block by block, but
+    for blocks of their largest component with each other, which holds no open pair: its documents go to as many block
+    pairs as the others fill blocks, and only the others to every block."""
+    rows = active.select("cell", "x", "root").join(_of_different_documents(active), "cell", "left_semi").join(sets.select("x", F.size("shingles").alias("size")), "x")
+    rows = staged(rows.select("cell", "x", "root", "size", F.floor(F.log("size") / float(np.log(1.25)) + 1e-9).alias("kind")), "last-rows")
     to = F.explode(F.array(F.struct(F.col("kind").alias("kind"), F.lit(0).alias("next")), F.struct((F.col("kind") - 1).alias("kind"), F.lit(1).alias("next"))))
     placed = rows.withColumn("to", to).select("cell", "x", "root", "size", "to.kind", "to.next")
     # A class is worth comparing where it has a member of its own and two components.
-    counts = placed.groupBy("cell", "kind").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.min("root").alias("least"),
-        F.max("root").alias("most"), F.min("next").alias("own"),
-    ).where("least < most and own = 0").select("cell", "kind", "blocks")
-    blocked = placed.join(counts, ["cell", "kind"]).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    held = placed.groupBy("cell", "kind", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes"), F.min("next").alias("own"))
+    counts = held.groupBy("cell", "kind").agg(
+        F.max(F.struct("n", "root", "sizes")).alias("main"), F.sum("n").alias("n"), F.sum("sizes").alias("sizes"), F.count(F.lit(1)).alias("roots"),
+        F.min("own").alias("own"),
+    ).where("roots > 1 and own = 0")
+    blocks = lambda n, sizes: F.ceil(F.greatest(n / BLOCK, sizes / BLOCK_SHINGLES)).cast("int")
+    counts = counts.select(
+        "cell", "kind", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.sizes")).alias("mains"),
+        blocks(F.col("n") - F.col("main.n"), F.col("sizes") - F.col("main.sizes")).alias("others"),
+    )
+    # Blocks of the largest component are numbered after those of the others.
+    drawn, is_main = F.xxhash64("x"), F.col("root") == F.col("main")
+    block = F.when(is_main, F.col("others") + F.pmod(drawn, F.col("mains"))).otherwise(F.pmod(drawn, F.col("others"))).cast("int")
+    meets = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    blocked = placed.join(counts, ["cell", "kind"]).withColumns({"block": block, "meets": meets})
     pair = lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.when(j == F.col("block"), 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))
-    spread = blocked.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    spread = blocked.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.col("meets") - 1), pair)))
     # Sets come last, as they are what weighs.
     dealt = staged(spread.select("cell", "kind", "to.i", "to.j", "to.side", "x", "root"), "last-blocks")
     groups = dealt.join(sets.select("x", "shingles"), "x").select("cell", "kind", "i", "j", "side", "x", "root", "shingles").groupBy("cell", "kind", "i", "j")
@@ -428,13 +454,16 @@ class _Join:
         """``cells``: cell, x; ``reps``: the documents that stand for their sets. Divides cells around pivots until every
         linked pair is compared or connected."""
         active = staged(self.several(cells.join(reps, "x", "left_semi"), "all"), "active")
-        depth, sets, before = 0, None, None
+        depth, whole, before = 0, None, None
         while not active.isEmpty():
-            sets = self.sets_of(staged(active.select("x").distinct(), "active-ids")) if sets is None else sets
+            ids = staged(active.select("x").distinct(), f"active-ids{depth}")
+            whole = self.sets_of(ids) if whole is None else whole
+            # Later rounds hold few of the documents: the sets of others needn't move.
+            sets = _picked(whole, "x", ids) if depth else whole
             small, large = active.where(F.col("n") <= LEAF), active.where(F.col("n") > LEAF)
             n = large.count()
             if before is not None and n > (1 - PROGRESS) * before:
-                self.link(staged(_remaining(active, sets), "last-links"), "last")
+                self.link(staged(_remaining(_put_together(active), sets), "last-links"), "last")
                 return
             before = n
             a = small.select("cell", F.col("x").alias("p"), F.col("root").alias("a_root"))

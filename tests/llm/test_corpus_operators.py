@@ -166,6 +166,37 @@ def test_cells_of_the_same_documents_are_compared_once(spark, monkeypatch):
     assert {r.cell for r in dict(dealt)["last-blocks"].select("cell").distinct().collect()} == {10, 12, 14}
 
 
+def test_undivided_cells_deal_out_the_largest_component_once(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "staged", lambda frame, label, f=jaccard_join.staged: dealt.append((label, f(frame, label))) or dealt[-1][1])
+    base = list(range(1, 101))
+    shingles = {x: base[:99] + [1000 + x] for x in range(60)} | {60: base[:98] + [2000, 2001], 61: base[:50] + list(range(3000, 3050)), 62: base[:50] + list(range(3000, 3049)) + [4000]}
+    active = spark.createDataFrame([(1, x, 0 if x < 60 else x) for x in shingles], "cell long, x long, root long")
+    sets = spark.createDataFrame([(x, None, own) for x, own in shingles.items()], "x long, sketch binary, shingles array<long>")
+    found = {(r.a, r.b) for r in jaccard_join._remaining(active, sets).collect()}
+    assert (61, 62) in found and {b for a, b in found if a < 60} == {60}
+    # 60 documents of the largest component meet one block; 3 others meet it and 15 blocks.
+    assert dict(dealt)["last-blocks"].count() <= 60 + 3 * 16
+
+
+def test_cells_of_mostly_the_same_documents_are_put_together(spark):
+    cells = {1: range(0, 30), 2: range(10, 38), 3: range(15, 40), 4: range(29, 60), 5: [50, 51, 100, 101, 102], 6: [70, 71], 7: range(29, 50)}
+    active = spark.createDataFrame([(c, x, x, len(own)) for c, own in cells.items() for x in own], "cell long, x long, root long, n long")
+    got = {}
+    for r in jaccard_join._put_together(active).collect():
+        assert r.x == r.root and r.x not in got.setdefault(r.cell, set())
+        got[r.cell].add(r.x)
+    assert all(any({*own} <= held for held in got.values()) for own in cells.values())
+    assert len(got) < len(cells) and sum(map(len, got.values())) < sum(map(len, cells.values()))
+    assert all(len(held) <= 2 * len(cells[c]) for c, held in got.items())
+    # Cells that would make the one they go to more than twice as large stay apart.
+    wide = {1: range(10)} | {c: [2 * c - 4, 2 * c - 3, 100 + 2 * c, 101 + 2 * c] for c in range(2, 7)} | {7: [0, 5, 300, 301], 8: [1, 6, 310, 311]}
+    active = spark.createDataFrame([(c, x, x, len(own)) for c, own in wide.items() for x in own], "cell long, x long, root long, n long")
+    got = {(r.cell, r.x) for r in jaccard_join._put_together(active).collect()}
+    assert got == {(c, x) for c, own in wide.items() for x in own}
+
+
 def test_suffix_array_of_many_names():
     rng = np.random.default_rng(4)
     words = [bytes(rng.integers(97, 123, 5).astype(np.uint8)) for _ in range(4000)]
