@@ -1,9 +1,10 @@
 """Removal of long repeated byte strings by suffix arrays over content-defined shards.
 
 Documents are packed into parcels. Every 50-byte string has an anchor, the 20-byte string of least hash inside it, so
-equal strings have equal anchors; successive strings with one anchor are a run. A parcel's anchors go through a
-Golomb-coded exchange, and only runs around anchors that several places hold are looked at again: each parcel sends
-each distinct run once, with the smallest document that has it, to the anchor's shard. Shards travel in bundles, a row
+equal strings have equal anchors; successive strings with one anchor are a run. Least hashes crowd at the low end of their
+range, so anchors are hashed again, which deals them evenly. A parcel's anchors go through a Golomb-coded exchange, whose
+owners grow with the bytes of text, and only runs around anchors that several places hold are looked at again: each parcel
+sends each distinct run once, with the smallest document that has it, to the anchor's shard. Shards travel in bundles, a row
 for each parcel and bundle, as rows for each parcel and shard would grow with the square of the input. A shard takes what
 lies between the first and the last string of a run whose hash another string of the shard has as well, sorts the suffixes
 of that by induced sorting and reads off the permuted common prefixes which strings are equal, and so the smallest document
@@ -30,8 +31,8 @@ from .common import byte_slices, gathered, shuffle_partitions, staged, table
 from .suffix_array import permuted_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
-#: Distinct runs in one shard, about; documents per owner of the exchange; bytes of text in a parcel.
-SHARD_RUNS, PER_OWNER, PARCEL_BYTES = 40_000, 20_000, 4 << 20
+#: Distinct runs in one shard, about; bytes of text per owner of the exchange; bytes of text in a parcel.
+SHARD_RUNS, OWNER_BYTES, PARCEL_BYTES = 40_000, 24 << 20, 4 << 20
 #: Shards in one bundle at most, and bundles up to which a shard is a bundle of its own.
 BUNDLE, BUNDLES = 16, 200
 #: Strings in a run; longer ones (of one repeated byte, say) are cut.
@@ -93,7 +94,7 @@ def _least_hashes(data: np.ndarray) -> np.ndarray:
 
 def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of documents of ``sizes`` bytes, end to end in ``data``: each run's first string, its number of strings (at most
-    LONGEST_RUN) and its anchor. Strings lie within one document."""
+    LONGEST_RUN) and its anchor, spread evenly over all numbers. Strings lie within one document."""
     ends = np.cumsum(sizes)
     edges = np.zeros(len(data) + 1, np.int8)
     np.add.at(edges, np.maximum(ends - sizes, ends - WIDTH + 1), 1)
@@ -108,6 +109,7 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         keep = inside[cut]
         out.append((cut[keep] + lo, np.diff(np.append(cut, hi - lo))[keep], least[cut[keep]]))
     first, many, anchor = (np.concatenate(x) for x in zip(*out))
+    anchor = _finished(anchor)
     if many.max(initial=0) > LONGEST_RUN:
         cuts = -(-many // LONGEST_RUN)
         step = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * LONGEST_RUN
@@ -411,14 +413,15 @@ def removed_repeats(
     Other columns are ignored; an empty table gives no rows. (Ids of both ends, -2**63 and 2**63 - 1, in one table leave no
     number for a null id and are refused.)"""
     spark = docs.sparkSession
-    total, low, top = docs.agg(F.count(F.lit(1)), F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long"))).first()
+    number = F.col(key).cast("long")
+    total, held, low, top = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text)), F.min(number), F.max(number)).first()
     # Null has the last number; where an id has it, all ids move down by one.
     moved = int(top == _NO_ID)
     if moved and low == -_NO_ID - 1:
         raise ValueError("ids of both ends of the range")
-    doc = F.coalesce(F.col(key).cast("long") - moved, F.lit(_NO_ID))
+    doc = F.coalesce(number - moved, F.lit(_NO_ID))
     rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    owners, bits = max(shuffle_partitions(spark), -(-total // PER_OWNER)), min(60, total.bit_length() + 18)
+    owners, bits = max(shuffle_partitions(spark), -(-(held or 0) // OWNER_BYTES)), min(60, total.bit_length() + 18)
     span = exchange.span_of(bits, owners)
     sent = staged(rows.mapInArrow(_send(bits, span, parcel_bytes, heavy_places), _SENT), "parcels")
     blocks = sent.where("owner is not null").select("parcel", "owner", "block", "again", "heavy", "places")

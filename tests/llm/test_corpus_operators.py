@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.llm import bpe, exact_dedup, golomb, html_extract, jaccard_join, lang_id, license_scan, line_quality, mixing, suffix_array, suffix_dedup, token_files
+from barlab.llm import bpe, exact_dedup, exchange, golomb, html_extract, jaccard_join, lang_id, license_scan, line_quality, mixing, suffix_array, suffix_dedup, token_files
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = [f"w{i}" for i in range(40)]
@@ -256,6 +256,19 @@ def test_shards_of_removed_repeats_travel_in_bundles(documents, monkeypatch):
     assert shards > 200 and sent[0] > 3 and 1 < sent[1] <= max(3, -(-(shards + 1) // 16))
 
 
+def test_anchors_are_dealt_evenly_to_owners(documents, monkeypatch):
+    rng, tables = random.Random(17), {}
+    rows = [(i, prose(rng, 3000)) for i in range(12)]
+    monkeypatch.setattr(suffix_dedup, "OWNER_BYTES", 4000)  # long texts make owners, however few they are
+    monkeypatch.setattr(suffix_dedup, "staged", lambda frame, label, f=suffix_dedup.staged: tables.setdefault(label, f(frame, label)))
+    suffix_dedup.removed_repeats(documents(rows)).count()
+    sizes = collections.Counter()
+    for owner, block in tables["parcels"].where("owner is not null").select("owner", "block").collect():
+        sizes[owner] += exchange.size_of(bytes(block))
+    owners = -(-sum(len(t.encode()) for _, t in rows) // 4000)
+    assert owners > 4 and set(sizes) == set(range(owners)) and max(sizes.values()) < 2 * sum(sizes.values()) / owners
+
+
 def test_smallest_of_strings_sorts_what_repeats(monkeypatch):
     rng, sorted_ = random.Random(16), []
     monkeypatch.setattr(suffix_dedup, "smallest_holders", lambda x, least, f=suffix_dedup.smallest_holders: sorted_.extend(x) or f(x, least))
